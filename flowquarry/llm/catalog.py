@@ -5,21 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowquarry.llm import simhash
-from flowquarry.llm.common import read_table
+from flowquarry.llm import lang_id, mixing, packing, secrets, simhash
+from flowquarry.llm.common import crc_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = lang_id.fit(docs.where(crc_fold(F.col("doc_id")) != 2))
+    found = docs.select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), lang_id.language(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.scan(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", simhash.as_hex(found.fp).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.document_rates(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    every = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return every.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op5_secret_scan, op6_simhash_near_dedup, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_scan": secrets.oracle()}
