@@ -5,7 +5,8 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,20 +72,20 @@ def best_fit(docs: DataFrame, sizes: tuple[int, ...] = SIZES, shard_docs: int =
     rows = docs.select("doc_id", n_tokens(F.col("text")).alias("n"))
     shards = max(1, -(-docs.count() // shard_docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
-        if not parts:
+        if not sum(map(len, parts)):
             return
-        shard = pd.concat(parts, ignore_index=True).sort_values(["n", "doc_id"], ascending=[False, True], ignore_index=True)
+        shard = pa.Table.from_batches(parts)
+        shard = shard.take(pc.sort_indices(shard, [("n", "descending"), ("doc_id", "ascending")]))
+        lengths = shard.column("n").to_pylist()
         base = TaskContext.get().partitionId() << 32
-        done = pd.DataFrame(pack(shard["n"].tolist(), sizes), columns=["i", "piece", "n_tokens", "bin_id", "bin_size", "start"])
-        done["bin_id"] += base
-        done["doc_id"] = shard["doc_id"].reindex(done["i"]).to_numpy()
-        empty = shard.loc[shard["n"] == 0, ["doc_id"]].assign(piece=0, n_tokens=0, bin_id=None, bin_size=None, start=None)
-        out = ["doc_id", "piece", "n_tokens", "bin_id", "bin_size", "start"]
-        for part in (done, empty):
-            if len(part):
-                yield part[out]
+        rows = [(i, k, n, base + b, size, at) for i, k, n, b, size, at in pack(lengths, sizes)]
+        rows += [(i, 0, 0, None, None, None) for i, n in enumerate(lengths) if n == 0]
+        taken, *columns = zip(*rows, strict=True)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        arrays = [shard.column("doc_id").take(pa.array(taken)).combine_chunks(), *map(pa.array, columns, kinds)]
+        yield from pa.Table.from_arrays(arrays, names=["doc_id", "piece", "n_tokens", "bin_id", "bin_size", "start"]).to_batches()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.repartition(shards).mapInPandas(run, f"doc_id {kind}, {RESULT}")
+    return rows.repartition(shards).mapInArrow(run, f"doc_id {kind}, {RESULT}")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import small_batches, stored
+from flowquarry.llm.common import broadcast_if_small, small_batches, stored
 from flowquarry.llm.components import connected_components
 
 BITS = 64
@@ -64,14 +64,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [signed(fingerprint(text)) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(found, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row ``(doc_id, fp)`` per document, fp as a signed long."""
+    """One row ``(doc_id, row_key, fp)`` per document, fp as a signed long; row_key is a hash of id and text."""
     small_batches(docs.sparkSession)
-    ids = docs.select("doc_id", "text")
-    return ids.mapInArrow(_fingerprints, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, fp long")
+    ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    return ids.mapInArrow(_fingerprints, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, row_key long, fp long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -147,9 +148,9 @@ def links(fps: DataFrame, max_distance: int = 2, small_bucket: int = SMALL_BUCKE
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 2) -> DataFrame:
-    """One row ``(doc_id, fp, component_id)`` per document of ``docs(doc_id, text, ...)``.
+    """One row ``(doc_id, row_key, fp, root, component_id)`` per document of ``docs(doc_id, text, ...)``.
 
-    ``component_id`` is the smallest doc_id reachable over links of ``max_distance`` bits or less, itself
+    ``root`` is the component's smallest fingerprint, ``component_id`` the smallest doc_id reachable over links of ``max_distance`` bits or less, itself
     included. Documents without words have fingerprint 0 and link like any other. Repeated rows stay
     repeated; a null doc_id never names a component unless all its members are null; other columns
     are not read. An empty table gives an empty result.
@@ -159,8 +160,30 @@ def near_duplicates(docs: DataFrame, max_distance: int = 2) -> DataFrame:
     roots = connected_components(links(distinct.select("fp"), max_distance)).withColumnRenamed("node", "fp")
     rooted = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp")), "rooted")
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stored(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(rooted.select("fp", "root").join(names, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(named, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, max_distance: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that with the smallest doc_id, nulls last, ties by a hash.
+
+    Texts stay where they are, but for rows that are repeated whole, which meet to be made one.
+    """
+    rows = stored(near_duplicates(docs, max_distance), "near-duplicates")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
+    first = rows.groupBy("root").agg(F.min(order).alias("kept")).select("root", "kept.row_key").withColumnRenamed("row_key", "kept_key")
+    held = rows.join(stored(first, "near-duplicate-keepers"), "root")
+    lost = stored(held.where("row_key <> kept_key").select("row_key", F.col("doc_id").alias("lost_id")).distinct(), "near-duplicates-lost")
+    same = held.where("row_key = kept_key").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key")
+    repeated = stored(same, "repeated-rows")
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row_key"))
+    at = (keyed.row_key == lost.row_key) & keyed["doc.doc_id"].eqNullSafe(lost.lost_id)
+    kept = keyed.join(broadcast_if_small(lost, broadcast_rows), at, "left_anti")
+    if not repeated.limit(1).count():
+        return kept.select("doc.*")
+    small = broadcast_if_small(repeated, broadcast_rows)
+    once = kept.join(small, "row_key", "left_anti").select("doc.*")
+    return once.union(kept.join(small, "row_key", "left_semi").select("doc.*").dropDuplicates(["doc_id", "text"]))
 
 
 def as_hex(fp: Column) -> Column:
