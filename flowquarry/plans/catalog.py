@@ -1,10 +1,8 @@
-"""Registered queries over the flow view, with the SQL that gives the same rows."""
+"""All registered queries over the test tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from flowquarry.plans import analytics_queries, detection_queries, report_queries  # noqa: F401  they register themselves
+from flowquarry.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
