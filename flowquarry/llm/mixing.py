@@ -19,6 +19,8 @@ TARGETS = {"toxic": 0.25, "low": 1.0, "clean": 1.2}
 #: A token that every row brings once, to count rows that share a key.
 ROW = "\u0001"
 BROADCAST_ROWS = 1_000_000
+#: Step lengths that a round of the rate solver tries.
+LENGTHS = (1.0, 0.5, 0.2, 0.05)
 
 
 @dataclass(frozen=True)
@@ -31,9 +33,12 @@ class Classifier:
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words between white space; runs of two or more marks count as words of their own."""
+    """Lower-cased words between white space; runs of two or more marks count as words of their own.
+
+    A text that begins or ends in white space, and an empty one, also give empty words, which are in no word table.
+    """
     apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([^\p{L}\p{N}\s]{2,})", " $1 ")
-    return F.filter(F.split(apart, r"\s+"), lambda w: w != "")
+    return F.split(apart, r"\s+")
 
 
 def n_tokens(text: Column) -> Column:
@@ -59,7 +64,7 @@ def fit(
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) < min(1.0, sample_rows / max(total, 1)))
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     counted = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
-    counts = texts.select("domain", F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"), *counted)
+    counts = texts.select("domain", F.explode(words_of(F.col("text"))).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), *counted)
     top = stored(counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(max_words), "domain-words")
     sums = top.agg(F.count("*").alias("v"), F.sum("n").alias("n"), *[F.sum(d).alias(d) for d in DOMAINS]).first()
     size = (sums["v"] or 0) + 1
@@ -107,32 +112,60 @@ def solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] for i in range(n)]
 
 
-def rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
+def rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance: float = 1e-6, rounds: int = 20) -> DataFrame:
     """``members`` and a nonnegative ``rate`` for each, whose expected domain token totals meet the targets.
 
     Least squares over the residuals of the domains' totals, by projected gradients from rate 1: a step
     moves each rate by its posteriors times the residuals, weighed by the inverse of the domains' Gram
-    matrix, for which step length 1 is safe; then negative rates become 0. A round is one aggregation of a few numbers; the
-    rates themselves are an expression over the member's own row, so nothing is passed from row to row.
-    It ends at ``tolerance`` times the targets' sum, or after ``rounds`` (targets out of reach).
+    matrix, and then negative rates become 0. The matrix of the rows whose rate is not 0 takes few
+    rounds but may overshoot, that of all rows is always safe at length 1; so a round tries the
+    first at several ``LENGTHS`` and the second, and takes the best. It is one aggregation of a few numbers;
+    the rates themselves are an expression over the member's own row, so nothing is passed from row to
+    row. It ends at ``tolerance`` times the targets' sum, or where a round gains less than a thousandth
+    (targets out of reach), or after ``rounds``.
     """
     targets = TARGETS if targets is None else targets
     names = list(DOMAINS)
     p = {d: F.col(f"p_{d}") for d in names}
     weight = (F.col("copies") * F.col("n_tokens")).cast("double")
-    gram = [F.sum(weight * p[a] * p[b]).alias(f"g_{a}_{b}") for a in names for b in names]
-    first = members.agg(*gram, *[F.sum(weight * p[d]).alias(d) for d in names]).first()
-    g = [[first[f"g_{a}_{b}"] or 0.0 for b in names] for a in names]
-    goal = [targets[d] * (first[d] or 0.0) for d in names]
-    rate, now = F.lit(1.0), [first[d] or 0.0 for d in names]
+
+    def totals(trials: list[Column]) -> list[tuple[list[float], list[list[float]]]]:
+        """For each trial the expected tokens of the domains, and the Gram matrix of the rows whose rate is not 0."""
+        sums = []
+        for n, _ in enumerate(trials):
+            r = F.col(f"rate_{n}")
+            sums += [F.sum(weight * p[d] * r).alias(f"{n}_{d}") for d in names]
+            sums += [F.sum(F.when(r > 0, weight * p[a] * p[b])).alias(f"{n}_{a}_{b}") for a in names for b in names]
+        row = members.select("*", *[t.alias(f"rate_{n}") for n, t in enumerate(trials)]).agg(*sums).first()
+        return [([row[f"{n}_{d}"] or 0.0 for d in names], [[row[f"{n}_{a}_{b}"] or 0.0 for b in names] for a in names]) for n, _ in enumerate(trials)]
+
+    rate = F.lit(1.0)
+    [(now, whole)] = totals([rate])
+    goal = [targets[d] * t for d, t in zip(names, now, strict=True)]
+    miss, matrix = [x - t for x, t in zip(now, goal, strict=True)], whole
+
+    def misfit(miss: list[float]) -> float:
+        return sum(x * y for x, y in zip(miss, solve(whole, miss), strict=True))
+
     for _ in range(rounds):
-        miss = [x - t for x, t in zip(now, goal, strict=True)]
         if max(map(abs, miss)) <= tolerance * max(sum(goal), 1.0):
             break
-        step = solve(g, miss)
-        rate = F.greatest(F.lit(0.0), rate - reduce(add, [p[d] * s for d, s in zip(names, step, strict=True)]))
-        sums = members.agg(*[F.sum(weight * p[d] * rate).alias(d) for d in names]).first()
-        now = [sums[d] or 0.0 for d in names]
+        steps = [solve(whole, miss)]
+        if matrix is not whole:
+            steps += [[x * length for x in solve(matrix, miss)] for length in LENGTHS]
+        trials = [F.greatest(F.lit(0.0), rate - reduce(add, [p[d] * x for d, x in zip(names, step, strict=True)])) for step in steps]
+        found = []
+        for n, (now, active) in enumerate(totals(trials)):
+            left = [x - t for x, t in zip(now, goal, strict=True)]
+            found.append((misfit(left), n, left, active))
+        after, n, left, active = min(found)
+        gain = misfit(miss) - after
+        if gain <= 0:
+            break
+        slow = gain < 1e-3 * misfit(miss)
+        rate, miss, matrix = trials[n], left, active
+        if slow:
+            break
     return members.withColumn("rate", rate)
 
 
