@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,10 @@ def code_matrix(languages: int) -> np.ndarray:
     Up to seven languages get the exhaustive code: every way to part them in two. More get random dense
     words of ten bits per doubling, the draw of 50 whose nearest two words are farthest apart.
     """
+    if languages < 2:
+        return np.zeros((languages, 0))
     if languages <= 7:
-        sides = [[1 if l == 0 or (s >> (l - 1)) & 1 else -1 for l in range(languages)] for s in range(2 ** max(0, languages - 1) - 1)]
+        sides = [[1 if l == 0 or (s >> (l - 1)) & 1 else -1 for l in range(languages)] for s in range(2 ** (languages - 1) - 1)]
         return np.array(sides, dtype=np.float64).reshape(-1, languages).T
     rng = np.random.default_rng(0)
     bits = 10 * int(np.ceil(np.log2(languages)))
@@ -106,7 +109,7 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
         """The language whose codeword has the least weighted logistic loss, its share, and whether another is as near."""
-        losses = np.log1p(np.exp(-self.code * (margins / self.scale))) @ self.trust
+        losses = np.logaddexp(0.0, -self.code * (margins / self.scale)) @ self.trust
         order = np.argsort(losses, kind="stable")
         share = np.exp(losses[order[0]] - losses)
         near = len(order) > 1 and losses[order[1]] - losses[order[0]] < self.gap * self.trust.sum()
@@ -121,17 +124,18 @@ class Model:
         return self.decode(np.zeros(len(self.scale)) if margins is None else margins)
 
 
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
     for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             counts.setdefault(lang, Counter()).update(words_of(text))
     for lang, words in counts.items():
         grams: Counter = Counter()
         for word, n in words.items():
             for gram in grams_of(word):
                 grams[gram] += n
-        yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
+        columns = [pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
 
 def fit(labelled: DataFrame, per_language: int = 1500, max_grams: int = 1 << 15, gap: float = 0.05) -> Model:
@@ -156,7 +160,7 @@ def fit(labelled: DataFrame, per_language: int = 1500, max_grams: int = 1 << 15,
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / sizes[lang]))).otherwise(rate)
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20) < rate
     sample = rows.where(drawn)
-    counts = sample.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.groupBy("gram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(max_grams)
     kept = counts.join(F.broadcast(top), "gram").select("gram", "lang", "n").toPandas()
     grams = sorted(kept["gram"].unique())
@@ -171,13 +175,14 @@ def fit(labelled: DataFrame, per_language: int = 1500, max_grams: int = 1 << 15,
     model = Model(languages, code, place, weights, np.ones(code.shape[1]), np.ones(code.shape[1]), gap)
     shared = spark.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.margins(t) for t in batch["text"]]
-            yield pd.DataFrame({"lang": batch["lang"], "margins": [None if m is None else m.tolist() for m in found]})
+            found = [own.margins(t) for t in batch.column("text").to_pylist()]
+            margins = pa.array([None if m is None else m.tolist() for m in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), margins], ["lang", "margins"])
 
-    seen = sample.mapInPandas(measure, "lang string, margins array<double>").where("margins is not null").toPandas()
+    seen = sample.mapInArrow(measure, "lang string, margins array<double>").where("margins is not null").toPandas()
     if len(seen):
         m = np.array(seen["margins"].tolist())
         truth = code[seen["lang"].map(at).to_numpy(dtype=int)]

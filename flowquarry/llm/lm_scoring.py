@@ -73,7 +73,7 @@ class Models:
         cells = cells_of(ids)
         before = np.concatenate([[0], ids[:-1] + 1])
         p = (self.bigram[:, cells] + BACKOFF * self.unigram[:, ids]) / (self.before[:, before] + BACKOFF)
-        background, target = -np.log(np.minimum(p, 1.0)).mean(axis=1)
+        background, target = -np.log(np.minimum(p, 1.0)).mean(axis=1, dtype=np.float64)
         return len(ids), float(background), float(target)
 
 

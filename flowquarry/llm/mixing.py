@@ -7,6 +7,7 @@ from functools import reduce
 from math import log
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,20 +97,8 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """A small linear system, by elimination with pivoting; a direction without weight gets 0."""
-    n = len(b)
-    rows = [[*a[i], b[i]] for i in range(n)]
-    floor = 1e-12 * max([abs(x) for r in a for x in r], default=0.0)
-    for c in range(n):
-        p = max(range(c, n), key=lambda i: abs(rows[i][c]))
-        rows[c], rows[p] = rows[p], rows[c]
-        if abs(rows[c][c]) <= floor:
-            rows[c] = [float(j == c) for j in range(n)] + [0.0]
-        for i in range(n):
-            if i != c:
-                f = rows[i][c] / rows[c][c]
-                rows[i] = [x - f * y for x, y in zip(rows[i], rows[c], strict=True)]
-    return [rows[i][n] / rows[i][i] for i in range(n)]
+    """A small symmetric linear system; the shortest of the solutions nearest to it where ``a`` is singular."""
+    return (np.linalg.pinv(np.array(a), rcond=1e-9, hermitian=True) @ np.array(b)).tolist()
 
 
 def rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance: float = 1e-6, rounds: int = 20) -> DataFrame:

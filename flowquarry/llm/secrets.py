@@ -218,7 +218,13 @@ def _masked(text: Column, rule: Rule) -> Column:
             .otherwise(F.get(whole, i)),
         ),
     )
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.array_join(pieces, "")).otherwise(text)
+    return F.array_join(pieces, "")
+
+
+def _mask_if(text: Column, admitted: Column, rule: Rule) -> Column:
+    """The masked text. A lambda names the text, so that rule upon rule makes the expression longer but not wider."""
+    found = lambda t: admitted & F.regexp_like(t, F.lit(rule.pattern))
+    return F.get(F.transform(F.array(text), lambda t: F.when(found(t), _masked(t, rule)).otherwise(t)), F.lit(0))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -228,9 +234,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     out = _candidate_docs(docs, rules)
     for rule in rules:
-        masked = _masked(F.col("body"), rule)
-        indexed = trigram_query(rule.pattern) is not True
-        out = out.withColumn("body", F.when(F.array_contains("kinds", rule.kind), masked).otherwise(F.col("body")) if indexed else masked)
+        admitted = F.lit(True) if trigram_query(rule.pattern) is True else F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+        out = out.withColumn("body", _mask_if(F.col("body"), admitted, rule))
     text = F.when(F.col("doc.text").isNotNull(), F.col("body"))
     columns = {"text": text, "n_chars": F.when(F.col("doc.text") == F.col("body"), F.col("doc.n_chars")).otherwise(F.char_length(text).cast("long"))}
     return out.select(*[columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
