@@ -136,3 +136,40 @@ def http_request(data: Column) -> Column:
         F.substring(F.coalesce(F.get(parts, 1), F.lit("")), 1, 2048).alias("body"),
     )
     return F.when((F.size(first) >= 3) & F.get(first, 0).isin(*HTTP_METHODS) & F.get(first, 2).startswith("HTTP/"), made)
+
+
+def dhcp(data: Column) -> Column:
+    """A BOOTP message with options: a struct ``(mac, ip, message_type, hostname)``; null for anything else.
+
+    Options are walked once, from one option's end to the next; a list cut short gives what came before.
+    """
+    end = F.length(data)
+
+    def step(acc: Column, i: Column) -> Column:
+        code, size = number(data, i, 1), number(data, i + 1, 1)
+        here = (acc["next"] == i) & ~acc["over"]
+        option = here & ~code.isin(0, 255) & size.isNotNull()
+        body = F.substring(data, i + 3, size.cast("int"))
+        return F.struct(
+            F.when(option, i + 2 + size.cast("int")).when(here, i + 1).otherwise(acc["next"]).alias("next"),
+            (acc["over"] | (here & ((code == 255) | ((code != 0) & size.isNull())))).alias("over"),
+            F.when(option & (code == 53) & (F.length(body) > 0), number(body, 0, 1).cast("int")).otherwise(acc["message_type"]).alias("message_type"),
+            F.when(option & (code == 12), F.make_valid_utf8(body.cast("string"))).otherwise(acc["hostname"]).alias("hostname"),
+        )
+
+    start = F.struct(F.lit(240).alias("next"), F.lit(False).alias("over"), F.lit(None).cast("int").alias("message_type"), F.lit(None).cast("string").alias("hostname"))
+    options = F.aggregate(F.when(end > 240, F.sequence(F.lit(240), end - 1)).otherwise(F.array().cast("array<int>")), start, step)
+    address = F.lower(F.hex(F.substring(data, F.lit(29), F.least(number(data, 2, 1), F.lit(6)).cast("int"))))
+    mac = F.regexp_replace(address, "(..)(?!$)", "$1:")
+    valid = (end >= 240) & number(data, 0, 1).isin(1, 2) & (F.hex(F.substring(data, 237, 4)) == "63825363")
+    return F.when(valid, F.struct(mac.alias("mac"), ip_text(data, 16).alias("ip"), options["message_type"].alias("message_type"), options["hostname"].alias("hostname")))
+
+
+def big_endian(value: Column, size: int) -> Column:
+    """Hexadecimal digits of a number in ``size`` bytes."""
+    return F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+
+
+def little_endian(value: Column, size: int) -> Column:
+    digits = big_endian(value, size)
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])

@@ -130,3 +130,14 @@ def bytes_ratio(sent: Column, received: Column) -> Column:
     """Sent to received, to 3 places; what was sent if nothing came back, 1 if nothing moved."""
     one_way = F.when(sent > 0, sent.cast("double")).otherwise(1.0)
     return F.when(received <= 0, one_way).otherwise(F.round(sent / F.greatest(received, F.lit(1)), 3))
+
+
+def federation(clusters: DataFrame) -> DataFrame:
+    """Totals of ``clusters(cluster_id, status, mbps, alerts)``: clusters, those online, their traffic, and all alerts."""
+    online = F.col("status") == "ONLINE"
+    return clusters.agg(
+        F.count("*").alias("clusters"),
+        F.count_if(online).alias("online"),
+        F.round(F.coalesce(F.sum(F.when(online, F.col("mbps"))), F.lit(0.0)), 2).alias("mbps"),
+        F.coalesce(F.sum("alerts"), F.lit(0)).alias("alerts"),
+    )

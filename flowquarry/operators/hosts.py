@@ -87,3 +87,19 @@ def identities(rows: DataFrame, leases: DataFrame) -> DataFrame:
 def entity_key(mac: Column, hostname: Column, ip: Column) -> Column:
     """What names an entity: its MAC, else its host name, else its address."""
     return F.coalesce(F.concat(F.lit("mac:"), normal_mac(mac)), F.concat(F.lit("host:"), F.lower(hostname)), F.concat(F.lit("ip:"), ip))
+
+
+def entities(sightings: DataFrame) -> DataFrame:
+    """One row per entity of ``sightings(mac, hostname, ip, t_us)``: its key, what it was last known by, and when it was seen.
+
+    A sighting belongs to its MAC, else to its host name, else to its address. A host name or address that
+    was once seen with a MAC stands for the entity of the MAC it was last seen with.
+    """
+    rows = sightings.select(normal_mac(F.col("mac")).alias("mac"), F.lower("hostname").alias("hostname"), "ip", "t_us")
+    known = rows.where("mac is not null")
+    last = lambda c, what: known.where(F.col(c).isNotNull()).groupBy(c).agg(F.max_by("mac", F.struct("t_us", "mac")).alias(what))
+    joined = rows.join(last("hostname", "host_mac"), "hostname", "left").join(last("ip", "ip_mac"), "ip", "left")
+    mac = F.coalesce("mac", "host_mac", F.when(F.col("hostname").isNull(), F.col("ip_mac")))
+    keyed = joined.withColumn("entity", entity_key(mac, F.col("hostname"), F.col("ip")))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("t_us", c))).alias(c)
+    return keyed.groupBy("entity").agg(latest("ip"), latest("hostname"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.count("*").alias("sightings"))

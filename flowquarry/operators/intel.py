@@ -74,3 +74,11 @@ def bloom_contains(counters: DataFrame, keys: DataFrame, capacity: int, error: f
     h2 = F.conv(F.substring(F.sha1(F.col("key").cast("binary")), 1, 8), 16, 10).cast("long")
     at = keys.select("key", F.explode(F.array_distinct(F.array(*[(h1 + i * h2) % cells for i in range(hashes)]))).alias("cell"))
     return at.join(counters, "cell", "left").groupBy("key").agg(F.bool_and(F.col("count").isNotNull()).alias("contained"))
+
+
+def edited(iocs: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """An indicator table with rows of ``added`` in place of those with the same address, less the addresses of ``removed(ip)``."""
+    out = iocs
+    if added is not None:
+        out = out.join(added.select("ip"), "ip", "left_anti").select(*iocs.columns).unionByName(added)
+    return out if removed is None else out.join(removed.select("ip"), "ip", "left_anti").select(*iocs.columns)

@@ -78,3 +78,16 @@ def flowspec(alerts: DataFrame) -> DataFrame:
 def signature(body: bytes, secret: bytes) -> str:
     """The signature header of a webhook call."""
     return "sha256=" + hmac.new(secret, body, hashlib.sha256).hexdigest()
+
+
+def policies(alerts: DataFrame, namespace: str = "production") -> DataFrame:
+    """``(alert_id, target_ip, quarantine, isolation)``: cluster policies that cut off the target, as manifests."""
+    quarantine = (
+        "apiVersion: cilium.io/v2\nkind: CiliumNetworkPolicy\nmetadata:\n  name: quarantine-%1$s\n  namespace: %3$s\nspec:\n"
+        "  endpointSelector:\n    matchLabels:\n      io.kubernetes.pod.ip: \"%2$s\"\n  ingress:\n  - fromEndpoints:\n    - matchLabels:\n        app: forensics-agent\n"
+        "  egress:\n  - toEntities:\n    - none\n"
+    )
+    isolation = "apiVersion: networking.k8s.io/v1\nkind: NetworkPolicy\nmetadata:\n  name: isolate-%1$s\n  namespace: %3$s\nspec:\n  podSelector:\n    matchLabels:\n      pod-ip: \"%2$s\"\n  policyTypes:\n  - Ingress\n  - Egress\n"
+    named = alerts.select("alert_id", target().alias("target_ip"), F.lower(F.substring("alert_id", 1, 8)).alias("short"), F.lit(namespace).alias("namespace"))
+    texts = [F.format_string(text, "short", "target_ip", "namespace").alias(name) for name, text in (("quarantine", quarantine), ("isolation", isolation))]
+    return named.select("alert_id", "target_ip", *texts)
