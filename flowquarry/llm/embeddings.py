@@ -64,6 +64,7 @@ def _to_block(group: pd.DataFrame) -> pd.DataFrame:
         {
             "label": [first["label"]],
             "d": [first["d"]],
+            "cell": [first["cell"]],
             "ids": [group["class_id"].tolist()],
             "counts": [group["n"].tolist()],
             "unit": [np.ascontiguousarray(vectors, "<f8").tobytes()],
@@ -73,6 +74,31 @@ def _to_block(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def angle(a: Column, b: Column) -> Column:
+    """The angle between two unit vectors."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+
+
+def near_cells(caps: DataFrame, centers: np.ndarray | None, widest: float) -> DataFrame:
+    """Rows ``(label, d, cell_a, cell_b)``, cell_a <= cell_b, of cells that may hold vectors within the angle ``widest``.
+
+    ``caps(label, d, cell, center, radius)`` are the blocks'. A cell reaches from its centroid as far as its
+    farthest block does; a cell without a centroid may be near any. A label has ``MAX_CELLS`` cells at most
+    for each length of vectors.
+    """
+    found = [] if centers is None else [(i, c.tolist()) for i, c in enumerate(centers)]
+    homes = caps.sparkSession.createDataFrame(found, "cell int, home array<double>")
+    reach = F.when(F.col("home").isNotNull(), angle(F.col("home"), F.col("center")) + F.col("radius")).otherwise(float(np.pi))
+    cells = stored(
+        caps.join(F.broadcast(homes), "cell", "left").groupBy("label", "d", "cell").agg(F.max(reach).alias("reach"), F.any_value("home").alias("home")), "cell-caps"
+    )
+    one, two = (cells.select("label", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "reach", "home")]) for s in "ab")
+    apart = angle(F.col("home_a"), F.col("home_b")) - F.col("reach_a") - F.col("reach_b")
+    pairs = one.join(two, ["label", "d"]).where((F.col("cell_a") <= F.col("cell_b")) & (F.coalesce(apart, F.lit(0.0)) <= widest))
+    return pairs.select("label", "d", "cell_a", "cell_b")
+
+
 def _compare(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,8 +132,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     double precision is at least ``threshold``. Equal vectors are made one class first, so a vector
     repeated any number of times costs one. Classes get their home cell from centroids fitted on a bounded
     sample of about ``sample_rows``; each label's cell is cut into blocks of about ``block_rows``. Two
-    blocks are compared unless the triangle inequality of angles, over their centers and radii, rules
-    out every link, so no link is lost: products run within cells and between cells that lie near enough.
+    blocks are compared unless the triangle inequality of angles, over the centers and radii of their cells
+    and then their own, rules out every link, so no link is lost: products run within cells and between
+    cells that lie near enough.
     A product yields counts and a few links that keep components whole, never pairs. What is kept of each
     group is the vector with the smallest id.
 
@@ -142,15 +169,17 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     sizes = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
     dealt = placed.join(broadcast_if_small(sizes, 100_000), ["label", "d", "cell"]).withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")))
     kind = rows.schema["label"].dataType.simpleString()
-    shape = f"label {kind}, d int, ids array<long>, counts array<long>, unit binary, center array<double>, radius double"
+    shape = f"label {kind}, d int, cell int, ids array<long>, counts array<long>, unit binary, center array<double>, radius double"
     blocks = stored(
         dealt.groupBy("label", "d", "cell", "part").applyInPandas(_to_block, shape).withColumn("block", F.monotonically_increasing_id()), "vector-blocks"
     )
-    caps = blocks.select("label", "d", "block", "center", "radius")
-    one, two = (caps.select("label", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "center", "radius")]) for s in "ab")
-    dot = F.aggregate(F.zip_with("center_a", "center_b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("radius_a") - F.col("radius_b")
-    near = one.join(two, ["label", "d"]).where(F.col("block_a") <= F.col("block_b")).where(apart <= float(np.arccos(threshold)) + SLACK)
+    widest = float(np.arccos(threshold)) + SLACK
+    caps = blocks.select("label", "d", "cell", "block", "center", "radius")
+    one, two = (caps.select("label", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "block", "center", "radius")]) for s in "ab")
+    together = one.join(stored(near_cells(caps, centers, widest), "near-cells"), ["label", "d", "cell_a"]).join(two, ["label", "d", "cell_b"])
+    once = (F.col("cell_a") < F.col("cell_b")) | (F.col("block_a") <= F.col("block_b"))
+    apart = angle(F.col("center_a"), F.col("center_b")) - F.col("radius_a") - F.col("radius_b")
+    near = together.where(once & (apart <= widest))
     pairs = stored(near.select("block_a", "block_b"), "block-pairs")
     body = [blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "counts", "unit")]) for s in "ab"]
     product = pairs.join(body[0], "block_a").join(body[1], "block_b")

@@ -178,7 +178,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     likely = reduce(lambda c, d: c | (F.col(f"p_{d}") == top), stay, F.lit(False))
     u = F.pmod(F.xxhash64("row_key", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    counts = stored(found.select("row_key", F.greatest(times, F.when(likely, 1).otherwise(0)).cast("int").alias("times")).where("times > 0"), "mix-counts")
+    counts = stored(found.select("row_key", F.col("doc_id").alias("mixed_id"), F.greatest(times, F.when(likely, 1).otherwise(0)).cast("int").alias("times")).where("times > 0"), "mix-counts")
     keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row_key"))
-    many = keyed.join(broadcast_if_small(counts, BROADCAST_ROWS), "row_key")
+    at = (keyed.row_key == counts.row_key) & keyed["doc.doc_id"].eqNullSafe(counts.mixed_id)
+    many = keyed.join(broadcast_if_small(counts, BROADCAST_ROWS), at)
     return many.select("doc", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("doc.*")
