@@ -182,20 +182,24 @@ def j7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intel.match_fingerprints(flow_view(spark, sf_dir), dims.fingerprints(spark), dims.BENIGN_JA4).select("flow_id", "family", "common_client")
 
 
-@query()
+@query("select distinct key, key in (select src_ip from flows) as contained from (select src_ip as key from flows union all select dst_ip from flows) k")
 def j4_bloom_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = flow_view(spark, sf_dir).select(F.col("src_ip").alias("key")).distinct()
+    flows = flow_view(spark, sf_dir)
+    names = flows.select(F.col("src_ip").alias("key")).distinct()
     counters = intel.bloom_counters(names.withColumn("n", F.lit(1)), 10_000, 0.001)
-    return intel.bloom_contains(counters, names, 10_000, 0.001)
+    return intel.bloom_contains(counters, names.union(flows.select("dst_ip")).distinct(), 10_000, 0.001)
 
 
-@query(
+_ROLES = (
     ", e as (select dst_ip as ip, src_ip as client, dst_port as port, null as managed from flows union all select src_ip, null, null, case when dst_port in (445, 135, 5985, 22) and dst_ip like '10.%' then dst_ip end from flows), "
     "c as (select ip, count(distinct case when port = 53 then client end) as c53, count(distinct case when port = 445 then client end) as c445, count(distinct case when port = 88 then client end) as c88, count(distinct case when port = 389 then client end) as c389, "
     "count(distinct case when port = 80 then client end) + count(distinct case when port = 443 then client end) as web, count(distinct case when port = 3306 then client end) + count(distinct case when port = 5432 then client end) as db, count(distinct managed) as m "
-    "from e where ip like '10.%' group by ip) select ip, case when c88 >= 3 or c389 >= 3 or (c445 >= 5 and (c88 > 0 or c389 > 0)) then 'INFRASTRUCTURE_DC' when c53 >= 4 then 'INFRASTRUCTURE_DNS' "
-    "when m >= 5 and c445 < 2 then 'ADMIN_MANAGEMENT' when web >= 4 or db >= 3 then 'INTERNAL_SERVER' else 'WORKSTATION' end as role from c"
+    "from e where ip like '10.%' group by ip), roles as (select ip, case when c88 >= 3 or c389 >= 3 or (c445 >= 5 and (c88 > 0 or c389 > 0)) then 'INFRASTRUCTURE_DC' when c53 >= 4 then 'INFRASTRUCTURE_DNS' "
+    "when m >= 5 and c445 < 2 then 'ADMIN_MANAGEMENT' when web >= 4 or db >= 3 then 'INTERNAL_SERVER' else 'WORKSTATION' end as role from c)"
 )
+
+
+@query(_ROLES + " select * from roles")
 def e6_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.roles(flow_view(spark, sf_dir))
 
@@ -278,7 +282,17 @@ def g3_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(both, spark.createDataFrame([("10.0.1.1",), ("10.1.0.7",)], "start_ip string"))
 
 
-@query()
+_WEIGHTS = "case role " + " ".join(f"when '{k}' then {v}" for k, v in graph.ROLE_RISK.items()) + " else 5.0 end"
+
+
+@query(
+    ALERTS_SQL + _HIT + _ROLES + ", st as (select distinct src_ip, dst_ip from flows), s0 as (select distinct src_ip as start_ip from flows), h1 as (select start_ip, dst_ip as ip from s0 join st on src_ip = start_ip), "
+    "h2 as (select distinct start_ip, dst_ip as ip from h1 join st on src_ip = h1.ip), h3 as (select distinct start_ip, dst_ip as ip from h2 join st on src_ip = h2.ip), "
+    "al as (select *, 1 as hops from h1 union all select *, 2 from h2 union all select *, 3 from h3), m as (select start_ip, ip, min(hops) as hops from al where ip <> start_ip group by 1, 2), "
+    f"w as (select start_ip, count(*) as reachable, count_if(role in ('INFRASTRUCTURE_DC', 'INTERNAL_SERVER', 'ADMIN_MANAGEMENT')) as critical, sum({_WEIGHTS} / pow(hops, 0.75)) as weight from m left join roles using (ip) group by 1), "
+    "x as (select s0.start_ip, reachable, critical, least(100.0, greatest(round(coalesce(weight, 0) / 120.0 * 100.0, 1), coalesce(risk * 0.5, 0))) as score from s0 left join w using (start_ip) left join hit on hit.ip = s0.start_ip) "
+    "select start_ip, coalesce(reachable, 0) as reachable, cast(coalesce(critical, 0) as bigint) as critical, cast(score as double) as score, case when score >= 70 then 'CRITICAL' when score >= 45 then 'HIGH' when score >= 20 then 'MEDIUM' else 'LOW' end as level from x"
+)
 def g3_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows, alerts = flow_view(spark, sf_dir), alert_view(spark, sf_dir)
     steps = graph.edges(flows)

@@ -142,7 +142,14 @@ def r3_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response.deliveries(_alerts(spark, sf_dir), spark.createDataFrame([("soc", "HIGH"), ("all", "LOW")], "subscriber string, least string"))
 
 
-@query()
+_AT = "category in ('MALICIOUS_C2', 'EXFILTRATION', 'C2_BEACONING', 'SYN_FLOOD')"
+
+
+@query(
+    ALERTS_SQL + f", m as (select alert_id, case when category = 'SYN_FLOOD' then 'RATE_LIMIT' else 'DROP' end as action, concat_ws('; ', case when not ({_AT}) then 'source ' || src_ip || '/32' end, case when {_AT} then 'destination ' || dst_ip || '/32' end, "
+    "case protocol when 6 then 'protocol tcp' when 17 then 'protocol udp' end, case when category in ('SYN_FLOOD', 'DNS_TUNNEL') then 'port =' || cast(dst_port as varchar) end) as match from alerts) "
+    "select alert_id, action, match, concat('route alert-', alert_id, ' { match { ', match, '; } then { ', case action when 'DROP' then 'discard' else 'rate-limit 1000000' end, '; } }') as junos from m"
+)
 def r4_flowspec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response.flowspec(_alerts(spark, sf_dir))
 
@@ -201,7 +208,16 @@ def m3_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.deviations(rows, ml.baseline_stats(rows)).select("flow_id")
 
 
-@query()
+_Z = ", ".join(
+    f"{{{{'z': abs(({c} - avg({c}) over ()) / greatest(case when stddev_pop({c}) over () = 0 then 1 else stddev_pop({c}) over () end, 0.001)), 'name': '{c}'}}}}".replace("{{", "{").replace("}}", "}") for c in ml.FEATURES
+)
+
+
+@query(
+    f", x as (select *, bytes / greatest(packets, 1) as bytes_per_packet from flows), p as (select flow_id, [{_Z}] as parts from x), "
+    "t as (select flow_id, list_max(parts) as top, list_sum(list_transform(parts, lambda q: q.z)) as total from p) "
+    "select flow_id, top.name as primary, case when total > 0 then round(top.z / total * 100, 1) else 0 end as share from t"
+)
 def m4_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ml.features(flow_view(spark, sf_dir))
     return ml.explain(rows, ml.baseline_stats(rows))
@@ -215,6 +231,11 @@ def m2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("anomalous", F.col("score") > forest.cut)
 
 
-@query()
+@query(
+    ", g as (select src_ip as key, list({'n': 1::bigint, 'mean': bytes::double, 'var': 1::double} order by t_us, flow_id) as xs from flows group by 1), "
+    "f as (select key, list_reduce(xs, lambda a, x: {'n': a.n + 1, 'mean': a.mean + 0.01 * (x.mean - a.mean), 'var': 0.99 * (a.var + 0.01 * (x.mean - a.mean) * (x.mean - a.mean))}) as s from g) "
+    "select key, s.n as n, round(s.mean, 3) as mean, round(greatest(0.001, sqrt(s.var)), 3) as std from f"
+)
 def a20_online_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.online_means(flow_view(spark, sf_dir), "src_ip", "bytes")
+    out = ml.online_means(flow_view(spark, sf_dir), "src_ip", "bytes")
+    return out.select("key", "n", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
