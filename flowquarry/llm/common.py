@@ -15,15 +15,15 @@ BATCH_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local folder is made and set.
+    It is the session's ``spark.checkpoint.dir``, or the checkpoint folder its context was given. Only
+    where both are unset, as in tests on one machine, a local folder is made and given to the context.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="flowquarry-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="flowquarry-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -94,3 +94,10 @@ def test_header_reads_take_the_header_only(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert media.with_media(R.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("start", ["file://", "file:", ""])
+def test_folders_with_and_without_a_scheme(spark, tmp_path, start):
+    rows = media.write_shards(R.frame(spark, [(1, "x" * 5000)]), f"{start}{tmp_path}/media").collect()
+    assert rows[0].shard.startswith(f"{start}{tmp_path}/media/shard-")
+    assert media.decode(media._Reader().read(rows[0].shard, rows[0].offset, rows[0].length)) == brute_payload("x" * 5000)[1]
