@@ -106,6 +106,22 @@ def _count_bigrams(place: dict[str, int]):
     return run
 
 
+def most_frequent(counts: DataFrame, words: int) -> list[str]:
+    """The most frequent of ``counts(word, n)``, ties by the word.
+
+    A histogram over eighths of the powers of two gives the least count that can be among them, so few
+    more rows than are wanted are sorted and sent, however many tasks hold the counts.
+    """
+    step = F.floor(F.log2("n") * 8)
+    least, seen = None, 0
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        if seen >= words:
+            break
+        least, seen = row["step"], seen + row["words"]
+    near = counts.where(step >= least) if seen else counts
+    return [r["word"] for r in near.orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
+
+
 def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> Models:
     """Both models from ``docs(text, target)``: the background from every row, the target from those marked so.
 
@@ -114,9 +130,8 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> Models:
     fixed size, come to the driver.
     """
     small_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()]
-    place = {w: i for i, w in enumerate(top)}
+    counts = stored(docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    place = {w: i for i, w in enumerate(most_frequent(counts, vocabulary))}
     partial = docs.select("text", "target").mapInArrow(_count_bigrams(place), "kind int, at long, background long, target long")
     sums = partial.groupBy("kind", "at").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
     tables = [np.zeros((2, size)) for size in (CELLS, len(place) + 1, len(place) + 2)]

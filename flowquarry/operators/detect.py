@@ -27,9 +27,32 @@ def lookback(keys: list[str], seconds: float) -> Window:
     return Window.partitionBy(*keys).orderBy("t_us").rangeBetween(-int(seconds * 1_000_000), 0)
 
 
-def distinct_over(column: str, window: Window) -> Column:
-    """Distinct values in a window; Spark has no ``count(distinct)`` there."""
-    return F.size(F.collect_set(column).over(window))
+def swept(rows: DataFrame, keys: list[str], seconds: float, sums: dict[str, Column] | None = None, distinct: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` with sums of whole numbers, and counts of distinct values that are not null, over the closed look-back window.
+
+    A value counts from its row until the window has moved past it, a distinct one at most until it occurs
+    again. So a row is a start and some ends, and running sums over both give all figures: the work of a
+    key grows with its rows, not with rows times window as that of a sliding frame does.
+    """
+    sums, distinct = sums or {}, distinct or {}
+    past = F.col("t_us") + (int(seconds * 1_000_000) + 1)
+    again = {name: F.lead("t_us").over(Window.partitionBy(*keys, c).orderBy("t_us")) for name, c in distinct.items()}
+    plus = {name: F.coalesce(v.cast("long"), F.lit(0)) for name, v in sums.items()} | {name: F.col(c).isNotNull().cast("long") for name, c in distinct.items()}
+    until = {name: F.least(past, F.coalesce(again[name], past)) for name in distinct}
+    held = rows.select(
+        *keys, "t_us", F.struct(*rows.columns).alias("row"), *[v.alias(f"plus_{name}") for name, v in plus.items()], *[v.alias(f"until_{name}") for name, v in until.items()]
+    )
+    nothing = F.lit(None).cast(held.schema["row"].dataType)
+
+    def event(at: Column, row: Column, sign: int, names: list[str]) -> Column:
+        return F.struct(at.alias("at"), row.alias("row"), *[(F.col(f"plus_{n}") * sign if n in names else F.lit(0).cast("long")).alias(n) for n in plus])
+
+    events = [event(F.col("t_us"), F.col("row"), 1, list(plus))]
+    events += [event(past, nothing, -1, list(sums))] if sums else []
+    events += [event(F.col(f"until_{name}"), nothing, -1, [name]) for name in distinct]
+    w = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    moves = held.select(*keys, F.explode(F.array(*events)).alias("e")).select(*keys, "e.at", "e.row", *[F.col(f"e.{n}") for n in plus])
+    return moves.select("row", *[F.sum(n).over(w).alias(n) for n in plus]).where("row is not null").select("row.*", *plus)
 
 
 def has_bits(flags: Column, mask: int) -> Column:
@@ -75,8 +98,7 @@ def with_cooldown(fired: DataFrame) -> DataFrame:
 def port_scan(flows: DataFrame, ports: int = 15, seconds: float = 10) -> DataFrame:
     syn, xmas = has_bits(F.col("tcp_flags"), 2), has_bits(F.col("tcp_flags"), 0x29)
     probes = flows.where((F.col("protocol") == 6) & (F.col("packets") <= 4) & (syn | F.col("tcp_flags").isin(0, 1) | xmas))
-    w = lookback(["src_ip"], seconds)
-    seen = probes.withColumns({"n_ports": distinct_over("dst_port", w), "n_targets": distinct_over("dst_ip", w)}).where(F.col("n_ports") >= ports)
+    seen = swept(probes, ["src_ip"], seconds, distinct={"n_ports": "dst_port", "n_targets": "dst_ip"}).where(F.col("n_ports") >= ports)
     bonus = F.least(F.lit(0.09), F.col("n_ports") / 50.0 * 0.09) + F.least(F.lit(0.04), (F.col("n_targets") - 1) * 0.01) + F.when(syn, 0.0).otherwise(0.02)
     return fires(seen, "port_scan", "PORT_SCAN", F.when(F.col("n_ports") >= 30, "HIGH").otherwise("MEDIUM"), F.least(F.lit(0.99), 0.85 + bonus), 30, ["src_ip"], F.col("n_ports"))
 
@@ -84,8 +106,7 @@ def port_scan(flows: DataFrame, ports: int = 15, seconds: float = 10) -> DataFra
 def syn_flood(flows: DataFrame, count: int = 30, seconds: float = 5) -> DataFrame:
     bare = (F.col("protocol") == 6) & has_bits(F.col("tcp_flags"), 2) & ~has_bits(F.col("tcp_flags"), 16) & (F.col("packets") <= 4)
     keys = ["dst_ip", "dst_port"]
-    w = lookback(keys, seconds)
-    seen = flows.where(bare).withColumns({"n": F.count("*").over(w), "sources": distinct_over("src_ip", w)}).where(F.col("n") >= count)
+    seen = swept(flows.where(bare), keys, seconds, {"n": F.lit(1)}, {"sources": "src_ip"}).where(F.col("n") >= count)
     bonus = F.least(F.lit(0.06), (F.col("n") - count) * 0.002) + F.least(F.lit(0.05), F.col("sources") / F.col("n") * 0.05)
     return fires(seen, "syn_flood", "SYN_FLOOD", F.when(F.col("n") >= 60, "CRITICAL").otherwise("HIGH"), F.least(F.lit(0.99), 0.88 + bonus), 20, keys, F.col("n"))
 
@@ -99,7 +120,7 @@ def bandwidth_exfil(flows: DataFrame, trusted: tuple[str, ...] = (), single: int
     outward = is_internal(F.col("src_ip")) & ~is_internal(F.col("dst_ip"))
     out = known.where(outward if not trusted else outward & ~F.col("dst_ip").isin(*trusted))
     keys = ["src_ip", "dst_ip"]
-    summed = out.withColumn("volume", F.sum("bytes").over(lookback(keys, seconds)))
+    summed = swept(out, keys, seconds, {"volume": F.col("bytes")})
     odd = (F.col("n_before") >= 10) & (F.col("z") >= 3.5) & (F.col("bytes") >= 1_000_000)
     download = (F.col("received") > 0) & (F.col("ratio") < 0.2)
     seen = summed.where(((F.col("bytes") >= single) | (F.col("volume") >= total) | odd) & ~download)
@@ -117,9 +138,8 @@ def dns_volume(flows: DataFrame, size: int = 320, packets: int = 25, seconds: fl
     mean = F.col("bytes") / F.greatest("packets", F.lit(1))
     normal = F.col("dst_ip").isin(*RESOLVERS) & (F.col("packets") > 0) & (mean < size)
     keys = ["src_ip", "dst_ip"]
-    w = lookback(keys, seconds)
     dns = flows.where((F.col("protocol") == 17) & (F.col("dst_port") == 53) & ~normal)
-    seen = dns.withColumns({"mean": mean, "sum_packets": F.sum("packets").over(w), "sum_bytes": F.sum("bytes").over(w)})
+    seen = swept(dns, keys, seconds, {"sum_packets": F.col("packets"), "sum_bytes": F.col("bytes")}).withColumn("mean", mean)
     seen = seen.where((F.col("mean") >= size) | ((F.col("sum_packets") >= packets) & (F.col("sum_bytes") / F.greatest("sum_packets", F.lit(1)) > 250)))
     bonus = F.greatest(F.lit(0.0), F.least(F.lit(0.08), (F.col("mean") - size) / 1000.0)) + F.greatest(F.lit(0.0), F.least(F.lit(0.05), (F.col("sum_packets") - packets) * 0.002))
     return fires(seen, "dns_volume", "DNS_TUNNEL", F.lit("HIGH"), F.least(F.lit(0.98), 0.85 + bonus), 30, keys, F.col("sum_bytes"))
@@ -148,10 +168,9 @@ def lateral_movement(flows: DataFrame, roles: DataFrame | None = None, allowed:
     if roles is not None:
         managers = roles.where(F.col("role").isin("ADMIN_MANAGEMENT", "INFRASTRUCTURE_DC")).select(F.col("ip").alias("src_ip"))
         out = out.join(managers, "src_ip", "left_anti")
-    w = lookback(["src_ip"], seconds)
-    ports = F.collect_set("dst_port").over(w)
-    seen = out.withColumns({"n": distinct_over("dst_ip", w), "ports": ports}).where(F.col("n") >= targets)
-    smb, rdp = F.array_contains("ports", 445), F.array_contains("ports", 3389)
+    on = lambda port: (F.col("dst_port") == port).cast("int")
+    seen = swept(out, ["src_ip"], seconds, {"on_smb": on(445), "on_rdp": on(3389)}, {"n": "dst_ip"}).where(F.col("n") >= targets)
+    smb, rdp = F.col("on_smb") > 0, F.col("on_rdp") > 0
     severity = F.when((F.col("n") >= 6) | (smb & rdp), "CRITICAL").when((F.col("n") >= 4) | smb, "HIGH").otherwise("MEDIUM")
     bonus = F.least(F.lit(0.08), (F.col("n") - targets) * 0.02) + F.when(smb, 0.03).otherwise(0.0)
     return fires(seen, "lateral_movement", "LATERAL_MOVEMENT", severity, F.least(F.lit(0.99), 0.88 + bonus), 45, ["src_ip"], F.col("n"))

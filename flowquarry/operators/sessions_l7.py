@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.domains import cleaned, dga_score, entropy_verdict
-from flowquarry.operators.detect import distinct_over, fires, lookback
+from flowquarry.operators.detect import fires, swept
 
 #: Endpoints, addresses, client names, ports and patterns that the web rules know.
 AUTH_PATHS = ("/login", "/auth", "/signin", "/oauth", "/tokens", "/api/v1/auth", "/api/v1/login", "/api/v1/users/login", "/api/auth/callback", "/admin/login", "/user/login", "/session")
@@ -55,13 +55,9 @@ def web_threats(requests: DataFrame) -> DataFrame:
     tenant = F.coalesce(F.col("tenant"), F.when(in_path != "", in_path))
     signing_in = F.col("method").isin("POST", "PUT") & reduce(lambda a, b: a | b, [(path == p) | path.startswith(p + "/") for p in AUTH_PATHS])
     rows = requests.withColumns({"seen_tenant": tenant, "sign_in": signing_in.cast("int")})
-    rows = rows.withColumns(
-        {
-            "sign_ins": F.sum("sign_in").over(lookback(["src_ip"], 10)),
-            "requests": F.count("*").over(lookback(["src_ip"], 5)),
-            "tenants": distinct_over("seen_tenant", lookback(["src_ip"], 30)),
-        }
-    )
+    rows = swept(rows, ["src_ip"], 10, {"sign_ins": F.col("sign_in")})
+    rows = swept(rows, ["src_ip"], 5, {"requests": F.lit(1)})
+    rows = swept(rows, ["src_ip"], 30, distinct={"tenants": "seen_tenant"})
     metadata = F.col("dst_ip").isin(*METADATA_IPS) | reduce(lambda a, b: a | b, [F.contains(F.coalesce("host", F.lit("")), F.lit(ip)) for ip in METADATA_IPS])
     bot = first_of(agent, tuple(BOTS))
     bot_severity = reduce(lambda c, kv: c.when(bot == kv[0], kv[1]), list(BOTS.items())[1:], F.when(bot == "sqlmap", "CRITICAL"))
@@ -96,9 +92,8 @@ def kerberos_attacks(messages: DataFrame, seconds: float = 60) -> DataFrame:
     bare = messages.where((F.col("message") == "AS-REQ") & ~F.col("preauth"))
     roasting = fires(bare, "asrep_roasting", "IDENTITY_ATTACK", F.lit("HIGH"), F.lit(0.88), 0, ["src_ip", "dst_ip"], F.lit(1))
     service = F.when(F.size("services") > 0, F.array_join("services", "/")).otherwise("ServiceAccount")
-    w = lookback(["src_ip"], seconds)
     weak = messages.where((F.col("message") == "TGS-REQ") & F.col("rc4")).withColumn("service", service)
-    weak = weak.withColumns({"n": F.count("*").over(w), "n_services": distinct_over("service", w)})
+    weak = swept(weak, ["src_ip"], seconds, {"n": F.lit(1)}, {"n_services": "service"})
     weak = weak.where((F.col("n_services") >= 2) | F.contains("service", F.lit("MSSQLSvc")) | (F.col("n") >= 3))
     return roasting.unionByName(fires(weak, "kerberoasting", "IDENTITY_ATTACK", F.lit("CRITICAL"), F.lit(0.96), 0, ["src_ip", "dst_ip"], F.col("n")))
 
@@ -126,6 +121,5 @@ def domain_threats(flows: DataFrame) -> DataFrame:
 def fast_flux(answers: DataFrame, seconds: float = 3600) -> DataFrame:
     """Domains from ``answers(domain, ips, ttl, t_us)`` with many addresses, networks and short lives in the window."""
     rows = answers.select(cleaned(F.col("domain")).alias("domain"), "ttl", "t_us", F.explode("ips").alias("ip")).withColumn("net", F.when(F.size(F.split("ip", r"\.")) == 4, F.substring_index("ip", ".", 3)))
-    w = lookback(["domain"], seconds)
-    seen = rows.withColumns({"n_ips": distinct_over("ip", w), "n_nets": distinct_over("net", w), "mean_ttl": F.avg("ttl").over(w)})
+    seen = swept(rows, ["domain"], seconds, {"n": F.lit(1), "sum_ttl": F.col("ttl")}, {"n_ips": "ip", "n_nets": "net"}).withColumn("mean_ttl", F.col("sum_ttl") / F.col("n"))
     return seen.where("n_ips >= 4 and mean_ttl <= 300 and n_nets >= 3").select("domain", "t_us", "n_ips", "n_nets", "mean_ttl").distinct()

@@ -94,7 +94,7 @@ def w6_domain_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     view_sql("answers")
     + ", r as (select rtrim(trim(lower(domain)), '.') as domain, ttl, t_us, unnest(ips) as ip from answers), n as (select *, array_to_string(string_split(ip, '.')[1:3], '.') as net from r), "
     + f"w as (select *, len(list_distinct(list(ip) {_over('domain', 3600)})) as n_ips, len(list_distinct(list(net) {_over('domain', 3600)})) as n_nets, avg(ttl) {_over('domain', 3600)} as mean_ttl from n) "
-    + "select distinct domain, t_us, cast(n_ips as int) as n_ips, cast(n_nets as int) as n_nets, round(mean_ttl, 6) as mean_ttl from w where n_ips >= 4 and mean_ttl <= 300 and n_nets >= 3"
+    + "select distinct domain, t_us, n_ips, n_nets, round(mean_ttl, 6) as mean_ttl from w where n_ips >= 4 and mean_ttl <= 300 and n_nets >= 3"
 )
 def w11_fast_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions_l7.fast_flux(message_view(spark, sf_dir, "answers")).withColumn("mean_ttl", F.round("mean_ttl", 6))

@@ -91,3 +91,10 @@ def test_query_tells_labelled_quality_apart(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
     both = found.merge(labels, on="doc_id").dropna(subset=["score"])
     assert both[both["quality"] == 1]["score"].median() < both[both["quality"] == 0]["score"].median()
+
+
+@pytest.mark.parametrize("wanted", [0, 1, 5, 40, 1000])
+def test_most_frequent_words(spark, wanted):
+    rows = [(f"w{i:03}", 1 + (i * i) % 97) for i in range(200)] + [(f"tie{i}", 5) for i in range(30)]
+    found = lm_scoring.most_frequent(spark.createDataFrame(rows, "word string, n long").repartition(7), wanted)
+    assert found == [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:wanted]]
