@@ -35,6 +35,11 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
+#: The same rules for masking, where a private key is gone whole, up to its END line if it has one.
+WHOLE_KEY_RULES = (
+    Rule("private_key", RULES[-1].pattern + r"(?:(?:[^-]*-(?!----)){0,40}[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"),
+    *RULES[:-1],
+)
 BASE_KINDS = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 #: Spelled-out strings that a piece of a regular expression may stand for, at most.

@@ -169,7 +169,12 @@ def keep_one(docs: DataFrame, max_distance: int = 2, broadcast_rows: int = 1_000
 
     Texts stay where they are, but for rows that are repeated whole, which meet to be made one.
     """
-    rows = stored(near_duplicates(docs, max_distance), "near-duplicates")
+    return keep_first(docs, near_duplicates(docs, max_distance), broadcast_rows)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each group of ``groups(doc_id, row_key, root)``, as :func:`keep_one` chooses it."""
+    rows = stored(groups, "near-duplicates")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
     first = rows.groupBy("root").agg(F.min(order).alias("kept")).select("root", "kept.row_key").withColumnRenamed("row_key", "kept_key")
     held = rows.join(stored(first, "near-duplicate-keepers"), "root")
