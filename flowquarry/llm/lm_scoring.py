@@ -8,20 +8,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.llm.common import broadcast_if_small, small_batches, stored
 
-#: Words of the vocabulary, besides the one for all other words.
-VOCABULARY = 50_000
-#: Bigram counts are kept in so many hashed cells, which bounds the models whatever the corpus holds.
-CELLS = 1 << 20
+#: Words of the vocabulary, besides the one for all other words; None keeps every word of the corpus.
+VOCABULARY = None
 #: How many occurrences the unigram estimate counts for beside a bigram's own.
 BACKOFF = 20.0
-#: A task hands on its word counts when it holds so many different words.
+#: A task hands on its counts when it holds so many different words, or bigrams.
 HELD_WORDS = 400_000
+HELD_GRAMS = 400_000
+#: The most frequent bigrams, up to so many, are scored where the texts are; all others meet their losses in a shuffle join.
+HOT = 200_000
 IDS_ROWS = 2_000_000
+#: What stands before a text's first word, and for words outside a limited vocabulary; neither can be a word.
+START, OTHER = "", " "
+#: Losses are added up as whole billionths of a nat, so sums do not depend on order.
+UNIT = 1_000_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,63 +50,57 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cells_of(ids: np.ndarray) -> np.ndarray:
-    """The hashed cell of each word with the one before it; the first word follows the text's start."""
-    before = np.concatenate([[-1], ids[:-1]]).astype(np.uint64) + np.uint64(1)
-    mixed = (before * np.uint64(0x100000001B3) + ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(44)).astype(np.int64)
+    """An exact key of each word with the one before it; the first word follows the text's start."""
+    before = np.concatenate([[-1], ids[:-1]]).astype(np.int64) + 1
+    return (before << 32) | ids.astype(np.int64)
+
+
+def bigrams(text: str | None, kept: frozenset[str] | None) -> list[tuple[str, str]]:
+    """Each word with the one before it."""
+    words = words_of(text) if kept is None else [w if w in kept else OTHER for w in words_of(text)]
+    return list(zip([START, *words], words, strict=False))
 
 
 @dataclass
 class Models:
-    """A vocabulary, and for background and target the log probability pieces of both."""
+    """Background and target counts of every word and bigram as tables, and the losses that follow from them."""
 
-    place: dict[str, int]
-    unigram: np.ndarray  # (2, words + 1): probability of each word, the last one for all others
-    before: np.ndarray  # (2, words + 2): occurrences of each word as a predecessor, the first for the text's start
-    bigram: np.ndarray  # (2, cells)
+    kept: frozenset[str] | None
+    words: DataFrame  # (word, background, target)
+    before: DataFrame  # (prev, background, target): occurrences as a predecessor
+    losses: DataFrame  # (prev, word, n, background, target): losses in billionths of a nat, n occurrences
+    totals: tuple[int, int]  # words counted for background and target
+    size: int  # words of the vocabulary and one for all others
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        other = len(self.place)
-        get = self.place.get
-        return np.fromiter((get(w, other) for w in words), np.int64, len(words))
+    def loss(self, side: str, n: Column, word: Column, before: Column) -> Column:
+        total = self.totals[("background", "target").index(side)]
+        p = (n + BACKOFF * (word + 1) / float(total + self.size)) / (before + BACKOFF)
+        return F.round(-F.log(p) * UNIT).cast("long").alias(side)
 
-    def cross_entropy(self, text: str | None) -> tuple[int, float | None, float | None]:
-        """Words, and nats per word under the background and the target model; null where there are no words."""
-        ids = self.ids(words_of(text))
-        if not len(ids):
-            return 0, None, None
-        cells = cells_of(ids)
-        before = np.concatenate([[0], ids[:-1] + 1])
-        p = (self.bigram[:, cells] + BACKOFF * self.unigram[:, ids]) / (self.before[:, before] + BACKOFF)
-        background, target = -np.log(np.minimum(p, 1.0)).mean(axis=1, dtype=np.float64)
-        return len(ids), float(background), float(target)
 
+def _count_bigrams(kept: frozenset[str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: Counter = Counter()
+        wanted: Counter = Counter()
 
-def _count_bigrams(place: dict[str, int]):
-    other = len(place)
+        def out() -> pa.RecordBatch:
+            prev, word = zip(*every, strict=True)
+            columns = [pa.array(prev, pa.string()), pa.array(word, pa.string()), pa.array(list(every.values()), pa.int64())]
+            target = pa.array([wanted.get(g, 0) for g in every], pa.int64())
+            return pa.RecordBatch.from_arrays([*columns, target], ["prev", "word", "background", "target"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = np.zeros((2, CELLS), np.int64)
-        words = np.zeros((2, other + 1), np.int64)
-        before = np.zeros((2, other + 2), np.int64)
-        get = place.value.get if hasattr(place, "value") else place.get
         for batch in batches:
             for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                found = words_of(text)
-                if not found:
-                    continue
-                ids = np.fromiter((get(w, other) for w in found), np.int64, len(found))
-                cells, previous = cells_of(ids), np.concatenate([[0], ids[:-1] + 1])
-                for side in (0, 1) if target else (0,):
-                    np.add.at(grams[side], cells, 1)
-                    np.add.at(words[side], ids, 1)
-                    np.add.at(before[side], previous, 1)
-        for kind, table in enumerate((grams, words, before)):
-            at = np.nonzero(table[0])[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(table[0][at]), pa.array(table[1][at])],
-                ["kind", "at", "background", "target"],
-            )
+                grams = bigrams(text, kept)
+                every.update(grams)
+                if target:
+                    wanted.update(grams)
+                if len(every) >= HELD_GRAMS:
+                    yield out()
+                    every.clear()
+                    wanted.clear()
+        if every:
+            yield out()
 
     return run
 
@@ -122,44 +121,103 @@ def most_frequent(counts: DataFrame, words: int) -> list[str]:
     return [r["word"] for r in near.orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
 
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> Models:
+def fit(docs: DataFrame, vocabulary: int | None = VOCABULARY) -> Models:
     """Both models from ``docs(text, target)``: the background from every row, the target from those marked so.
 
-    The vocabulary is that of the whole corpus, its most frequent words. Counts run over all texts; each
-    task adds up its own before anything is shuffled. Only the vocabulary and the hashed counts, both of
-    fixed size, come to the driver.
+    Counts are exact and kept as tables that grow with the corpus: every word and every bigram, unless
+    ``vocabulary`` asks for the most frequent words alone. Each task adds up its own before the shuffle.
     """
     small_batches(docs.sparkSession)
-    counts = stored(docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    place = {w: i for i, w in enumerate(most_frequent(counts, vocabulary))}
-    partial = docs.select("text", "target").mapInArrow(_count_bigrams(place), "kind int, at long, background long, target long")
-    sums = partial.groupBy("kind", "at").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    tables = [np.zeros((2, size)) for size in (CELLS, len(place) + 1, len(place) + 2)]
-    kind, at = sums.column("kind").to_numpy(), sums.column("at").to_numpy()
-    both = np.stack([sums.column("background").to_numpy(), sums.column("target").to_numpy()])
-    for k, table in enumerate(tables):
-        table[:, at[kind == k]] = both[:, kind == k]
-    grams, words, before = tables
-    unigram = (words + 1) / (words.sum(axis=1, keepdims=True) + words.shape[1])
-    return Models(place, unigram.astype(np.float32), before.astype(np.float32), grams.astype(np.float32))
+    kept = None
+    if vocabulary is not None:
+        counts = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        kept = frozenset(most_frequent(stored(counts, "word-counts"), vocabulary))
+    sums = [F.sum(side).alias(side) for side in ("background", "target")]
+    partial = docs.select("text", "target").mapInArrow(_count_bigrams(kept), "prev string, word string, background long, target long")
+    grams = stored(partial.groupBy("prev", "word").agg(*sums), "bigram-counts")
+    words = stored(grams.groupBy("word").agg(*sums), "word-sums")
+    before = stored(grams.groupBy("prev").agg(*sums), "predecessor-sums")
+    total = words.agg(*sums, F.count("*").alias("words")).first()
+    size = (total["words"] if kept is None else len(kept)) + 1
+    models = Models(kept, words, before, grams, (total["background"] or 0, total["target"] or 0), size)
+    both = grams.join(_named(words, "word", "w"), "word").join(_named(before, "prev", "p"), "prev")
+    losses = [models.loss(s, F.col(s), F.col(f"w_{s}"), F.col(f"p_{s}")) for s in ("background", "target")]
+    models.losses = stored(both.select("prev", "word", F.col("background").alias("n"), *losses), "bigram-losses")
+    return models
+
+
+def _named(counts: DataFrame, key: str, short: str) -> DataFrame:
+    return counts.select(key, *[F.col(s).alias(f"{short}_{s}") for s in ("background", "target")])
+
+
+def _hot_step(losses: DataFrame) -> int:
+    """The least eighth of a power of two from which on no more than HOT bigrams are counted."""
+    steps = losses.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("grams")).collect()
+    least, seen = 1 << 30, 0
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        seen += row["grams"]
+        if seen > HOT:
+            break
+        least = row["step"]
+    return least
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
-    """Rows ``(doc_id, n_words, ce_background, ce_target, score)``; score is target less background, lower is nearer the target."""
+    """Rows ``(doc_id, n_words, ce_background, ce_target, score)``; score is target less background, lower is nearer the target.
+
+    Each text's bigrams are added up first. Only the rarer ones are shuffled to their losses, so no key
+    of that join is hot. Bigrams that the models never saw fall back on their words.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    small_batches(spark)
+    step, least = F.floor(F.log2("n") * 8), _hot_step(models.losses)
+    hot = models.losses.where(step >= least).toArrow()
+    near = zip(*[hot.column(c).to_pylist() for c in ("prev", "word", "background", "target")], strict=True)
+    shared = spark.sparkContext.broadcast(({(p, w): (b, t) for p, w, b, t in near}, models.kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        known, kept = shared.value
         for batch in batches:
-            rows = [own.cross_entropy(t) for t in batch.column("text").to_pylist()]
+            rows, ends, prev, word, times = [], [0], [], [], []
+            for text in batch.column("text").to_pylist():
+                grams = bigrams(text, kept)
+                found = [known.get(g) for g in grams]
+                rare = Counter(g for g, f in zip(grams, found, strict=True) if f is None)
+                rows.append((len(grams), sum(f[0] for f in found if f), sum(f[1] for f in found if f)))
+                prev += [g[0] for g in rare]
+                word += [g[1] for g in rare]
+                times += rare.values()
+                ends.append(len(times))
             if rows:
-                columns = map(pa.array, zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "ce_background", "ce_target"])
+                grams = pa.StructArray.from_arrays([pa.array(prev, pa.string()), pa.array(word, pa.string()), pa.array(times, pa.int64())], ["prev", "word", "times"])
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), grams)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row_id"), batch.column("doc_id"), *columns, rare], ["row_id", "doc_id", "n_words", "hot_background", "hot_target", "rare"]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, ce_background double, ce_target double")
-    return found.withColumn("score", F.col("ce_target") - F.col("ce_background"))
+    schema = f"row_id long, doc_id {kind}, n_words long, hot_background long, hot_target long, rare array<struct<prev:string,word:string,times:long>>"
+    ids = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    rows = stored(ids.mapInArrow(run, schema), "scored-texts")
+    rare = rows.select("row_id", F.explode("rare").alias("gram")).select("row_id", "gram.*")
+    others = models.losses.where(step < least).drop("n")
+    sums = [F.sum(F.col("times") * F.col(s)).alias(s) for s in ("background", "target")]
+    unseen = F.count_if(F.col("background").isNull()).alias("unseen")
+    found = stored(rare.join(others, ["prev", "word"], "left").groupBy("row_id").agg(*sums, unseen), "rare-losses")
+    if found.where("unseen > 0").limit(1).count():
+        new = rare.join(others, ["prev", "word"], "left_anti")
+        new = new.join(_named(models.words, "word", "w"), "word", "left").join(_named(models.before, "prev", "p"), "prev", "left")
+        zero = F.lit(0)
+        losses = [models.loss(s, zero, F.coalesce(f"w_{s}", zero), F.coalesce(f"p_{s}", zero)) for s in ("background", "target")]
+        new = new.select("row_id", "times", *losses).groupBy("row_id").agg(*sums)
+        found = found.select("row_id", "background", "target").union(new).groupBy("row_id").agg(*[F.sum(s).alias(s) for s in ("background", "target")])
+    both = rows.drop("rare").join(found.select("row_id", "background", "target"), "row_id", "left")
+    nats = [
+        F.when(F.col("n_words") > 0, (F.col(f"hot_{s}") + F.coalesce(s, F.lit(0))) / F.lit(float(UNIT)) / F.col("n_words")).alias(f"ce_{s}")
+        for s in ("background", "target")
+    ]
+    return both.select("doc_id", "n_words", *nats).withColumn("score", F.col("ce_target") - F.col("ce_background"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:

@@ -1,0 +1,24 @@
+import pytest
+from pyspark.sql import functions as F
+
+from flowquarry.llm import lm_scoring
+from tests.llm import rows as R
+from tests.llm.test_lm_scoring import brute_scores
+
+
+@pytest.mark.parametrize("hot", [0, 50, lm_scoring.HOT])
+def test_counts_are_exact_beyond_a_fixed_vocabulary(spark, monkeypatch, hot):
+    """60,000 words once each: a limit of 50,000 words would make one token of the rest."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    docs = [(k, " ".join(f"w{k}x{i}" for i in range(3000))) for k in range(20)] + [(50, "a b a b a c"), (51, "a b a b"), (52, None)]
+    targets = {1, 50}
+    df = R.frame(spark, docs, extra=False).withColumn("target", F.coalesce(F.col("doc_id").isin(targets), F.lit(False)))
+    models = lm_scoring.fit(df)
+    assert models.words.count() == 60_003
+    found = {r.doc_id: r for r in lm_scoring.score(df, models).collect()}
+    for i, n, background, target in brute_scores(docs, targets, None):
+        assert found[i].n_words == n
+        if n:
+            assert (found[i].ce_background, found[i].ce_target) == pytest.approx((background, target), abs=1e-8)
+    fresh = lm_scoring.score(R.frame(spark, [(9, "a b unseen")], extra=False), models).first()
+    assert fresh.ce_background > 0 and fresh.n_words == 3
