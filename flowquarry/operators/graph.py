@@ -79,11 +79,12 @@ def blast_radius(edge_rows: DataFrame, starts: DataFrame, roles: DataFrame, hit:
     return known.select("start_ip", F.coalesce("reachable", zero).alias("reachable"), F.coalesce("critical", zero).alias("critical"), score.alias("score"), level.alias("level"))
 
 
-def patient_zero(edge_rows: DataFrame, hit: DataFrame, targets: DataFrame, depth: int = 6) -> DataFrame:
+def patient_zero(edge_rows: DataFrame, hit: DataFrame, targets: DataFrame) -> DataFrame:
     """``(target_ip, patient_zero, hops, path)``: the longest causal chain back from each target; ties by address.
 
     A step back is causal over an edge with lateral movement or command traffic, or from a host that was
-    compromised no later than the target. A host is visited once for a target, by its least path.
+    compromised no later than the target. A host is visited once for a target, by its least path; the
+    walk ends when no target has a new host, which the number of hosts bounds.
     """
     when = hit.select(F.col("ip").alias("node"), "compromised_us")
     mine = targets.select("target_ip").join(when.select(F.col("node").alias("target_ip"), F.col("compromised_us").alias("target_us")), "target_ip", "left")
@@ -93,12 +94,12 @@ def patient_zero(edge_rows: DataFrame, hit: DataFrame, targets: DataFrame, depth
     front = cut(front)
     seen = front.select("target_ip", F.col("at").alias("node"))
     found = front
-    for _ in range(depth):
+    while front.limit(1).count():
         early = F.col("compromised_us").isNotNull() & (F.col("target_us").isNull() | (F.col("compromised_us") <= F.col("target_us")))
         step = front.join(back, "at").where(F.col("direct") | early).select("target_ip", "target_us", "node", F.concat(F.array("node"), "path").alias("path"))
         fresh = step.join(seen, ["target_ip", "node"], "left_anti").groupBy("target_ip", "target_us", "node").agg(F.min("path").alias("path"))
         front = cut(fresh.select("target_ip", "target_us", F.col("node").alias("at"), "path"))
-        seen = seen.unionByName(front.select("target_ip", F.col("at").alias("node")))
+        seen = cut(seen.unionByName(front.select("target_ip", F.col("at").alias("node"))))
         found = found.unionByName(front)
     best = found.groupBy("target_ip").agg(F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("b"))
     return best.select("target_ip", F.element_at("b.path", 1).alias("patient_zero"), (F.size("b.path") - 1).alias("hops"), F.array_join("b.path", " -> ").alias("path"))
