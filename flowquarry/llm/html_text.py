@@ -15,7 +15,7 @@ from flowquarry.llm.common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 RAW_WITH_ENTITIES = frozenset("textarea title".split())
-HIDDEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas datalist defs desc metadata annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
@@ -55,7 +55,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 
 
 class Node:
@@ -220,8 +220,31 @@ def _span(node: Node, name: str) -> int:
     return min(MAX_SPAN, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 9 else 1
 
 
+def _members(node: Node) -> Iterator[Node | str]:
+    """Children of a part of a table; a form there holds no box of its own."""
+    for child in node.children:
+        if isinstance(child, Node) and child.tag == "form" and visible(child):
+            yield from _members(child)
+        else:
+            yield child
+
+
+def _stray(part: Node) -> Iterator[Node | str]:
+    """What a table, its groups and rows hold beside groups, rows and cells: browsers show it above the table."""
+    for child in _members(part):
+        if not isinstance(child, Node):
+            if child.strip():
+                yield child
+        elif not visible(child):
+            continue
+        elif child.tag in ("tr", "thead", "tbody", "tfoot"):
+            yield from _stray(child)
+        elif child.tag not in ("td", "th", "caption", "colgroup", "col"):
+            yield child
+
+
 def _rows(table: Node) -> Iterator[Node]:
-    for child in table.children:
+    for child in _members(table):
         if isinstance(child, Node) and visible(child):
             if child.tag == "tr":
                 yield child
@@ -238,7 +261,7 @@ def _table(table: Node) -> list[str]:
     for row in _rows(table):
         cells: dict[int, list[str]] = {}
         column, held = 0, {c: n - 1 for c, n in taken.items() if n > 1}
-        for cell in row.children:
+        for cell in _members(row):
             if not isinstance(cell, Node) or cell.tag not in ("td", "th") or not visible(cell):
                 continue
             while taken.get(column, 0) > 0:
@@ -266,7 +289,7 @@ def _table(table: Node) -> list[str]:
     for c in sorted(widths):
         starts[c] = at
         at += widths[c] + 2
-    out = []
+    out: list[str] = []
     for cells in grid:
         for k in range(max((len(v) for v in cells.values()), default=0)):
             line = ""
@@ -274,8 +297,8 @@ def _table(table: Node) -> list[str]:
                 if k < len(cells[c]) and cells[c][k]:
                     line = line.ljust(starts[c]) + cells[c][k]
             out.append(line)
-    captions = [c for c in table.children if isinstance(c, Node) and c.tag == "caption" and visible(c)]
-    stray = [c for c in table.children if not isinstance(c, Node) and c.strip() or isinstance(c, Node) and c.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col")]
+    captions = [c for c in _members(table) if isinstance(c, Node) and c.tag == "caption" and visible(c)]
+    stray = list(_stray(table))
     above = Node("div", {})
     above.children = [*stray, *captions]
     return [*_layout(above), *out]
