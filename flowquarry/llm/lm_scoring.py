@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.llm.common import broadcast_if_small, small_batches, stored
 
-#: Words of the vocabulary, besides the one for all other words; None keeps every word of the corpus.
-VOCABULARY = None
 #: How many occurrences the unigram estimate counts for beside a bigram's own.
 BACKOFF = 20.0
-#: A task hands on its counts when it holds so many different words, or bigrams.
-HELD_WORDS = 400_000
-HELD_GRAMS = 400_000
-#: The most frequent bigrams, up to so many, are scored where the texts are; all others meet their losses in a shuffle join.
-HOT = 200_000
+#: Tokens that a task holds before it adds them up.
+HELD = 1_000_000
+SCORED = 250_000
+#: The most frequent words, and bigrams, up to so many each, are scored where the texts are; all others meet their counts in shuffle joins.
+HOT = 400_000
 IDS_ROWS = 2_000_000
-#: What stands before a text's first word, and for words outside a limited vocabulary; neither can be a word.
-START, OTHER = "", " "
+#: Words whose codes a Python worker remembers; beyond that it forgets all and starts anew.
+CACHED_WORDS = 500_000
+#: Codes of what stands before a text's first word and after its last one.
+START, END = -1, -2
+#: Odd, so that pairs of codes that differ in one word have different keys.
+PAIRING = np.uint64(0x9E3779B97F4A7C15)
 #: Losses are added up as whole billionths of a nat, so sums do not depend on order.
 UNIT = 1_000_000_000
+SIDES = ("background", "target")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -34,199 +37,238 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+class Codes(dict):
+    """64-bit codes of words, made when first asked for."""
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(words_of(text))
-            if len(counts) >= HELD_WORDS:
-                yield out()
-                counts.clear()
-    yield out()
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = code = code - (1 << 64) if code >> 63 else code
+        return code
 
 
-def cells_of(ids: np.ndarray) -> np.ndarray:
-    """An exact key of each word with the one before it; the first word follows the text's start."""
-    before = np.concatenate([[-1], ids[:-1]]).astype(np.int64) + 1
-    return (before << 32) | ids.astype(np.int64)
+def sequence(text: str | None, codes: Codes) -> np.ndarray:
+    """START, the codes of the text's words, END; nothing for a text without words."""
+    words = words_of(text)
+    out = np.empty(len(words) + 2 if words else 0, np.int64)
+    if words:
+        out[0], out[-1] = START, END
+        out[1:-1] = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+    return out
 
 
-def bigrams(text: str | None, kept: frozenset[str] | None) -> list[tuple[str, str]]:
-    """Each word with the one before it."""
-    words = words_of(text) if kept is None else [w if w in kept else OTHER for w in words_of(text)]
-    return list(zip([START, *words], words, strict=False))
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word with the one before it."""
+    return (before.view(np.uint64) * PAIRING + word.view(np.uint64)).view(np.int64)
 
 
 @dataclass
 class Models:
-    """Background and target counts of every word and bigram as tables, and the losses that follow from them."""
+    """Background and target counts of every word and bigram, as tables that grow with the corpus.
 
-    kept: frozenset[str] | None
-    words: DataFrame  # (word, background, target)
-    before: DataFrame  # (prev, background, target): occurrences as a predecessor
-    losses: DataFrame  # (prev, word, n, background, target): losses in billionths of a nat, n occurrences
-    totals: tuple[int, int]  # words counted for background and target
-    size: int  # words of the vocabulary and one for all others
+    Words, START and END are named by 64-bit hashes and bigrams by a hash of two of those: 10^9 words bring
+    0.03 expected collisions, 10^11 bigrams some hundred. A word is followed as often as it occurs, as END
+    follows the last, so one table serves for words and for predecessors.
+    """
 
-    def loss(self, side: str, n: Column, word: Column, before: Column) -> Column:
-        total = self.totals[("background", "target").index(side)]
-        p = (n + BACKOFF * (word + 1) / float(total + self.size)) / (before + BACKOFF)
-        return F.round(-F.log(p) * UNIT).cast("long").alias(side)
+    words: DataFrame  # (key, background, target)
+    grams: DataFrame  # (key, background, target)
+    totals: tuple[int, int]  # words and ENDs counted for background and target
+    size: int  # entries of the vocabulary, with END and one for all unknown words
 
 
-def _count_bigrams(kept: frozenset[str] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter = Counter()
-        wanted: Counter = Counter()
+def _sums(keys: np.ndarray, marks: np.ndarray, gram: bool) -> pa.RecordBatch:
+    found, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    target = np.bincount(at, weights=marks, minlength=len(found)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), gram)), pa.array(found), pa.array(n), pa.array(target)], ["gram", "key", *SIDES])
 
-        def out() -> pa.RecordBatch:
-            prev, word = zip(*every, strict=True)
-            columns = [pa.array(prev, pa.string()), pa.array(word, pa.string()), pa.array(list(every.values()), pa.int64())]
-            target = pa.array([wanted.get(g, 0) for g in every], pa.int64())
-            return pa.RecordBatch.from_arrays([*columns, target], ["prev", "word", "background", "target"])
 
-        for batch in batches:
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                grams = bigrams(text, kept)
-                every.update(grams)
-                if target:
-                    wanted.update(grams)
-                if len(every) >= HELD_GRAMS:
-                    yield out()
-                    every.clear()
-                    wanted.clear()
-        if every:
-            yield out()
-
-    return run
-
-
-def most_frequent(counts: DataFrame, words: int) -> list[str]:
-    """The most frequent of ``counts(word, n)``, ties by the word.
-
-    A histogram over eighths of the powers of two gives the least count that can be among them, so few
-    more rows than are wanted are sorted and sent, however many tasks hold the counts.
-    """
-    step = F.floor(F.log2("n") * 8)
-    least, seen = None, 0
-    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
-        if seen >= words:
-            break
-        least, seen = row["step"], seen + row["words"]
-    near = counts.where(step >= least) if seen else counts
-    return [r["word"] for r in near.orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes, held, marks, tokens = Codes(), [], [], 0
 
+    def out() -> Iterator[pa.RecordBatch]:
+        ids, mark = np.concatenate(held), np.repeat(np.array(marks, np.float64), list(map(len, held)))
+        inner = ids[:-1] != END
+        yield _sums(ids, mark, False)
+        yield _sums(pair_keys(ids[:-1], ids[1:])[inner], mark[1:][inner], True)
 
-def fit(docs: DataFrame, vocabulary: int | None = VOCABULARY) -> Models:
+    for batch in batches:
+        for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
+            held.append(sequence(text, codes))
+            marks.append(bool(target))
+            tokens += len(held[-1])
+            if tokens >= HELD:
+                yield from out()
+                held, marks, tokens = [], [], 0
+    if tokens:
+        yield from out()
+
+
+def fit(docs: DataFrame) -> Models:
     """Both models from ``docs(text, target)``: the background from every row, the target from those marked so.
 
-    Counts are exact and kept as tables that grow with the corpus: every word and every bigram, unless
-    ``vocabulary`` asks for the most frequent words alone. Each task adds up its own before the shuffle.
+    One pass counts words and bigrams. Each task adds up its own before the one shuffle.
     """
     small_batches(docs.sparkSession)
-    kept = None
-    if vocabulary is not None:
-        counts = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        kept = frozenset(most_frequent(stored(counts, "word-counts"), vocabulary))
-    sums = [F.sum(side).alias(side) for side in ("background", "target")]
-    partial = docs.select("text", "target").mapInArrow(_count_bigrams(kept), "prev string, word string, background long, target long")
-    grams = stored(partial.groupBy("prev", "word").agg(*sums), "bigram-counts")
-    words = stored(grams.groupBy("word").agg(*sums), "word-sums")
-    before = stored(grams.groupBy("prev").agg(*sums), "predecessor-sums")
-    total = words.agg(*sums, F.count("*").alias("words")).first()
-    size = (total["words"] if kept is None else len(kept)) + 1
-    models = Models(kept, words, before, grams, (total["background"] or 0, total["target"] or 0), size)
-    both = grams.join(_named(words, "word", "w"), "word").join(_named(before, "prev", "p"), "prev")
-    losses = [models.loss(s, F.col(s), F.col(f"w_{s}"), F.col(f"p_{s}")) for s in ("background", "target")]
-    models.losses = stored(both.select("prev", "word", F.col("background").alias("n"), *losses), "bigram-losses")
-    return models
-
-
-def _named(counts: DataFrame, key: str, short: str) -> DataFrame:
-    return counts.select(key, *[F.col(s).alias(f"{short}_{s}") for s in ("background", "target")])
-
-
-def _hot_step(losses: DataFrame) -> int:
-    """The least eighth of a power of two from which on no more than HOT bigrams are counted."""
-    steps = losses.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("grams")).collect()
-    least, seen = 1 << 30, 0
+    partial = docs.select("text", "target").mapInArrow(_count, "gram boolean, key long, background long, target long")
+    counts = stored(partial.groupBy("gram", "key").agg(*[F.sum(s).alias(s) for s in SIDES]), "ngram-counts")
+    words, grams = (counts.where(c).select("key", *SIDES) for c in ("not gram", "gram"))
+    spoken = words.agg(F.count("*").alias("size"), *[F.sum(F.when(F.col("key") != START, F.col(s))).alias(s) for s in SIDES]).first()
+    return Models(words, grams, (spoken["background"] or 0, spoken["target"] or 0), spoken["size"])
+
+
+def _least_hot(counts: DataFrame) -> int:
+    """The least count from which on there are no more than HOT rows, or a few less: it is a step of a histogram by eighths of powers of two."""
+    steps = counts.groupBy(F.floor(F.log2("background") * 8).alias("step")).agg(F.count("*").alias("rows"), F.min("background").alias("least")).collect()
+    least, seen = 1 << 62, 0
     for row in sorted(steps, key=lambda r: -r["step"]):
-        seen += row["grams"]
+        seen += row["rows"]
         if seen > HOT:
             break
-        least = row["step"]
+        least = row["least"]
     return least
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """Rows ``(doc_id, n_words, ce_background, ce_target, score)``; score is target less background, lower is nearer the target.
-
-    Each text's bigrams are added up first. Only the rarer ones are shuffled to their losses, so no key
-    of that join is hot. Bigrams that the models never saw fall back on their words.
+def _hot(counts: DataFrame, least: int) -> tuple[np.ndarray, ...]:
+    """Keys in order and both counts of the rows from ``least`` on."""
+    found = counts.where(F.col("background") >= least).toArrow()
+    columns = [found.column(c).to_numpy() for c in ("key", *SIDES)]
+    order = np.argsort(columns[0])
+    return tuple(c[order] for c in columns)
+
+
+def _find(hot: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Whether each key is hot, and its two counts, else 0."""
+    if not len(hot[0]):
+        return np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64)] * 2
+    at = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
+    known = hot[0][at] == keys
+    return known, [np.where(known, c[at], 0) for c in hot[1:]]
+
+
+def _groups(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of each document's different keys, how often each occurs, and the group of every position."""
+    order = np.lexsort((keys, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (keys[order][1:] != keys[order][:-1])
+    starts = np.nonzero(new)[0]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[starts], np.diff([*starts, len(order)]), group
+
+
+def _listed(doc: np.ndarray, docs: int, fields: dict[str, pa.Array]) -> pa.ListArray:
+    """Rows that stand in order of their documents, as a list for each."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def _score_some(sequences: list[np.ndarray], targets: list[bool], hot_words, hot_grams, totals: tuple[int, int], size: int, counted: bool) -> list[pa.Array]:
+    """Both sides' losses from hot words and bigrams, and lists of what is still open: bigrams, and predecessors."""
+    docs, lengths = len(sequences), np.array(list(map(len, sequences)))
+    ids, doc = np.concatenate(sequences), np.repeat(np.arange(docs), lengths)
+    own = [np.full(docs, int(counted)), np.array(targets, np.int64) * int(counted)]
+    first, times, group = _groups(doc, ids)
+    known, counts = _find(hot_words, ids[first])
+    losses = [np.zeros(docs, np.int64), np.zeros(docs, np.int64)]
+    base, followed, d = [], ids[first] != END, doc[first]
+    for side in (0, 1):
+        rest = counts[side] - times * own[side][d]
+        base.append(BACKOFF * (rest + 1) / (totals[side] - np.maximum(lengths - 1, 0) * own[side] + size)[d])
+        near = known & followed
+        np.add.at(losses[side], d[near], np.rint(times[near] * np.log(rest[near] + BACKOFF) * UNIT).astype(np.int64))
+    away = ~known & followed
+    contexts = _listed(d[away], docs, {"key": pa.array(ids[first][away]), "times": pa.array(times[away], pa.int32())})
+    at = np.nonzero(ids[:-1] != END)[0] if len(ids) else np.zeros(0, np.int64)
+    keys, d = pair_keys(ids[at], ids[at + 1]), doc[at]
+    g_first, g_times, _ = _groups(d, keys)
+    word, d = group[at[g_first] + 1], d[g_first]
+    seen, g_counts = _find(hot_grams, keys[g_first])
+    closed = seen & known[word]
+    for side in (0, 1):
+        n = g_counts[side] - g_times * own[side][d] + base[side][word]
+        np.add.at(losses[side], d[closed], np.rint(-g_times[closed] * np.log(n[closed]) * UNIT).astype(np.int64))
+    word, left = word[~closed], g_first[~closed]
+    unknown = ~known[word]
+    fields = {"key": pa.array(keys[left]), "times": pa.array(g_times[~closed], pa.int32())}
+    fields["word"] = pa.array(ids[first][word], mask=~unknown)
+    fields["own"] = pa.array(times[word], pa.int32(), mask=~unknown)
+    fields |= {s: pa.array(b[word], pa.float32(), mask=unknown) for s, b in zip(SIDES, base, strict=True)}
+    return [pa.array(np.maximum(lengths - 1, 0)), *map(pa.array, losses), _listed(d[~closed], docs, fields), contexts]
+
+
+def score(docs: DataFrame, models: Models, counted: bool = True) -> DataFrame:
+    """Rows ``(doc_id, n_words, ce_background, ce_target, score)`` of ``docs(doc_id, text, target)``; score is target less background, lower is nearer the target.
+
+    A word after another has the probability (n + BACKOFF p) / (m + BACKOFF), from the bigram's count n, the
+    predecessor's m, and the word's own share p = (c + 1) / (all + vocabulary), which adds up to 1. Where the
+    models were fitted on ``docs`` (``counted``), each row is scored by the counts less its own, so a
+    document is never likely because it was counted itself. Each text's bigrams are added up first. Only
+    those that are not hot are shuffled to their counts, so no key of those joins is hot.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    step, least = F.floor(F.log2("n") * 8), _hot_step(models.losses)
-    hot = models.losses.where(step >= least).toArrow()
-    near = zip(*[hot.column(c).to_pylist() for c in ("prev", "word", "background", "target")], strict=True)
-    shared = spark.sparkContext.broadcast(({(p, w): (b, t) for p, w, b, t in near}, models.kept))
+    least = [_least_hot(t) for t in (models.words, models.grams)]
+    shared = spark.sparkContext.broadcast([_hot(t, n) for t, n in zip((models.words, models.grams), least, strict=True)])
+    totals, size = models.totals, models.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, kept = shared.value
+        hot_words, hot_grams = shared.value
+        codes = Codes()
         for batch in batches:
-            rows, ends, prev, word, times = [], [0], [], [], []
-            for text in batch.column("text").to_pylist():
-                grams = bigrams(text, kept)
-                found = [known.get(g) for g in grams]
-                rare = Counter(g for g, f in zip(grams, found, strict=True) if f is None)
-                rows.append((len(grams), sum(f[0] for f in found if f), sum(f[1] for f in found if f)))
-                prev += [g[0] for g in rare]
-                word += [g[1] for g in rare]
-                times += rare.values()
-                ends.append(len(times))
-            if rows:
-                grams = pa.StructArray.from_arrays([pa.array(prev, pa.string()), pa.array(word, pa.string()), pa.array(times, pa.int64())], ["prev", "word", "times"])
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), grams)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id"), batch.column("doc_id"), *columns, rare], ["row_id", "doc_id", "n_words", "hot_background", "hot_target", "rare"]
-                )
-
+            texts, targets = batch.column("text").to_pylist(), [bool(t) for t in batch.column("target").to_pylist()]
+            begin, held, tokens = 0, [], 0
+            for n, text in enumerate(texts, 1):
+                held.append(sequence(text, codes))
+                tokens += len(held[-1])
+                if tokens < SCORED and n < len(texts):
+                    continue
+                found = _score_some(held, targets[begin:n], hot_words, hot_grams, totals, size, counted)
+                taken = batch.slice(begin, n - begin)
+                yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("row_id", "doc_id", "target")), *found], names)
+                begin, held, tokens = n, [], 0
+
+    names = ["row_id", "doc_id", "target", "n_tokens", "near_background", "near_target", "grams", "contexts"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row_id long, doc_id {kind}, n_words long, hot_background long, hot_target long, rare array<struct<prev:string,word:string,times:long>>"
-    ids = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    schema = (
+        f"row_id long, doc_id {kind}, target boolean, n_tokens long, near_background long, near_target long, "
+        "grams array<struct<key:long,times:int,word:long,own:int,background:float,target:float>>, contexts array<struct<key:long,times:int>>"
+    )
+    ids = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "target", "text")
     rows = stored(ids.mapInArrow(run, schema), "scored-texts")
-    rare = rows.select("row_id", F.explode("rare").alias("gram")).select("row_id", "gram.*")
-    others = models.losses.where(step < least).drop("n")
-    sums = [F.sum(F.col("times") * F.col(s)).alias(s) for s in ("background", "target")]
-    unseen = F.count_if(F.col("background").isNull()).alias("unseen")
-    found = stored(rare.join(others, ["prev", "word"], "left").groupBy("row_id").agg(*sums, unseen), "rare-losses")
-    if found.where("unseen > 0").limit(1).count():
-        new = rare.join(others, ["prev", "word"], "left_anti")
-        new = new.join(_named(models.words, "word", "w"), "word", "left").join(_named(models.before, "prev", "p"), "prev", "left")
-        zero = F.lit(0)
-        losses = [models.loss(s, zero, F.coalesce(f"w_{s}", zero), F.coalesce(f"p_{s}", zero)) for s in ("background", "target")]
-        new = new.select("row_id", "times", *losses).groupBy("row_id").agg(*sums)
-        found = found.select("row_id", "background", "target").union(new).groupBy("row_id").agg(*[F.sum(s).alias(s) for s in ("background", "target")])
-    both = rows.drop("rare").join(found.select("row_id", "background", "target"), "row_id", "left")
-    nats = [
-        F.when(F.col("n_words") > 0, (F.col(f"hot_{s}") + F.coalesce(s, F.lit(0))) / F.lit(float(UNIT)) / F.col("n_words")).alias(f"ce_{s}")
-        for s in ("background", "target")
-    ]
-    return both.select("doc_id", "n_words", *nats).withColumn("score", F.col("ce_target") - F.col("ce_background"))
+    own = [F.lit(int(counted)), F.coalesce(F.col("marked").cast("int"), F.lit(0)) * int(counted)]
+    # a hot bigram is open where its word is not hot, and then it occurs less often than a hot word
+    below = ((models.words, least[0]), (models.grams, max(least)))
+    words, grams = (t.where(F.col("background") < n).select("key", *[F.col(s).alias(f"n_{s}") for s in SIDES]) for t, n in below)
+
+    def rest(side: int, times: Column) -> Column:
+        return F.coalesce(f"n_{SIDES[side]}", F.lit(0)) - times * own[side]
+
+    each = rows.select("row_id", F.col("target").alias("marked"), "n_tokens", F.explode("grams").alias("g")).select("row_id", "marked", "n_tokens", "g.*")
+    plain = ["row_id", "marked", "key", "times"]
+    shares = [(BACKOFF * (rest(n, F.col("own")) + 1) / (F.lit(totals[n]) - F.col("n_tokens") * own[n] + size)).alias(s) for n, s in enumerate(SIDES)]
+    rare = each.where("word is not null").join(words.withColumnRenamed("key", "word"), "word", "left").select(*plain, *shares)
+    every = each.where("word is null").select(*plain, *[F.col(s).cast("double").alias(s) for s in SIDES]).union(rare)
+    losses = [F.round(-F.col("times") * F.log(rest(n, F.col("times")) + F.col(s)) * UNIT).cast("long").alias(s) for n, s in enumerate(SIDES)]
+    open_grams = every.join(grams, "key", "left").select("row_id", *losses)
+    before = rows.select("row_id", F.col("target").alias("marked"), F.explode("contexts").alias("c")).select("row_id", "marked", "c.*").join(words, "key", "left")
+    weights = [F.round(F.col("times") * F.log(rest(n, F.col("times")) + BACKOFF) * UNIT).cast("long").alias(s) for n, s in enumerate(SIDES)]
+    found = open_grams.union(before.select("row_id", *weights)).groupBy("row_id").agg(*[F.sum(s).alias(s) for s in SIDES])
+    both = rows.drop("grams", "contexts", "target").join(found, "row_id", "left")
+    nats = [F.when(F.col("n_tokens") > 0, (F.col(f"near_{s}") + F.coalesce(s, F.lit(0))) / F.lit(float(UNIT)) / F.col("n_tokens")).alias(f"ce_{s}") for s in SIDES]
+    scored = both.select("doc_id", F.greatest(F.col("n_tokens") - 1, F.lit(0)).alias("n_words"), *nats)
+    return scored.withColumn("score", F.col("ce_target") - F.col("ce_background"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Score every row of ``docs(doc_id, text, ...)`` for likeness to the documents in ``target_ids(doc_id)``.
 
     A null, empty or white-space text has 0 words and null scores. Repeated rows count and are scored
-    each; null ids are in no target; with an empty target its model is uniform over the vocabulary.
-    Extra columns are not read; an empty table gives an empty result.
+    each, by counts less one of them; null ids are in no target; with an empty target its model is uniform
+    over the vocabulary. Extra columns are not read; an empty table gives an empty result.
     """
     ids = stored(target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "target-ids")
-    marked = docs.select("doc_id", "text").join(broadcast_if_small(ids, IDS_ROWS), "doc_id", "left")
-    return score(docs, fit(marked.withColumn("target", F.coalesce("target", F.lit(False)))))
+    joined = docs.select("doc_id", "text").join(broadcast_if_small(ids, IDS_ROWS), "doc_id", "left")
+    marked = joined.withColumn("target", F.coalesce("target", F.lit(False)))
+    return score(marked, fit(marked))
