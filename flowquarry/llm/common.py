@@ -5,22 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; keeps a batch of very long texts within a worker's memory.
 BATCH_ROWS = 256
+#: Words whose codes a Python worker remembers; beyond that it forgets all and starts anew.
+CACHED_WORDS = 500_000
+
+
+class Codes(dict):
+    """64-bit codes of words, made when first asked for."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        code = xxhash.xxh64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
+        self[word] = code = code - (1 << 64) if code >> 63 else code
+        return code
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the session's ``spark.checkpoint.dir``, or the checkpoint folder its context was given. Only
-    where both are unset, as in tests on one machine, a local folder is made and given to the context.
+    where both are unset and Spark runs on one machine, as in tests, a local folder is made and given to
+    the context; on a cluster that is an error, as machines would not see each other's files.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="flowquarry-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")

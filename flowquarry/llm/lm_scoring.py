@@ -7,22 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import broadcast_if_small, small_batches, stored
+from flowquarry.llm.common import Codes, broadcast_if_small, small_batches, stored
 
 #: How many occurrences the unigram estimate counts for beside a bigram's own.
 BACKOFF = 20.0
-#: Tokens that a task holds before it adds them up.
+#: Tokens that a task holds before it adds them up, and before it scores them.
 HELD = 1_000_000
 SCORED = 250_000
-#: The most frequent words, and bigrams, up to so many each, are scored where the texts are; all others meet their counts in shuffle joins.
+#: The most frequent words, and bigrams, up to so many each, are scored where the texts are; all others meet in shuffles.
 HOT = 400_000
+#: Rows in which frequent bigrams are looked for, about. It bears on speed alone: what they count is counted over all rows.
+SAMPLE_ROWS = 10_000
 IDS_ROWS = 2_000_000
-#: Words whose codes a Python worker remembers; beyond that it forgets all and starts anew.
-CACHED_WORDS = 500_000
 #: Codes of what stands before a text's first word and after its last one.
 START, END = -1, -2
 #: Odd, so that pairs of codes that differ in one word have different keys.
@@ -37,17 +36,6 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-class Codes(dict):
-    """64-bit codes of words, made when first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        self[word] = code = code - (1 << 64) if code >> 63 else code
-        return code
-
-
 def sequence(text: str | None, codes: Codes) -> np.ndarray:
     """START, the codes of the text's words, END; nothing for a text without words."""
     words = words_of(text)
@@ -63,17 +51,23 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (before.view(np.uint64) * PAIRING + word.view(np.uint64)).view(np.int64)
 
 
+Hot = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys in order, and their background and target counts
+
+
 @dataclass
 class Models:
-    """Background and target counts of every word and bigram, as tables that grow with the corpus.
+    """Background and target counts of the words, as a table that grows with the corpus, and of frequent bigrams.
 
-    Words, START and END are named by 64-bit hashes and bigrams by a hash of two of those: 10^9 words bring
-    0.03 expected collisions, 10^11 bigrams some hundred. A word is followed as often as it occurs, as END
-    follows the last, so one table serves for words and for predecessors.
+    Other bigrams are counted where their occurrences meet to be scored. Words, START and END are named by
+    64-bit hashes and bigrams by a hash of two of those: 10^9 words bring 0.03 expected collisions, 10^11
+    bigrams some hundred. A word is followed as often as it occurs, as END follows the last, so one table
+    serves for words and for predecessors.
     """
 
     words: DataFrame  # (key, background, target)
-    grams: DataFrame  # (key, background, target)
+    least: int  # words from this background count on are hot
+    hot_words: Hot
+    hot_grams: Hot
     totals: tuple[int, int]  # words and ENDs counted for background and target
     size: int  # entries of the vocabulary, with END and one for all unknown words
 
@@ -84,38 +78,44 @@ def _sums(keys: np.ndarray, marks: np.ndarray, gram: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), gram)), pa.array(found), pa.array(n), pa.array(target)], ["gram", "key", *SIDES])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, held, marks, tokens = Codes(), [], [], 0
+def _has(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which ``keys`` are among the ordered ``wanted``."""
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys if len(wanted) else np.zeros(len(keys), bool)
 
-    def out() -> Iterator[pa.RecordBatch]:
-        ids, mark = np.concatenate(held), np.repeat(np.array(marks, np.float64), list(map(len, held)))
-        inner = ids[:-1] != END
-        yield _sums(ids, mark, False)
-        yield _sums(pair_keys(ids[:-1], ids[1:])[inner], mark[1:][inner], True)
 
-    for batch in batches:
-        for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-            held.append(sequence(text, codes))
-            marks.append(bool(target))
-            tokens += len(held[-1])
-            if tokens >= HELD:
-                yield from out()
-                held, marks, tokens = [], [], 0
-    if tokens:
-        yield from out()
+def _count(wanted: np.ndarray | None):
+    """Sums over a task's texts: of all words and the ``wanted`` bigrams, or where that is None, of all bigrams."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held, marks, tokens = Codes(), [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, mark = np.concatenate(held), np.repeat(np.array(marks, np.float64), list(map(len, held)))
+            inner = np.nonzero(ids[:-1] != END)[0]
+            grams = pair_keys(ids[inner], ids[inner + 1])
+            if wanted is not None:
+                yield _sums(ids, mark, False)
+                near = _has(grams, wanted)
+                grams, inner = grams[near], inner[near]
+            yield _sums(grams, mark[inner], True)
 
-def fit(docs: DataFrame) -> Models:
-    """Both models from ``docs(text, target)``: the background from every row, the target from those marked so.
+        for batch in batches:
+            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                held.append(sequence(text, codes))
+                marks.append(bool(target))
+                tokens += len(held[-1])
+                if tokens >= HELD:
+                    yield from out()
+                    held, marks, tokens = [], [], 0
+        if tokens:
+            yield from out()
 
-    One pass counts words and bigrams. Each task adds up its own before the one shuffle.
-    """
-    small_batches(docs.sparkSession)
-    partial = docs.select("text", "target").mapInArrow(_count, "gram boolean, key long, background long, target long")
-    counts = stored(partial.groupBy("gram", "key").agg(*[F.sum(s).alias(s) for s in SIDES]), "ngram-counts")
-    words, grams = (counts.where(c).select("key", *SIDES) for c in ("not gram", "gram"))
-    spoken = words.agg(F.count("*").alias("size"), *[F.sum(F.when(F.col("key") != START, F.col(s))).alias(s) for s in SIDES]).first()
-    return Models(words, grams, (spoken["background"] or 0, spoken["target"] or 0), spoken["size"])
+    return run
+
+
+def _counted(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    partial = docs.select("text", "target").mapInArrow(_count(wanted), "gram boolean, key long, background long, target long")
+    return partial.groupBy("gram", "key").agg(*[F.sum(s).alias(s) for s in SIDES])
 
 
 def _least_hot(counts: DataFrame) -> int:
@@ -130,21 +130,39 @@ def _least_hot(counts: DataFrame) -> int:
     return least
 
 
-def _hot(counts: DataFrame, least: int) -> tuple[np.ndarray, ...]:
-    """Keys in order and both counts of the rows from ``least`` on."""
-    found = counts.where(F.col("background") >= least).toArrow()
+def _arrays(counts: DataFrame) -> Hot:
+    found = counts.toArrow()
     columns = [found.column(c).to_numpy() for c in ("key", *SIDES)]
     order = np.argsort(columns[0])
     return tuple(c[order] for c in columns)
 
 
-def _find(hot: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def fit(docs: DataFrame) -> Models:
+    """Both models from ``docs(text, target)``: the background from every row, the target from those marked so.
+
+    One pass counts all words and, of the bigrams that occur twice or more in a sample, the occurrences
+    in all rows. Each task adds up its own before the one shuffle.
+    """
+    small_batches(docs.sparkSession)
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20) < min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
+    sample = stored(_counted(docs.where(drawn), None).where("background > 1"), "sample-bigrams")
+    wanted = _arrays(sample.where(F.col("background") >= _least_hot(sample)))[0]
+    counts = stored(_counted(docs, wanted), "ngram-counts")
+    words, grams = (counts.where(c).select("key", *SIDES) for c in ("not gram", "gram"))
+    spoken = words.agg(F.count("*").alias("size"), *[F.sum(F.when(F.col("key") != START, F.col(s))).alias(s) for s in SIDES]).first()
+    least = _least_hot(words)
+    hot_words = _arrays(words.where(F.col("background") >= least))
+    return Models(words, least, hot_words, _arrays(grams), (spoken["background"] or 0, spoken["target"] or 0), spoken["size"])
+
+
+def _find(hot: Hot, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Whether each key is hot, and its two counts, else 0."""
-    if not len(hot[0]):
-        return np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64)] * 2
-    at = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
-    known = hot[0][at] == keys
-    return known, [np.where(known, c[at], 0) for c in hot[1:]]
+    known = _has(keys, hot[0])
+    at = np.searchsorted(hot[0], keys[known])
+    counts = [np.zeros(len(keys), np.int64) for _ in SIDES]
+    for n, c in zip(counts, hot[1:], strict=True):
+        n[known] = c[at]
+    return known, counts
 
 
 def _groups(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,106 +176,144 @@ def _groups(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order[starts], np.diff([*starts, len(order)]), group
 
 
-def _listed(doc: np.ndarray, docs: int, fields: dict[str, pa.Array]) -> pa.ListArray:
-    """Rows that stand in order of their documents, as a list for each."""
-    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
-
-
-def _score_some(sequences: list[np.ndarray], targets: list[bool], hot_words, hot_grams, totals: tuple[int, int], size: int, counted: bool) -> list[pa.Array]:
-    """Both sides' losses from hot words and bigrams, and lists of what is still open: bigrams, and predecessors."""
-    docs, lengths = len(sequences), np.array(list(map(len, sequences)))
-    ids, doc = np.concatenate(sequences), np.repeat(np.arange(docs), lengths)
-    own = [np.full(docs, int(counted)), np.array(targets, np.int64) * int(counted)]
-    first, times, group = _groups(doc, ids)
-    known, counts = _find(hot_words, ids[first])
-    losses = [np.zeros(docs, np.int64), np.zeros(docs, np.int64)]
-    base, followed, d = [], ids[first] != END, doc[first]
-    for side in (0, 1):
-        rest = counts[side] - times * own[side][d]
-        base.append(BACKOFF * (rest + 1) / (totals[side] - np.maximum(lengths - 1, 0) * own[side] + size)[d])
-        near = known & followed
-        np.add.at(losses[side], d[near], np.rint(times[near] * np.log(rest[near] + BACKOFF) * UNIT).astype(np.int64))
-    away = ~known & followed
-    contexts = _listed(d[away], docs, {"key": pa.array(ids[first][away]), "times": pa.array(times[away], pa.int32())})
-    at = np.nonzero(ids[:-1] != END)[0] if len(ids) else np.zeros(0, np.int64)
-    keys, d = pair_keys(ids[at], ids[at + 1]), doc[at]
-    g_first, g_times, _ = _groups(d, keys)
-    word, d = group[at[g_first] + 1], d[g_first]
-    seen, g_counts = _find(hot_grams, keys[g_first])
-    closed = seen & known[word]
-    for side in (0, 1):
-        n = g_counts[side] - g_times * own[side][d] + base[side][word]
-        np.add.at(losses[side], d[closed], np.rint(-g_times[closed] * np.log(n[closed]) * UNIT).astype(np.int64))
-    word, left = word[~closed], g_first[~closed]
-    unknown = ~known[word]
-    fields = {"key": pa.array(keys[left]), "times": pa.array(g_times[~closed], pa.int32())}
-    fields["word"] = pa.array(ids[first][word], mask=~unknown)
-    fields["own"] = pa.array(times[word], pa.int32(), mask=~unknown)
-    fields |= {s: pa.array(b[word], pa.float32(), mask=unknown) for s, b in zip(SIDES, base, strict=True)}
-    return [pa.array(np.maximum(lengths - 1, 0)), *map(pa.array, losses), _listed(d[~closed], docs, fields), contexts]
-
-
-def score(docs: DataFrame, models: Models, counted: bool = True) -> DataFrame:
-    """Rows ``(doc_id, n_words, ce_background, ce_target, score)`` of ``docs(doc_id, text, target)``; score is target less background, lower is nearer the target.
-
-    A word after another has the probability (n + BACKOFF p) / (m + BACKOFF), from the bigram's count n, the
-    predecessor's m, and the word's own share p = (c + 1) / (all + vocabulary), which adds up to 1. Where the
-    models were fitted on ``docs`` (``counted``), each row is scored by the counts less its own, so a
-    document is never likely because it was counted itself. Each text's bigrams are added up first. Only
-    those that are not hot are shuffled to their counts, so no key of those joins is hot.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    least = [_least_hot(t) for t in (models.words, models.grams)]
-    shared = spark.sparkContext.broadcast([_hot(t, n) for t, n in zip((models.words, models.grams), least, strict=True)])
-    totals, size = models.totals, models.size
+class Scorer:
+    """What a task knows of the models, and the rows it makes of its texts."""
+
+    def __init__(self, models: Models):
+        self.hot_words, self.hot_grams, self.totals, self.size = models.hot_words, models.hot_grams, models.totals, models.size
+
+    def near(self, keys: np.ndarray, sequences: list[np.ndarray], targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
+        """One closed row for each text, with its loss from hot words and bigrams, and open rows for bigrams of hot words."""
+        docs, lengths = len(sequences), np.array(list(map(len, sequences)))
+        ids, doc = np.concatenate(sequences), np.repeat(np.arange(docs), lengths)
+        own = [counted.astype(np.int64), (targets & counted).astype(np.int64)]
+        first, times, group = _groups(doc, ids)
+        known, counts = _find(self.hot_words, ids[first])
+        losses = [np.zeros(docs, np.int64), np.zeros(docs, np.int64)]
+        shares, d = [], doc[first]
+        followed = known & (ids[first] != END)
+        for side in (0, 1):
+            rest = counts[side] - times * own[side][d]
+            shares.append(BACKOFF * (rest + 1) / (self.totals[side] - np.maximum(lengths - 1, 0) * own[side] + self.size)[d])
+            np.add.at(losses[side], d[followed], np.rint(times[followed] * np.log(rest[followed] + BACKOFF) * UNIT).astype(np.int64))
+        at = np.nonzero(ids[:-1] != END)[0] if len(ids) else np.zeros(0, np.int64)
+        pairs, d = pair_keys(ids[at], ids[at + 1]), doc[at]
+        g_first, g_times, _ = _groups(d, pairs)
+        word, d, pairs = group[at[g_first] + 1], d[g_first], pairs[g_first]
+        seen, g_counts = _find(self.hot_grams, pairs)
+        closed = seen & known[word]
+        for side in (0, 1):
+            n = g_counts[side][closed] - g_times[closed] * own[side][d[closed]] + shares[side][word[closed]]
+            np.add.at(losses[side], d[closed], np.rint(-g_times[closed] * np.log(n) * UNIT).astype(np.int64))
+        left = known[word] & ~seen
+        d, word, none = d[left], word[left], np.zeros(docs, np.int64)
+        return {
+            "row_key": np.concatenate([keys, keys[d]]),
+            "key": np.concatenate([keys, pairs[left]]),
+            "times": np.concatenate([none, g_times[left]]),
+            "n_tokens": np.concatenate([np.maximum(lengths - 1, 0), np.full(len(d), OPEN)]),
+            "marked": np.concatenate([targets, targets[d]]),
+            "counted": np.concatenate([counted, counted[d]]),
+            **{s: np.concatenate([loss / UNIT, share[word].astype(np.float32)]) for s, loss, share in zip(SIDES, losses, shares, strict=True)},
+        }
+
+    def rare(self, keys: np.ndarray, sequences: list[np.ndarray], targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
+        """A row for each word of a text that is not hot, and one for each bigram that ends in it."""
+        docs, lengths = len(sequences), np.array(list(map(len, sequences)))
+        ids, doc = np.concatenate(sequences), np.repeat(np.arange(docs), lengths)
+        at = np.nonzero(~_has(ids, self.hot_words[0]))[0]
+        first, times, group = _groups(doc[at], ids[at])
+        ends = at[ids[at] != START]
+        g_first, g_times, _ = _groups(doc[ends], pair_keys(ids[ends - 1], ids[ends]))
+        own = np.zeros(len(ids), np.int64)
+        own[at] = times[group]
+        first, ends = at[first], ends[g_first]
+        first = first[ids[first] != END]
+        places = np.concatenate([first, ends])
+        return {
+            "row_key": keys[doc[places]],
+            "word": ids[places],
+            "own": own[places],
+            "gram": np.concatenate([np.zeros(len(first), bool), np.ones(len(ends), bool)]),
+            "key": np.concatenate([keys[doc[first]], pair_keys(ids[ends - 1], ids[ends])]),
+            "times": np.concatenate([own[first], g_times]),
+            "n_tokens": (lengths - 1)[doc[places]],
+            "marked": targets[doc[places]],
+            "counted": counted[doc[places]],
+        }
+
+
+#: In place of a text's tokens: a row whose loss is not known yet, and a closed row beside the text's own.
+OPEN, BESIDE = -1, -2
+NEAR = "row_key long, key long, times int, n_tokens int, marked boolean, counted boolean, background double, target double"
+RARE = "row_key long, word long, own int, gram boolean, key long, times int, n_tokens int, marked boolean, counted boolean"
+
+
+def _rows(ids: DataFrame, models: Models, which: str) -> DataFrame:
+    """Rows of all texts as the method of Scorer named ``which`` makes them."""
+    shared = ids.sparkSession.sparkContext.broadcast(Scorer(models))
+    schema = NEAR if which == "near" else RARE
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words, hot_grams = shared.value
-        codes = Codes()
+        scorer, codes = shared.value, Codes()
         for batch in batches:
-            texts, targets = batch.column("text").to_pylist(), [bool(t) for t in batch.column("target").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            keys, marked, counted = (np.array(batch.column(c).to_pylist()) for c in ("row_key", "marked", "counted"))
             begin, held, tokens = 0, [], 0
             for n, text in enumerate(texts, 1):
                 held.append(sequence(text, codes))
                 tokens += len(held[-1])
                 if tokens < SCORED and n < len(texts):
                     continue
-                found = _score_some(held, targets[begin:n], hot_words, hot_grams, totals, size, counted)
-                taken = batch.slice(begin, n - begin)
-                yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("row_id", "doc_id", "target")), *found], names)
+                found = getattr(scorer, which)(keys[begin:n], held, marked[begin:n], counted[begin:n])
+                yield pa.RecordBatch.from_arrays([pa.array(found[name], kinds[kind]) for name, kind in fields], [name for name, _ in fields])
                 begin, held, tokens = n, [], 0
 
-    names = ["row_id", "doc_id", "target", "n_tokens", "near_background", "near_target", "grams", "contexts"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"row_id long, doc_id {kind}, target boolean, n_tokens long, near_background long, near_target long, "
-        "grams array<struct<key:long,times:int,word:long,own:int,background:float,target:float>>, contexts array<struct<key:long,times:int>>"
+    return ids.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, models: Models) -> DataFrame:
+    """Rows ``(doc_id, n_words, ce_background, ce_target, score)`` of ``docs(doc_id, text, target, counted)``; score is target less background, lower is nearer the target.
+
+    A word after another has the probability (n + BACKOFF p) / (m + BACKOFF), from the bigram's count n, the
+    predecessor's m, and the word's own share p = (c + 1) / (all + vocabulary), which adds up to 1. ``models``
+    are those of the rows with ``counted``; such a row is scored by the counts less its own, so a document is
+    never likely because it was counted itself. Other rows are only scored.
+
+    Each text's words and bigrams are added up first. Bigrams that are not frequent are shuffled once, to meet
+    the others of their kind: that counts them, exactly, and scores them, and as frequent ones are not
+    among them, no key is hot. Of the words only rare ones are looked up in the table of counts.
+    """
+    small_batches(docs.sparkSession)
+    key = F.xxhash64("doc_id", "text").alias("row_key")
+    ids = docs.select(key, "text", F.coalesce("target", F.lit(False)).alias("marked"), "counted")
+    totals, size = models.totals, models.size
+    own = [F.col("counted").cast("int"), (F.col("counted") & F.col("marked")).cast("int")]
+    words = models.words.where(F.col("background") < models.least).select(F.col("key").alias("word"), *[F.col(s).alias(f"n_{s}") for s in SIDES])
+    rare = _rows(ids, models, "rare").join(words, "word", "left")
+    looked_up = []
+    for n, s in enumerate(SIDES):
+        rest = F.coalesce(f"n_{s}", F.lit(0)) - F.col("own") * own[n]
+        share = BACKOFF * (rest + 1) / (F.lit(totals[n]) - F.col("n_tokens") * own[n] + size)
+        looked_up.append(F.when(F.col("gram"), share).otherwise(F.col("times") * F.log(rest + BACKOFF)).alias(s))
+    times, state = F.when(F.col("gram"), F.col("times")).otherwise(0), F.when(F.col("gram"), OPEN).otherwise(BESIDE)
+    rare = rare.select("row_key", "key", times.alias("times"), state.alias("n_tokens"), "marked", "counted", *looked_up)
+    together = Window.partitionBy("key")
+    met = _rows(ids, models, "near").union(rare).select(
+        "row_key", "n_tokens", "times", *[c.alias(f"own_{n}") for n, c in enumerate(own)], *SIDES, *[F.sum(F.col("times") * own[n]).over(together).alias(f"n_{s}") for n, s in enumerate(SIDES)]
     )
-    ids = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "target", "text")
-    rows = stored(ids.mapInArrow(run, schema), "scored-texts")
-    own = [F.lit(int(counted)), F.coalesce(F.col("marked").cast("int"), F.lit(0)) * int(counted)]
-    # a hot bigram is open where its word is not hot, and then it occurs less often than a hot word
-    below = ((models.words, least[0]), (models.grams, max(least)))
-    words, grams = (t.where(F.col("background") < n).select("key", *[F.col(s).alias(f"n_{s}") for s in SIDES]) for t, n in below)
-
-    def rest(side: int, times: Column) -> Column:
-        return F.coalesce(f"n_{SIDES[side]}", F.lit(0)) - times * own[side]
-
-    each = rows.select("row_id", F.col("target").alias("marked"), "n_tokens", F.explode("grams").alias("g")).select("row_id", "marked", "n_tokens", "g.*")
-    plain = ["row_id", "marked", "key", "times"]
-    shares = [(BACKOFF * (rest(n, F.col("own")) + 1) / (F.lit(totals[n]) - F.col("n_tokens") * own[n] + size)).alias(s) for n, s in enumerate(SIDES)]
-    rare = each.where("word is not null").join(words.withColumnRenamed("key", "word"), "word", "left").select(*plain, *shares)
-    every = each.where("word is null").select(*plain, *[F.col(s).cast("double").alias(s) for s in SIDES]).union(rare)
-    losses = [F.round(-F.col("times") * F.log(rest(n, F.col("times")) + F.col(s)) * UNIT).cast("long").alias(s) for n, s in enumerate(SIDES)]
-    open_grams = every.join(grams, "key", "left").select("row_id", *losses)
-    before = rows.select("row_id", F.col("target").alias("marked"), F.explode("contexts").alias("c")).select("row_id", "marked", "c.*").join(words, "key", "left")
-    weights = [F.round(F.col("times") * F.log(rest(n, F.col("times")) + BACKOFF) * UNIT).cast("long").alias(s) for n, s in enumerate(SIDES)]
-    found = open_grams.union(before.select("row_id", *weights)).groupBy("row_id").agg(*[F.sum(s).alias(s) for s in SIDES])
-    both = rows.drop("grams", "contexts", "target").join(found, "row_id", "left")
-    nats = [F.when(F.col("n_tokens") > 0, (F.col(f"near_{s}") + F.coalesce(s, F.lit(0))) / F.lit(float(UNIT)) / F.col("n_tokens")).alias(f"ce_{s}") for s in SIDES]
-    scored = both.select("doc_id", F.greatest(F.col("n_tokens") - 1, F.lit(0)).alias("n_words"), *nats)
+    losses = []
+    for n, s in enumerate(SIDES):
+        nats = F.when(F.col("n_tokens") != OPEN, F.col(s)).otherwise(-F.col("times") * F.log(F.col(f"n_{s}") - F.col("times") * F.col(f"own_{n}") + F.col(s)))
+        losses.append(F.sum(F.round(nats * UNIT).cast("long")).alias(s))
+    text = F.col("n_tokens") >= 0
+    sums = met.groupBy("row_key").agg(*losses, F.count_if(text).alias("copies"), F.max("n_tokens").alias("n_tokens"))
+    names = docs.select(key, "doc_id")
+    tokens = F.col("n_tokens")
+    nats = [F.when(tokens > 0, F.col(s) / F.col("copies") / F.lit(float(UNIT)) / tokens).alias(f"ce_{s}") for s in SIDES]
+    scored = names.join(sums, "row_key").select("doc_id", F.greatest(tokens - 1, F.lit(0)).cast("long").alias("n_words"), *nats)
     return scored.withColumn("score", F.col("ce_target") - F.col("ce_background"))
 
 
@@ -270,5 +326,5 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """
     ids = stored(target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "target-ids")
     joined = docs.select("doc_id", "text").join(broadcast_if_small(ids, IDS_ROWS), "doc_id", "left")
-    marked = joined.withColumn("target", F.coalesce("target", F.lit(False)))
+    marked = joined.withColumns({"target": F.coalesce("target", F.lit(False)), "counted": F.lit(True)})
     return score(marked, fit(marked))

@@ -40,8 +40,9 @@ def brute_scores(docs, targets, counted=True):
     return out
 
 
-def marked(spark, docs, targets):
-    return R.frame(spark, docs, extra=False).withColumn("target", F.coalesce(F.col("doc_id").isin(targets), F.lit(False)))
+def marked(spark, docs, targets, counted=True):
+    target = F.coalesce(F.col("doc_id").isin(targets), F.lit(False))
+    return R.frame(spark, docs, extra=False).withColumns({"target": target, "counted": F.lit(counted)})
 
 
 @pytest.mark.parametrize("hot", [0, 9, 40, lm_scoring.HOT])
@@ -80,8 +81,10 @@ def test_probabilities_add_up_to_one(spark):
     docs = [(1, "a b a b a c"), (2, "a b")]
     df = marked(spark, docs, {2})
     models = lm_scoring.fit(df)
-    fresh = [(0, "a"), (1, "a a"), (2, "a b"), (3, "a c"), (4, "a unknown")]
-    found = {r.doc_id: r for r in lm_scoring.score(marked(spark, fresh, set()), models, counted=False).collect()}
+    fresh = [(10, "a"), (11, "a a"), (12, "a b"), (13, "a c"), (14, "a unknown")]
+    both = df.union(marked(spark, fresh, set(), counted=False))
+    found = {r.doc_id - 10: r for r in lm_scoring.score(both, models).collect() if r.doc_id >= 10}
+    fresh = [(i - 10, t) for i, t in fresh]
     for side in ("ce_background", "ce_target"):
         loss = {i: found[i][side] * (len(t.split()) + 1) for i, t in fresh}
         words = Counter("a b a b a c a b".split() if side == "ce_background" else ["a", "b"])
@@ -113,7 +116,7 @@ def test_few_tokens_held_at_a_time_give_the_same_counts(monkeypatch):
         monkeypatch.setattr(lm_scoring, "HELD", held)
         total = Counter()
         batch = pa.RecordBatch.from_pydict({"text": ["a b c a", None, "d e f g a", "a b"], "target": [True, True, False, None]})
-        for found in lm_scoring._count(iter([batch])):
+        for found in lm_scoring._count(None)(iter([batch])):
             for row in found.to_pylist():
                 total[row["gram"], row["key"], "all"] += row["background"]
                 total[row["gram"], row["key"], "target"] += row["target"]
