@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm.common import Codes, broadcast_if_small, small_batches, stored
@@ -155,19 +155,20 @@ def fit(docs: DataFrame) -> Models:
     return Models(words, least, hot_words, _arrays(grams), (spoken["background"] or 0, spoken["target"] or 0), spoken["size"])
 
 
-def _find(hot: Hot, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Whether each key is hot, and its two counts, else 0."""
-    known = _has(keys, hot[0])
-    at = np.searchsorted(hot[0], keys[known])
+def _find(hot: Hot, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Whether each key is hot, its place among the hot ones, and its two counts, else 0."""
+    known, place = _has(keys, hot[0]), np.zeros(len(keys), np.int64)
+    place[known] = np.searchsorted(hot[0], keys[known])
     counts = [np.zeros(len(keys), np.int64) for _ in SIDES]
     for n, c in zip(counts, hot[1:], strict=True):
-        n[known] = c[at]
-    return known, counts
+        n[known] = c[place[known]]
+    return known, place, counts
 
 
 def _groups(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of each document's different keys, how often each occurs, and the group of every position."""
-    order = np.lexsort((keys, doc))
+    order = np.argsort(keys)
+    order = order[np.argsort(doc[order], kind="stable")]
     new = np.ones(len(order), bool)
     new[1:] = (doc[order][1:] != doc[order][:-1]) | (keys[order][1:] != keys[order][:-1])
     starts = np.nonzero(new)[0]
@@ -176,51 +177,70 @@ def _groups(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order[starts], np.diff([*starts, len(order)]), group
 
 
+def _joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All codes, the text of each, and the texts' lengths. Batches are small, so short numbers name the texts, which sort fast."""
+    lengths = np.array(list(map(len, sequences)))
+    return np.concatenate(sequences), np.repeat(np.arange(len(sequences), dtype=np.uint16), lengths), lengths
+
+
+#: States of a row on its way: a text's own one, another whose loss is known, a bigram of a hot word, one of a rare word.
+TEXT, CLOSED, NEAR, RARE = range(4)
+
+
 class Scorer:
     """What a task knows of the models, and the rows it makes of its texts."""
 
     def __init__(self, models: Models):
         self.hot_words, self.hot_grams, self.totals, self.size = models.hot_words, models.hot_grams, models.totals, models.size
 
-    def near(self, keys: np.ndarray, sequences: list[np.ndarray], targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
-        """One closed row for each text, with its loss from hot words and bigrams, and open rows for bigrams of hot words."""
-        docs, lengths = len(sequences), np.array(list(map(len, sequences)))
-        ids, doc = np.concatenate(sequences), np.repeat(np.arange(docs), lengths)
-        own = [counted.astype(np.int64), (targets & counted).astype(np.int64)]
+    def near(self, keys: np.ndarray, sequences: list[np.ndarray], marked: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
+        """One row for each text, with its loss as far as hot words and bigrams tell it, and one for each other bigram that ends in a hot word.
+
+        The text's loss takes those bigrams for unseen elsewhere. A bigram of two hot words is named by their places;
+        beside another key stands the place of its word, from 1.
+        """
+        ids, doc, lengths = _joined(sequences)
+        docs, own = len(sequences), [counted.astype(np.int64), (marked & counted).astype(np.int64)]
         first, times, group = _groups(doc, ids)
-        known, counts = _find(self.hot_words, ids[first])
+        known, place, counts = _find(self.hot_words, ids[first])
         losses = [np.zeros(docs, np.int64), np.zeros(docs, np.int64)]
         shares, d = [], doc[first]
         followed = known & (ids[first] != END)
+
+        def add(side: int, rows: np.ndarray, nats: np.ndarray) -> None:
+            np.add.at(losses[side], rows, np.rint(nats * UNIT).astype(np.int64))
+
         for side in (0, 1):
             rest = counts[side] - times * own[side][d]
             shares.append(BACKOFF * (rest + 1) / (self.totals[side] - np.maximum(lengths - 1, 0) * own[side] + self.size)[d])
-            np.add.at(losses[side], d[followed], np.rint(times[followed] * np.log(rest[followed] + BACKOFF) * UNIT).astype(np.int64))
+            add(side, d[followed], times[followed] * np.log(rest[followed] + BACKOFF))
         at = np.nonzero(ids[:-1] != END)[0] if len(ids) else np.zeros(0, np.int64)
         pairs, d = pair_keys(ids[at], ids[at + 1]), doc[at]
         g_first, g_times, _ = _groups(d, pairs)
-        word, d, pairs = group[at[g_first] + 1], d[g_first], pairs[g_first]
-        seen, g_counts = _find(self.hot_grams, pairs)
-        closed = seen & known[word]
+        word, before, d, pairs = group[at[g_first] + 1], group[at[g_first]], d[g_first], pairs[g_first]
+        seen, _, g_counts = _find(self.hot_grams, pairs)
         for side in (0, 1):
-            n = g_counts[side][closed] - g_times[closed] * own[side][d[closed]] + shares[side][word[closed]]
-            np.add.at(losses[side], d[closed], np.rint(-g_times[closed] * np.log(n) * UNIT).astype(np.int64))
+            n = np.where(seen, g_counts[side] - g_times * own[side][d], 0) + shares[side][word]
+            add(side, d[known[word]], -g_times[known[word]] * np.log(n[known[word]]))
         left = known[word] & ~seen
-        d, word, none = d[left], word[left], np.zeros(docs, np.int64)
+        d, word, before = d[left], word[left], before[left]
+        both, zeros, tokens = known[before], np.zeros(docs, np.int64), np.maximum(lengths - 1, 0)
         return {
             "row_key": np.concatenate([keys, keys[d]]),
-            "key": np.concatenate([keys, pairs[left]]),
-            "times": np.concatenate([none, g_times[left]]),
-            "n_tokens": np.concatenate([np.maximum(lengths - 1, 0), np.full(len(d), OPEN)]),
-            "marked": np.concatenate([targets, targets[d]]),
+            "key": np.concatenate([keys, np.where(both, place[before] << 32 | place[word], pairs[left])]),
+            "word": np.concatenate([zeros, np.where(both, 0, place[word] + 1)]),
+            "state": np.concatenate([zeros + TEXT, np.full(len(d), NEAR)]),
+            "times": np.concatenate([zeros, g_times[left]]),
+            "own": np.concatenate([zeros, times[word]]),
+            "n_tokens": np.concatenate([tokens, tokens[d]]),
+            "marked": np.concatenate([marked, marked[d]]),
             "counted": np.concatenate([counted, counted[d]]),
-            **{s: np.concatenate([loss / UNIT, share[word].astype(np.float32)]) for s, loss, share in zip(SIDES, losses, shares, strict=True)},
+            **{s: np.concatenate([loss / UNIT, np.zeros(len(d))]) for s, loss in zip(SIDES, losses, strict=True)},
         }
 
-    def rare(self, keys: np.ndarray, sequences: list[np.ndarray], targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
+    def rare(self, keys: np.ndarray, sequences: list[np.ndarray], marked: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
         """A row for each word of a text that is not hot, and one for each bigram that ends in it."""
-        docs, lengths = len(sequences), np.array(list(map(len, sequences)))
-        ids, doc = np.concatenate(sequences), np.repeat(np.arange(docs), lengths)
+        ids, doc, lengths = _joined(sequences)
         at = np.nonzero(~_has(ids, self.hot_words[0]))[0]
         first, times, group = _groups(doc[at], ids[at])
         ends = at[ids[at] != START]
@@ -232,27 +252,25 @@ class Scorer:
         places = np.concatenate([first, ends])
         return {
             "row_key": keys[doc[places]],
-            "word": ids[places],
+            "rare_word": ids[places],
             "own": own[places],
             "gram": np.concatenate([np.zeros(len(first), bool), np.ones(len(ends), bool)]),
             "key": np.concatenate([keys[doc[first]], pair_keys(ids[ends - 1], ids[ends])]),
             "times": np.concatenate([own[first], g_times]),
             "n_tokens": (lengths - 1)[doc[places]],
-            "marked": targets[doc[places]],
+            "marked": marked[doc[places]],
             "counted": counted[doc[places]],
         }
 
 
-#: In place of a text's tokens: a row whose loss is not known yet, and a closed row beside the text's own.
-OPEN, BESIDE = -1, -2
-NEAR = "row_key long, key long, times int, n_tokens int, marked boolean, counted boolean, background double, target double"
-RARE = "row_key long, word long, own int, gram boolean, key long, times int, n_tokens int, marked boolean, counted boolean"
+NEAR_ROWS = "row_key long, key long, word int, state int, times int, own int, n_tokens int, marked boolean, counted boolean, background double, target double"
+RARE_ROWS = "row_key long, rare_word long, own int, gram boolean, key long, times int, n_tokens int, marked boolean, counted boolean"
 
 
 def _rows(ids: DataFrame, models: Models, which: str) -> DataFrame:
     """Rows of all texts as the method of Scorer named ``which`` makes them."""
     shared = ids.sparkSession.sparkContext.broadcast(Scorer(models))
-    schema = NEAR if which == "near" else RARE
+    schema = NEAR_ROWS if which == "near" else RARE_ROWS
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
@@ -283,37 +301,49 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     never likely because it was counted itself. Other rows are only scored.
 
     Each text's words and bigrams are added up first. Bigrams that are not frequent are shuffled once, to meet
-    the others of their kind: that counts them, exactly, and scores them, and as frequent ones are not
-    among them, no key is hot. Of the words only rare ones are looked up in the table of counts.
+    the others of their kind: that counts them, exactly, and as frequent ones are not among them, no key is
+    hot. Those seen elsewhere then correct their texts' losses. Of the words only rare ones are looked up in
+    the table of counts; the others, which are bounded, are broadcast.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     key = F.xxhash64("doc_id", "text").alias("row_key")
     ids = docs.select(key, "text", F.coalesce("target", F.lit(False)).alias("marked"), "counted")
-    totals, size = models.totals, models.size
     own = [F.col("counted").cast("int"), (F.col("counted") & F.col("marked")).cast("int")]
-    words = models.words.where(F.col("background") < models.least).select(F.col("key").alias("word"), *[F.col(s).alias(f"n_{s}") for s in SIDES])
-    rare = _rows(ids, models, "rare").join(words, "word", "left")
-    looked_up = []
-    for n, s in enumerate(SIDES):
-        rest = F.coalesce(f"n_{s}", F.lit(0)) - F.col("own") * own[n]
-        share = BACKOFF * (rest + 1) / (F.lit(totals[n]) - F.col("n_tokens") * own[n] + size)
-        looked_up.append(F.when(F.col("gram"), share).otherwise(F.col("times") * F.log(rest + BACKOFF)).alias(s))
-    times, state = F.when(F.col("gram"), F.col("times")).otherwise(0), F.when(F.col("gram"), OPEN).otherwise(BESIDE)
-    rare = rare.select("row_key", "key", times.alias("times"), state.alias("n_tokens"), "marked", "counted", *looked_up)
+
+    def share(n: int, count: str) -> Column:
+        rest = F.coalesce(count, F.lit(0)) - F.col("own") * own[n]
+        return BACKOFF * (rest + 1) / (F.lit(models.totals[n]) - F.col("n_tokens") * own[n] + models.size)
+
+    words = models.words.where(F.col("background") < models.least).select(F.col("key").alias("rare_word"), *[F.col(s).alias(f"c_{s}") for s in SIDES])
+    rare = _rows(ids, models, "rare").join(words, "rare_word", "left")
+    gram = F.col("gram")
+    before = [F.col("times") * F.log(F.coalesce(f"c_{s}", F.lit(0)) - F.col("own") * own[n] + BACKOFF) for n, s in enumerate(SIDES)]
+    looked_up = {
+        "word": F.lit(0),
+        "state": F.when(gram, RARE).otherwise(CLOSED),
+        "times": F.when(gram, F.col("times")).otherwise(0),
+        **{s: F.when(gram, share(n, f"c_{s}")).otherwise(before[n]) for n, s in enumerate(SIDES)},
+    }
+    near = _rows(ids, models, "near")
+    open_rows = near.union(rare.select(*[looked_up[c].alias(c) if c in looked_up else F.col(c) for c in near.columns]))
     together = Window.partitionBy("key")
-    met = _rows(ids, models, "near").union(rare).select(
-        "row_key", "n_tokens", "times", *[c.alias(f"own_{n}") for n, c in enumerate(own)], *SIDES, *[F.sum(F.col("times") * own[n]).over(together).alias(f"n_{s}") for n, s in enumerate(SIDES)]
-    )
+    others = [(F.sum(F.col("times") * own[n]).over(together) - F.col("times") * own[n]).alias(f"n_{s}") for n, s in enumerate(SIDES)]
+    met = open_rows.select("*", *others)
+    place = F.when(F.col("word") > 0, F.col("word") - 1).otherwise(F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    met = met.withColumn("place", F.when((F.col("state") == NEAR) & (F.col("n_background") > 0), place))
+    counts = pa.table({"place": pa.array(np.arange(len(models.hot_words[0]), dtype=np.int32)), "h_background": models.hot_words[1], "h_target": models.hot_words[2]})
+    hot = spark.createDataFrame(counts)
     losses = []
     for n, s in enumerate(SIDES):
-        nats = F.when(F.col("n_tokens") != OPEN, F.col(s)).otherwise(-F.col("times") * F.log(F.col(f"n_{s}") - F.col("times") * F.col(f"own_{n}") + F.col(s)))
+        seen = F.when(F.col("place").isNotNull(), -F.col("times") * F.log(F.col(f"n_{s}") / share(n, f"h_{s}") + 1)).otherwise(0.0)
+        nats = F.when(F.col("state") == NEAR, seen).when(F.col("state") == RARE, -F.col("times") * F.log(F.col(f"n_{s}") + F.col(s))).otherwise(F.col(s))
         losses.append(F.sum(F.round(nats * UNIT).cast("long")).alias(s))
-    text = F.col("n_tokens") >= 0
-    sums = met.groupBy("row_key").agg(*losses, F.count_if(text).alias("copies"), F.max("n_tokens").alias("n_tokens"))
-    names = docs.select(key, "doc_id")
+    met = met.join(F.broadcast(hot), "place", "left")
+    sums = met.groupBy("row_key").agg(*losses, F.count_if(F.col("state") == TEXT).alias("copies"), F.max("n_tokens").alias("n_tokens"))
     tokens = F.col("n_tokens")
     nats = [F.when(tokens > 0, F.col(s) / F.col("copies") / F.lit(float(UNIT)) / tokens).alias(f"ce_{s}") for s in SIDES]
-    scored = names.join(sums, "row_key").select("doc_id", F.greatest(tokens - 1, F.lit(0)).cast("long").alias("n_words"), *nats)
+    scored = docs.select(key, "doc_id").join(sums, "row_key").select("doc_id", F.greatest(tokens - 1, F.lit(0)).cast("long").alias("n_words"), *nats)
     return scored.withColumn("score", F.col("ce_target") - F.col("ce_background"))
 
 
