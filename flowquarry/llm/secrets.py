@@ -158,27 +158,59 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return by_key.select("row_key", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _matches(text: Column, rule: Rule) -> tuple[Column, Column, Column]:
-    """The text between leftmost matches, the matches, and of each its group whose length counts."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    return F.split(text, rule.pattern, -1), whole, tested
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _matches(text: Column, rule: Rule) -> Column:
+    """An array of the leftmost matches: the text before each, the match, and its group whose length counts.
+
+    The last element has only the text after all matches. Each pattern runs over the text a fixed number of times.
+    """
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("whole")
+    tested = [F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("tested")] if rule.group else []
+    return F.arrays_zip(F.split(text, rule.pattern, -1).alias("before"), whole, *tested)
+
+
+def _long_enough(match: Column, rule: Rule) -> Column:
+    return F.char_length(match["tested" if rule.group else "whole"]) >= rule.least
 
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Code-point spans of the rule's leftmost matches that are long enough."""
-    between, whole, tested = _matches(text, rule)
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("found"))
+    """Code-point spans of the rule's leftmost matches that are long enough.
+
+    Places are running sums of lengths. They are taken over runs of about the square root of the matches
+    and then within each, so a text of n matches takes steps in proportion to the power 1.5 of n.
+    """
+    none = F.expr(f"cast(array() as {SPAN})")
+    sized = F.transform(
+        F.filter(_matches(text, rule), lambda m: m["whole"].isNotNull()),
+        lambda m: F.struct(F.char_length(m["before"]).alias("gap"), F.char_length(m["whole"]).alias("size"), _long_enough(m, rule).alias("fits")),
+    )
+
+    def in_runs(sizes: Column) -> Column:
+        run = F.ceil(F.sqrt(F.size(sizes))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, run), lambda at: F.slice(sizes, at + 1, run))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc.at + F.char_length(F.get(between, i))
-        end = begin + F.char_length(F.get(whole, i))
+    def starts(runs: Column) -> Column:
+        lengths = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda total, m: total + m["gap"] + m["size"]))
+        first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("list"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["list"], F.array(acc["at"])).alias("list"))
+        return F.aggregate(lengths, first, step, lambda acc: acc["list"])
+
+    def step(acc: Column, m: Column) -> Column:
+        begin = acc["at"] + m["gap"]
+        end = begin + m["size"]
         span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        long_enough = F.char_length(F.get(tested, i)) >= rule.least
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc.found, span)).otherwise(acc.found).alias("found"))
+        return F.struct(end.alias("at"), F.when(m["fits"], F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+
+    def placed(runs: Column) -> Column:
+        each = F.arrays_zip(runs.alias("run"), starts(runs).alias("start"))
+        return F.flatten(F.transform(each, lambda r: F.aggregate(r["run"], F.struct(r["start"].alias("at"), none.alias("found")), step, lambda acc: acc["found"])))
 
-    scanned = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step, lambda acc: acc.found)
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), scanned).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    scanned = _bound(sized, lambda sizes: _bound(in_runs(sizes), placed))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), scanned).otherwise(none)
 
 
 def _candidate_docs(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -213,23 +245,14 @@ def listing(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def _masked(text: Column, rule: Rule) -> Column:
-    between, whole, tested = _matches(text, rule)
-    pieces = F.transform(
-        between,
-        lambda part, i: F.concat(
-            part,
-            F.when(i >= F.size(whole), F.lit(""))
-            .when(F.char_length(F.get(tested, i)) >= rule.least, F.lit(f"<{rule.kind.upper()}>"))
-            .otherwise(F.get(whole, i)),
-        ),
-    )
-    return F.array_join(pieces, "")
+    mask = lambda m: F.when(m["whole"].isNull(), F.lit("")).when(_long_enough(m, rule), F.lit(f"<{rule.kind.upper()}>")).otherwise(m["whole"])
+    return F.array_join(F.transform(_matches(text, rule), lambda m: F.concat(m["before"], mask(m))), "")
 
 
 def _mask_if(text: Column, admitted: Column, rule: Rule) -> Column:
     """The masked text. A lambda names the text, so that rule upon rule makes the expression longer but not wider."""
     found = lambda t: admitted & F.regexp_like(t, F.lit(rule.pattern))
-    return F.get(F.transform(F.array(text), lambda t: F.when(found(t), _masked(t, rule)).otherwise(t)), F.lit(0))
+    return _bound(text, lambda t: F.when(found(t), _masked(t, rule)).otherwise(t))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

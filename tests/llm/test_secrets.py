@@ -104,3 +104,16 @@ def test_index_skips_documents_without_the_trigrams(spark):
 def test_empty_table(spark):
     assert secrets.scan(R.empty(spark)).count() == 0
     assert secrets.redact(R.empty(spark)).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """20,000 checksums in one text: places must not be found again from the start for each."""
+    import time
+
+    text = " ".join(f"{i:08x}deadbeef" for i in range(20_000)) + " password=" + "k" * 20
+    began = time.time()
+    [row] = secrets.scan(R.frame(spark, [(1, text)])).select("found").collect()
+    assert [tuple(s) for s in row.found] == brute(text)
+    [out] = secrets.redact(R.frame(spark, [(1, text)], extra=False).withColumn("n_chars", F.lit(0).cast("long"))).collect()
+    assert out.text.count("<HEX>") == 20_000
+    assert time.time() - began < 60
