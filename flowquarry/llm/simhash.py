@@ -53,12 +53,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         grams = [b" ".join(words)]
     else:
         grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
-    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), "<u8", len(grams)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit number whose bits are set where over half of the hashes have them."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(grams), CHUNK):
-        hashes = np.array([digest(g, seed) for g in grams[at : at + CHUNK]], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(grams), bitorder="little").tobytes(), "little")
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,22 +93,28 @@ def pivot_table(fp: Column) -> list[Column]:
     return [F.array(*[distance(fp, F.lit(signed(p))) - base for p in group]) for group in pivot_groups()]
 
 
-def coordinate_gap(fp_a: Column, fp_b: Column, every: int = 4) -> Column:
-    """The largest difference of the two rows' distances to the references, over each ``every``-th one."""
-    pivots = [BASE_PIVOT, *[p for group in pivot_groups() for p in group][::every]]
+def coordinate_gap(fp_a: Column, fp_b: Column) -> Column:
+    """The largest difference of the two rows' distances to a reference. It is never more than their own distance."""
+    pivots = [BASE_PIVOT, *[p for group in pivot_groups() for p in group]]
     return F.greatest(*[F.abs(distance(fp_a, F.lit(signed(p))) - distance(fp_b, F.lit(signed(p)))) for p in pivots])
 
 
+def verified(pairs: DataFrame, max_distance: int, a: str = "a", b: str = "b") -> DataFrame:
+    """Candidate pairs less those that a pivot coordinate discards, and of the survivors those within ``max_distance``."""
+    left, right = F.col(a), F.col(b)
+    return pairs.where(coordinate_gap(left, right) <= max_distance).where(distance(left, right) <= max_distance)
+
+
 def links(fps: DataFrame, max_distance: int = 2, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """Links ``(a, b)`` that connect all distinct fingerprints of ``fps(fp)`` at ``max_distance`` (at most 2) or less.
 
     At most two of the four pivot groups can differ within such a pair, so it shares its coordinates in
-    two whole groups: those coordinates are the bucket key, six per fingerprint. In a bucket up to
-    ``small_bucket`` members, pairs are discarded when any pivot coordinate differs by more than
-    ``max_distance`` and the rest are verified. A larger bucket, as a big family of near copies makes,
-    emits no pairs: each member is listed under itself and each fingerprint one bit away in the two open
-    groups. Members within two bits share such a neighbour, members that share one are within two bits,
-    and each is linked to the neighbour's smallest member. So every component is whole.
+    two whole groups: those coordinates are the bucket key, six per fingerprint. A bucket up to
+    ``small_bucket`` members offers its pairs as candidates. In a larger one, as a big family of near copies
+    makes, each member is listed under itself and each fingerprint one bit away in the two open groups;
+    members within two bits share such a neighbour, and each is a candidate with the neighbour's smallest
+    member. All candidates are discarded when any pivot coordinate differs by more than ``max_distance``, and
+    the rest are verified. So every component is whole, and the work of a bucket grows with its members alone.
     """
     if not 0 <= max_distance <= 2:
         raise ValueError("max_distance must be 0, 1 or 2")
@@ -127,8 +136,6 @@ def links(fps: DataFrame, max_distance: int = 2, small_bucket: int = SMALL_BUCKE
     pairs = (
         left.join(right, ["pair", "bucket"])
         .where(F.col("a") < F.col("b"))
-        .where(coordinate_gap(F.col("a"), F.col("b")) <= max_distance)
-        .where(distance(F.col("a"), F.col("b")) <= max_distance)
         .select("a", "b")
     )
     open_bits = [
@@ -139,12 +146,12 @@ def links(fps: DataFrame, max_distance: int = 2, small_bucket: int = SMALL_BUCKE
     if max_distance == 1:
         many = sized.where(F.col("n") > small_bucket).select("fp", F.explode(F.element_at(flips, F.col("pair") + 1)).alias("flip"))
         near = many.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("b"))
-        return pairs.union(near.join(fps.select(F.col("fp").alias("b")), "b").select(F.col("fp").alias("a"), "b"))
+        return verified(pairs.union(near.join(fps.select(F.col("fp").alias("b")), "b").select(F.col("fp").alias("a"), "b")), max_distance)
     many = sized.where(F.col("n") > small_bucket).select("fp", F.explode(F.element_at(flips, F.col("pair") + 1)).alias("flip"))
     hubs = many.groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).agg(F.min("fp").alias("a"), F.max("fp").alias("z"))
     shared = stored(hubs.where("a < z").select("hub", "a"), "pivot-hubs")
     near = many.select(F.col("fp").alias("b"), F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
-    return pairs.union(near.join(shared, "hub").where("a < b").select("a", "b"))
+    return verified(pairs.union(near.join(shared, "hub").where("a < b").select("a", "b")), max_distance)
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 2) -> DataFrame:
@@ -173,7 +180,10 @@ def keep_one(docs: DataFrame, max_distance: int = 2, broadcast_rows: int = 1_000
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``docs`` with one row of each group of ``groups(doc_id, row_key, root)``, as :func:`keep_one` chooses it."""
+    """``docs`` with one row of each group of ``groups(doc_id, row_key, root)``, as :func:`keep_one` chooses it.
+
+    Of rows with the same id and text the one stays whose columns, written as JSON, come first.
+    """
     rows = stored(groups, "near-duplicates")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
     first = rows.groupBy("root").agg(F.min(order).alias("kept")).select("root", "kept.row_key").withColumnRenamed("row_key", "kept_key")
@@ -188,7 +198,8 @@ def keep_first(docs: DataFrame, groups: DataFrame, broadcast_rows: int = 1_000_0
         return kept.select("doc.*")
     small = broadcast_if_small(repeated, broadcast_rows)
     once = kept.join(small, "row_key", "left_anti").select("doc.*")
-    return once.union(kept.join(small, "row_key", "left_semi").select("doc.*").dropDuplicates(["doc_id", "text"]))
+    many = kept.join(small, "row_key", "left_semi").groupBy("row_key").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return once.union(many.select("doc.*"))
 
 
 def as_hex(fp: Column) -> Column:

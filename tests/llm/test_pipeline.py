@@ -4,8 +4,8 @@ import __spark_entry__
 import corpus_pipeline
 from flowquarry.llm import catalog
 from tests.llm import rows as R
+from tests.llm.test_jaccard import brute_groups
 from tests.llm.test_secrets import brute
-from tests.llm.test_simhash import brute_fingerprint
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,8 +33,7 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert kept.count() == docs.where(docs.text.rlike(r"\p{L}")).count()
     one = steps["simhash_near_dedup"](spark, kept, sf)
     assert one.columns == docs.columns
-    groups = R.components({brute_fingerprint(r.text) for r in kept.collect()}, lambda a, b: (a ^ b).bit_count() <= 2)
-    assert one.count() == len(set(groups.values()))
+    assert one.count() == len(set(brute_groups([r.text for r in kept.collect()]).values()))
     clean = steps["secret_scan"](spark, one, sf)
     assert clean.columns == docs.columns
     assert clean.count() == one.count()
