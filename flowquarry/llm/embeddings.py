@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm.common import broadcast_if_small, small_batches, stored
@@ -14,7 +14,8 @@ from flowquarry.llm.components import connected_components
 
 #: Vectors in a block, about: a product of two blocks stays within some MB.
 BLOCK_ROWS = 1024
-MAX_CELLS = 1024
+#: Cells: so many at least and at most, and so many parts of a cell that is larger than a block.
+LEAST_CELLS, MAX_CELLS, PARTS = 4, 1024, 16
 #: Slack for rounding in angles.
 SLACK = 1e-6
 
@@ -32,6 +33,21 @@ def spherical_k_means(vectors: np.ndarray, cells: int, rounds: int = 8, seed: in
     return centers
 
 
+def parts_of(vectors: np.ndarray, centers: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each unit vector, and within it the part whose direction is nearest to the way from the cell's center."""
+    cell = (vectors @ centers.T).argmax(axis=1)
+    return cell, ((vectors - centers[cell]) @ parts.T).argmax(axis=1)
+
+
+def fit_cells(vectors: np.ndarray, cells: int, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of cells, and of the ways from them to their vectors, which all cells share."""
+    centers = spherical_k_means(vectors, cells)
+    ways = vectors - centers[(vectors @ centers.T).argmax(axis=1)]
+    length = np.linalg.norm(ways, axis=1, keepdims=True)
+    ways = (ways / np.maximum(length, 1e-12))[length[:, 0] > 1e-9]
+    return centers, spherical_k_means(ways, parts) if len(ways) else centers[:1]
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector has a direction: not null, not empty, all components finite, not all zero."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -80,22 +96,18 @@ def angle(a: Column, b: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
 
 
-def near_cells(caps: DataFrame, centers: np.ndarray | None, widest: float) -> DataFrame:
+def near_cells(caps: DataFrame, widest: float) -> DataFrame:
     """Rows ``(label, d, cell_a, cell_b)``, cell_a <= cell_b, of cells that may hold vectors within the angle ``widest``.
 
-    ``caps(label, d, cell, center, radius)`` are the blocks'. A cell reaches from its centroid as far as its
-    farthest block does; a cell without a centroid may be near any. A label has ``MAX_CELLS`` cells at most
-    for each length of vectors.
+    ``caps(label, d, cell, center, radius)`` are the blocks'. A cell reaches from one of its blocks' centers as
+    far as its farthest block does. A label has ``MAX_CELLS`` cells at most for each length of vectors.
     """
-    found = [] if centers is None else [(i, c.tolist()) for i, c in enumerate(centers)]
-    homes = caps.sparkSession.createDataFrame(found, "cell int, home array<double>")
-    reach = F.when(F.col("home").isNotNull(), angle(F.col("home"), F.col("center")) + F.col("radius")).otherwise(float(np.pi))
-    cells = stored(
-        caps.join(F.broadcast(homes), "cell", "left").groupBy("label", "d", "cell").agg(F.max(reach).alias("reach"), F.any_value("home").alias("home")), "cell-caps"
-    )
+    homes = stored(caps.groupBy("label", "d", "cell").agg(F.min("center").alias("home")), "cell-homes")
+    reach = F.max(angle(F.col("home"), F.col("center")) + F.col("radius")).alias("reach")
+    cells = stored(caps.join(homes, ["label", "d", "cell"]).groupBy("label", "d", "cell", "home").agg(reach), "cell-caps")
     one, two = (cells.select("label", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "reach", "home")]) for s in "ab")
     apart = angle(F.col("home_a"), F.col("home_b")) - F.col("reach_a") - F.col("reach_b")
-    pairs = one.join(two, ["label", "d"]).where((F.col("cell_a") <= F.col("cell_b")) & (F.coalesce(apart, F.lit(0.0)) <= widest))
+    pairs = one.join(two, ["label", "d"]).where((F.col("cell_a") <= F.col("cell_b")) & (apart <= widest))
     return pairs.select("label", "d", "cell_a", "cell_b")
 
 
@@ -131,8 +143,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     Vectors link when their labels are equal and not null, their lengths are equal, and their cosine in
     double precision is at least ``threshold``. Equal vectors are made one class first, so a vector
     repeated any number of times costs one. Classes get their home cell from centroids fitted on a bounded
-    sample of about ``sample_rows``; each label's cell is cut into blocks of about ``block_rows``. Two
-    blocks are compared unless the triangle inequality of angles, over the centers and radii of their cells
+    sample of about ``sample_rows``; a label's cell of more than ``block_rows`` is cut into ``PARTS`` by direction
+    from its centroid, and what is still larger into even blocks. Two blocks are compared unless the triangle inequality of angles, over the centers and radii of their cells
     and then their own, rules out every link, so no link is lost: products run within cells and between
     cells that lie near enough.
     A product yields counts and a few links that keep components whole, never pairs. What is kept of each
@@ -152,22 +164,28 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     classes = stored(grouped.select("*", F.size("v").alias("d"), F.monotonically_increasing_id().alias("class_id")), "vector-classes")
     spaces = classes.groupBy("d").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).orderBy(F.desc("n"), "d").limit(1).collect()
     main, total, labels = spaces[0] if spaces else (0, 0, 1)
-    cells = int(min(MAX_CELLS, max(1, total // (labels * block_rows))))
+    cells = int(min(MAX_CELLS, max(LEAST_CELLS, total // (labels * block_rows))))
     drawn = F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) / float(1 << 20) < min(1.0, sample_rows / max(total, 1))
     sample = classes.where((F.col("d") == main) & drawn).select("v").toPandas()["v"]
-    centers = None
-    if len(sample) and cells > 1:
-        vectors = np.stack(sample.to_numpy())
-        centers = spherical_k_means(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), cells)
-
-    @F.pandas_udf("int")
-    def home(v: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(v.to_numpy()) @ centers.T).argmax(axis=1), index=v.index)
-
-    cell = F.lit(0) if centers is None else F.when(F.col("d") == main, home(F.when(F.col("d") == main, F.col("v")).otherwise(F.array_repeat(F.lit(0.0), main)))).otherwise(-1)
-    placed = stored(classes.select("*", cell.alias("cell")), "vector-cells")
-    sizes = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    dealt = placed.join(broadcast_if_small(sizes, 100_000), ["label", "d", "cell"]).withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")))
+    vectors = np.stack(sample.to_numpy()) if len(sample) else np.ones((1, max(main, 1)))
+    centers, ways = fit_cells(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), cells)
+
+    @F.pandas_udf("cell int, way int")
+    def home(v: pd.Series) -> pd.DataFrame:
+        own = np.stack(v.to_numpy())
+        cell, way = parts_of(own / np.linalg.norm(own, axis=1, keepdims=True), centers, ways)
+        return pd.DataFrame({"cell": cell, "way": way}, index=v.index).astype("int32")
+
+    usual = F.col("d") == main
+    found = home(F.when(usual, F.col("v")).otherwise(F.array_repeat(F.lit(1.0), max(main, 1))))
+    cell = [F.when(usual, F.col("at")[c]).otherwise(F.lit(-1)).alias(c) for c in ("cell", "way")]
+    placed = stored(classes.withColumn("at", found).select(*classes.columns, *cell), "vector-cells")
+    sizes = placed.groupBy("label", "d", "cell", "way").agg(F.count("*").alias("of_way"))
+    sizes = sizes.withColumn("of_cell", F.sum("of_way").over(Window.partitionBy("label", "d", "cell")))
+    dealt = placed.join(broadcast_if_small(stored(sizes, "cell-sizes"), 100_000), ["label", "d", "cell", "way"])
+    piece = F.pmod(F.xxhash64("class_id"), F.ceil(F.col("of_way") / block_rows))
+    part = F.when(F.col("of_cell") > block_rows, F.col("way").cast("long") * (1 << 32) + piece).otherwise(F.lit(-1).cast("long"))
+    dealt = dealt.withColumn("part", part).drop("way", "of_way", "of_cell")
     kind = rows.schema["label"].dataType.simpleString()
     shape = f"label {kind}, d int, cell int, ids array<long>, counts array<long>, unit binary, center array<double>, radius double"
     blocks = stored(
@@ -176,7 +194,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     widest = float(np.arccos(threshold)) + SLACK
     caps = blocks.select("label", "d", "cell", "block", "center", "radius")
     one, two = (caps.select("label", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "block", "center", "radius")]) for s in "ab")
-    together = one.join(stored(near_cells(caps, centers, widest), "near-cells"), ["label", "d", "cell_a"]).join(two, ["label", "d", "cell_b"])
+    together = one.join(stored(near_cells(caps, widest), "near-cells"), ["label", "d", "cell_a"]).join(two, ["label", "d", "cell_b"])
     once = (F.col("cell_a") < F.col("cell_b")) | (F.col("block_a") <= F.col("block_b"))
     apart = angle(F.col("center_a"), F.col("center_b")) - F.col("radius_a") - F.col("radius_b")
     near = together.where(once & (apart <= widest))

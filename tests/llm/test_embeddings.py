@@ -77,5 +77,30 @@ def test_cells(spark):
     assert (points @ centers.T).max(axis=1).min() > 0.5
 
 
+def test_parts_of_a_cell_hold_vectors_of_like_direction():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(c, 0.02, (200, 16)) for c in rng.normal(0, 1, (12, 16)) * 0.05 + 1])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    centers, ways = embeddings.fit_cells(points, 1)
+    cell, way = embeddings.parts_of(points, centers, ways)
+    assert set(cell) == {0} and len(set(way)) > 4
+
+    def radius(rows):
+        center = rows.sum(axis=0) / np.linalg.norm(rows.sum(axis=0))
+        return np.arccos(np.clip(rows @ center, -1, 1)).max()
+
+    assert np.mean([radius(points[way == w]) for w in set(way)]) < 0.8 * radius(points)
+
+
+def test_the_query_uses_cells(spark, sf, monkeypatch):
+    seen = []
+    fit = embeddings.fit_cells
+    monkeypatch.setattr(embeddings, "fit_cells", lambda v, n, *a: seen.append(n) or fit(v, n, *a))
+    catalog.op7_embedding_near_dedup(spark, sf)
+    assert seen[0] >= embeddings.LEAST_CELLS
+
+
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
