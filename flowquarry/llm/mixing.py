@@ -101,12 +101,21 @@ def solve(a: list[list[float]], b: list[float]) -> list[float]:
     return (np.linalg.pinv(np.array(a), rcond=1e-9, hermitian=True) @ np.array(b)).tolist()
 
 
-def rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance: float = 1e-6, rounds: int = 20) -> DataFrame:
+def likeliest(domains: tuple[str, ...]) -> Column:
+    """Whether one of the domains has the row's greatest posterior."""
+    top = F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
+    return reduce(lambda c, d: c | (F.col(f"p_{d}") == top), domains, F.lit(False))
+
+
+def rates(
+    members: DataFrame, targets: dict[str, float] | None = None, stay: tuple[str, ...] = (), tolerance: float = 1e-6, rounds: int = 20
+) -> DataFrame:
     """``members`` and a nonnegative ``rate`` for each, whose expected domain token totals meet the targets.
 
+    Rows whose likeliest domain is one of ``stay`` have a rate of 1 at least; the others make up for it.
     Least squares over the residuals of the domains' totals, by projected gradients from rate 1: a step
     moves each rate by its posteriors times the residuals, weighed by the inverse of the domains' Gram
-    matrix, and then negative rates become 0. The matrix of the rows whose rate is not 0 takes few
+    matrix, and then rates below their bound are put to it. The matrix of the rows above their bounds takes few
     rounds but may overshoot, that of all rows is always safe at length 1; so a round tries the
     first at several ``LENGTHS`` and the second, and takes the best. It is one aggregation of a few numbers;
     the rates themselves are an expression over the member's own row, so nothing is passed from row to
@@ -117,19 +126,22 @@ def rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance
     names = list(DOMAINS)
     p = {d: F.col(f"p_{d}") for d in names}
     weight = (F.col("copies") * F.col("n_tokens")).cast("double")
+    least = F.when(likeliest(stay), 1.0).otherwise(0.0) if stay else F.lit(0.0)
 
     def totals(trials: list[Column]) -> list[tuple[list[float], list[list[float]]]]:
-        """For each trial the expected tokens of the domains, and the Gram matrix of the rows whose rate is not 0."""
+        """For each trial the expected tokens of the domains, and the Gram matrix of the rows above their bounds."""
         sums = []
         for n, _ in enumerate(trials):
             r = F.col(f"rate_{n}")
             sums += [F.sum(weight * p[d] * r).alias(f"{n}_{d}") for d in names]
-            sums += [F.sum(F.when(r > 0, weight * p[a] * p[b])).alias(f"{n}_{a}_{b}") for a in names for b in names]
+            sums += [F.sum(F.when(r > least, weight * p[a] * p[b])).alias(f"{n}_{a}_{b}") for a in names for b in names]
         row = members.select("*", *[t.alias(f"rate_{n}") for n, t in enumerate(trials)]).agg(*sums).first()
         return [([row[f"{n}_{d}"] or 0.0 for d in names], [[row[f"{n}_{a}_{b}"] or 0.0 for b in names] for a in names]) for n, _ in enumerate(trials)]
 
     rate = F.lit(1.0)
-    [(now, whole)] = totals([rate])
+    [(now, _)] = totals([rate])
+    [row] = members.agg(*[F.sum(weight * p[a] * p[b]).alias(f"{a}_{b}") for a in names for b in names]).collect()
+    whole = [[row[f"{a}_{b}"] or 0.0 for b in names] for a in names]
     goal = [targets[d] * t for d, t in zip(names, now, strict=True)]
     miss, matrix = [x - t for x, t in zip(now, goal, strict=True)], whole
 
@@ -142,7 +154,7 @@ def rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance
         steps = [solve(whole, miss)]
         if matrix is not whole:
             steps += [[x * length for x in solve(matrix, miss)] for length in LENGTHS]
-        trials = [F.greatest(F.lit(0.0), rate - reduce(add, [p[d] * x for d, x in zip(names, step, strict=True)])) for step in steps]
+        trials = [F.greatest(least, rate - reduce(add, [p[d] * x for d, x in zip(names, step, strict=True)])) for step in steps]
         found = []
         for n, (now, active) in enumerate(totals(trials)):
             left = [x - t for x, t in zip(now, goal, strict=True)]
@@ -158,27 +170,26 @@ def rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance
     return members.withColumn("rate", rate)
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, stay: tuple[str, ...] = ()) -> DataFrame:
     """Rows ``(doc_id, row_key, copies, n_tokens, p_<domain>..., rate)`` for ``docs(doc_id, text, ...)``.
 
     Rows with the same id and text stand together, ``copies`` says how many. A null or empty text has no
     tokens and its domains' priors; it takes the rate of its posteriors. Extra columns are not read. An empty table gives an empty result.
     """
     members = stored(posteriors(docs, fit(docs, labels)), "domain-posteriors")
-    return rates(members, targets)
+    return rates(members, targets, stay)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, stay: tuple[str, ...] = ("clean", "low")) -> DataFrame:
     """``docs`` with each row as often as its rate says; the fraction is settled by a hash of id and text.
 
-    Rows whose likeliest domain is one of ``stay`` are kept once at least.
+    Rows whose likeliest domain is one of ``stay`` are kept once at least: the solver holds their rates at 1
+    or more, so that the totals still meet the targets as far as the other rows allow.
     """
-    found = document_rates(docs, labels, targets)
-    top = F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
-    likely = reduce(lambda c, d: c | (F.col(f"p_{d}") == top), stay, F.lit(False))
+    found = document_rates(docs, labels, targets, stay)
     u = F.pmod(F.xxhash64("row_key", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    counts = stored(found.select("row_key", F.col("doc_id").alias("mixed_id"), F.greatest(times, F.when(likely, 1).otherwise(0)).cast("int").alias("times")).where("times > 0"), "mix-counts")
+    counts = stored(found.select("row_key", F.col("doc_id").alias("mixed_id"), times.cast("int").alias("times")).where("times > 0"), "mix-counts")
     keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row_key"))
     at = (keyed.row_key == counts.row_key) & keyed["doc.doc_id"].eqNullSafe(counts.mixed_id)
     many = keyed.join(broadcast_if_small(counts, BROADCAST_ROWS), at)
