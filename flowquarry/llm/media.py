@@ -26,8 +26,9 @@ PNG = b"\x89PNG\r\n\x1a\n"
 #: Signature and the header chunk: what a header-only read takes.
 HEADER_BYTES = len(PNG) + 25
 BLOCK = 512
-#: A shard is closed once it holds so many bytes.
+#: A shard is closed once it holds so many bytes; a task that reads back takes about so many.
 SHARD_BYTES = 256 << 20
+READ_BYTES = 32 << 20
 CATALOG = "digest string, shard string, offset long, length long, n_bytes long"
 
 
@@ -197,9 +198,25 @@ def payload_columns(shard: Column, offset: Column, length: Column) -> Column:
     return run(shard, offset, length)
 
 
+def in_ranges(rows: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """The catalog dealt to tasks by place, each about ``read_bytes`` of payload and sorted, so that reads go forward.
+
+    The id is part of the order, so rows that share one object can go to several tasks.
+    """
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    order = ["shard", "offset", "doc_id"]
+    return rows.repartitionByRange(max(1, -(-total // read_bytes)), *order).sortWithinPartitions(*order)
+
+
 def with_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """The catalog of ``docs`` with metadata from the headers and features from the payloads."""
+    """The catalog of ``docs`` with metadata from the headers and features from the payloads.
+
+    Rows ``(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)``,
+    and then ``digest``, ``shard``, ``offset``, ``width``, ``height`` and ``depth``.
+    """
     shared_dir(docs.sparkSession)
-    rows = write_shards(docs, folder)
+    rows = in_ranges(write_shards(docs, folder))
     found = rows.select("*", header_columns(F.col("shard"), F.col("offset")).alias("head"), payload_columns(F.col("shard"), F.col("offset"), F.col("length")).alias("body"))
-    return found.select("doc_id", "n_bytes", "digest", "shard", "offset", F.col("length").alias("media_bytes"), "head.*", "body.*")
+    body = [F.col(f"body.{c}") for c in ("payload_bytes", "payload_sha256", "tail_crc32")]
+    media = [F.col("length").alias("media_bytes"), F.col("body.media_sha256"), F.col("body.feature")]
+    return found.select("doc_id", "n_bytes", *body, *media, "digest", "shard", "offset", "head.*")

@@ -45,6 +45,8 @@ def test_the_stored_form_is_a_png():
 def test_rows_equal_brute_force(spark):
     docs = R.hard_documents()
     rows = media.with_media(R.frame(spark, docs)).collect()
+    contract = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert list(rows[0].asDict())[:8] == contract
     wanted = Counter()
     for i, t in docs:
         n, p = brute_payload(t)
@@ -92,6 +94,14 @@ def test_header_reads_take_the_header_only(spark, monkeypatch):
     assert media.HEADER_BYTES == 33
 
 
+def test_reads_are_dealt_by_bytes(spark):
+    docs = [(i, R.sentence(i, 300)) for i in range(200)] + [(1000 + i, "copy " * 300) for i in range(200)]
+    rows = media.write_shards(R.frame(spark, docs))
+    dealt = media.in_ranges(rows, 8192)
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) > 8 and max(sizes) < 200
+
+
 def test_empty_table(spark):
     assert media.with_media(R.empty(spark)).count() == 0
 
