@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import small_batches
+from flowquarry.llm.common import small_batches, stored
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -138,28 +138,36 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, per_language: int = 1500, max_grams: int = 1 << 15, gap: float = 0.05) -> Model:
+def _drawn(labelled: DataFrame, per_language: int, max_languages: int) -> tuple[list[str], DataFrame]:
+    """The languages, and about ``per_language`` different texts of each, drawn by a hash of the text."""
+    rows = labelled.select("lang", "text").where("lang is not null and text is not null")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
+    sizes = {r["lang"]: r["texts"] for r in found.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    if not sizes:
+        return [], rows
+    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / max(n, 1)))]), F.col("lang"))
+    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 20)) / float(1 << 20) < rate)
+    return sorted(sizes), drawn.dropDuplicates(["lang", "text"])
+
+
+def fit(labelled: DataFrame, per_language: int = 1500, max_grams: int = 1 << 15, gap: float = 0.05, max_languages: int = 512) -> Model:
     """Fit on ``labelled(text, lang)``.
 
-    The classifier sees a bounded sample: each row is drawn by a hash of its text, so that about
-    ``per_language`` rows of each language come in (all, where there are fewer). The model keeps the
-    ``max_grams`` most frequent n-grams. Each bit is a naive Bayes classifier: its n-gram weights are
-    log ratios between the languages on its two sides, each language counting alike. A bit's loss weight
-    is half the log odds of its accuracy on the sample. Null texts or languages are left out; without any
-    labelled row every text is ``und``.
+    The classifier sees a bounded sample: texts are drawn by a hash, each once however many copies it has,
+    so that about ``per_language`` different texts of each language come in (all, where there are fewer). Of
+    the labels the ``max_languages`` most frequent are learned, so a dirty column stays within bounds. The
+    model keeps the ``max_grams`` most frequent n-grams. Each bit is a naive Bayes classifier: its n-gram weights
+    are log ratios between the languages on its two sides, each language counting alike. A bit's margins are
+    scaled by a third of their mean size, and its loss weight is half the log odds of its accuracy on the
+    sample, both added up in Spark. Null texts or languages are left out; without any labelled row every
+    text is ``und``.
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    rows = labelled.select("lang", "text").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
+    languages, drawn = _drawn(labelled, per_language, max_languages)
     if len(languages) < 2:
         return Model(languages, code_matrix(len(languages)), {}, np.zeros((0, 0)), np.ones(0), np.ones(0), gap)
-    rate = F.lit(0.0)
-    for lang in languages:
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / sizes[lang]))).otherwise(rate)
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20) < rate
-    sample = rows.where(drawn)
+    sample = stored(drawn, "language-sample")
     counts = sample.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.groupBy("gram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(max_grams)
     kept = counts.join(F.broadcast(top), "gram").select("gram", "lang", "n").toPandas()
@@ -176,18 +184,19 @@ def fit(labelled: DataFrame, per_language: int = 1500, max_grams: int = 1 << 15,
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, n, size, right = shared.value, 0, np.zeros(code.shape[1]), np.zeros(code.shape[1], np.int64)
         for batch in batches:
-            found = [own.margins(t) for t in batch.column("text").to_pylist()]
-            margins = pa.array([None if m is None else m.tolist() for m in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), margins], ["lang", "margins"])
-
-    seen = sample.mapInArrow(measure, "lang string, margins array<double>").where("margins is not null").toPandas()
-    if len(seen):
-        m = np.array(seen["margins"].tolist())
-        truth = code[seen["lang"].map(at).to_numpy(dtype=int)]
-        model.scale = np.maximum(np.median(np.abs(m), axis=0) / 3, 1e-6)
-        right = ((m * truth > 0).sum(axis=0) + 1) / (len(m) + 2)
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                margins = own.margins(text)
+                if margins is not None:
+                    n, size, right = n + 1, size + np.abs(margins), right + (margins * code[at[lang]] > 0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([size.tolist()]), pa.array([right.tolist()])], ["n", "size", "right"])
+
+    sums = sample.mapInArrow(measure, "n long, size array<double>, right array<long>").collect()
+    seen = sum(r["n"] for r in sums)
+    if seen:
+        model.scale = np.maximum(sum(np.array(r["size"]) for r in sums) / seen / 3, 1e-6)
+        right = (sum(np.array(r["right"]) for r in sums) + 1) / (seen + 2)
         model.trust = np.clip(0.5 * np.log(right / (1 - right)), 0.05, None)
     model._cache, model._scores = {}, None
     return model
