@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN = "array<struct<role:string,text:string>>"
@@ -71,23 +72,30 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """Rows ``(conv_id, turns)`` from ``turns(conv_id, turn, role, text, ...)``, by turn, ties by role and text."""
+    """Rows ``(conv_id, turns)`` from ``turns(conv_id, turn, role, text, ...)``, by turn, ties by role and text.
+
+    A turn without a conv_id belongs to no other: each is a conversation of its own, with a null id.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    grouped = turns.select("conv_id", alone, "turn", "role", "text").groupBy("conv_id", "alone").agg(ordered.alias("turns"))
+    return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def reply_pairs(turns: DataFrame) -> DataFrame:
     """Pairs ``(pair_id, chosen, rejected)``, one for each conversation of the table.
 
     Chosen is the conversation up to its last assistant turn; rejected ends in the last assistant turn of
-    its neighbour instead, the conversation whose id differs in the lowest bit. Without a neighbour that
-    answers, rejected just lacks the last turn. A conversation without an assistant turn is rejected as
+    its neighbour instead, the conversation whose id differs in the lowest bit; ids that are not whole numbers
+    have no neighbours. Without a neighbour that answers, rejected just lacks the last turn. A conversation without an assistant turn is rejected as
     it is, so its completions are empty.
     """
     grouped = conversations(turns)
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
     marked = grouped.select("conv_id", "turns", F.coalesce(last, F.lit(0)).alias("last"))
-    replies = marked.where("last > 0").select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.slice(F.col("turns"), F.col("last"), F.lit(1)).alias("other"))
+    kind = turns.schema["conv_id"].dataType
+    neighbour = F.col("conv_id").bitwiseXOR(F.lit(1).cast(kind)) if isinstance(kind, IntegralType) else F.lit(None).cast(kind)
+    replies = marked.where("last > 0 and conv_id is not null").select(neighbour.alias("conv_id"), F.slice(F.col("turns"), F.col("last"), F.lit(1)).alias("other"))
     joined = marked.join(replies, "conv_id", "left")
     head = F.slice("turns", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0)))
     none = F.expr(f"cast(array() as {TURN})")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +47,12 @@ ENDS = {
 }
 #: An end tag does not reach past these.
 SCOPES = frozenset("table td th caption template html".split())
-#: Deeper elements are attached at this depth, as browsers do.
-MAX_DEPTH = 200
-MAX_SPAN = 100
+#: Deeper elements are attached at this depth, as browsers do; their text stays.
+MAX_DEPTH = 512
+#: Fixed values of the HTML standard: the most columns and rows of a cell. A rowspan of 0 reaches as far as it may.
+MAX_SPANS = {"colspan": 1000, "rowspan": 65534}
+#: Python frames that laying out a tree of the greatest depth may take.
+FRAMES = 20 * MAX_DEPTH
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?",
@@ -217,7 +222,18 @@ class Lines:
 
 def _span(node: Node, name: str) -> int:
     value = node.attributes.get(name, "1").strip()
-    return min(MAX_SPAN, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    most = MAX_SPANS[name]
+    given = int(value) if len(value) < 9 else most
+    return min(most, given) or (most if name == "rowspan" else 1)
+
+
+def width_of(line: str) -> int:
+    """Columns that a line takes where wide characters take two and combining ones none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in line)
 
 
 def _members(node: Node) -> Iterator[Node | str]:
@@ -269,7 +285,7 @@ def _table(table: Node) -> list[str]:
             lines = _layout(cell)
             cells[column] = lines
             across, down = _span(cell, "colspan"), _span(cell, "rowspan")
-            width = max(map(len, lines), default=0)
+            width = max(map(width_of, lines), default=0)
             if across == 1:
                 widths[column] = max(widths.get(column, 0), width)
             else:
@@ -295,7 +311,7 @@ def _table(table: Node) -> list[str]:
             line = ""
             for c in sorted(cells):
                 if k < len(cells[c]) and cells[c][k]:
-                    line = line.ljust(starts[c]) + cells[c][k]
+                    line += " " * (starts[c] - width_of(line)) + cells[c][k]
             out.append(line)
     captions = [c for c in _members(table) if isinstance(c, Node) and c.tag == "caption" and visible(c)]
     stray = list(_stray(table))
@@ -384,6 +400,7 @@ def extract(html: str | None) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
     for batch in batches:
         texts = [extract(h) for h in batch.column("html").to_pylist()]
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int32())]
@@ -395,7 +412,8 @@ def page_text(pages: DataFrame) -> DataFrame:
 
     All visible text, whole: hidden elements, scripts, styles and the head's title are left out. Blocks
     start lines, and paragraphs, headings, lists and tables stand apart by an empty line; list items
-    carry marks or numbers, tables have aligned columns. Null or empty html gives empty text and 0 lines;
+    carry marks or numbers, tables have aligned columns, where wide characters count as two. Elements deeper
+    than ``MAX_DEPTH`` are attached at that depth, and spans are held to ``MAX_SPANS``, as browsers do. Null or empty html gives empty text and 0 lines;
     malformed html never fails; repeated rows stay; extra columns are not read.
     """
     small_batches(pages.sparkSession)

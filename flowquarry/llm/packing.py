@@ -16,7 +16,7 @@ from flowquarry.llm.mixing import n_tokens
 SIZES = (512, 1024, 2048, 4096)
 #: Documents that one task packs, about. Larger shards pack hardly better.
 SHARD_DOCS = 50_000
-RESULT = "piece int, n_tokens long, bin_id long, bin_size int, start int"
+RESULT = "piece int, n_tokens long, bin_id long, bin_size int, start int, doc_start long, row_key long"
 
 
 def cost(size: int, overhead: float = 32.0, attention: float = 1 / 65536) -> float:
@@ -62,14 +62,18 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[tuple[int,
 
 
 def best_fit(docs: DataFrame, sizes: tuple[int, ...] = SIZES, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Rows ``(doc_id, piece, n_tokens, bin_id, bin_size, start)`` that place all tokens of ``docs(doc_id, text, ...)``.
+    """Rows ``(doc_id, piece, n_tokens, bin_id, bin_size, start, doc_start, row_key)`` that place all tokens of ``docs(doc_id, text, ...)``.
+
+    A row puts ``n_tokens`` tokens of a document, from its ``doc_start``-th on, at ``start`` of a bin; ``row_key`` is a
+    hash of id and text, so :func:`with_text` and :func:`sequences` can fill the bins.
 
     Rows are dealt out in turn to shards of about ``shard_docs``, which no key can make uneven, and each
     shard is packed by itself. Only ids and lengths are moved. Tokens are words between white space. A
     null or empty text, or one without tokens, has one row with 0 tokens and no bin. Repeated rows are
     packed each for itself; extra columns are not read; an empty table gives an empty result.
     """
-    rows = docs.select("doc_id", n_tokens(F.col("text")).alias("n"))
+    rows = docs.select("doc_id", n_tokens(F.col("text")).alias("n"), F.xxhash64("doc_id", "text").alias("row_key"))
+    largest = max(sizes)
     shards = max(1, -(-docs.count() // shard_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +84,36 @@ def best_fit(docs: DataFrame, sizes: tuple[int, ...] = SIZES, shard_docs: int =
         shard = shard.take(pc.sort_indices(shard, [("n", "descending"), ("doc_id", "ascending")]))
         lengths = shard.column("n").to_pylist()
         base = TaskContext.get().partitionId() << 32
-        rows = [(i, k, n, base + b, size, at) for i, k, n, b, size, at in pack(lengths, sizes)]
-        rows += [(i, 0, 0, None, None, None) for i, n in enumerate(lengths) if n == 0]
+        rows = [(i, k, n, base + b, size, at, k * largest) for i, k, n, b, size, at in pack(lengths, sizes)]
+        rows += [(i, 0, 0, None, None, None, 0) for i, n in enumerate(lengths) if n == 0]
         taken, *columns = zip(*rows, strict=True)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        arrays = [shard.column("doc_id").take(pa.array(taken)).combine_chunks(), *map(pa.array, columns, kinds)]
-        yield from pa.Table.from_arrays(arrays, names=["doc_id", "piece", "n_tokens", "bin_id", "bin_size", "start"]).to_batches()
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        ids, keys = (shard.column(c).take(pa.array(taken)).combine_chunks() for c in ("doc_id", "row_key"))
+        names = ["doc_id", "piece", "n_tokens", "bin_id", "bin_size", "start", "doc_start", "row_key"]
+        yield from pa.Table.from_arrays([ids, *map(pa.array, columns, kinds), keys], names=names).to_batches()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.repartition(shards).mapInArrow(run, f"doc_id {kind}, {RESULT}")
+
+
+def with_text(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed``, as :func:`best_fit` makes it of ``docs``, with the tokens of each piece in ``text``, a blank between two.
+
+    A repeated row's text is taken once for each of its placements. A piece without tokens has an empty text.
+    """
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), words.alias("words")).dropDuplicates(["row_key"])
+    slice_ = F.slice("words", F.col("doc_start").cast("int") + 1, F.col("n_tokens").cast("int"))
+    return placed.join(texts, "row_key").select(*placed.columns, F.array_join(slice_, " ").alias("text"))
+
+
+def sequences(filled: DataFrame) -> DataFrame:
+    """Rows ``(bin_id, bin_size, n_tokens, text, doc_ids, starts)``: each bin's tokens in order, and where its documents begin.
+
+    ``filled`` is that of :func:`with_text`. No bin holds more than the largest size.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("start", "doc_id", "text")))
+    bins = filled.where("bin_id is not null").groupBy("bin_id", "bin_size").agg(F.sum("n_tokens").alias("n_tokens"), parts.alias("parts"))
+    return bins.select(
+        "bin_id", "bin_size", "n_tokens", F.array_join(F.col("parts.text"), " ").alias("text"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.start").alias("starts")
+    )
