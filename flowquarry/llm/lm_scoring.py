@@ -187,6 +187,11 @@ def _joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 TEXT, CLOSED, NEAR, RARE = range(4)
 
 
+def _about(tokens: np.ndarray, word: np.ndarray, state: int, marked: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """A row's few small facts in one number, as rows of one text that share it take little room in a shuffle."""
+    return tokens << 28 | word << 4 | state << 2 | marked << 1 | counted
+
+
 class Scorer:
     """What a task knows of the models, and the rows it makes of its texts."""
 
@@ -228,13 +233,8 @@ class Scorer:
         return {
             "row_key": np.concatenate([keys, keys[d]]),
             "key": np.concatenate([keys, np.where(both, place[before] << 32 | place[word], pairs[left])]),
-            "word": np.concatenate([zeros, np.where(both, 0, place[word] + 1)]),
-            "state": np.concatenate([zeros + TEXT, np.full(len(d), NEAR)]),
-            "times": np.concatenate([zeros, g_times[left]]),
-            "own": np.concatenate([zeros, times[word]]),
-            "n_tokens": np.concatenate([tokens, tokens[d]]),
-            "marked": np.concatenate([marked, marked[d]]),
-            "counted": np.concatenate([counted, counted[d]]),
+            "counts": np.concatenate([zeros, g_times[left] << 32 | times[word]]),
+            "about": np.concatenate([_about(tokens, zeros, TEXT, marked, counted), _about(tokens[d], np.where(both, 0, place[word] + 1), NEAR, marked[d], counted[d])]),
             **{s: np.concatenate([loss / UNIT, np.zeros(len(d))]) for s, loss in zip(SIDES, losses, strict=True)},
         }
 
@@ -263,7 +263,7 @@ class Scorer:
         }
 
 
-NEAR_ROWS = "row_key long, key long, word int, state int, times int, own int, n_tokens int, marked boolean, counted boolean, background double, target double"
+NEAR_ROWS = "row_key long, key long, counts long, about long, background double, target double"
 RARE_ROWS = "row_key long, rare_word long, own int, gram boolean, key long, times int, n_tokens int, marked boolean, counted boolean"
 
 
@@ -319,17 +319,23 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     rare = _rows(ids, models, "rare").join(words, "rare_word", "left")
     gram = F.col("gram")
     before = [F.col("times") * F.log(F.coalesce(f"c_{s}", F.lit(0)) - F.col("own") * own[n] + BACKOFF) for n, s in enumerate(SIDES)]
+    about = F.col("n_tokens").cast("long") * (1 << 28) + F.when(gram, RARE).otherwise(CLOSED) * 4 + F.col("marked").cast("int") * 2 + F.col("counted").cast("int")
     looked_up = {
-        "word": F.lit(0),
-        "state": F.when(gram, RARE).otherwise(CLOSED),
-        "times": F.when(gram, F.col("times")).otherwise(0),
+        "counts": F.when(gram, F.col("times").cast("long") * (1 << 32) + F.col("own")).otherwise(0),
+        "about": about,
         **{s: F.when(gram, share(n, f"c_{s}")).otherwise(before[n]) for n, s in enumerate(SIDES)},
     }
     near = _rows(ids, models, "near")
     open_rows = near.union(rare.select(*[looked_up[c].alias(c) if c in looked_up else F.col(c) for c in near.columns]))
+    bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    times = F.shiftright("counts", 32)
+    flags = [bits("about", 0, 1), bits("about", 0, 1) * bits("about", 1, 1)]
     together = Window.partitionBy("key")
-    others = [(F.sum(F.col("times") * own[n]).over(together) - F.col("times") * own[n]).alias(f"n_{s}") for n, s in enumerate(SIDES)]
-    met = open_rows.select("*", *others)
+    others = [(F.sum(times * flags[n]).over(together) - times * flags[n]).alias(f"n_{s}") for n, s in enumerate(SIDES)]
+    met = open_rows.select("*", *others).select(
+        "row_key", "key", *SIDES, *[f"n_{s}" for s in SIDES], times.alias("times"), bits("counts", 0, 32).alias("own"), F.shiftright("about", 28).cast("int").alias("n_tokens"),
+        bits("about", 4, 24).cast("int").alias("word"), bits("about", 2, 2).alias("state"), (bits("about", 1, 1) == 1).alias("marked"), (bits("about", 0, 1) == 1).alias("counted"),
+    )
     place = F.when(F.col("word") > 0, F.col("word") - 1).otherwise(F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
     met = met.withColumn("place", F.when((F.col("state") == NEAR) & (F.col("n_background") > 0), place))
     counts = pa.table({"place": pa.array(np.arange(len(models.hot_words[0]), dtype=np.int32)), "h_background": models.hot_words[1], "h_target": models.hot_words[2]})
