@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.domains import cleaned, dga_score, entropy_verdict
-from flowquarry.operators.detect import fires, swept
+from flowquarry.operators.detect import FIRE, fires, swept
 
 #: Endpoints, addresses, client names, ports and patterns that the web rules know.
 AUTH_PATHS = ("/login", "/auth", "/signin", "/oauth", "/tokens", "/api/v1/auth", "/api/v1/login", "/api/v1/users/login", "/api/auth/callback", "/admin/login", "/user/login", "/session")
@@ -27,48 +30,63 @@ BOTS = {
     "headlesschrome": "MEDIUM",
     "postmanruntime": "LOW",
 }
+WEB_COOLDOWN_US = 15_000_000
 DATABASE_PORTS = (5432, 3306, 6379, 27017, 9200, 5672, 6443)
 SQLI = ("' or '1'='1", "' or 1=1", '" or "1"="1', "union select", "union all select", "select * from", "drop table", "1=1--", "'--", "sleep(", "pg_sleep(", "benchmark(", "waitfor delay")
 SENSITIVE = ("/.env", "/.git", "/wp-admin", "/phpmyadmin", "/id_rsa", "/etc/passwd", "/etc/shadow", "/.aws/credentials", "/docker-compose.yml", "/server.js.bak", "/database.sql")
 
 
-def first_of(text: Column, patterns: tuple[str, ...]) -> Column:
-    """The first pattern that the text contains; null if none."""
-    return F.element_at(F.concat(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in patterns])), F.array(F.lit(None).cast("string"))), 1)
-
-
 def unquoted(text: Column) -> Column:
     """Percent escapes undone where they are well-formed; a plus sign stays."""
     guarded = F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
     return F.coalesce(F.try_url_decode(guarded), text)
 
 
+def _tenant(path: Column) -> Column:
+    in_path = F.regexp_extract(path, r"/(?:tenants|orgs|workspaces)/([a-zA-Z0-9_\-]+)", 1)
+    return F.coalesce(F.col("tenant"), F.when(in_path != "", in_path))
+
+
+def _every(text: Column, patterns: tuple[str, ...]) -> Column:
+    """All patterns that the text contains, in their order."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in patterns]))
+
+
+def web_facts(requests: DataFrame) -> DataFrame:
+    """``requests`` with what the web rules look at: path, tenant, sign_in, metadata, bots, injections and files found."""
+    path = F.lower(F.coalesce("path", F.lit("/")))
+    sign_in = F.col("method").isin("POST", "PUT") & reduce(lambda a, b: a | b, [(path == p) | path.startswith(p + "/") for p in AUTH_PATHS])
+    host = F.coalesce("host", F.lit(""))
+    metadata = F.col("dst_ip").isin(*METADATA_IPS) | reduce(lambda a, b: a | b, [F.contains(host, F.lit(ip)) for ip in METADATA_IPS])
+    sent = F.lower(F.concat_ws(" ", unquoted(unquoted(F.coalesce("uri", F.lit("")))), unquoted(F.coalesce("body", F.lit("")))))
+    facts = {
+        "low_path": path,
+        "seen_tenant": _tenant(path),
+        "sign_in": F.coalesce(sign_in, F.lit(False)).cast("int"),
+        "metadata": F.coalesce(metadata, F.lit(False)),
+        "bots": _every(F.lower(F.coalesce("user_agent", F.lit(""))), tuple(BOTS)),
+        "injections": _every(sent, SQLI),
+        "files": _every(path, SENSITIVE),
+    }
+    return requests.withColumns(facts)
+
+
 def web_threats(requests: DataFrame) -> DataFrame:
-    """Fired rows of the web rules from ``requests`` with the HTTP struct's fields beside the flow columns.
+    """Fired rows of the web rules, before cooldowns, from ``requests`` with the HTTP struct's fields beside the flow columns.
 
     The rules are an ordered chain: a request fires the first that applies. Rate rules count all requests
-    of the source in their window.
+    of the source in their window. :func:`web_alerts` runs the chain with its cooldowns.
     """
-    path = F.lower(F.coalesce("path", F.lit("/")))
-    agent = F.lower(F.coalesce("user_agent", F.lit("")))
-    in_path = F.regexp_extract(path, r"/(?:tenants|orgs|workspaces)/([a-zA-Z0-9_\-]+)", 1)
-    tenant = F.coalesce(F.col("tenant"), F.when(in_path != "", in_path))
-    signing_in = F.col("method").isin("POST", "PUT") & reduce(lambda a, b: a | b, [(path == p) | path.startswith(p + "/") for p in AUTH_PATHS])
-    rows = requests.withColumns({"seen_tenant": tenant, "sign_in": signing_in.cast("int")})
-    rows = swept(rows, ["src_ip"], 10, {"sign_ins": F.col("sign_in")})
+    rows = swept(web_facts(requests), ["src_ip"], 10, {"sign_ins": F.col("sign_in")})
     rows = swept(rows, ["src_ip"], 5, {"requests": F.lit(1)})
     rows = swept(rows, ["src_ip"], 30, distinct={"tenants": "seen_tenant"})
-    metadata = F.col("dst_ip").isin(*METADATA_IPS) | reduce(lambda a, b: a | b, [F.contains(F.coalesce("host", F.lit("")), F.lit(ip)) for ip in METADATA_IPS])
-    bot = first_of(agent, tuple(BOTS))
+    bot, sqli, sensitive = F.get("bots", F.lit(0)), F.get("injections", F.lit(0)), F.get("files", F.lit(0))
     bot_severity = reduce(lambda c, kv: c.when(bot == kv[0], kv[1]), list(BOTS.items())[1:], F.when(bot == "sqlmap", "CRITICAL"))
-    busy = F.col("requests") > 3
-    bot_fires = bot.isNotNull() & (bot_severity.isin("CRITICAL", "HIGH") | busy)
-    sent = F.lower(F.concat_ws(" ", unquoted(unquoted(F.coalesce("uri", F.lit("")))), unquoted(F.coalesce("body", F.lit("")))))
-    sqli, sensitive = first_of(sent, SQLI), first_of(path, SENSITIVE)
+    bot_fires = bot.isNotNull() & (bot_severity.isin("CRITICAL", "HIGH") | (F.col("requests") > 3))
     s = lambda rule, severity, confidence, key: F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), F.lit(confidence).alias("confidence"), key.alias("what"))
     verdict = (
-        F.when(metadata, s("ssrf_metadata", F.lit("CRITICAL"), 0.98, F.col("dst_ip")))
-        .when((F.col("sign_in") == 1) & (F.col("sign_ins") >= 8), s("credential_stuffing", F.lit("CRITICAL"), 0.94, path))
+        F.when(F.col("metadata"), s("ssrf_metadata", F.lit("CRITICAL"), 0.98, F.col("dst_ip")))
+        .when((F.col("sign_in") == 1) & (F.col("sign_ins") >= 8), s("credential_stuffing", F.lit("CRITICAL"), 0.94, F.col("low_path")))
         .when(F.col("requests") >= 35, s("api_flood", F.lit("HIGH"), 0.91, F.lit("")))
         .when(F.col("seen_tenant").isNotNull() & (F.col("tenants") >= 3), s("tenant_hopping", F.lit("CRITICAL"), 0.95, F.lit("")))
         .when(bot_fires, s("bot_agent", bot_severity, 0.88, bot))
@@ -79,12 +97,94 @@ def web_threats(requests: DataFrame) -> DataFrame:
     return fires(hit, "web", "WEB_APP_THREAT", F.col("v.severity"), F.col("v.confidence"), 15, ["rule", "src_ip", "what"], F.col("requests")).withColumn("detector", F.concat(F.lit("web:"), F.split_part("key", F.lit("|"), F.lit(1))))
 
 
+class _Source:
+    """What the web rules remember of one source: requests in their windows, and when each key last fired."""
+
+    def __init__(self) -> None:
+        self.sign_ins, self.requests, self.tenants = deque(), deque(), deque()
+        self.fired: dict[tuple[str, str], int] = {}
+
+    def cools(self, key: tuple[str, str], t: int) -> bool:
+        if t - self.fired.get(key, t - WEB_COOLDOWN_US) < WEB_COOLDOWN_US:
+            return True
+        if len(self.fired) > 1000:  # keys out of their cooldown say nothing any more
+            self.fired = {k: at for k, at in self.fired.items() if t - at < WEB_COOLDOWN_US}
+        self.fired[key] = t
+        return False
+
+    @staticmethod
+    def within(window: deque, t: int, seconds: int) -> int:
+        while window and t - window[0][0] > seconds * 1_000_000:
+            window.popleft()
+        return len(window)
+
+    def verdict(self, r) -> tuple[str, str, float, str, int] | None:
+        """The first rule that applies and does not cool down; a rule that cools down lets the next ones try.
+
+        A request that fired is not counted by the rules behind the one it fired.
+        """
+        t = r.t_us
+        if r.metadata and not self.cools(("ssrf_metadata", r.dst_ip), t):
+            return "ssrf_metadata", "CRITICAL", 0.98, r.dst_ip, 1
+        if r.sign_in:
+            self.sign_ins.append((t, None))
+            n = self.within(self.sign_ins, t, 10)
+            if n >= 8 and not self.cools(("credential_stuffing", r.low_path), t):
+                return "credential_stuffing", "CRITICAL", 0.94, r.low_path, n
+        self.requests.append((t, None))
+        busy = self.within(self.requests, t, 5)
+        if busy >= 35 and not self.cools(("api_flood", ""), t):
+            return "api_flood", "HIGH", 0.91, "", busy
+        if r.seen_tenant:
+            self.tenants.append((t, r.seen_tenant))
+            self.within(self.tenants, t, 30)
+            n = len({x for _, x in self.tenants})
+            if n >= 3 and not self.cools(("tenant_hopping", ""), t):
+                return "tenant_hopping", "CRITICAL", 0.95, "", n
+        for bot in r.bots:
+            if (BOTS[bot] in ("CRITICAL", "HIGH") or busy > 3) and not self.cools(("bot_agent", bot), t):
+                return "bot_agent", BOTS[bot], 0.88, bot, busy
+        for rule, severity, confidence, found in (("sql_injection", "CRITICAL", 0.97, r.injections), ("path_fuzzing", "HIGH", 0.92, r.files)):
+            for what in found:
+                if not self.cools((rule, what), t):
+                    return rule, severity, confidence, what, busy
+        return None
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Requests sorted by source and time through the chain; one source is remembered at a time."""
+    source, state = None, _Source()
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            if r.src_ip != source:
+                source, state = r.src_ip, _Source()
+            found = state.verdict(r)
+            if found:
+                rule, severity, confidence, what, n = found
+                rows.append((f"web:{rule}", "WEB_APP_THREAT", severity, confidence, 0.0, "|".join((rule, r.src_ip or "", what or "")), r.src_ip, r.dst_ip, r.dst_port, r.protocol, r.t_us, r.flow_id, float(n)))
+        yield pd.DataFrame(rows, columns=list(FIRE))
+
+
+def web_alerts(requests: DataFrame) -> DataFrame:
+    """Alerts of the web rules with their cooldowns, which a source's requests pass in time order.
+
+    A source's requests are one sorted stream with some seconds of them in memory, so a busy source takes
+    time but no memory. Cooldowns are over: ``cooldown_s`` is 0.
+    """
+    columns = ("flow_id", "t_us", "src_ip", "dst_ip", "dst_port", "protocol", "low_path", "seen_tenant", "sign_in", "metadata", "bots", "injections", "files")
+    rows = web_facts(requests).select(*columns).repartition("src_ip").sortWithinPartitions("src_ip", "t_us", "flow_id")
+    kinds = "detector string, category string, severity string, confidence double, cooldown_s double, key string, src_ip string, dst_ip string, dst_port int, protocol int, t_us long, flow_id long, evidence double"
+    return rows.mapInPandas(_chain, kinds)
+
+
 def east_west(flows: DataFrame) -> DataFrame:
     """Flows to cloud metadata services, and unusual ones to databases."""
     metadata = F.col("dst_ip").isin(*METADATA_IPS)
     database = F.col("dst_port").isin(*DATABASE_PORTS) & ~F.col("src_ip").startswith("127.") & ~F.col("src_ip").startswith("10.0.99.") & ((F.col("dst_port") == 6379) | (F.col("bytes") > 500_000))
     hit = flows.where(metadata | database)
-    return fires(hit, "east_west", "WEB_APP_THREAT", F.when(metadata, "CRITICAL").otherwise("HIGH"), F.when(metadata, 0.99).otherwise(0.86), 15, ["src_ip", "dst_ip", "dst_port"], F.col("bytes"))
+    fired = fires(hit, "east_west", "WEB_APP_THREAT", F.when(metadata, "CRITICAL").otherwise("HIGH"), F.when(metadata, 0.99).otherwise(0.86), 15, ["src_ip", "dst_ip", "dst_port"], F.col("bytes"))
+    return fired.withColumn("key", F.when(metadata, F.concat_ws("|", F.lit("metadata"), "src_ip", "dst_ip")).otherwise(F.concat_ws("|", F.lit("database"), "src_ip", F.col("dst_port").cast("string"))))
 
 
 def kerberos_attacks(messages: DataFrame, seconds: float = 60) -> DataFrame:

@@ -49,6 +49,12 @@ def w15_web_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions_l7.web_threats(message_view(spark, sf_dir, "requests")).select(*FIRED)
 
 
+@query()
+def w15_web_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of web rules with its cooldowns; the tests hold it against one record at a time."""
+    return sessions_l7.web_alerts(message_view(spark, sf_dir, "requests")).select(*FIRED, "key", "t_us")
+
+
 _INNER = (
     "select flow_id, t_us, src_ip, {metadata} as dst_ip, cast({port} as int) as dst_port, protocol, bytes from {flows}".replace("{metadata}", "case when flow_id % 50 = 0 then '169.254.169.254' else dst_ip end").replace(
         "{port}", "case flow_id % 6 when 0 then 5432 when 1 then 6379 else dst_port end"
@@ -58,11 +64,12 @@ _INNER = (
 
 @query(
     f", i as ({_INNER.format(flows='flows')}), f as (select *, dst_ip in {sessions_l7.METADATA_IPS} as metadata from i where dst_ip in {sessions_l7.METADATA_IPS} or (dst_port in {sessions_l7.DATABASE_PORTS} and not starts_with(src_ip, '127.') and not starts_with(src_ip, '10.0.99.') and (dst_port = 6379 or bytes > 500000))) "
-    "select flow_id, 'east_west' as detector, 'WEB_APP_THREAT' as category, case when metadata then 'CRITICAL' else 'HIGH' end as severity, case when metadata then 0.99 else 0.86 end::double as confidence, bytes::double as evidence from f"
+    "select flow_id, 'east_west' as detector, 'WEB_APP_THREAT' as category, case when metadata then 'CRITICAL' else 'HIGH' end as severity, case when metadata then 0.99 else 0.86 end::double as confidence, bytes::double as evidence, "
+    "case when metadata then concat_ws('|', 'metadata', src_ip, dst_ip) else concat_ws('|', 'database', src_ip, dst_port) end as key from f"
 )
 def w22_east_west(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = spark.sql(_INNER.replace("{flows}", "{view}"), view=flow_view(spark, sf_dir))
-    return sessions_l7.east_west(inner).select(*FIRED)
+    return sessions_l7.east_west(inner).select(*FIRED, "key")
 
 
 @query(
