@@ -78,16 +78,20 @@ def update(probability: float, severity: str, before: str | None, stage: str) ->
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Alerts in time order, tenant by tenant, to cases. Cases that went idle are forgotten, which bounds what is held."""
-    tenant, cases, case_of = None, {}, {}
+    """Alerts in time order, tenant by tenant, to cases.
+
+    An address keeps the name of its last case for ever, so one whose case went idle opens a new case however
+    many there are. What is known of an idle case is forgotten whenever the cases held have doubled.
+    """
+    tenant, cases, case_of, held = None, {}, {}, 1000
     for batch in batches:
         rows = []
         for a in batch.itertuples(index=False):
             if a.tenant_id != tenant:
-                tenant, cases, case_of = a.tenant_id, {}, {}
-            if len(case_of) > 100_000:
+                tenant, cases, case_of, held = a.tenant_id, {}, {}, 1000
+            if len(cases) > held:
                 cases = {k: c for k, c in cases.items() if a.t_us - c["t"] <= IDLE_S * 1_000_000}
-                case_of = {ip: k for ip, k in case_of.items() if k in cases}
+                held = max(1000, 2 * len(cases))
             stage = CASE_STAGES.get(a.category, "RECONNAISSANCE")
             name = case_of.get(a.src_ip) or case_of.get(a.dst_ip)
             case = cases.get(name)
@@ -110,8 +114,8 @@ def cases(alerts: DataFrame) -> DataFrame:
     """Each alert with its case and the case's state after it.
 
     An alert joins the open case of its source, else of its destination, unless that is idle for half an
-    hour; so order matters, and each tenant's alerts are streamed in time order by one task, with open
-    cases in memory. Alerts are few beside flows.
+    hour; so order matters, and each tenant's alerts are streamed in time order by one task, which holds its
+    open cases and a name for each address. Alerts are few beside flows.
     """
     ordered = alerts.select("tenant_id", "alert_id", "t_us", "src_ip", "dst_ip", "category", "severity").repartition("tenant_id").sortWithinPartitions("tenant_id", "t_us", "alert_id")
     schema = "tenant_id string, alert_id string, t_us long, case_id string, asset string, stage string, n_alerts int, n_stages int, probability double, escalates boolean"
