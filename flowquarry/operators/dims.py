@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Alert severities by rank.
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -71,23 +75,30 @@ JA3 = (
 BENIGN_JA4 = ("t13d1516h2", "t13d1715h2", "t13d1615h2", "t13d1413h2", "t13d030400")
 
 
+def table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A small fixed table that the planner knows the size of, so that it is broadcast."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table(dict(zip(names, map(pa.array, columns), strict=True)))).select(*[F.col(n).cast(c.split()[1]) for n, c in zip(names, schema.split(", "), strict=True)])
+
+
 def mitre(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MITRE, "category string, tactic string, technique_id string, technique_name string, subtechnique_id string")
+    return table(spark, MITRE, "category string, tactic string, technique_id string, technique_name string, subtechnique_id string")
 
 
 def controls(spark: SparkSession) -> DataFrame:
     rows = [(c, s, r) for c, needs in CONTROLS.items() for s, r in zip(STANDARDS, needs, strict=True)]
-    return spark.createDataFrame(rows, "category string, standard string, requirement_id string")
+    return table(spark, rows, "category string, standard string, requirement_id string")
 
 
 def malicious_ips(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MALICIOUS_IPS, "ip string, family string, actor string, severity string")
+    return table(spark, MALICIOUS_IPS, "ip string, family string, actor string, severity string")
 
 
 def seed_iocs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEED_IOCS, "ip string, family string, actor string, confidence double")
+    return table(spark, SEED_IOCS, "ip string, family string, actor string, confidence double")
 
 
 def fingerprints(spark: SparkSession) -> DataFrame:
     rows = [("ja4", *r) for r in JA4] + [("ja3", *r) for r in JA3]
-    return spark.createDataFrame(rows, "kind string, fingerprint string, family string, actor string, severity string, technique_id string")
+    return table(spark, rows, "kind string, fingerprint string, family string, actor string, severity string, technique_id string")

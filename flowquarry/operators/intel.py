@@ -7,16 +7,20 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.functions.net import ip_number, network
+from flowquarry.functions.net import in_networks, ip_number, network
+from flowquarry.operators.detect import FIRE
+from flowquarry.operators.dims import table
+from flowquarry.sources.cut import broadcast_if_small
 
 
 def match_exact(flows: DataFrame, iocs: DataFrame) -> DataFrame:
     """Flows with an indicator at one end; the destination's wins. ``iocs(ip, family, actor, ...)`` has one row per address.
 
-    A feed is joined by equality, so Spark broadcasts a small one and shuffles a large one.
+    A feed of up to a million addresses is broadcast, so flows stay where they are; a larger one is shuffled.
     """
     rest = [c for c in iocs.columns if c != "ip"]
-    side = lambda s: iocs.select(F.col("ip").alias(f"{s}_ip"), F.struct(*rest).alias(f"{s}_hit"))
+    feed = broadcast_if_small(iocs)
+    side = lambda s: feed.select(F.col("ip").alias(f"{s}_ip"), F.struct(*rest).alias(f"{s}_hit"))
     joined = flows.join(side("dst"), "dst_ip", "left").join(side("src"), "src_ip", "left").where("dst_hit is not null or src_hit is not null")
     hit = F.coalesce("dst_hit", "src_hit")
     return joined.select(*flows.columns, F.when(F.col("dst_hit").isNotNull(), "dst").otherwise("src").alias("side"), *[hit[c].alias(f"ioc_{c}") for c in rest])
@@ -25,18 +29,61 @@ def match_exact(flows: DataFrame, iocs: DataFrame) -> DataFrame:
 def match_networks(flows: DataFrame, networks: list[tuple[str, str]]) -> DataFrame:
     """Flows whose destination, else source, lies in a network; of several the first in the list. Rows gain ``family`` and ``side``.
 
-    A network is an equality on the leading bits of an address, so the join is by prefix and length and
-    needs no comparison of every address with every network.
+    A network is an equality on the leading bits of an address: for each length that occurs, both ends are
+    looked up in a broadcast table, so flows are neither shuffled nor multiplied.
     """
-    spark = flows.sparkSession
-    rows = [(order, int(cidr.partition("/")[2] or 32), network(cidr)[0] >> (32 - int(cidr.partition("/")[2] or 32)), family) for order, (cidr, family) in enumerate(networks)]
-    table = spark.createDataFrame(rows, "order int, bits int, prefix long, family string")
-    lengths = sorted({r[1] for r in rows})
-    ends = F.explode(F.array(F.struct(F.lit("dst").alias("side"), ip_number(F.col("dst_ip")).alias("n")), F.struct(F.lit("src").alias("side"), ip_number(F.col("src_ip")).alias("n"))))
-    tries = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.shiftright("end.n", 32 - b).alias("prefix")) for b in lengths]))
-    found = flows.select("flow_id", ends.alias("end")).select("flow_id", "end.side", tries.alias("t")).select("flow_id", "side", "t.*").join(table, ["bits", "prefix"])
-    best = found.groupBy("flow_id").agg(F.min(F.struct((F.col("side") == "src").alias("later"), "order", "side", "family")).alias("hit"))
-    return flows.join(best, "flow_id").select(*flows.columns, "hit.side", "hit.family")
+    first: dict[tuple[int, int], tuple[int, str]] = {}
+    for order, (cidr, family) in enumerate(networks):
+        bits = int(cidr.partition("/")[2] or 32)
+        first.setdefault((bits, network(cidr)[0] >> (32 - bits)), (order, family))
+    if not first:
+        return flows.where("false").select(*flows.columns, F.lit("dst").alias("side"), F.lit("").alias("family"))
+    out = flows.withColumns({"n_dst": ip_number(F.col("dst_ip")), "n_src": ip_number(F.col("src_ip"))})
+    hits: dict[str, list[str]] = {"dst": [], "src": []}
+    for bits in sorted({b for b, _ in first}):
+        rows = [(p, *hit) for (b, p), hit in first.items() if b == bits]
+        known = F.broadcast(table(flows.sparkSession, rows, "prefix long, order int, family string"))
+        for side in hits:
+            name = f"hit_{side}_{bits}"
+            hits[side].append(name)
+            tries = known.select(F.col("prefix").alias("tried"), F.struct("order", "family").alias(name))
+            out = out.join(tries, F.shiftright(f"n_{side}", 32 - bits) == F.col("tried"), "left").drop("tried")
+    best = {s: F.array_min(F.array(*names)) for s, names in hits.items()}
+    found = out.withColumns({f"best_{s}": c for s, c in best.items()}).where("best_dst is not null or best_src is not null")
+    side = F.when(F.col("best_dst").isNotNull(), "dst").otherwise("src")
+    return found.select(*flows.columns, side.alias("side"), F.coalesce("best_dst", "best_src")["family"].alias("family"))
+
+
+def indicator_alerts(flows: DataFrame, iocs: DataFrame, networks: list[tuple[str, str]], seeds: DataFrame) -> DataFrame:
+    """Fired rows of the indicator steps: the exact feed and, on a miss, networks; where both miss, the second feed.
+
+    Of the first feed a CRITICAL indicator fires so and any other HIGH, at a confidence of 0.98. Of the second,
+    ``seeds(ip, family, actor, confidence)``, one at the destination is CRITICAL and one at the source HIGH. Each
+    end is tried in the first feed before the next end, and all of the first feed before the second. The planner
+    broadcasts feeds whose size it knows to be small, as tables and fixed lists tell it.
+    """
+    marked = flows
+    seed = seeds.select("ip", "confidence")
+    exact = iocs.select("ip", F.col("severity").alias("level"))
+    for side in ("dst", "src"):
+        marked = marked.join(exact.select(F.col("ip").alias(f"{side}_ip"), F.col("level").alias(f"{side}_level")), f"{side}_ip", "left")
+        marked = marked.join(seed.select(F.col("ip").alias(f"{side}_ip"), F.col("confidence").alias(f"{side}_seed")), f"{side}_ip", "left")
+        inside = in_networks(F.col(f"{side}_ip"), tuple(c for c, _ in networks)) if networks else F.lit(False)
+        marked = marked.withColumn(f"{side}_level", F.coalesce(f"{side}_level", F.when(inside, "HIGH")))
+    level, seeded = F.coalesce("dst_level", "src_level"), F.coalesce("dst_seed", "src_seed")
+    hit = marked.where(level.isNotNull() | seeded.isNotNull()).withColumn("step", F.when(level.isNotNull(), "indicator").otherwise("indicator_filter"))
+    first = F.col("step") == "indicator"
+    severity = F.when(first, F.when(level == "CRITICAL", "CRITICAL").otherwise("HIGH")).otherwise(F.when(F.col("dst_seed").isNotNull(), "CRITICAL").otherwise("HIGH"))
+    made = {
+        "detector": F.col("step"),
+        "category": F.lit("MALICIOUS_C2"),
+        "severity": severity,
+        "confidence": F.when(first, 0.98).otherwise(seeded),
+        "cooldown_s": F.lit(0.0),
+        "key": F.concat_ws("|", "src_ip", "dst_ip"),
+        "evidence": F.col("bytes").cast("double"),
+    }
+    return hit.select(*[made[c].alias(c) if c in made else F.col(c) for c in FIRE])
 
 
 def match_fingerprints(flows: DataFrame, known: DataFrame, benign: tuple[str, ...]) -> DataFrame:
@@ -44,8 +91,8 @@ def match_fingerprints(flows: DataFrame, known: DataFrame, benign: tuple[str, ..
     kinds = [k for k in ("ja4", "ja3") if k in flows.columns]
     out = flows
     for kind in kinds:
-        table = known.where(F.col("kind") == kind).select(F.col("fingerprint").alias(kind), F.struct("family", "actor", "severity", "technique_id").alias(f"{kind}_hit"))
-        out = out.join(table, kind, "left")
+        seen = known.where(F.col("kind") == kind).select(F.col("fingerprint").alias(kind), F.struct("family", "actor", "severity", "technique_id").alias(f"{kind}_hit"))
+        out = out.join(broadcast_if_small(seen), kind, "left")
     hit = F.coalesce(*[F.col(f"{k}_hit") for k in kinds])
     common = F.coalesce(F.split_part("ja4", F.lit("_"), F.lit(1)).isin(*benign), F.lit(False))
     return out.select(*flows.columns, hit["family"].alias("family"), hit["severity"].alias("severity"), common.alias("common_client")).where("family is not null or common_client")

@@ -1,19 +1,28 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as written to the session's checkpoint folder, which outlives executors.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests on one machine, a local folder is made.
+    Only where ``spark.checkpoint.dir`` is unset and Spark runs on one machine, as in tests, a local folder is
+    made; on a cluster that is an error, as machines would not see each other's files.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="flowquarry-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="flowquarry-"))
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast of ``df`` when it has at most ``max_rows`` rows; else leave it to a shuffle join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
