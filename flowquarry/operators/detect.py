@@ -27,18 +27,23 @@ def lookback(keys: list[str], seconds: float) -> Window:
     return Window.partitionBy(*keys).orderBy("t_us").rangeBetween(-int(seconds * 1_000_000), 0)
 
 
-def swept(rows: DataFrame, keys: list[str], seconds: float, sums: dict[str, Column] | None = None, distinct: dict[str, str] | None = None) -> DataFrame:
+def swept(
+    rows: DataFrame, keys: list[str], seconds: float, sums: dict[str, Column] | None = None, distinct: dict[str, str] | None = None, gaps: dict[str, Column] | None = None, since: str = ""
+) -> DataFrame:
     """``rows`` with sums of whole numbers, and counts of distinct values that are not null, over the closed look-back window.
 
     A value counts from its row until the window has moved past it, a distinct one at most until it occurs
     again. So a row is a start and some ends, and running sums over both give all figures: the work of a
-    key grows with its rows, not with rows times window as that of a sliding frame does.
+    key grows with its rows, not with rows times window as that of a sliding frame does. ``gaps`` are sums too,
+    of figures that span the time from column ``since`` to the row: they count while all of it is in the window.
     """
-    sums, distinct = sums or {}, distinct or {}
+    sums, distinct, gaps = sums or {}, distinct or {}, gaps or {}
     past = F.col("t_us") + (int(seconds * 1_000_000) + 1)
     again = {name: F.lead("t_us").over(Window.partitionBy(*keys, c).orderBy("t_us")) for name, c in distinct.items()}
-    plus = {name: F.coalesce(v.cast("long"), F.lit(0)) for name, v in sums.items()} | {name: F.col(c).isNotNull().cast("long") for name, c in distinct.items()}
+    plus = {name: F.coalesce(v.cast("long"), F.lit(0)) for name, v in (sums | gaps).items()} | {name: F.col(c).isNotNull().cast("long") for name, c in distinct.items()}
     until = {name: F.least(past, F.coalesce(again[name], past)) for name in distinct}
+    if gaps:
+        until["gaps"] = F.coalesce(F.col(since), F.col("t_us")) + (int(seconds * 1_000_000) + 1)
     held = rows.select(
         *keys, "t_us", F.struct(*rows.columns).alias("row"), *[v.alias(f"plus_{name}") for name, v in plus.items()], *[v.alias(f"until_{name}") for name, v in until.items()]
     )
@@ -50,6 +55,7 @@ def swept(rows: DataFrame, keys: list[str], seconds: float, sums: dict[str, Colu
     events = [event(F.col("t_us"), F.col("row"), 1, list(plus))]
     events += [event(past, nothing, -1, list(sums))] if sums else []
     events += [event(F.col(f"until_{name}"), nothing, -1, [name]) for name in distinct]
+    events += [event(F.col("until_gaps"), nothing, -1, list(gaps))] if gaps else []
     w = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     moves = held.select(*keys, F.explode(F.array(*events)).alias("e")).select(*keys, "e.at", "e.row", *[F.col(f"e.{n}") for n in plus])
     return moves.select("row", *[F.sum(n).over(w).alias(n) for n in plus]).where("row is not null").select("row.*", *plus)
@@ -64,7 +70,7 @@ def fires(rows: DataFrame, detector: str, category: str, severity: Column, confi
         "detector": F.lit(detector),
         "category": F.lit(category),
         "severity": severity,
-        "confidence": F.round(confidence, 2),
+        "confidence": F.round(confidence + 1e-9, 2),  # halves go up, whatever the sum's last bit
         "cooldown_s": F.lit(float(cooldown_s)),
         "key": F.concat_ws("|", *[F.col(k).cast("string") for k in keys]),
         "evidence": evidence.cast("double"),
@@ -149,14 +155,15 @@ def beaconing(flows: DataFrame, samples: int = 5, seconds: float = 600, low_s: f
     """Connections at nearly equal intervals. Shorter gaps than 50 ms are one burst and do not count."""
     cast = F.col("dst_ip").startswith("224.") | F.col("dst_ip").startswith("239.") | (F.col("dst_ip") == "255.255.255.255")
     keys = ["src_ip", "dst_ip", "dst_port"]
-    times = F.array_sort(F.collect_list("t_us").over(lookback(keys, seconds)))
-    seen = flows.where((F.col("bytes") <= 500_000) & ~cast).withColumn("times", times).where(F.size("times") >= samples)
-    gaps = F.filter(F.zip_with(F.slice("times", F.lit(2), F.size("times") - 1), F.slice("times", F.lit(1), F.size("times") - 1), lambda b, a: (b - a) / 1e6), lambda g: g > 0.05)
-    seen = seen.withColumn("gaps", gaps).where(F.size("gaps") >= samples - 1)
-    n = F.size("gaps")
-    seen = seen.withColumn("mean_s", F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x) / F.greatest(n, F.lit(1))).where(F.col("mean_s").between(low_s, high_s))
-    spread = F.sqrt(F.aggregate("gaps", F.lit(0.0), lambda a, x: a + (x - F.col("mean_s")) * (x - F.col("mean_s"))) / F.greatest(n - 1, F.lit(1)))
-    seen = seen.withColumn("cv", F.try_divide(spread, F.col("mean_s"))).where(F.col("cv") <= cv)
+    before = F.lag("t_us").over(Window.partitionBy(*keys).orderBy("t_us"))
+    rows = flows.where((F.col("bytes") <= 500_000) & ~cast).withColumn("before_us", before)
+    gap = F.col("t_us") - F.col("before_us")
+    gap = F.when(gap > 50_000, F.when(gap <= int(seconds * 1_000_000), gap))
+    seen = swept(rows, keys, seconds, {"n": F.lit(1)}, gaps={"m": gap.isNotNull().cast("int"), "g": gap, "g2": gap * gap}, since="before_us")
+    seen = seen.where((F.col("n") >= samples) & (F.col("m") >= samples - 1)).withColumn("mean_us", F.col("g") / F.col("m"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("g2") - F.col("g") * F.col("mean_us")) / F.greatest(F.col("m") - 1, F.lit(1)))
+    seen = seen.withColumns({"mean_s": F.col("mean_us") / 1e6, "cv": F.try_divide(spread, F.col("mean_us"))})
+    seen = seen.where(F.col("mean_s").between(low_s, high_s) & (F.col("cv") <= cv))
     severity = F.when(~is_private(F.col("dst_ip")) & ~F.col("dst_port").isin(80, 443), "CRITICAL").otherwise("HIGH")
     return fires(seen, "beaconing", "C2_BEACONING", severity, F.least(F.lit(0.98), F.greatest(F.lit(0.85), 1 - F.col("cv"))), 180, keys, F.col("mean_s"))
 
@@ -185,7 +192,8 @@ def _tls(flows: DataFrame) -> DataFrame:
 def encrypted_exfil(flows: DataFrame) -> DataFrame:
     outward = has_private_prefix(F.col("src_ip")) & ~has_private_prefix(F.col("dst_ip"))
     upload = (F.col("received") <= 0) | (F.col("ratio") >= 0.85)
-    seen = _tls(running_ratio(flows)).where(outward & (F.col("bytes") >= 5_000_000) & (F.col("mean") >= 1150) & upload)
+    # whole conversations are TLS or not, so the filter may come before their running sums
+    seen = running_ratio(_tls(flows)).where(outward & (F.col("bytes") >= 5_000_000) & (F.col("mean") >= 1150) & upload)
     return fires(seen, "encrypted_exfil", "ANOMALOUS_TLS", F.lit("HIGH"), F.lit(0.91), 0, ["src_ip", "dst_ip", "dst_port"], F.col("bytes"))
 
 
@@ -208,14 +216,5 @@ def baseline(flows: DataFrame, least: int = 10, z_from: float = 3.5) -> DataFram
     return found.withColumn("unusual", (F.col("n_before") >= least) & (F.col("z") >= z_from))
 
 
+#: The window detectors, in the order in which they see a flow.
 DETECTORS = (port_scan, syn_flood, bandwidth_exfil, dns_volume, beaconing, lateral_movement, encrypted_exfil, encrypted_beacon)
-
-
-def all_alerts(flows: DataFrame) -> DataFrame:
-    """Alerts of all window detectors after their cooldowns, with an id made of what fired."""
-    fired = None
-    for detector in DETECTORS:
-        one = detector(flows)
-        fired = one if fired is None else fired.unionByName(one)
-    kept = with_cooldown(fired)
-    return kept.withColumns({"alert_id": F.sha2(F.concat_ws("|", "detector", "key", "flow_id"), 256), "status": F.lit("NEW")})

@@ -58,3 +58,18 @@ def evidence(alerts: DataFrame, flows: DataFrame) -> DataFrame:
     by_source = f.join(a, f.src_ip == a.a_src).select("alert_id", "flow_id")
     by_target = f.join(a, (f.dst_ip == a.a_dst) & (f.src_ip != a.a_src)).select("alert_id", "flow_id")
     return by_source.union(by_target)
+
+
+def evidence_counts(alerts: DataFrame, flows: DataFrame) -> DataFrame:
+    """``(alert_id, flows, bytes)``: how many flows :func:`evidence` lists for each alert, and their bytes.
+
+    From sums by source, by destination and by pair of both, so no pair of alert and flow is made.
+    """
+    sums = [F.count("*").alias("n"), F.sum("bytes").alias("b")]
+
+    def by(short: str, *keys: str) -> DataFrame:
+        return flows.groupBy(*keys).agg(*[s.alias(f"{short}_{c}") for s, c in zip(sums, ("n", "b"), strict=True)])
+
+    joined = alerts.join(by("s", "src_ip"), "src_ip", "left").join(by("d", "dst_ip"), "dst_ip", "left").join(by("p", "src_ip", "dst_ip"), ["src_ip", "dst_ip"], "left")
+    total = lambda c: F.coalesce(f"s_{c}", F.lit(0)) + F.coalesce(f"d_{c}", F.lit(0)) - F.coalesce(f"p_{c}", F.lit(0))
+    return joined.select("alert_id", total("n").alias("flows"), total("b").alias("bytes"))

@@ -129,8 +129,8 @@ def with_context(flows: DataFrame, upload_ratio: Column | None = None) -> DataFr
     return flows.withColumns({"direction": direction, "upload_ratio": ratio})
 
 
-def evaluate(flows: DataFrame, rules: tuple[Rule, ...] = SHIPPED) -> DataFrame:
-    """One alert row for each flow and rule that match, in one pass over the flows."""
+def evaluate(flows: DataFrame, rules: tuple[Rule, ...] = SHIPPED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One alert row for each flow and rule that match, in one pass over the flows; ``keep`` names further columns of theirs."""
     hits = [
         F.when(
             condition(r, flows.columns),
@@ -138,7 +138,7 @@ def evaluate(flows: DataFrame, rules: tuple[Rule, ...] = SHIPPED) -> DataFrame:
         )
         for r in rules
     ]
-    found = flows.select("flow_id", "t_us", "src_ip", "dst_ip", "dst_port", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-    return found.select("flow_id", "t_us", "src_ip", "dst_ip", "dst_port", "hit.*", F.lit("ANOMALY_ML").alias("category"), F.lit(0.91).alias("confidence"))
+    found = flows.select("flow_id", "t_us", "src_ip", "dst_ip", "dst_port", *keep, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    return found.select("flow_id", "t_us", "src_ip", "dst_ip", "dst_port", *keep, "hit.*", F.lit("ANOMALY_ML").alias("category"), F.lit(0.91).alias("confidence"))
 
 

@@ -171,7 +171,7 @@ def x1_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("domain", F.round(domains.entropy(F.col("domain")), 4).alias("entropy"))
 
 
-_PAIR = "case " + " ".join("when p in ({}) then {}".format(", ".join(f"'{x}'" for x in pairs.split()), v) for v, pairs in domains.PAIRS.items()) + f" else {domains.UNSEEN} end"
+_PAIR = "case " + " ".join(f"when p = '{pair}' then {v}" for pair, v in domains.PAIRS.items()) + f" else {domains.UNSEEN} end"
 
 
 @query(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.operators import biflow, correlate, detect, dims, graph, hosts, intel
+from flowquarry.operators import biflow, correlate, detect, dims, engine, graph, hosts, intel
 from flowquarry.plans.registry import query
 from flowquarry.sources.alerts import ALERTS_SQL, alert_view
 from flowquarry.sources.flows import flow_view
 
-FIRED = ("flow_id", "key", "severity", "evidence")
+FIRED = ("flow_id", "key", "severity", "confidence", "evidence")
 END_US = 1_700_200_000_000_000
 INTERNAL = "({0} like '10.%')"
 
@@ -19,35 +19,41 @@ def _over(keys: str, seconds: int) -> str:
     return f"over (partition by {keys} order by t_us range between {seconds}000000 preceding and current row)"
 
 
+def _rounded(confidence: str) -> str:
+    return f"round({confidence} + 1e-9, 2)::double as confidence"
+
+
 def _scan_sql(final: str) -> str:
     w = _over("src_ip", 10)
+    sure = _rounded("least(0.99, 0.85 + least(0.09, n / 50.0 * 0.09) + least(0.04, (m - 1) * 0.01) + case when tcp_flags & 2 = 2 then 0.0 else 0.02 end)")
     return (
-        f", p as (select *, len(list_distinct(list(dst_port) {w})) as n from flows where protocol = 6 and packets <= 4 and (tcp_flags & 2 = 2 or tcp_flags in (0, 1) or tcp_flags & 41 = 41)), "
-        "f as (select flow_id, t_us, src_ip as key, case when n >= 30 then 'HIGH' else 'MEDIUM' end as severity, cast(n as double) as evidence from p where n >= 15) " + final
+        f", p as (select *, len(list_distinct(list(dst_port) {w})) as n, len(list_distinct(list(dst_ip) {w})) as m from flows where protocol = 6 and packets <= 4 and (tcp_flags & 2 = 2 or tcp_flags in (0, 1) or tcp_flags & 41 = 41)), "
+        f"f as (select flow_id, t_us, src_ip as key, case when n >= 30 then 'HIGH' else 'MEDIUM' end as severity, {sure}, cast(n as double) as evidence from p where n >= 15) " + final
     )
 
 
-@query(_scan_sql("select flow_id, key, severity, evidence from f"))
+@query(_scan_sql("select flow_id, key, severity, confidence, evidence from f"))
 def w2_port_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.port_scan(flow_view(spark, sf_dir)).select(*FIRED)
 
 
 @query(
     _scan_sql(
-        ", g as (select key, list_reduce(list(t_us order by t_us), lambda a, x: case when len(a) = 0 or x - a[len(a)] >= 30000000 then list_append(a, x) else a end, cast([] as bigint[])) as kept from f group by key) "
-        "select key, unnest(kept) as t_us from g"
-    ).replace("n >= 15) , g", "n >= 15), g")
+        "select key, unnest(kept) as t_us from (select key, list_reduce(list(t_us order by t_us), lambda a, x: case when len(a) = 0 or x - a[len(a)] >= 30000000 then list_append(a, x) else a end, cast([] as bigint[])) as kept from f group by key)"
+    )
 )
 def w2_port_scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.with_cooldown(detect.port_scan(flow_view(spark, sf_dir))).select("key", "t_us")
 
 
 @query(
-    f", p as (select *, count(*) {_over('dst_ip, dst_port', 5)} as n from flows where protocol = 6 and tcp_flags & 2 = 2 and tcp_flags & 16 = 0 and packets <= 4) "
-    "select flow_id, concat(dst_ip, '|', dst_port) as key, case when n >= 6 then 'HIGH' end as severity, cast(n as double) as evidence from p where n >= 6"
+    f", p as (select *, count(*) {_over('dst_ip, dst_port', 5)} as n, len(list_distinct(list(src_ip) {_over('dst_ip, dst_port', 5)})) as s from flows where protocol = 6 and tcp_flags & 2 = 2 and tcp_flags & 16 = 0 and packets <= 4) "
+    "select flow_id, concat(dst_ip, '|', dst_port) as key, case when n >= 60 then 'CRITICAL' else 'HIGH' end as severity, "
+    + _rounded("least(0.99, 0.88 + least(0.06, (n - 30) * 0.002) + least(0.05, s / cast(n as double) * 0.05))")
+    + ", cast(n as double) as evidence from p where n >= 30"
 )
 def w3_syn_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.syn_flood(flow_view(spark, sf_dir), count=6).select(*FIRED)
+    return detect.syn_flood(flow_view(spark, sf_dir)).select(*FIRED)
 
 
 _RUNNING = (
@@ -72,16 +78,21 @@ def j6_running_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     "window w as (partition by src_ip order by t_us, flow_id rows between unbounded preceding and current row)), "
     f"e as (select *, sum(bytes) {_over('src_ip, dst_ip', 60)} as volume, n >= 10 and coalesce(case when s > 1e-4 then round((bytes - m) / s, 2) end, 0) >= 3.5 and bytes >= 1000000 as odd from q "
     f"where {INTERNAL.format('src_ip')} and not {INTERNAL.format('dst_ip')}) "
-    "select flow_id, concat(src_ip, '|', dst_ip) as key, case when greatest(bytes, volume) / 1048576.0 >= 50 then 'CRITICAL' else 'HIGH' end as severity, cast(volume as double) as evidence "
-    "from e where (bytes >= 2000000 or volume >= 4000000 or odd) and not (received > 0 and ratio < 0.2)"
+    ", v as (select *, greatest(bytes, volume) / 1048576.0 as mb from e) "
+    "select flow_id, concat(src_ip, '|', dst_ip) as key, case when mb >= 50 then 'CRITICAL' else 'HIGH' end as severity, "
+    + _rounded("least(0.99, 0.86 + case when mb >= 20 then least(0.08, (mb - 20) * 0.003) else 0 end + case when dst_port in (80, 443, 8080) then 0 else 0.04 end + case when received > 0 and ratio > 20 then 0.04 else 0 end + case when odd then 0.05 else 0 end)")
+    + ", cast(volume as double) as evidence from v where (bytes >= 20000000 or volume >= 50000000 or odd) and not (received > 0 and ratio < 0.2)"
 )
 def w4_bandwidth_exfil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.bandwidth_exfil(flow_view(spark, sf_dir), single=2_000_000, total=4_000_000).select(*FIRED)
+    return detect.bandwidth_exfil(flow_view(spark, sf_dir)).select(*FIRED)
 
 
 @query(
-    f", d as (select *, bytes / cast(packets as double) as mean, sum(packets) {_over('src_ip, dst_ip', 10)} as sp, sum(bytes) {_over('src_ip, dst_ip', 10)} as sb from flows where protocol = 17 and dst_port = 53) "
-    "select flow_id, concat(src_ip, '|', dst_ip) as key, 'HIGH' as severity, cast(sb as double) as evidence from d where mean >= 320 or (sp >= 25 and sb / cast(sp as double) > 250)"
+    f", d as (select *, bytes / cast(packets as double) as mean, sum(packets) {_over('src_ip, dst_ip', 10)} as sp, sum(bytes) {_over('src_ip, dst_ip', 10)} as sb from flows "
+    "where protocol = 17 and dst_port = 53 and not (dst_ip in ('8.8.8.8', '8.8.4.4', '1.1.1.1', '1.0.0.1', '9.9.9.9', '149.112.112.112', '192.168.1.1', '10.0.0.1') and packets > 0 and bytes / cast(packets as double) < 320)) "
+    "select flow_id, concat(src_ip, '|', dst_ip) as key, 'HIGH' as severity, "
+    + _rounded("least(0.98, 0.85 + greatest(0.0, least(0.08, (mean - 320) / 1000.0)) + greatest(0.0, least(0.05, (sp - 25) * 0.002)))")
+    + ", cast(sb as double) as evidence from d where mean >= 320 or (sp >= 25 and sb / cast(sp as double) > 250)"
 )
 def w5_dns_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.dns_volume(flow_view(spark, sf_dir)).select(*FIRED)
@@ -93,25 +104,27 @@ def w5_dns_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     "m as (select *, list_sum(gaps) / len(gaps) as mean from g where len(gaps) >= 4), "
     "v as (select *, sqrt(list_sum(list_transform(gaps, lambda x: (x - mean) * (x - mean))) / (len(gaps) - 1)) / mean as cv from m where mean between 2 and 300) "
     "select flow_id, concat(src_ip, '|', dst_ip, '|', dst_port) as key, case when dst_ip not like '10.%' and dst_ip not like '198.51.100.%' and dst_port not in (80, 443) then 'CRITICAL' else 'HIGH' end as severity, "
-    "round(mean, 6) as evidence from v where cv <= 0.5"
+    + _rounded("least(0.98, greatest(0.85, 1 - cv))")
+    + ", round(mean + 1e-9, 6) as evidence from v where cv <= 0.35"
 )
 def w7_beaconing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.beaconing(flow_view(spark, sf_dir), cv=0.5).select(*FIRED)
-    return found.withColumn("evidence", F.round("evidence", 6))
+    found = detect.beaconing(flow_view(spark, sf_dir)).select(*FIRED)
+    return found.withColumn("evidence", F.round(F.col("evidence") + 1e-9, 6))
 
 
 @query(
     f", l as (select *, list_distinct(list(dst_ip) {_over('src_ip', 30)}) as hosts, list_distinct(list(dst_port) {_over('src_ip', 30)}) as ports from flows "
     f"where {INTERNAL.format('src_ip')} and {INTERNAL.format('dst_ip')} and src_ip <> dst_ip and dst_port in (22, 135, 139, 445, 3389, 5985, 5986)) "
     "select flow_id, src_ip as key, case when len(hosts) >= 6 or (list_contains(ports, 445) and list_contains(ports, 3389)) then 'CRITICAL' when len(hosts) >= 4 or list_contains(ports, 445) then 'HIGH' else 'MEDIUM' end as severity, "
-    "cast(len(hosts) as double) as evidence from l where len(hosts) >= 3"
+    + _rounded("least(0.99, 0.88 + least(0.08, (len(hosts) - 3) * 0.02) + case when list_contains(ports, 445) then 0.03 else 0 end)")
+    + ", cast(len(hosts) as double) as evidence from l where len(hosts) >= 3"
 )
 def w8_lateral_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.lateral_movement(flow_view(spark, sf_dir)).select(*FIRED)
 
 
 @query(
-    _RUNNING + f" select flow_id, concat_ws('|', src_ip, dst_ip, dst_port) as key, 'HIGH' as severity, cast(bytes as double) as evidence from (select *, {_RATIO.format('sent', 'received')} as ratio from r) "
+    _RUNNING + f" select flow_id, concat_ws('|', src_ip, dst_ip, dst_port) as key, 'HIGH' as severity, 0.91::double as confidence, cast(bytes as double) as evidence from (select *, {_RATIO.format('sent', 'received')} as ratio from r) "
     "where protocol = 6 and (dst_port in (443, 8443, 9443) or src_port in (443, 8443, 9443)) and src_ip like '10.%' and dst_ip not like '10.%' and bytes >= 5000000 and bytes / packets >= 1150 and (received <= 0 or ratio >= 0.85)"
 )
 def w9_encrypted_exfil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,24 +134,25 @@ def w9_encrypted_exfil(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ", t as (select *, bytes / cast(packets as double) as mean from flows where protocol = 6 and (dst_port in (443, 8443, 9443) or src_port in (443, 8443, 9443)) and not (src_ip like '10.%' and dst_ip like '10.%')), "
     "n as (select *, sum(case when mean between 100 and 500 and packets between 4 and 60 then 1 else 0 end) over (partition by src_ip, dst_ip, dst_port order by t_us, flow_id rows between 19 preceding and current row) as n from t) "
-    "select flow_id, concat_ws('|', src_ip, dst_ip, dst_port) as key, 'HIGH' as severity, cast(n as double) as evidence from n "
-    "where src_ip like '10.%' and dst_ip not like '10.%' and packets between 5 and 50 and mean between 120 and 480 and n >= 1"
+    "select flow_id, concat_ws('|', src_ip, dst_ip, dst_port) as key, 'HIGH' as severity, 0.88::double as confidence, cast(n as double) as evidence from n "
+    "where src_ip like '10.%' and dst_ip not like '10.%' and packets between 5 and 50 and mean between 120 and 480 and n >= 3"
 )
 def w10_encrypted_beacon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.encrypted_beacon(flow_view(spark, sf_dir), least=1).select(*FIRED)
+    return detect.encrypted_beacon(flow_view(spark, sf_dir)).select(*FIRED)
 
 
 @query(
     ", b as (select flow_id, src_ip, bytes, count(*) over w as n, avg(bytes) over w as m, stddev_samp(bytes) over w as s from flows window w as (partition by src_ip order by t_us, flow_id rows between unbounded preceding and 1 preceding)) "
-    "select flow_id, src_ip, n as n_before, n >= 10 and coalesce(case when n >= 5 and s > 1e-4 then round((bytes - m) / s, 2) end, 0) >= 3.5 as unusual from b"
+    "select flow_id, src_ip, n as n_before, round(coalesce(case when n >= 5 and s > 1e-4 then (bytes - m) / s end, 0), 2) + 0.0 as z, n >= 10 and coalesce(case when n >= 5 and s > 1e-4 then round((bytes - m) / s, 2) end, 0) >= 3.5 as unusual from b"
 )
 def w1_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.baseline(flow_view(spark, sf_dir)).select("flow_id", "src_ip", "n_before", "unusual")
+    return detect.baseline(flow_view(spark, sf_dir)).select("flow_id", "src_ip", "n_before", (F.col("z") + 0.0).alias("z"), "unusual")
 
 
 @query()
 def w_all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.all_alerts(flow_view(spark, sf_dir))
+    """The whole engine over the flow view."""
+    return engine.alerts(flow_view(spark, sf_dir))
 
 
 @query(
@@ -162,21 +176,45 @@ def a7_pair_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return biflow.pair_ratio(flow_view(spark, sf_dir))
 
 
-@query("select flow_id, 'dst' as side, 'Cobalt Strike C2' as ioc_family, 'CRITICAL' as ioc_severity from flows where dst_ip = '198.51.100.77'")
+_HIT_1 = "('198.51.100.77', '45.33.32.156')"
+
+
+@query(
+    f"select flow_id, case when dst_ip in {_HIT_1} then 'dst' else 'src' end as side, case when dst_ip = '198.51.100.77' or (dst_ip not in {_HIT_1} and src_ip = '198.51.100.77') then 'Cobalt Strike C2' else 'Mirai Botnet C2' end as ioc_family, "
+    f"'CRITICAL' as ioc_severity from flows where dst_ip in {_HIT_1} or src_ip in {_HIT_1}"
+)
 def j1_exact_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = intel.match_exact(flow_view(spark, sf_dir), dims.malicious_ips(spark))
     return found.select("flow_id", "side", "ioc_family", "ioc_severity")
 
 
+_FAMILY = "case when {0} like '198.51.100.%' then 'doc net' when {0} like '10.1.%' then 'lab' when {0} like '10.0.%' then 'office' when {0} like '198.51.%' then 'wider' end"
+
+
 @query(
-    "select flow_id, case when dst_ip like '198.51.100.%' or dst_ip like '10.1.%' then 'dst' else 'src' end as side, "
-    "case when dst_ip like '198.51.100.%' then 'doc net' when dst_ip like '10.1.%' then 'lab' else 'office' end as family from flows"
+    f", n as (select flow_id, {_FAMILY.format('dst_ip')} as d, {_FAMILY.format('src_ip')} as s from flows) "
+    "select flow_id, case when d is not null then 'dst' else 'src' end as side, coalesce(d, s) as family from n where d is not null or s is not null"
 )
 def j2_network_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     nets = [("198.51.100.0/24", "doc net"), ("10.1.0.0/16", "lab"), ("10.0.0.0/15", "office"), ("198.51.0.0/16", "wider")]
     return intel.match_networks(flow_view(spark, sf_dir), nets).select("flow_id", "side", "family")
 
 
+_LEVEL = f"case when {{0}} in {_HIT_1} then 'CRITICAL' when {{0}} like '8.8.%' then 'HIGH' end"
+_SEED = "case {0} when '198.51.100.77' then 0.98 when '198.51.100.200' then 0.95 end"
+
+
+@query(
+    f", n as (select *, coalesce({_LEVEL.format('dst_ip')}, {_LEVEL.format('src_ip')}) as level, {_SEED.format('dst_ip')} as d, {_SEED.format('src_ip')} as s from flows) "
+    "select flow_id, case when level is not null then 'indicator' else 'indicator_filter' end as detector, case when level is not null then level when d is not null then 'CRITICAL' else 'HIGH' end as severity, "
+    "(case when level is not null then 0.98 else coalesce(d, s) end)::double as confidence from n where level is not null or d is not null or s is not null"
+)
+def j3_indicator_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact feed, then networks, and the second feed only where both miss."""
+    found = intel.indicator_alerts(flow_view(spark, sf_dir), dims.malicious_ips(spark), [("8.8.0.0/16", "resolver")], dims.seed_iocs(spark))
+    return found.select("flow_id", "detector", "severity", "confidence")
+
+
 @query("select flow_id, case when ja4 = 't13d1516h2_8daaf6152771_e562703ab855' then 'Cobalt Strike C2' end as family, split_part(ja4, '_', 1) in ('t13d1516h2', 't13d1715h2') as common_client from flows where ja4 is not null")
 def j7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intel.match_fingerprints(flow_view(spark, sf_dir), dims.fingerprints(spark), dims.BENIGN_JA4).select("flow_id", "family", "common_client")
@@ -227,12 +265,12 @@ _STAGE = "case " + " ".join(f"when category = '{c}' then '{s}'" for c, s in corr
 
 
 @query(
-    ALERTS_SQL + f", s as (select *, {_STAGE} as stage from alerts where category <> 'ATTACK_CAMPAIGN'), w as (select *, list_sort(list_distinct(list(stage) {_over('src_ip', 60)})) as stages, count(*) {_over('src_ip', 60)} as n_alerts from s), "
+    ALERTS_SQL + f", s as (select *, {_STAGE} as stage from alerts where category <> 'ATTACK_CAMPAIGN'), w as (select *, list_sort(list_distinct(list(stage) {_over('src_ip', 900)})) as stages, count(*) {_over('src_ip', 900)} as n_alerts from s), "
     "r as (select *, row_number() over (partition by src_ip, stages order by t_us, alert_id) as nth from w where len(stages) >= 2) "
     "select src_ip, t_us, alert_id, array_to_string(stages, ' -> ') as progression, n_alerts from r where nth = 1"
 )
 def w23_kill_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.kill_chain(alert_view(spark, sf_dir), 60)
+    return correlate.kill_chain(alert_view(spark, sf_dir))
 
 
 @query()

@@ -55,12 +55,12 @@ def a12_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ALERTS_SQL + ", n as (select cast(count_if(severity = 'CRITICAL') as bigint) as critical, cast(count_if(severity = 'HIGH') as bigint) as high from alerts where status <> 'RESOLVED' and category = 'DGA_DOMAIN' and src_ip like '10.0.1.%'), "
+    ALERTS_SQL + ", n as (select cast(count_if(severity = 'CRITICAL') as bigint) as critical, cast(count_if(severity = 'HIGH') as bigint) as high from alerts where status <> 'RESOLVED'), "
     "p as (select *, greatest(0, 100 - 15 * critical - 5 * high) as score from n) select critical, high, score, case when score >= 90 then 'EXCELLENT' when score >= 70 then 'DEGRADED' else 'CRITICAL' end as level, "
     "case when critical > 0 then 'AT_RISK' else 'COMPLIANT' end as pci, case when high > 2 then 'NEEDS_REVIEW' else 'COMPLIANT' end as iso from p"
 )
 def a13_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.posture(_alerts(spark, sf_dir).where("category = 'DGA_DOMAIN' and src_ip like '10.0.1.%'"))
+    return report.posture(_alerts(spark, sf_dir))
 
 
 @query(
@@ -123,11 +123,17 @@ _TARGET = "case when category in ('MALICIOUS_C2', 'EXFILTRATION', 'C2_BEACONING'
 
 
 @query(
-    ALERTS_SQL + f", t as (select alert_id, {_TARGET} as target_ip, case when category in ('MALICIOUS_C2', 'EXFILTRATION', 'C2_BEACONING') then 'LOW' when category in ('ATTACK_CAMPAIGN', 'LATERAL_MOVEMENT') then 'HIGH' else 'MEDIUM' end as impact from alerts) "
-    "select alert_id, target_ip, impact, 'nftables' as platform, concat('nft add element inet filter blackhole { ', target_ip, ' }') as block from t"
+    ALERTS_SQL + f", t as (select alert_id, {_TARGET} as target_ip, case when category in ('MALICIOUS_C2', 'EXFILTRATION', 'C2_BEACONING') then 'LOW' when category in ('ATTACK_CAMPAIGN', 'LATERAL_MOVEMENT') then 'HIGH' when {_TARGET} like '10.%' or {_TARGET} like '192.168.%' then 'MEDIUM' else 'LOW' end as impact from alerts), "
+    "p as (select * from (values "
+    "('iptables', 'iptables -I INPUT 1 -s @ -j DROP && iptables -I FORWARD 1 -s @ -j DROP', 'iptables -D INPUT -s @ -j DROP && iptables -D FORWARD -s @ -j DROP'), "
+    "('nftables', 'nft add element inet filter blackhole { @ }', 'nft delete element inet filter blackhole { @ }'), "
+    "('cisco', concat('ip access-list extended ISOLATION', chr(10), ' 1 deny ip host @ any log'), concat('ip access-list extended ISOLATION', chr(10), ' no 1 deny ip host @ any log')), "
+    """('aws_nacl', '{"RuleAction":"deny","RuleNumber":50,"CidrBlock":"@/32","Egress":false}', '{"RuleNumber":50,"Egress":false,"Delete":true}'), """
+    "('exabgp', 'announce flow route { match { source @/32; } then { discard; } }', 'withdraw flow route { match { source @/32; } }')) v(platform, b, r)) "
+    "select alert_id, target_ip, impact, platform, replace(b, '@', target_ip) as block, replace(r, '@', target_ip) as rollback from t, p"
 )
 def r1_playbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return response.playbooks(_alerts(spark, sf_dir)).where("platform = 'nftables'").drop("rollback")
+    return response.playbooks(_alerts(spark, sf_dir))
 
 
 @query(
@@ -190,10 +196,15 @@ def a18_campaign_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.campaign_metrics(_matched(spark, sf_dir))
 
 
-@query(ALERTS_SQL + ", a as (select * from alerts where cast(alert_id as bigint) % 130 = 0) select a.alert_id, f.flow_id from a join flows f on f.src_ip = a.src_ip or f.dst_ip = a.dst_ip")
+@query(
+    ALERTS_SQL + ", s as (select src_ip, count(*) as n, sum(bytes) as b from flows group by 1), d as (select dst_ip, count(*) as n, sum(bytes) as b from flows group by 1), "
+    "p as (select src_ip, dst_ip, count(*) as n, sum(bytes) as b from flows group by 1, 2) "
+    "select alert_id, coalesce(s.n, 0) + coalesce(d.n, 0) - coalesce(p.n, 0) as flows, cast(coalesce(s.b, 0) + coalesce(d.b, 0) - coalesce(p.b, 0) as bigint) as bytes "
+    "from alerts a left join s on s.src_ip = a.src_ip left join d on d.dst_ip = a.dst_ip left join p on p.src_ip = a.src_ip and p.dst_ip = a.dst_ip"
+)
 def j11_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows behind each tenth alert, as a user looks up some alerts."""
-    return evaluate.evidence(_alerts(spark, sf_dir).where("cast(alert_id as long) % 130 = 0"), flow_view(spark, sf_dir))
+    """How many flows stand behind each alert, and their bytes."""
+    return evaluate.evidence_counts(_alerts(spark, sf_dir), flow_view(spark, sf_dir))
 
 
 @query("select round(avg(bytes), 6) as mean_bytes, round(stddev_pop(bytes), 4) as sd_bytes, max(bytes) as max_bytes, round(avg(packets), 6) as mean_packets from flows")

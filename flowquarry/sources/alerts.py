@@ -1,4 +1,4 @@
-"""An alert table over the flow view, for queries on alerts: one alert for every thirteenth flow."""
+"""An alert table over the flow view, for queries on alerts: one alert for every flow."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ PROJECTION = (
     + _pick(STATUSES, "(flow_id % 23) % 4")
     + " as status, concat('Alert ', cast(flow_id as {text})) as title, 'a|b=c' as description, src_ip, dst_ip, dst_port, protocol, "
     "cast(80 + flow_id % 20 as double) / 100 as confidence, tenant_id, cast(null as {text}) as campaign_id, cast(flow_id % 5 as {text}) as vector_id "
-    "from {flows} where flow_id % 13 = 0"
+    "from {flows}"
 )
 ALERTS_SQL = f", alerts as ({PROJECTION.format(text='varchar', flows='flows')})"
 
