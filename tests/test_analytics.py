@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowquarry.functions import domains, net, wire
-from flowquarry.operators import analytics, biflow, correlate, detect, evaluate, graph, hosts, hunt, intel, ml, response, sessions_l7, sigma
+from flowquarry.operators import analytics, biflow, correlate, detect, engine, evaluate, graph, hosts, hunt, intel, ml, response, sessions_l7, sigma
 from flowquarry.sources.flows import FLOW_SCHEMA, read_flows, with_defaults, write_flows
 
 T0 = 1_700_000_000_000_000
@@ -87,7 +87,7 @@ def test_scan_flood_and_cooldown(spark):
 def test_benign_traffic_is_quiet(spark):
     f = flows(spark, [(i * 3, f"10.0.0.{i % 40}", "142.250.190.46", 40000 + i, 443, 6, 24, 60 + i % 7, 50_000 + 37 * (i % 11)) for i in range(150)]
               + [(i * 7, f"10.0.1.{i % 30}", "8.8.8.8", 50000 + i, 53, 17, 0, 2, 160) for i in range(100)])
-    assert detect.all_alerts(f).count() == 0
+    assert engine.alerts(f).count() == 0
 
 
 def alert_rows(spark, rows):
