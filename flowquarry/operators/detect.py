@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from flowquarry.functions.net import has_private_prefix, is_internal, is_private
 from flowquarry.operators.biflow import running_ratio
 
+#: Windows in a slice of a key's time; one window in so many is handed on twice.
+SLICE_WINDOWS = 60
 FIRE = ("detector", "category", "severity", "confidence", "cooldown_s", "key", "src_ip", "dst_ip", "dst_port", "protocol", "t_us", "flow_id", "evidence")
 #: Ports of remote administration, TLS ports, and resolvers that are trusted at normal size.
 ADMIN_PORTS = (22, 135, 139, 445, 3389, 5985, 5986)
@@ -36,16 +38,26 @@ def swept(
     again. So a row is a start and some ends, and running sums over both give all figures: the work of a
     key grows with its rows, not with rows times window as that of a sliding frame does. ``gaps`` are sums too,
     of figures that span the time from column ``since`` to the row: they count while all of it is in the window.
+
+    A key's time is cut into slices of ``SLICE_WINDOWS`` windows, which go to different tasks, so a busy key is not
+    one task's work; the last window of a slice is also handed to the next one, for the figures at its start.
     """
     sums, distinct, gaps = sums or {}, distinct or {}, gaps or {}
-    past = F.col("t_us") + (int(seconds * 1_000_000) + 1)
+    window = int(seconds * 1_000_000) + 1
+    length = window * SLICE_WINDOWS
+    own = F.floor(F.col("t_us") / length)
+    carried = F.when(F.pmod(F.col("t_us"), F.lit(length)) >= length - window, F.struct((own + 1).alias("slice"), F.lit(True).alias("carried")))
+    columns, keys = rows.columns, [*keys, "slice"]
+    places = F.array_compact(F.array(F.struct(own.alias("slice"), F.lit(False).alias("carried")), carried))
+    rows = rows.select("*", F.explode(places).alias("place")).select(*columns, "place.slice", "place.carried")
+    past = F.col("t_us") + window
     again = {name: F.lead("t_us").over(Window.partitionBy(*keys, c).orderBy("t_us")) for name, c in distinct.items()}
     plus = {name: F.coalesce(v.cast("long"), F.lit(0)) for name, v in (sums | gaps).items()} | {name: F.col(c).isNotNull().cast("long") for name, c in distinct.items()}
     until = {name: F.least(past, F.coalesce(again[name], past)) for name in distinct}
     if gaps:
-        until["gaps"] = F.coalesce(F.col(since), F.col("t_us")) + (int(seconds * 1_000_000) + 1)
+        until["gaps"] = F.coalesce(F.col(since), F.col("t_us")) + window
     held = rows.select(
-        *keys, "t_us", F.struct(*rows.columns).alias("row"), *[v.alias(f"plus_{name}") for name, v in plus.items()], *[v.alias(f"until_{name}") for name, v in until.items()]
+        *keys, "t_us", F.when(~F.col("carried"), F.struct(*columns)).alias("row"), *[v.alias(f"plus_{name}") for name, v in plus.items()], *[v.alias(f"until_{name}") for name, v in until.items()]
     )
     nothing = F.lit(None).cast(held.schema["row"].dataType)
 

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from flowquarry.functions.wire import RPC
-from flowquarry.operators import correlate, engine, sessions_l7
+from flowquarry.operators import correlate, detect, engine, sessions_l7
 from tests.test_analytics import T0, flows
 
 
@@ -135,3 +135,18 @@ def test_idle_sources_open_new_cases_however_many_there_are():
         return out[out["alert_id"] == "z"].iloc[0]["case_id"]
 
     assert last(0) == last(5000) == last(60_000) == "t/z"
+
+
+def test_slices_of_time_do_not_show(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.random() * 300, "10.0.0.1", f"10.0.1.{rng.randrange(6)}", 40000, rng.choice([22, 445, 3389]), 6, 2, 1, rng.randrange(900)) for _ in range(400)]
+    df = flows(spark, rows)
+
+    def figures(slices):
+        monkeypatch.setattr(detect, "SLICE_WINDOWS", slices)
+        out = detect.swept(df, ["src_ip"], 7, {"n": F.lit(1), "b": F.col("bytes")}, {"ports": "dst_port", "hosts": "dst_ip"})
+        return sorted((r.flow_id, r.n, r.b, r.ports, r.hosts) for r in out.collect())
+
+    assert figures(1) == figures(3) == figures(10_000)
+    want = [(i, *(lambda seen: (len(seen), sum(x[8] for x in seen), len({x[4] for x in seen}), len({x[2] for x in seen})))([x for x in rows if 0 <= int(r[0] * 1e6) - int(x[0] * 1e6) <= 7_000_000])) for i, r in enumerate(rows)]
+    assert figures(1) == want
