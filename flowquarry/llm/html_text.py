@@ -392,6 +392,8 @@ def _walk(node: Node, out: Lines, keep: bool) -> None:
 
 def extract(html: str | None) -> str:
     """The visible text of a page; empty for null."""
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     lines = _layout(parse((html or "").replace("\r\n", "\n").replace("\r", "\n")))
     while lines and not lines[-1]:
         lines.pop()
@@ -400,7 +402,6 @@ def extract(html: str | None) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
     for batch in batches:
         texts = [extract(h) for h in batch.column("html").to_pylist()]
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int32())]

@@ -19,8 +19,8 @@ def turns():
 
 def brute(rows):
     groups = defaultdict(list)
-    for c, t, role, text, *_ in rows:
-        groups[c].append((t, role, text))
+    for at, (c, t, role, text, *_) in enumerate(rows):
+        groups[("alone", at) if c is None else c].append((t, role, text))  # a turn without an id is no other's
     order = lambda x: (x is not None, x)
     talks = {c: [(role, text) for _, role, text in sorted(g, key=lambda x: tuple(map(order, x)))] for c, g in groups.items()}
     last = {c: max((k + 1 for k, (role, _) in enumerate(t) if role == "assistant"), default=0) for c, t in talks.items()}
@@ -30,14 +30,14 @@ def brute(rows):
         chosen = rejected = talk
         if last[c]:
             chosen = talk[: last[c]]
-            other = None if c is None else c ^ 1
+            other = None if isinstance(c, tuple) else c ^ 1
             tail = [talks[other][last[other] - 1]] if other is not None and last.get(other) else []
             rejected = talk[: last[c] - 1] + tail
         chosen, rejected = clean(chosen), clean(rejected)
         n = 0
         while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
             n += 1
-        out[(c, n, render(chosen[:n])[0], *render(chosen[n:]), *render(rejected[n:]))] += 1
+        out[(None if isinstance(c, tuple) else c, n, render(chosen[:n])[0], *render(chosen[n:]), *render(rejected[n:]))] += 1
     return out
 
 
@@ -100,3 +100,17 @@ def test_query_equals_brute_force(spark, sf):
 
 def test_empty_table(spark):
     assert chat.format_pairs(chat.reply_pairs(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_turns_without_an_id_are_not_joined(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (4, 0, "user", "c"), (4, 1, "assistant", "d")], "conv_id long, turn long, role string, text string")
+    found = sorted((r.conv_id is None, [t.text for t in r.turns]) for r in chat.conversations(turns).collect())
+    assert found == [(False, ["c", "d"]), (True, ["a"]), (True, ["b"])]
+    rows = chat.format_pairs(chat.reply_pairs(turns)).collect()
+    assert sorted(r.pair_id is None for r in rows) == [False, True, True]
+
+
+def test_ids_that_are_not_numbers(spark):
+    turns = spark.createDataFrame([("x", 0, "user", "c"), ("x", 1, "assistant", "d"), ("y", 0, "user", "e")], "conv_id string, turn long, role string, text string")
+    rows = {r.pair_id: (r.prompt_turns, r.chosen != "", r.rejected) for r in chat.format_pairs(chat.reply_pairs(turns)).collect()}
+    assert rows == {"x": (1, True, ""), "y": (1, False, "")}

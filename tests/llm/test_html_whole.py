@@ -1,3 +1,7 @@
+import random
+import re
+from html import escape
+
 import pytest
 
 from flowquarry.llm import html_text
@@ -15,3 +19,44 @@ CASES = {
 @pytest.mark.parametrize("html", CASES, ids=range(len(CASES)))
 def test_visible_text_stays(html):
     assert html_text.extract(html).replace("\n\n", "\n") == CASES[html].replace("\n\n", "\n")
+
+
+def test_pages_built_with_their_text():
+    """Random pages of paragraphs, lists and tables, whose text is written down beside them."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(["alpha", "beta", "日本", "été", "a&b", "x<y", "zwölf"])
+    some = lambda n: [word() for _ in range(rng.randrange(1, n))]
+    wide = lambda s: sum(2 if c in "日本" else 1 for c in s)
+    for _ in range(300):
+        html, blocks = [], []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.choice(["p", "ul", "ol", "table", "hidden", "h2"])
+            if kind in ("p", "h2"):
+                words = some(6)
+                html.append(f"<{kind}> " + "  \n".join(escape(w) if rng.random() < 0.7 else f"<b>{escape(w)}</b>" for w in words) + (f"</{kind}>" if kind == "h2" else ""))
+                blocks.append([" ".join(words)])
+            elif kind in ("ul", "ol"):
+                items = [some(4) for _ in range(rng.randrange(1, 4))]
+                html.append(f"<{kind}>" + "".join(f"<li>{escape(' '.join(i))}" for i in items) + f"</{kind}>")
+                blocks.append([(f"{n}. " if kind == "ol" else "- ") + " ".join(i) for n, i in enumerate(items, 1)])
+            elif kind == "table":
+                cells = [[" ".join(some(3)) for _ in range(3)] for _ in range(rng.randrange(1, 4))]
+                html.append("<table>" + "".join("<tr>" + "".join(f"<td>{escape(c)}" for c in row) for row in cells) + "</table>")
+                widths = [max(wide(row[k]) for row in cells) for k in range(3)]
+                blocks.append(["  ".join(c + " " * (w - wide(c)) for c, w in zip(row, widths, strict=True)).rstrip() for row in cells])
+            else:
+                html.append(f"<div style='color:red; display : none'><p>{escape(word())}</div><script>if (a<b) x()</script>")
+        assert html_text.extract("<body>" + "".join(html)) == "\n\n".join("\n".join(b) for b in blocks), html
+
+
+def test_text_of_deep_pages_stays():
+    for tag in ("div", "span", "ul><li", "table><tr><td", "blockquote"):
+        page = "".join(f"<{tag}>w{i} " for i in range(1500))
+        assert html_text.extract(page).split() != [] and {f"w{i}" for i in range(1500)} <= set(re.findall(r"w\d+", html_text.extract(page)))
+
+
+def test_spans_reach_as_far_as_the_standard_lets_them():
+    rows = "<tr><td rowspan=0>a<td>b" + "".join(f"<tr><td>r{i}" for i in range(150))
+    lines = html_text.extract(f"<table>{rows}</table>").split("\n")
+    assert lines[0] == "a  b" and all(line == f"   r{i}" for i, line in enumerate(lines[1:]))
+    assert html_text._span(html_text.Node("td", {"colspan": "2000"}), "colspan") == 1000

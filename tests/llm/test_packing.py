@@ -88,3 +88,25 @@ def test_one_shard_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert packing.best_fit(R.empty(spark)).count() == 0
+
+
+def test_bins_can_be_filled(spark):
+    docs = [(i, t) for i, t in R.hard_documents()] + [(7, R.sentence(7, 37))]
+    df = R.frame(spark, docs)
+    placed = packing.best_fit(df, sizes=(16, 64, 256))
+    filled = packing.with_text(df, placed).collect()
+    assert len(filled) == placed.count()
+    texts = defaultdict(set)
+    for i, t in docs:
+        texts[i].add(tuple((t or "").split()))
+    for r in filled:
+        words = tuple(r.text.split())
+        assert len(words) == r.n_tokens
+        assert any(t[r.doc_start : r.doc_start + r.n_tokens] == words for t in texts[r.doc_id])
+    bins = packing.sequences(packing.with_text(df, placed)).collect()
+    assert sum(b.n_tokens for b in bins) == sum(len((t or "").split()) for _, t in docs)
+    for b in bins:
+        words = b.text.split()
+        assert len(words) == b.n_tokens <= b.bin_size
+        for i, start, end in zip(b.doc_ids, b.starts, [*b.starts[1:], b.n_tokens], strict=True):
+            assert any(" ".join(words[start:end]) in " ".join(t) for t in texts[i])
