@@ -1,3 +1,4 @@
+import pytest
 import os
 import zlib
 
@@ -23,8 +24,8 @@ def test_stored_tables_are_read_back_and_dropped(spark):
 class Session:
     """As much of a session as names its folders."""
 
-    def __init__(self, setting=None, folder=None):
-        self.setting, self.folder = setting, folder
+    def __init__(self, setting=None, folder=None, master="local[4]"):
+        self.setting, self.folder, self.master = setting, folder, master
         self.conf = self.sparkContext = self
 
     def get(self, key, default):
@@ -43,6 +44,9 @@ def test_the_session_names_the_shared_folder():
     unset = Session()
     assert common.shared_dir(unset) == common.shared_dir(unset) == unset.folder
     assert unset.folder.startswith("file:///") and unset.folder.endswith("/inner")
+    assert common.shared_dir(Session("hdfs://a", master="spark://host:7077")) == "hdfs://a"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session(master="spark://host:7077"))
 
 
 def test_only_small_tables_are_broadcast(spark):
