@@ -239,24 +239,31 @@ class Scorer:
         }
 
     def rare(self, keys: np.ndarray, sequences: list[np.ndarray], marked: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
-        """A row for each word of a text that is not hot, and one for each bigram that ends in it."""
+        """A row for each bigram that ends in a word that is not hot; the first of a word also stands for the word as a predecessor.
+
+        START has no bigram that ends in it, so it has a row of its own where it is not hot.
+        """
         ids, doc, lengths = _joined(sequences)
         at = np.nonzero(~_has(ids, self.hot_words[0]))[0]
-        first, times, group = _groups(doc[at], ids[at])
-        ends = at[ids[at] != START]
-        g_first, g_times, _ = _groups(doc[ends], pair_keys(ids[ends - 1], ids[ends]))
+        _, times, group = _groups(doc[at], ids[at])
         own = np.zeros(len(ids), np.int64)
         own[at] = times[group]
-        first, ends = at[first], ends[g_first]
-        first = first[ids[first] != END]
-        places = np.concatenate([first, ends])
+        starts, ends = at[ids[at] == START], at[ids[at] != START]
+        g_first, g_times, _ = _groups(doc[ends], pair_keys(ids[ends - 1], ids[ends]))
+        ends = ends[g_first]
+        heads, _, _ = _groups(doc[ends], ids[ends])
+        leads = np.zeros(len(ends), bool)
+        leads[heads] = True
+        leads &= ids[ends] != END
+        places = np.concatenate([starts, ends])
         return {
             "row_key": keys[doc[places]],
             "rare_word": ids[places],
             "own": own[places],
-            "gram": np.concatenate([np.zeros(len(first), bool), np.ones(len(ends), bool)]),
-            "key": np.concatenate([keys[doc[first]], pair_keys(ids[ends - 1], ids[ends])]),
-            "times": np.concatenate([own[first], g_times]),
+            "gram": np.concatenate([np.zeros(len(starts), bool), np.ones(len(ends), bool)]),
+            "leads": np.concatenate([np.ones(len(starts), bool), leads]),
+            "key": np.concatenate([keys[doc[starts]], pair_keys(ids[ends - 1], ids[ends])]),
+            "times": np.concatenate([np.zeros(len(starts), np.int64), g_times]),
             "n_tokens": (lengths - 1)[doc[places]],
             "marked": marked[doc[places]],
             "counted": counted[doc[places]],
@@ -264,7 +271,7 @@ class Scorer:
 
 
 NEAR_ROWS = "row_key long, key long, counts long, about long, background double, target double"
-RARE_ROWS = "row_key long, rare_word long, own int, gram boolean, key long, times int, n_tokens int, marked boolean, counted boolean"
+RARE_ROWS = "row_key long, rare_word long, own int, gram boolean, leads boolean, key long, times int, n_tokens int, marked boolean, counted boolean"
 
 
 def _rows(ids: DataFrame, models: Models, which: str) -> DataFrame:
@@ -317,16 +324,22 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     words = models.words.where(F.col("background") < models.least).select(F.col("key").alias("rare_word"), *[F.col(s).alias(f"c_{s}") for s in SIDES])
     rare = _rows(ids, models, "rare").join(words, "rare_word", "left")
-    gram = F.col("gram")
-    before = [F.col("times") * F.log(F.coalesce(f"c_{s}", F.lit(0)) - F.col("own") * own[n] + BACKOFF) for n, s in enumerate(SIDES)]
-    about = F.col("n_tokens").cast("long") * (1 << 28) + F.when(gram, RARE).otherwise(CLOSED) * 4 + F.col("marked").cast("int") * 2 + F.col("counted").cast("int")
-    looked_up = {
-        "counts": F.when(gram, F.col("times").cast("long") * (1 << 32) + F.col("own")).otherwise(0),
-        "about": about,
-        **{s: F.when(gram, share(n, f"c_{s}")).otherwise(before[n]) for n, s in enumerate(SIDES)},
-    }
+    gram, leads = F.col("gram"), F.col("leads")
+    before = [F.when(leads, F.col("own") * F.log(F.coalesce(f"c_{s}", F.lit(0)) - F.col("own") * own[n] + BACKOFF)).otherwise(0.0) for n, s in enumerate(SIDES)]
+    shares = [share(n, f"c_{s}") for n, s in enumerate(SIDES)]
+
+    def row(state: int, key: Column, counts: Column, values: list[Column]) -> Column:
+        about = F.col("n_tokens").cast("long") * (1 << 28) + state * 4 + F.col("marked").cast("int") * 2 + F.col("counted").cast("int")
+        return F.struct("row_key", key.alias("key"), counts.cast("long").alias("counts"), about.alias("about"), *[v.alias(s) for v, s in zip(values, SIDES, strict=True)])
+
+    # a word that occurs in this text alone has no bigram elsewhere, so its row is closed at once
+    alone = gram & (F.coalesce("c_background", F.lit(0)) - F.col("own") * own[0] <= 0)
+    closed = row(CLOSED, F.col("row_key"), F.lit(0), [b - F.when(gram, F.col("times") * F.log(x)).otherwise(0.0) for b, x in zip(before, shares, strict=True)])
+    waits = row(RARE, F.col("key"), F.col("times").cast("long") * (1 << 32) + F.col("own"), shares)
+    both = F.array_compact(F.array(waits, F.when(leads, row(CLOSED, F.col("row_key"), F.lit(0), before))))
+    made = F.when(alone | ~gram, F.array(closed)).otherwise(both)
     near = _rows(ids, models, "near")
-    open_rows = near.union(rare.select(*[looked_up[c].alias(c) if c in looked_up else F.col(c) for c in near.columns]))
+    open_rows = near.union(rare.select(F.explode(made).alias("r")).select(*[f"r.{c}" for c in near.columns]))
     bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
     times = F.shiftright("counts", 32)
     flags = [bits("about", 0, 1), bits("about", 0, 1) * bits("about", 1, 1)]
