@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat, embeddings, html_text, lang_id, lm_scoring, media, mixing, packing, secrets, simhash
+from flowquarry.llm import chat, embeddings, html_text, lang_id, lm_scoring, media, mixing, packing, secrets, simhash, suffix_dedup
 from flowquarry.llm.common import crc_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_language_id,
@@ -72,6 +77,7 @@ def queries() -> dict[str, Query]:
         op8_mixing,
         op9_chat_formatting,
         op10_html_extraction,
+        op11_suffix_array_dedup,
     )
     return {f.__name__: f for f in found}
 
