@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat, embeddings, html_text, lang_id, lm_scoring, media, mixing, packing, secrets, simhash, suffix_dedup
+from flowquarry.llm import (
+    chat,
+    embeddings,
+    html_text,
+    lang_id,
+    lm_scoring,
+    media,
+    mixing,
+    packing,
+    secrets,
+    simhash,
+    suffix_dedup,
+    vector_codes,
+    whitening,
+)
 from flowquarry.llm.common import crc_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +79,14 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_language_id,
@@ -78,9 +100,17 @@ def queries() -> dict[str, Query]:
         op9_chat_formatting,
         op10_html_extraction,
         op11_suffix_array_dedup,
+        op12_embedding_whitening,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": secrets.oracle(), "op7_embedding_near_dedup": embeddings.oracle(), "op9_chat_formatting": chat.oracle()}
+    return {
+        "op5_secret_scan": secrets.oracle(),
+        "op7_embedding_near_dedup": embeddings.oracle(),
+        "op9_chat_formatting": chat.oracle(),
+        "op11_suffix_array_dedup": suffix_dedup.oracle(),
+        "op13_vector_codes": vector_codes.oracle(),
+    }

@@ -276,3 +276,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return held.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same rows from SQL, by a digest of every window."""
+    return (
+        "with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents), "
+        f"w as (select r, i, md5(b[i + 1:i + {window}]) as k from (select r, b, unnest(range(0, n - {window - 1})) as i from d where n >= {window})), "
+        "again as (select k from w group by k having count(*) > 1), "
+        "s as (select r, i from w where k in (select k from again)), "
+        f"g as (select r, i, case when i <= lag(i) over (partition by r order by i) + {window} then 0 else 1 end as fresh from s), "
+        "h as (select r, i, sum(fresh) over (partition by r order by i) as run from g), "
+        f"spans as (select r, min(i) as a, max(i) + {window} as e from h group by r, run), "
+        "pieces as (select r, a, e, coalesce(lag(e) over (partition by r order by a), 0) as back from spans), "
+        "kept as (select r, sum(e - a) as removed, count(*) as spans, max(e) as last, string_agg(case when a > back then hex(b[back + 1:a]) else '' end, '' order by a) as parts from pieces join d using (r) group by r) "
+        "select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, "
+        "sha256(unhex(coalesce(parts, '') || case when n > coalesce(last, 0) then hex(b[coalesce(last, 0) + 1:n]) else '' end)) as kept_sha256 "
+        "from d left join kept using (r)"
+    )
