@@ -37,7 +37,7 @@ RULES = (
 )
 #: The same rules for masking, where a private key is gone whole, up to its END line if it has one.
 WHOLE_KEY_RULES = (
-    Rule("private_key", RULES[-1].pattern + r"(?:(?:[^-]*-(?!----)){0,40}[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"),
+    Rule("private_key", RULES[-1].pattern + r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----)?"),
     *RULES[:-1],
 )
 BASE_KINDS = ("assign", "access", "hex")

@@ -56,12 +56,21 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return majority(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), "<u8", len(grams)))
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64-bit number whose bits are set where over half of the hashes have them."""
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return ones
+
+
+def as_number(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit number whose bits are set where over half of the hashes have them."""
+    return as_number(bits_set(hashes) * 2 > len(hashes))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
