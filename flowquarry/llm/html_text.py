@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 from unicodedata import combining, east_asian_width
@@ -51,6 +52,8 @@ SCOPES = frozenset("table td th caption template html".split())
 MAX_DEPTH = 512
 #: Fixed values of the HTML standard: the most columns and rows of a cell. A rowspan of 0 reaches as far as it may.
 MAX_SPANS = {"colspan": 1000, "rowspan": 65534}
+#: Columns of a table begin at this place of a line at most.
+MAX_INDENT = 400
 #: Python frames that laying out a tree of the greatest depth may take.
 FRAMES = 20 * MAX_DEPTH
 
@@ -269,50 +272,61 @@ def _rows(table: Node) -> Iterator[Node]:
 
 
 def _table(table: Node) -> list[str]:
-    """Rows with cells padded to their columns' widths; cells of several lines take several lines."""
+    """Rows with cells padded to their columns' widths; cells of several lines take several lines.
+
+    A column takes room where a cell begins in it, and begins at ``MAX_INDENT`` at most: further right a cell follows what stands
+    before it in its line. So padding is bounded by the number of lines, however wide cells and spans are, and no text is lost.
+    """
     grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}  # rows that a column is still held by a cell above
+    held: list[tuple[int, int, int]] = []  # columns, from and to, that cells above still hold for so many rows
     widths: dict[int, int] = {}
     wide: list[tuple[int, int, int]] = []
     for row in _rows(table):
         cells: dict[int, list[str]] = {}
-        column, held = 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        column, upper, new = 0, 0, []
         for cell in _members(row):
             if not isinstance(cell, Node) or cell.tag not in ("td", "th") or not visible(cell):
                 continue
-            while taken.get(column, 0) > 0:
-                column += 1
+            while upper < len(held) and held[upper][0] <= column:
+                column = max(column, held[upper][1])
+                upper += 1
             lines = _layout(cell)
             cells[column] = lines
             across, down = _span(cell, "colspan"), _span(cell, "rowspan")
             width = max(map(width_of, lines), default=0)
-            if across == 1:
-                widths[column] = max(widths.get(column, 0), width)
-            else:
-                wide.append((column, across, width))
-            for c in range(column, column + across):
-                widths.setdefault(c, 0)
-                if down > 1:
-                    held[c] = down - 1
+            widths[column] = max(widths.get(column, 0), width if across == 1 else 0)
+            if across > 1:
+                wide.append((column, column + across, width))
+            if down > 1:
+                new.append((column, column + across, down - 1))
             column += across
-        taken = held
+        held = sorted(new + [(c, end, n - 1) for c, end, n in held if n > 1])
         grid.append(cells)
-    for column, across, width in wide:
-        lack = width - sum(widths[c] for c in range(column, column + across)) - 2 * (across - 1)
-        if lack > 0:
-            widths[column + across - 1] += lack
+    columns = sorted(widths)
+    room = [widths[c] for c in columns]
+    for column, end, width in wide:
+        first, last = bisect_left(columns, column), bisect_left(columns, end)
+        inside, at = 0, first
+        while at < last and inside - 2 < width:
+            inside += room[at] + 2
+            at += 1
+        if inside - 2 < width:
+            room[last - 1] += width - inside + 2
     starts, at = {}, 0
-    for c in sorted(widths):
-        starts[c] = at
-        at += widths[c] + 2
+    for c, width in zip(columns, room, strict=True):
+        starts[c] = min(at, MAX_INDENT)
+        at += width + 2
     out: list[str] = []
     for cells in grid:
+        order = sorted(cells)
         for k in range(max((len(v) for v in cells.values()), default=0)):
-            line = ""
-            for c in sorted(cells):
+            parts, end = [], 0
+            for c in order:
                 if k < len(cells[c]) and cells[c][k]:
-                    line += " " * (starts[c] - width_of(line)) + cells[c][k]
-            out.append(line)
+                    gap = max(starts[c] - end, 2 if end else 0)
+                    parts.append(" " * gap + cells[c][k])
+                    end += gap + width_of(cells[c][k])
+            out.append("".join(parts))
     captions = [c for c in _members(table) if isinstance(c, Node) and c.tag == "caption" and visible(c)]
     stray = list(_stray(table))
     above = Node("div", {})

@@ -60,3 +60,32 @@ def test_spans_reach_as_far_as_the_standard_lets_them():
     lines = html_text.extract(f"<table>{rows}</table>").split("\n")
     assert lines[0] == "a  b" and all(line == f"   r{i}" for i, line in enumerate(lines[1:]))
     assert html_text._span(html_text.Node("td", {"colspan": "2000"}), "colspan") == 1000
+
+
+def _words(text):
+    return "".join(text.split())
+
+
+def test_wide_cells_do_not_pad_every_row():
+    """A very wide cell, or very wide spans, cost their own text and a bounded indent per line."""
+    rows = "".join(f"<tr><td>{k}</td><td>b{k}</td></tr>" for k in range(2000))
+    text = html_text.extract(f"<table><tr><td>{'x' * 100_000}</td><td>end</td></tr>{rows}</table>")
+    assert len(text) < 100_000 + 2002 * (html_text.MAX_INDENT + 20)
+    lines = text.splitlines()
+    assert lines[0] == "x" * 100_000 + "  end"
+    assert all(line.split() == [str(k), f"b{k}"] for k, line in enumerate(lines[1:]))
+    assert {line.index("b") for line in lines[1:]} == {html_text.MAX_INDENT}
+
+
+def test_wide_spans_take_no_room():
+    page = "<table>" + "".join(f"<tr><td colspan=1000>{k}</td><td>x</td></tr>" for k in range(1500)) + "</table>"
+    lines = html_text.extract(page).splitlines()
+    assert lines == [f"{k}".ljust(6) + "x" for k in range(1500)]
+    page = "<table><tr>" + "<td colspan=1000 rowspan=3>a</td>" * 1000 + "</tr></table>"
+    assert html_text.extract(page).split() == ["a"] * 1000
+
+
+def test_no_text_is_lost_beyond_the_indent():
+    row = "".join(f"<td>{'w' * 30}{k}</td>" for k in range(40))
+    text = html_text.extract(f"<table><tr>{row}</tr><tr>{row}</tr><tr><td colspan=39>a</td><td>z</td></tr></table>")
+    assert [line.split() for line in text.splitlines()] == [[f"{'w' * 30}{k}" for k in range(40)]] * 2 + [["a", "z"]]
