@@ -48,6 +48,12 @@ def fit_cells(vectors: np.ndarray, cells: int, parts: int = PARTS) -> tuple[np.n
     return centers, spherical_k_means(ways, parts) if len(ways) else centers[:1]
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Each is first scaled by a power of two, which is exact, so that no square is too large or too small."""
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector has a direction: not null, not empty, all components finite, not all zero."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -69,8 +75,7 @@ def smallest_linked(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarra
 
 def _to_block(group: pd.DataFrame) -> pd.DataFrame:
     """One block: its unit vectors as bytes, and a cap, by center and radius, that holds them all."""
-    vectors = np.stack(group["v"].to_numpy())
-    vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = unit(np.stack(group["v"].to_numpy()))
     center = vectors.sum(axis=0)
     length = np.linalg.norm(center)
     center = center / length if length > 1e-9 else vectors[0]
@@ -168,12 +173,11 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     drawn = F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) / float(1 << 20) < min(1.0, sample_rows / max(total, 1))
     sample = classes.where((F.col("d") == main) & drawn).select("v").toPandas()["v"]
     vectors = np.stack(sample.to_numpy()) if len(sample) else np.ones((1, max(main, 1)))
-    centers, ways = fit_cells(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), cells)
+    centers, ways = fit_cells(unit(vectors), cells)
 
     @F.pandas_udf("cell int, way int")
     def home(v: pd.Series) -> pd.DataFrame:
-        own = np.stack(v.to_numpy())
-        cell, way = parts_of(own / np.linalg.norm(own, axis=1, keepdims=True), centers, ways)
+        cell, way = parts_of(unit(np.stack(v.to_numpy())), centers, ways)
         return pd.DataFrame({"cell": cell, "way": way}, index=v.index).astype("int32")
 
     usual = F.col("d") == main

@@ -104,3 +104,11 @@ def test_the_query_uses_cells(spark, sf, monkeypatch):
 
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_extreme_components_lose_no_link(spark):
+    """Squares too large or too small for a double, beside plain vectors of the same label."""
+    rows = [(1, [1e200] * 8, 0), (2, [1e200] * 7 + [1.01e200], 0), (3, [1e308] * 8, 0), (4, [1e-200] * 8, 0), (5, [2e-200] * 8, 0)]
+    rows += [(6, [1.0] * 8, 0), (7, [2.0] * 8, 0), (8, [5e-324] * 8, 0), (9, [1.0, -1.0] * 4, 0), (10, [1e200, -1e200] * 4, 0)]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (7, 1) for i in range(1, 9)} | {9: (1, 9), 10: (1, 9)}
