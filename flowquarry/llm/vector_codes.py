@@ -98,7 +98,7 @@ def compress(rows: DataFrame, rounds: int = ROUNDS, entries: int = ENTRIES, part
     assigns all parts and moves the entries; at last parts are assigned again. ``code`` has a byte for
     each part, so ``entries`` is 256 at most.
 
-    Vectors that are null, hold null, infinite or NaN components, or are not of the most frequent length (the longer of
+    Vectors that are null or empty, hold null, infinite or NaN components, or are not of the most frequent length (the longer of
     two as frequent) are dropped. Components beyond :func:`bound` count as that. Null ids come last among those that start
     codebooks, and vectors with equal ids are in the order of their components. With fewer vectors than entries all of them start the codebooks.
     """
@@ -109,8 +109,7 @@ def compress(rows: DataFrame, rounds: int = ROUNDS, entries: int = ENTRIES, part
     x = F.concat(whole_numbers(F.col("v"), SCALE, bound(length)), fill)
     state = stored(base.where(F.size("v") == length).select("vec_id", "label", x.alias("x")), "vector-parts")
     first = state.orderBy(F.asc_nulls_last("vec_id"), "x").limit(entries).select("x").collect()
-    width = max(length + -length % parts, parts) // parts
-    books = np.array([r.x for r in first], np.int64).reshape(len(first), parts, -1 if first and length else width).transpose(1, 0, 2)
+    books = np.array([r.x for r in first], np.int64).reshape(len(first), parts, -(-max(length, 1) // parts)).transpose(1, 0, 2)
     moved = np.ones(books.shape[:2], bool)
     types = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in ("vec_id", "label", "x"))
     for turn in range(rounds + 1):

@@ -14,9 +14,9 @@ from flowquarry.llm.common import small_batches
 
 
 def finite(vector: Column) -> Column:
-    """Whether a vector is not null and all its entries are neither null nor infinite nor NaN."""
+    """Whether a vector is neither null nor empty and all its entries are neither null nor infinite nor NaN."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(vector.isNotNull() & fine, F.lit(False))
+    return F.coalesce((F.size(vector) > 0) & fine, F.lit(False))
 
 
 def usual_length(rows: DataFrame, column: str) -> int:

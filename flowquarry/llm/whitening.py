@@ -106,6 +106,8 @@ def leading_pairs(v: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     a cluster: each takes a direction of its own in their common space. Values not above rounding are left out. The entry of the
     largest amount is positive in each vector.
     """
+    if not v.any():
+        return np.zeros(0), np.zeros((len(v), 0))
     spectrum = Spectrum(v)
     values, vectors = [], []
     rng = np.random.default_rng(0)
@@ -199,7 +201,7 @@ def whiten(rows: DataFrame, components: int = COMPONENTS) -> DataFrame:
     ``identity_error`` how far the covariance of the whitened vectors is from the identity, measured over all of
     them. ``deviation`` is exact, null where it does not fit in a long.
 
-    A vector that is null or holds null, infinite or NaN entries is dropped, and so is one whose length is not the
+    A vector that is null or empty or holds null, infinite or NaN entries is dropped, and so is one whose length is not the
     most frequent (the longer of two as frequent). Entries beyond 2^60 / 64 count as that. Repeated rows stay repeated, a null vec_id is an id like any other,
     other columns are not read. Without variance (a single vector, all alike) and for an empty table the result is empty.
     """
