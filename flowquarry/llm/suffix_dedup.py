@@ -135,7 +135,8 @@ def refine(rows: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
     unlike bytes, one run of each kind is returned with its count and the ``carried`` columns.
     """
     sizes = rows.groupBy("bucket").agg(F.sum("n").alias("total"), F.min("around").alias("least"), F.max("around").alias("most"))
-    alike = sizes.where("total > 1").select("bucket", (F.col("least") == F.col("most")).alias("alike"))
+    # written first: a join whose sides both come straight from a shuffle is one whose hot buckets Spark can split
+    alike = stored(sizes.where("total > 1").select("bucket", (F.col("least") == F.col("most")).alias("alike")), "shared-sizes")
     shared = stored(rows.join(alike, "bucket"), "shared-buckets")
     unlike = shared.where("not alike")
     firsts = [F.first(c).alias(c) for c in carried]
