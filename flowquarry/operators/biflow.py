@@ -14,7 +14,7 @@ def _key() -> list[Column]:
     return [low.alias("low"), high.alias("high"), F.col("protocol")]
 
 
-def _client() -> Column:
+def opener() -> Column:
     """Which end opened it: by SYN, then SYN and ACK, then the lower source port belongs to the server."""
     syn, ack = F.col("tcp_flags").bitwiseAND(F.lit(2)) > 0, F.col("tcp_flags").bitwiseAND(F.lit(16)) > 0
     forward = F.when(syn & ack, False).when(syn, True).otherwise(F.col("src_port") >= F.col("dst_port"))
@@ -28,7 +28,7 @@ def sessions(flows: DataFrame) -> DataFrame:
 
     The client is what the first flow says. State is RESET, ESTABLISHED or UNANSWERED, for TCP after more than one flow.
     """
-    keyed = flows.select("*", *_key()[:2], _client().alias("opener"))
+    keyed = flows.select("*", *_key()[:2], opener().alias("opener"))
     first = F.min_by("opener", F.struct("t_us", "flow_id"))
     ends = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
     low = ends == F.col("low")
@@ -83,7 +83,7 @@ def pair_ratio(flows: DataFrame) -> DataFrame:
 def running_ratio(flows: DataFrame) -> DataFrame:
     """Flows with ``sent``, ``received`` and ``ratio`` of their conversation as of each flow."""
     low, high, protocol = _key()
-    keyed = flows.select("*", low, high, _client().alias("opener"))
+    keyed = flows.select("*", low, high, opener().alias("opener"))
     so_far = Window.partitionBy("low", "high", "protocol").orderBy("t_us", "flow_id").rowsBetween(Window.unboundedPreceding, 0)
     client = F.first("opener").over(so_far)
     tagged = keyed.withColumn("outward", F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == client)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowquarry.operators.detect import swept
 from flowquarry.operators.hosts import lookup
 
 #: Stages of the window correlator.
@@ -59,12 +60,19 @@ PRIOR, IDLE_S, ESCALATE_AT = 0.05, 1800, 0.85
 
 
 def kill_chain(alerts: DataFrame, seconds: float = 900) -> DataFrame:
-    """The first alert at which a source has a set of two or more stages in the window, for each such set."""
+    """The first alert at which a source has a set of two or more stages in the window, for each such set.
+
+    Stages are few, so a window's set is told by a running count for each: see ``detect.swept``.
+    """
     staged = alerts.where("category <> 'ATTACK_CAMPAIGN'").withColumn("stage", lookup(F.col("category"), STAGES, None))
-    w = Window.partitionBy("src_ip").orderBy("t_us").rangeBetween(-int(seconds * 1_000_000), 0)
-    seen = staged.withColumns({"stages": F.array_sort(F.collect_set("stage").over(w)), "n_alerts": F.count("*").over(w)}).where(F.size("stages") >= 2)
-    first = Window.partitionBy("src_ip", "stages").orderBy("t_us", "alert_id")
-    return seen.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("src_ip", "t_us", "alert_id", F.array_join("stages", " -> ").alias("progression"), "n_alerts")
+    names = sorted(set(STAGES.values()))
+    counts = {f"stage_{i}": F.col("stage").eqNullSafe(name).cast("int") for i, name in enumerate(names)}
+    slim = staged.select("src_ip", "t_us", "alert_id", *[c.alias(f"is_{n}") for n, c in counts.items()])
+    seen = swept(slim, ["src_ip"], seconds, {"n_alerts": F.lit(1)} | {n: F.col(f"is_{n}") for n in counts})
+    stages = F.array_compact(F.array(*[F.when(F.col(f"stage_{i}") > 0, F.lit(name)) for i, name in enumerate(names)]))
+    seen = seen.withColumn("stages", stages).where(F.size("stages") >= 2)
+    first = seen.groupBy("src_ip", "stages").agg(F.min(F.struct("t_us", "alert_id", "n_alerts")).alias("at"))
+    return first.select("src_ip", "at.t_us", "at.alert_id", F.array_join("stages", " -> ").alias("progression"), "at.n_alerts")
 
 
 def update(probability: float, severity: str, before: str | None, stage: str) -> float:

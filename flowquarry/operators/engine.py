@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowquarry.functions import wire
 from flowquarry.operators import correlate, detect, dims, hosts, intel, ml, report, sessions_l7, sigma
 from flowquarry.operators.biflow import running_ratio
+from flowquarry.sources.cut import stored
 from flowquarry.sources.messages import dns_message, tls_hello
 
 #: The place of each step in the order in which a flow meets them; a web rule is named ``web:...``.
@@ -46,7 +47,7 @@ def rule_order(detector: Column) -> Column:
 
 def sigma_fired(flows: DataFrame, rules: tuple[sigma.Rule, ...] = sigma.SHIPPED) -> DataFrame:
     """Matches of declarative rules, with the conversation's ratio as of each flow."""
-    ratio = running_ratio(flows)
+    ratio = flows if "ratio" in flows.columns else running_ratio(flows)
     found = sigma.evaluate(sigma.with_context(ratio, F.col("ratio")), rules, keep=("protocol",))
     return detect.fires(found, "sigma", "ANOMALY_ML", F.col("severity"), F.col("confidence"), 0, ["rule_id", "src_ip", "dst_ip"], F.lit(1))
 
@@ -95,11 +96,13 @@ def fired_rows(
     plugins: Sequence[Plugin] = (),
     host_roles: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of every step but the last two, after their cooldowns."""
+    """Rows of every step but the last two, after their cooldowns; flows are given their past unless they have it."""
     spark = flows.sparkSession
+    flows = flows if {"n_before", "ratio"} <= set(flows.columns) else detect.with_past(flows)
     known_roles = hosts.roles(flows) if host_roles is None else host_roles
     steps = [intel.indicator_alerts(flows, dims.malicious_ips(spark), networks or [], dims.seed_iocs(spark))]
-    steps += [d(flows, roles=known_roles) if d is detect.lateral_movement else d(flows) for d in detect.DETECTORS]
+    roles = {detect.lateral_movement: {"roles": known_roles}}
+    steps += [d(flows, over=detect.KNOWN, **roles.get(d, {})) for d in detect.DETECTORS]
     steps += [sigma_fired(flows, rules), sessions_l7.east_west(flows), message_fired(flows)]
     steps += [p(flows).withColumn("detector", F.concat(F.lit("plugin:"), F.col("detector"))) for p in plugins]
     return detect.with_cooldown(reduce(DataFrame.unionByName, steps))
@@ -116,18 +119,20 @@ def alerts(
     """Alerts of ``flows``, which may hold ``payload`` bytes: fired rows with ``rule_order``, ``alert_id``, technique and controls.
 
     A flow that no rule fires on is held against a baseline of all flows, or the one given, as
-    ``ml.baseline_stats`` makes it. A source whose alerts reach a further set of stages within a quarter of an
+    ``ml.baseline_stats`` makes it. What a flow's source and conversation did before is worked out once and written beside the flows, from
+    where each step scans the columns and rows it needs; fired rows are written once as well. A source whose alerts reach a further set of stages within a quarter of an
     hour also makes a campaign. Sort by t_us, flow_id and rule_order for the order of a live system.
     """
     spark = flows.sparkSession
-    fired = fired_rows(flows, networks, rules, plugins, host_roles)
+    flows = stored(detect.with_past(flows), "flows-with-past")
+    fired = stored(fired_rows(flows, networks, rules, plugins, host_roles), "fired")
     ruled = fired.where(~F.col("detector").startswith("plugin:"))
     rest = ml.features(flows).join(ruled.select("flow_id").distinct(), "flow_id", "left_anti")
     odd = ml.deviations(rest, ml.baseline_stats(ml.features(flows)) if baseline is None else baseline)
     severity = F.when(F.col("z_bytes") > 10, "HIGH").otherwise("MEDIUM")
     confidence = F.least(F.lit(0.95), 0.7 + F.greatest("z_bytes", "z_packets") / 100)
     every = fired.unionByName(detect.fires(odd, "deviation", "ANOMALY_ML", severity, confidence, 0, ["src_ip", "dst_ip"], F.greatest("z_bytes", "z_packets")))
-    every = every.withColumn("alert_id", F.sha2(F.concat_ws("|", "detector", "key", "flow_id"), 256))
+    every = stored(every.withColumn("alert_id", F.sha2(F.concat_ws("|", "detector", "key", "flow_id"), 256)), "alerts")
     chains = correlate.kill_chain(every)
     first = every.join(chains.select("alert_id", "progression", "n_alerts"), "alert_id")
     campaign = {

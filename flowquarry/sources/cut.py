@@ -3,26 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as written to the session's checkpoint folder, which outlives executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
     Only where ``spark.checkpoint.dir`` is unset and Spark runs on one machine, as in tests, a local folder is
     made; on a cluster that is an error, as machines would not see each other's files.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="flowquarry-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the session's folder for them, which outlives executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the session's checkpoint folder: several readers each scan the columns and rows they need."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/flowquarry/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast of ``df`` when it has at most ``max_rows`` rows; else leave it to a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
