@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.functions.net import protocol_name
+from flowquarry.operators.blocks import quiet_segments
 
 EQUAL = ("src_ip", "dst_ip", "dst_port", "protocol", "ja4")
 
@@ -119,6 +120,39 @@ def packet_flows(packets: DataFrame, idle_seconds: int = 15) -> DataFrame:
     return sums.drop("session")
 
 
+def packet_exports(packets: DataFrame, idle_seconds: int = 15, every: int = 50) -> DataFrame:
+    """What a probe exports of packets, by 5-tuple: counters so far at each ``every``-th packet of a flow and at its end.
+
+    A flow ends at a packet with FIN or RST, unless that is its first, and when no packet follows for ``idle_seconds``; the next
+    packet opens a new one. ``reason`` is COUNT, END or IDLE. Between pauses of a tuple a packet with FIN or RST is an end if it
+    has an even place in its run, counted from the packet before it that has neither, or from the first after the pause:
+    so ends are found without following one packet after the other.
+    """
+    keys = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
+    parts = [*keys, "segment"]
+    cut = quiet_segments(packets.select(*keys, "t_us", "flow_id", "bytes", "tcp_flags"), keys, idle_seconds * 1_000_000)
+    order = Window.partitionBy(*parts).orderBy("t_us", "flow_id")
+    closing = F.col("tcp_flags").bitwiseAND(F.lit(5)) != 0
+    cut = cut.withColumn("opens", (~closing | (F.row_number().over(order) == 1)).cast("int")).withColumn("run", F.sum("opens").over(order))
+    place = F.row_number().over(Window.partitionBy(*parts, "run").orderBy("t_us", "flow_id"))
+    cut = cut.withColumn("ends", closing & (place % 2 == 0))
+    cut = cut.withColumn("flow", F.coalesce(F.sum(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = Window.partitionBy(*parts, "flow").orderBy("t_us", "flow_id")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    counted = cut.select(
+        *keys,
+        "ends",
+        F.count("*").over(so_far).alias("packets"),
+        F.sum("bytes").over(so_far).alias("bytes"),
+        F.bit_or("tcp_flags").over(so_far).alias("tcp_flags"),
+        F.min("t_us").over(so_far).alias("first_us"),
+        F.col("t_us").alias("last_us"),
+        (F.lead("t_us").over(own).isNull() & ~F.col("ends")).alias("left_open"),
+    )
+    reasons = F.array_compact(F.array(F.when(F.col("ends"), "END").when(F.col("packets") % every == 0, "COUNT"), F.when(F.col("left_open"), "IDLE")))
+    return counted.withColumn("reason", F.explode(reasons)).drop("ends", "left_open")
+
+
 def probe_flows(packets: DataFrame, seconds: int = 1) -> DataFrame:
     """Packets to flows: by 5-tuple and fixed interval."""
     keys = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.net import canonical_pair
 from flowquarry.operators.analytics import bytes_ratio
+from flowquarry.operators.blocks import running_sums
 
 
 def _key() -> list[Column]:
@@ -23,16 +24,19 @@ def opener() -> Column:
     )
 
 
-def sessions(flows: DataFrame) -> DataFrame:
+def sessions(flows: DataFrame, idle_s: float | None = None) -> DataFrame:
     """One row per conversation: who asked, bytes and packets each way, flags, first and last time, state and ratio.
 
     The client is what the first flow says. State is RESET, ESTABLISHED or UNANSWERED, for TCP after more than one flow.
+    With ``idle_s`` a conversation that is quiet for so long has ended, and the next flow opens a new one. So it works on a stream with a
+    watermark as well, where a conversation's row comes and its state goes once the watermark has passed its end.
     """
     keyed = flows.select("*", *_key()[:2], opener().alias("opener"))
     first = F.min_by("opener", F.struct("t_us", "flow_id"))
     ends = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
     low = ends == F.col("low")
-    sums = keyed.groupBy("low", "high", "protocol").agg(
+    idle = [] if idle_s is None else [F.session_window("ts", f"{int(idle_s * 1_000_000)} microseconds")]
+    sums = keyed.groupBy("low", "high", "protocol", *idle).agg(
         first.alias("client"),
         F.sum(F.when(low, F.col("bytes")).otherwise(0)).alias("low_bytes"),
         F.sum(F.when(low, 0).otherwise(F.col("bytes"))).alias("high_bytes"),
@@ -82,12 +86,13 @@ def pair_ratio(flows: DataFrame) -> DataFrame:
 
 def running_ratio(flows: DataFrame) -> DataFrame:
     """Flows with ``sent``, ``received`` and ``ratio`` of their conversation as of each flow."""
-    low, high, protocol = _key()
-    keyed = flows.select("*", low, high, opener().alias("opener"))
-    so_far = Window.partitionBy("low", "high", "protocol").orderBy("t_us", "flow_id").rowsBetween(Window.unboundedPreceding, 0)
-    client = F.first("opener").over(so_far)
-    tagged = keyed.withColumn("outward", F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == client)
-    sums = tagged.withColumns(
-        {"sent": F.sum(F.when(F.col("outward"), F.col("bytes")).otherwise(0)).over(so_far), "received": F.sum(F.when(F.col("outward"), 0).otherwise(F.col("bytes"))).over(so_far)}
-    )
-    return sums.withColumn("ratio", bytes_ratio(F.col("sent"), F.col("received"))).drop("low", "high", "opener", "outward")
+    low, high, _ = _key()
+    ends = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
+    keyed = flows.select("*", low, high)
+    volumes = {"from_low": F.when(ends == F.col("low"), F.col("bytes")), "from_both": F.col("bytes")}
+    summed = running_sums(keyed, ["low", "high", "protocol"], volumes, {"client": opener()})
+    other = F.col("from_both") - F.col("from_low")
+    by_low = F.col("client") == F.col("low")
+    sent, received = F.when(by_low, F.col("from_low")).otherwise(other), F.when(by_low, other).otherwise(F.col("from_low"))
+    out = summed.withColumns({"sent": sent, "received": received})
+    return out.select(*flows.columns, "sent", "received", bytes_ratio(F.col("sent"), F.col("received")).alias("ratio"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.operators.detect import swept
+from flowquarry.operators.graph import components
 from flowquarry.operators.hosts import lookup
+from flowquarry.sources.cut import stored
 
 #: Stages of the window correlator.
 STAGES = {
@@ -85,26 +87,63 @@ def update(probability: float, severity: str, before: str | None, stage: str) ->
     return min(0.999, round(odds / (1 + odds), 4))
 
 
+def case_groups(alerts: DataFrame, idle_us: int = IDLE_S * 1_000_000) -> DataFrame:
+    """``alerts`` with ``group``, and ``seen``: whether the source was at an end of an earlier alert of its tenant.
+
+    Alerts of different groups never meet in a case. Alerts that share a host within the idle time are one group; then an alert of a
+    host joins the group of the host's last alert as well if that group, by other hosts, went on to within the idle time; and so on until no group grows.
+    """
+    order = Window.partitionBy("scope", "ip").orderBy("t_us", "alert_id")
+    valid = lambda c: F.col(c).isNotNull() & ~F.col(c).isin("", "0.0.0.0")
+    alone = F.concat(F.lit("#"), F.col("alert_id"))  # an end that is no address meets nothing
+    ends = F.array_compact(
+        F.array(
+            F.struct(F.when(valid("src_ip"), F.col("src_ip")).otherwise(alone).alias("ip"), F.lit(True).alias("is_source")),
+            F.when(valid("dst_ip") & ~F.col("dst_ip").eqNullSafe(F.col("src_ip")), F.struct(F.col("dst_ip").alias("ip"), F.lit(False).alias("is_source"))),
+        )
+    )
+    met = alerts.withColumn("scope", F.coalesce("tenant_id", F.lit(""))).select("*", F.explode(ends).alias("end")).select("*", "end.*").drop("end")
+    met = met.withColumns({"before": F.lag("alert_id").over(order), "pause_us": F.col("t_us") - F.lag("t_us").over(order)})
+    opens = F.when(F.coalesce(F.col("pause_us") > idle_us, F.lit(True)), F.col("alert_id"))
+    met = stored(met.withColumn("episode", F.last(opens, ignorenulls=True).over(order)), "sightings")
+    found = components(met.select(F.col("alert_id").alias("a"), F.col("episode").alias("b")))
+    later = met.where(F.col("pause_us") > idle_us).select("alert_id", "before", "t_us")
+    rows = met.where("is_source").drop("ip", "is_source", "episode", "pause_us").withColumnRenamed("before", "seen")
+    while True:
+        names = found.select(F.col("node").alias("alert_id"), F.col("component").alias("group"))
+        grouped = stored(rows.join(names, "alert_id", "left").withColumns({"group": F.coalesce("group", "alert_id"), "seen": F.col("seen").isNotNull()}), "case-groups")
+        spans = grouped.groupBy("group").agg(F.max("t_us").alias("until_us"))
+        of = grouped.select("alert_id", "group")
+        ends = later.join(of, "alert_id").join(of.select(F.col("alert_id").alias("before"), F.col("group").alias("past")), "before")
+        touching = ends.join(spans.withColumnRenamed("group", "past"), "past").where((F.col("group") != F.col("past")) & (F.col("t_us") - F.col("until_us") <= idle_us))
+        more = stored(touching.select(F.col("group").alias("a"), F.col("past").alias("b")).distinct(), "group-links")
+        if not more.limit(1).count():
+            return grouped.drop("scope")
+        merged = components(more).select(F.col("node").alias("group"), "component")
+        found = grouped.join(merged, "group", "left").select(F.col("alert_id").alias("node"), F.coalesce("component", "group").alias("component"))
+
+
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Alerts in time order, tenant by tenant, to cases.
+    """Alerts in time order, group by group, to cases.
 
-    An address keeps the name of its last case for ever, so one whose case went idle opens a new case however
-    many there are. What is known of an idle case is forgotten whenever the cases held have doubled.
+    A source that was seen before but has no open case opens a new one; one never seen joins the open case of
+    its destination. Addresses of cases that went idle are forgotten whenever the cases held have doubled.
     """
-    tenant, cases, case_of, held = None, {}, {}, 1000
+    place, cases, case_of, held = None, {}, {}, 1000
     for batch in batches:
         rows = []
         for a in batch.itertuples(index=False):
-            if a.tenant_id != tenant:
-                tenant, cases, case_of, held = a.tenant_id, {}, {}, 1000
+            if (a.tenant_id, a.group) != place:
+                place, cases, case_of, held = (a.tenant_id, a.group), {}, {}, 1000
             if len(cases) > held:
                 cases = {k: c for k, c in cases.items() if a.t_us - c["t"] <= IDLE_S * 1_000_000}
+                case_of = {ip: k for ip, k in case_of.items() if k in cases}
                 held = max(1000, 2 * len(cases))
             stage = CASE_STAGES.get(a.category, "RECONNAISSANCE")
-            name = case_of.get(a.src_ip) or case_of.get(a.dst_ip)
+            name = case_of.get(a.src_ip) or (None if a.seen else case_of.get(a.dst_ip))
             case = cases.get(name)
             if case is None or a.t_us - case["t"] > IDLE_S * 1_000_000:
-                name = f"{tenant}/{a.alert_id}"
+                name = f"{a.tenant_id}/{a.alert_id}"
                 case = cases[name] = {"p": PRIOR, "stages": set(), "last": None, "done": False, "t": 0, "asset": a.src_ip, "n": 0}
             for ip in (a.src_ip, a.dst_ip):
                 if ip and ip != "0.0.0.0":
@@ -114,7 +153,7 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             case.update(last=stage, t=a.t_us, n=case["n"] + 1)
             escalates = not case["done"] and len(case["stages"]) >= 2 and case["p"] >= ESCALATE_AT
             case["done"] = case["done"] or escalates
-            rows.append((tenant, a.alert_id, a.t_us, name, case["asset"], stage, case["n"], len(case["stages"]), case["p"], escalates))
+            rows.append((a.tenant_id, a.alert_id, a.t_us, name, case["asset"], stage, case["n"], len(case["stages"]), case["p"], escalates))
         yield pd.DataFrame(rows, columns=["tenant_id", "alert_id", "t_us", "case_id", "asset", "stage", "n_alerts", "n_stages", "probability", "escalates"])
 
 
@@ -122,10 +161,11 @@ def cases(alerts: DataFrame) -> DataFrame:
     """Each alert with its case and the case's state after it.
 
     An alert joins the open case of its source, else of its destination, unless that is idle for half an
-    hour; so order matters, and each tenant's alerts are streamed in time order by one task, which holds its
-    open cases and a name for each address. Alerts are few beside flows.
+    hour; so order matters within a group of :func:`case_groups`. Groups go to different tasks; each is streamed in
+    time order by one, which holds its open cases.
     """
-    ordered = alerts.select("tenant_id", "alert_id", "t_us", "src_ip", "dst_ip", "category", "severity").repartition("tenant_id").sortWithinPartitions("tenant_id", "t_us", "alert_id")
+    cut = case_groups(alerts.select("tenant_id", "alert_id", "t_us", "src_ip", "dst_ip", "category", "severity"))
+    ordered = cut.repartition("tenant_id", "group").sortWithinPartitions("tenant_id", "group", "t_us", "alert_id")
     schema = "tenant_id string, alert_id string, t_us long, case_id string, asset string, stage string, n_alerts int, n_stages int, probability double, escalates boolean"
     return ordered.mapInPandas(_fold, schema)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.net import has_private_prefix, is_internal, is_private
 from flowquarry.operators.biflow import running_ratio
+from flowquarry.operators.blocks import history, quiet_segments
 
 #: Windows in a slice of a key's time; one window in so many is handed on twice.
 SLICE_WINDOWS = 60
@@ -82,12 +83,6 @@ def swept(
     return moves.select("row", *[F.sum(n).over(w).alias(n) for n in plus]).where("row is not null").select("row.*", *plus)
 
 
-def history(rows: DataFrame, keys: list[str], value: str, own: bool) -> DataFrame:
-    """``rows`` with ``n_before``, ``mean_before`` and ``deviation_before`` of a value over their key's rows so far, the row itself included or not."""
-    w = Window.partitionBy(*keys).orderBy("t_us", "flow_id").rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    return rows.withColumns({"n_before": F.count("*").over(w), "mean_before": F.avg(value).over(w), "deviation_before": F.stddev_samp(value).over(w)})
-
-
 def recent(rows: DataFrame, keys: list[str], n: int, value: Column, name: str) -> DataFrame:
     """``rows`` with the sum of a value over the last ``n`` of their key, the row itself included."""
     return rows.withColumn(name, F.sum(value.cast("int")).over(Window.partitionBy(*keys).orderBy("t_us", "flow_id").rowsBetween(1 - n, 0)))
@@ -138,14 +133,14 @@ def fires(rows: DataFrame, detector: str, category: str, severity: Column, confi
 
 
 def _keep_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by detector, key and time, those that come a cooldown after the last one kept."""
+    """Of rows sorted by detector, key, segment and time, those that come a cooldown after the last one kept."""
     current, last = None, 0
     for batch in batches:
         keep = []
-        for detector, key, t, cooldown in zip(batch["detector"], batch["key"], batch["t_us"], batch["cooldown_s"], strict=True):
-            fresh = (detector, key) != current or t - last >= cooldown * 1_000_000
+        for *place, t, cooldown in zip(*[batch[c] for c in ("detector", "key", "segment", "t_us", "cooldown_s")], strict=True):
+            fresh = place != current or t - last >= cooldown * 1_000_000
             if fresh:
-                current, last = (detector, key), t
+                current, last = place, t
             keep.append(fresh)
         yield batch[keep]
 
@@ -153,11 +148,13 @@ def _keep_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def with_cooldown(fired: DataFrame) -> DataFrame:
     """Fired rows of any number of detectors without those inside the cooldown of the one kept before, by detector and key.
 
-    One shuffle for all detectors together. A partition is sorted and streamed, with one row remembered,
-    so a key of any size takes bounded memory.
+    All detectors go together. After a pause as long as its cooldown a key starts anew, so what lies between such pauses
+    can go to different tasks. A partition is sorted and streamed, with one row remembered.
     """
-    spread = fired.repartition("detector", "key").sortWithinPartitions("detector", "key", "t_us", "flow_id")
-    return spread.mapInPandas(_keep_first, spread.schema)
+    keys = ["detector", "key", "segment"]
+    parts = quiet_segments(fired, keys[:2], (F.col("cooldown_s") * 1_000_000).cast("long"))
+    spread = parts.repartition(*keys).sortWithinPartitions(*keys, "t_us", "flow_id")
+    return spread.mapInPandas(_keep_first, spread.schema).drop("segment")
 
 
 def port_scan(flows: DataFrame, ports: int = 15, seconds: float = 10, over: Table = TABLE) -> DataFrame:

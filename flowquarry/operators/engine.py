@@ -24,6 +24,7 @@ STEPS = (
     ("beaconing",),
     ("lateral_movement",),
     ("encrypted_exfil", "encrypted_beacon"),
+    ("splt",),
     ("sigma",),
     ("east_west",),
     ("domain", "fast_flux", "fingerprint", "asrep_roasting", "kerberoasting", "rpc", "web"),
@@ -95,6 +96,7 @@ def fired_rows(
     rules: tuple[sigma.Rule, ...] = sigma.SHIPPED,
     plugins: Sequence[Plugin] = (),
     host_roles: DataFrame | None = None,
+    packets: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of every step but the last two, after their cooldowns; flows are given their past unless they have it."""
     spark = flows.sparkSession
@@ -103,6 +105,7 @@ def fired_rows(
     steps = [intel.indicator_alerts(flows, dims.malicious_ips(spark), networks or [], dims.seed_iocs(spark))]
     roles = {detect.lateral_movement: {"roles": known_roles}}
     steps += [d(flows, over=detect.KNOWN, **roles.get(d, {})) for d in detect.DETECTORS]
+    steps += [] if packets is None else [sessions_l7.splt_beacons(sessions_l7.packet_lengths(packets))]
     steps += [sigma_fired(flows, rules), sessions_l7.east_west(flows), message_fired(flows)]
     steps += [p(flows).withColumn("detector", F.concat(F.lit("plugin:"), F.col("detector"))) for p in plugins]
     return detect.with_cooldown(reduce(DataFrame.unionByName, steps))
@@ -115,9 +118,12 @@ def alerts(
     plugins: Sequence[Plugin] = (),
     host_roles: DataFrame | None = None,
     baseline: DataFrame | None = None,
+    packets: DataFrame | None = None,
 ) -> DataFrame:
     """Alerts of ``flows``, which may hold ``payload`` bytes: fired rows with ``rule_order``, ``alert_id``, technique and controls.
 
+    With ``packets``, rows like flows of one packet each, conversations are also judged by their packets' lengths.
+
     A flow that no rule fires on is held against a baseline of all flows, or the one given, as
     ``ml.baseline_stats`` makes it. What a flow's source and conversation did before is worked out once and written beside the flows, from
     where each step scans the columns and rows it needs; fired rows are written once as well. A source whose alerts reach a further set of stages within a quarter of an
@@ -125,7 +131,7 @@ def alerts(
     """
     spark = flows.sparkSession
     flows = stored(detect.with_past(flows), "flows-with-past")
-    fired = stored(fired_rows(flows, networks, rules, plugins, host_roles), "fired")
+    fired = stored(fired_rows(flows, networks, rules, plugins, host_roles, packets), "fired")
     ruled = fired.where(~F.col("detector").startswith("plugin:"))
     rest = ml.features(flows).join(ruled.select("flow_id").distinct(), "flow_id", "left_anti")
     odd = ml.deviations(rest, ml.baseline_stats(ml.features(flows)) if baseline is None else baseline)

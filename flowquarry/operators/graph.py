@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.operators.hosts import lookup
-from flowquarry.sources.cut import cut
+from flowquarry.sources.cut import cut, stored
 
 #: How a role weighs in a blast radius, and what a severity adds to a host's risk.
 ROLE_RISK = {"INFRASTRUCTURE_DC": 45.0, "INTERNAL_SERVER": 25.0, "ADMIN_MANAGEMENT": 25.0, "INFRASTRUCTURE_DNS": 15.0, "WORKSTATION": 5.0}
@@ -50,6 +50,24 @@ def marked_edges(edge_rows: DataFrame, alerts: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("lateral", "c2")})
 
 
+def components(links: DataFrame) -> DataFrame:
+    """``(node, component)`` for every node of ``links(a, b)``: the smallest node it is connected with.
+
+    Each round a node takes the smallest name among its neighbours' and then that name's own, until none changes, so
+    chains shrink by a power each round. Rounds are written to the checkpoint folder.
+    """
+    both = links.where("a <> b").select("a", "b")
+    both = stored(both.union(both.select("b", "a")).distinct(), "graph-links")
+    names = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "graph-names")
+    while True:
+        offers = both.join(names, both.b == names.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("offer"))
+        better = stored(names.join(offers, "node").select("node", F.least("component", "offer").alias("component"), (F.col("offer") < F.col("component")).alias("moved")), "graph-names")
+        if not better.where("moved").limit(1).count():
+            return names
+        own = better.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        names = stored(better.select("node", "component").join(own, "component").select("node", F.col("next").alias("component")), "graph-names")
+
+
 def reach(edge_rows: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """``(start_ip, ip, hops)`` of every host that ``starts(start_ip)`` reach, at its least distance up to ``depth``."""
     steps = cut(edge_rows.select("src_ip", "dst_ip").distinct())

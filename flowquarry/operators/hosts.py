@@ -54,6 +54,20 @@ def threat_scores(alerts: DataFrame, as_of_us: int, host_roles: DataFrame | None
     return named.select("ip", "role", F.round(F.least(F.lit(100.0), F.col("raw") * lookup(F.col("role"), ROLE_WEIGHT, 1.0)), 2).alias("score"), "alerts")
 
 
+def threat_history(alerts: DataFrame, times_us: list[int], host_roles: DataFrame | None = None) -> DataFrame:
+    """:func:`threat_scores` as of each of some times, with the time as ``as_of_us``, from one pass over the alerts."""
+    at = alerts.withColumn("as_of_us", F.explode(F.array(*[F.lit(t) for t in times_us]))).where("t_us <= as_of_us")
+    age_s = (F.col("as_of_us") - F.col("t_us")) / 1e6
+    raw = F.sum(lookup(F.col("severity"), SEVERITY_WEIGHT, 0.0) * F.pow(F.lit(2.0), -age_s / HALF_LIFE_S))
+    sums = at.groupBy(F.col("src_ip").alias("ip"), "as_of_us").agg(raw.alias("raw"), F.count("*").alias("alerts"))
+    if host_roles is not None:
+        sums = sums.join(host_roles, "ip", "left")
+    role = F.coalesce("role", F.lit("UNKNOWN")) if host_roles is not None else F.lit("UNKNOWN")
+    named = sums.withColumn("role", role)
+    score = F.round(F.least(F.lit(100.0), F.col("raw") * lookup(F.col("role"), ROLE_WEIGHT, 1.0)), 2)
+    return named.select("ip", "as_of_us", "role", score.alias("score"), "alerts")
+
+
 def ranking(scores: DataFrame, role: str | None = None, least: float = 0.0, limit: int = 50) -> DataFrame:
     out = scores.where(F.col("score") >= least)
     return (out if role is None else out.where(F.col("role") == role)).orderBy(F.desc("score"), "ip").limit(limit)

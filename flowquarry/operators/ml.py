@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowquarry.operators.blocks import BLOCK_US, block_of
+
 FEATURES = ("bytes", "packets", "bytes_per_packet", "src_port", "dst_port", "protocol", "tcp_flags")
 
 
@@ -45,30 +47,72 @@ def explain(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return top.select("flow_id", F.col("top.name").alias("primary"), F.when(total > 0, F.round(F.col("top.z") / total * 100, 1)).otherwise(0.0).alias("share"))
 
 
-def online_means(rows: DataFrame, key: str, value: str, alpha: float = 0.01) -> DataFrame:
-    """``(key, n, mean, std)`` of exponentially weighted values in time order; rows of a key are streamed, not held."""
+def moving_map(values: np.ndarray, alpha: float) -> tuple[float, ...]:
+    """What weighted values do to the mean and variance before them, as ``(p, c, e0, e1, e2)``.
+
+    The mean m becomes ``p m + c`` and the variance v ``p v + e0 + e1 m + e2 m²``. Such maps compose to one of their kind.
+    """
+    out, keep = (1.0, 0.0, 0.0, 0.0, 0.0), 1 - alpha
+    size = max(1, int(27 / -np.log(keep))) if 0 < keep < 1 else 1  # so that powers stay within a double
+    for at in range(0, len(values), size):
+        x = values[at : at + size]
+        powers = keep ** np.arange(len(x) + 1)
+        c = powers[1:] * np.cumsum(alpha * x / powers[1:]) if keep > 0 else x
+        apart, slope = x - np.concatenate([[0.0], c[:-1]]), powers[:-1]
+        weight = alpha * powers[::-1][:-1]
+        out = then(out, (powers[-1], c[-1], (weight * apart * apart).sum(), -2 * (weight * apart * slope).sum(), (weight * slope * slope).sum()))
+    return tuple(map(float, out))
+
+
+def then(one: tuple[float, ...], two: tuple[float, ...]) -> tuple[float, ...]:
+    """The map of first ``one`` and then ``two``."""
+    p1, c1, a0, a1, a2 = one
+    p2, c2, b0, b1, b2 = two
+    return p1 * p2, p2 * c1 + c2, p2 * a0 + b0 + b1 * c1 + b2 * c1 * c1, p2 * a1 + p1 * b1 + 2 * b2 * p1 * c1, p2 * a2 + b2 * p1 * p1
+
+
+def online_means(rows: DataFrame, key: str, value: str, alpha: float = 0.01, length_us: int = BLOCK_US) -> DataFrame:
+    """``(key, n, mean, std)`` of exponentially weighted values in time order.
+
+    The first value of a key is its mean, with variance 1. A block of a key's time is one map of mean and variance, made where its rows
+    are, of values and means less the block's first value, so that large values do not drown small deviations; a key's maps, which
+    are few, are applied in order. So a busy key is spread over tasks by time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, n, mean, var = None, 0, 0.0, 1.0
+        place, n, first, so_far = None, 0, 0.0, (1.0, 0.0, 0.0, 0.0, 0.0)
+        columns = ["k", "block", "n", "first", "p", "c", "e0", "e1", "e2"]
         for batch in batches:
             done = []
-            for k, x in zip(batch["k"], batch["x"], strict=True):
-                if n and k != name:
-                    done.append((name, n, mean, max(0.001, var**0.5)))
-                    n = 0
-                if not n:
-                    name, mean, var = k, x, 1.0
-                else:
-                    delta = x - mean
-                    mean += alpha * delta
-                    var = (1 - alpha) * (var + alpha * delta * delta)
-                n += 1
-            yield pd.DataFrame(done, columns=["key", "n", "mean", "std"])
+            for at, x in batch.groupby(["k", "block"], sort=False)["x"]:
+                values = x.to_numpy()
+                if at != place:
+                    if n:
+                        done.append((*place, n, first, *so_far))
+                    place, n, first, so_far = at, 0, values[0], (1.0, 0.0, 0.0, 0.0, 0.0)
+                    values, n = values[1:], 1
+                so_far, n = then(so_far, moving_map(values - first, alpha)), n + len(values)
+            yield pd.DataFrame(done, columns=columns)
         if n:
-            yield pd.DataFrame([(name, n, mean, max(0.001, var**0.5))], columns=["key", "n", "mean", "std"])
-
-    cut = rows.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("x"), "t_us", "flow_id").where("k is not null and x is not null")
-    return cut.repartition("k").sortWithinPartitions("k", "t_us", "flow_id").mapInPandas(run, "key string, n long, mean double, std double")
+            yield pd.DataFrame([(*place, n, first, *so_far)], columns=columns)
+
+    block = block_of(F.col("t_us"), length_us).alias("block")
+    cut = rows.select(F.col(key).cast("string").alias("k"), block, F.col(value).cast("double").alias("x"), "t_us", "flow_id").where("k is not null and x is not null")
+    spread = cut.repartition("k", "block").sortWithinPartitions("k", "block", "t_us", "flow_id")
+    maps = spread.mapInPandas(run, "k string, block long, n long, first double, p double, c double, e0 double, e1 double, e2 double")
+    listed = maps.groupBy("k").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(*maps.columns[1:]))).alias("maps"))
+    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(1.0).alias("var"))
+
+    def apply(state: Column, m: Column) -> Column:
+        off = m["first"] - state["mean"]
+        mean = F.coalesce(state["mean"] + alpha * off, m["first"])
+        var = F.coalesce((1 - alpha) * (state["var"] + alpha * off * off), F.lit(1.0))
+        near = mean - m["first"]
+        return F.struct((m["first"] + m["p"] * near + m["c"]).alias("mean"), (m["p"] * var + m["e0"] + m["e1"] * near + m["e2"] * near * near).alias("var"))
+
+    ended = listed.withColumn("state", F.aggregate("maps", start, apply))
+    std = F.greatest(F.lit(0.001), F.sqrt(F.greatest(F.lit(0.0), F.col("state.var"))))
+    return ended.select(F.col("k").alias("key"), "n", F.col("state.mean").alias("mean"), std.alias("std"))
 
 
 @dataclass(frozen=True)

@@ -69,29 +69,32 @@ def navigator_layer(rows: DataFrame, name: str) -> DataFrame:
     return listed.select(F.to_json(F.struct(F.lit(name).alias("name"), versions.alias("versions"), F.lit("enterprise-attack").alias("domain"), "techniques")).alias("layer"))
 
 
-def posture(alerts: DataFrame) -> DataFrame:
-    """One row: the compliance score of unresolved alerts and what it means for the standards."""
-    n = alerts.where("status <> 'RESOLVED'").agg(
-        F.count_if(F.col("severity") == "CRITICAL").cast("long").alias("critical"), F.count_if(F.col("severity") == "HIGH").cast("long").alias("high")
-    )
+def posture(alerts: DataFrame, *by: str) -> DataFrame:
+    """The compliance score of unresolved alerts and what it means for the standards, in one row or in one for each group ``by``."""
+    unresolved = F.col("status") != "RESOLVED"
+    n = alerts.groupBy(*by).agg(*[F.count_if(unresolved & (F.col("severity") == s)).cast("long").alias(s.lower()) for s in ("CRITICAL", "HIGH")])
     score = F.greatest(F.lit(0).cast("long"), 100 - 15 * F.col("critical") - 5 * F.col("high"))
     return n.select(
-        "critical", "high", score.alias("score"), F.when(score >= 90, "EXCELLENT").when(score >= 70, "DEGRADED").otherwise("CRITICAL").alias("level"),
+        *by, "critical", "high", score.alias("score"), F.when(score >= 90, "EXCELLENT").when(score >= 70, "DEGRADED").otherwise("CRITICAL").alias("level"),
         F.when(F.col("critical") > 0, "AT_RISK").otherwise("COMPLIANT").alias("pci"), F.when(F.col("high") > 2, "NEEDS_REVIEW").otherwise("COMPLIANT").alias("iso"),
     )
 
 
-def executive(alerts: DataFrame, flows: DataFrame) -> DataFrame:
-    """One row: open risk from 0 to 100, its label, and the traffic behind it."""
-    open_ = alerts.where("status in ('NEW', 'INVESTIGATING')")
-    risk = open_.agg(
-        F.least(F.lit(100), F.coalesce(F.sum(lookup(F.col("severity"), RISK, 0)), F.lit(0))).cast("long").alias("risk"),
-        F.count_if(F.col("severity") == "CRITICAL").cast("long").alias("critical"),
-        F.count("*").alias("open_alerts"),
+def executive(alerts: DataFrame, flows: DataFrame, *by: str) -> DataFrame:
+    """Open risk from 0 to 100, its label, and the traffic behind it, in one row or in one for each group ``by`` that has flows."""
+    open_ = F.col("status").isin("NEW", "INVESTIGATING")
+    risk = alerts.groupBy(*by).agg(
+        F.least(F.lit(100), F.coalesce(F.sum(F.when(open_, lookup(F.col("severity"), RISK, 0))), F.lit(0))).cast("long").alias("risk"),
+        F.count_if(open_ & (F.col("severity") == "CRITICAL")).alias("critical"),
+        F.count_if(open_).alias("open_alerts"),
     )
-    traffic = flows.agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.count("*").alias("flows"))
+    traffic = flows.groupBy(*by).agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.count("*").alias("flows"))
     label = F.when((F.col("risk") >= 60) | (F.col("critical") > 0), "CRITICAL").when(F.col("risk") >= 25, "HIGH").when(F.col("risk") >= 10, "MEDIUM").otherwise("LOW")
-    return risk.crossJoin(F.broadcast(traffic)).select("risk", (100 - F.col("risk")).alias("posture"), label.alias("label"), "critical", "open_alerts", "bytes", "packets", "flows")
+    if by:
+        both = traffic.join(risk, list(by), "left").fillna(0, ["risk", "critical", "open_alerts"])
+    else:
+        both = risk.crossJoin(F.broadcast(traffic))
+    return both.select(*by, "risk", (100 - F.col("risk")).alias("posture"), label.alias("label"), "critical", "open_alerts", "bytes", "packets", "flows")
 
 
 def _protocol(protocol: Column) -> Column:

@@ -80,6 +80,20 @@ def signature(body: bytes, secret: bytes) -> str:
     return "sha256=" + hmac.new(secret, body, hashlib.sha256).hexdigest()
 
 
+def hmac_sha256(body: Column, secret: bytes) -> Column:
+    """HMAC-SHA-256 of a text or binary column in lower-case hexadecimal, from two digests with padded keys in front."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))), 256)
+
+
+def signed_deliveries(alerts: DataFrame, secret: bytes, event: str = "security_alert") -> DataFrame:
+    """``(alert_id, event, body, signature)``: what is posted to a webhook for each alert, signed where the alerts are."""
+    body = F.to_json(F.struct("alert_id", "category", "severity", "src_ip", "dst_ip", "dst_port", "confidence"))
+    made = alerts.select("alert_id", F.lit(event).alias("event"), body.alias("body"))
+    return made.withColumn("signature", F.concat(F.lit("sha256="), hmac_sha256(F.col("body"), secret)))
+
+
 def policies(alerts: DataFrame, namespace: str = "production") -> DataFrame:
     """``(alert_id, target_ip, quarantine, isolation)``: cluster policies that cut off the target, as manifests."""
     quarantine = (

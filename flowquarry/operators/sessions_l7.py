@@ -7,11 +7,16 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowquarry.functions import wire
 from flowquarry.functions.domains import cleaned, dga_score, entropy_verdict
-from flowquarry.operators.detect import FIRE, fires, swept
+from flowquarry.functions.net import canonical_pair
+from flowquarry.operators.biflow import opener
+from flowquarry.operators.blocks import quiet_segments
+from flowquarry.operators.detect import FIRE, TLS_PORTS, fires, swept
+from flowquarry.operators.dims import BENIGN_JA4
 
 #: Endpoints, addresses, client names, ports and patterns that the web rules know.
 AUTH_PATHS = ("/login", "/auth", "/signin", "/oauth", "/tokens", "/api/v1/auth", "/api/v1/login", "/api/v1/users/login", "/api/auth/callback", "/admin/login", "/user/login", "/session")
@@ -31,6 +36,8 @@ BOTS = {
     "postmanruntime": "LOW",
 }
 WEB_COOLDOWN_US = 15_000_000
+#: Longer than the longest window of the web rules, and than their cooldown.
+WEB_PAUSE_US = 30_000_001
 DATABASE_PORTS = (5432, 3306, 6379, 27017, 9200, 5672, 6443)
 SQLI = ("' or '1'='1", "' or 1=1", '" or "1"="1', "union select", "union all select", "select * from", "drop table", "1=1--", "'--", "sleep(", "pg_sleep(", "benchmark(", "waitfor delay")
 SENSITIVE = ("/.env", "/.git", "/wp-admin", "/phpmyadmin", "/id_rsa", "/etc/passwd", "/etc/shadow", "/.aws/credentials", "/docker-compose.yml", "/server.js.bak", "/database.sql")
@@ -152,13 +159,13 @@ class _Source:
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Requests sorted by source and time through the chain; one source is remembered at a time."""
+    """Requests sorted by source, segment and time through the chain; one segment of a source is remembered at a time."""
     source, state = None, _Source()
     for batch in batches:
         rows = []
         for r in batch.itertuples(index=False):
-            if r.src_ip != source:
-                source, state = r.src_ip, _Source()
+            if (r.src_ip, r.segment) != source:
+                source, state = (r.src_ip, r.segment), _Source()
             found = state.verdict(r)
             if found:
                 rule, severity, confidence, what, n = found
@@ -169,11 +176,12 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def web_alerts(requests: DataFrame) -> DataFrame:
     """Alerts of the web rules with their cooldowns, which a source's requests pass in time order.
 
-    A source's requests are one sorted stream with some seconds of them in memory, so a busy source takes
-    time but no memory. Cooldowns are over: ``cooldown_s`` is 0.
+    Where a source pauses for longer than its longest window and the cooldown, nothing is remembered, so what lies between such
+    pauses goes to different tasks, each a sorted stream with some seconds of it in memory. Cooldowns are over: ``cooldown_s`` is 0.
     """
     columns = ("flow_id", "t_us", "src_ip", "dst_ip", "dst_port", "protocol", "low_path", "seen_tenant", "sign_in", "metadata", "bots", "injections", "files")
-    rows = web_facts(requests).select(*columns).repartition("src_ip").sortWithinPartitions("src_ip", "t_us", "flow_id")
+    parts = quiet_segments(web_facts(requests).select(*columns), ["src_ip"], WEB_PAUSE_US)
+    rows = parts.repartition("src_ip", "segment").sortWithinPartitions("src_ip", "segment", "t_us", "flow_id")
     kinds = "detector string, category string, severity string, confidence double, cooldown_s double, key string, src_ip string, dst_ip string, dst_port int, protocol int, t_us long, flow_id long, evidence double"
     return rows.mapInPandas(_chain, kinds)
 
@@ -223,3 +231,32 @@ def fast_flux(answers: DataFrame, seconds: float = 3600) -> DataFrame:
     rows = answers.select(cleaned(F.col("domain")).alias("domain"), "ttl", "t_us", F.explode("ips").alias("ip")).withColumn("net", F.when(F.size(F.split("ip", r"\.")) == 4, F.substring_index("ip", ".", 3)))
     seen = swept(rows, ["domain"], seconds, {"n": F.lit(1), "sum_ttl": F.col("ttl")}, {"n_ips": "ip", "n_nets": "net"}).withColumn("mean_ttl", F.col("sum_ttl") / F.col("n"))
     return seen.where("n_ips >= 4 and mean_ttl <= 300 and n_nets >= 3").select("domain", "t_us", "n_ips", "n_nets", "mean_ttl").distinct()
+
+
+def packet_lengths(packets: DataFrame, most: int = 32) -> DataFrame:
+    """One row per conversation of ``packets``: its flow columns as the client's first packet has them, and ``lengths``.
+
+    ``lengths`` are the first ``most`` packets' bytes in time order, the server's as negative numbers. ``most`` is how many packets
+    the profile is made of: later ones say nothing in it.
+    """
+    low, high = canonical_pair(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"))
+    ends = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
+    keyed = packets.withColumns({"low": low, "high": high, "is_low": ends == low, "opener": opener()})
+    order = Window.partitionBy("low", "high", "protocol").orderBy("t_us", "flow_id")
+    early = keyed.withColumns({"nth": F.row_number().over(order), "client": F.first("opener").over(order)}).where(F.col("nth") <= most)
+    sent = F.col("client") == F.when(F.col("is_low"), F.col("low")).otherwise(F.col("high"))
+    signed = F.when(sent, F.col("bytes")).otherwise(-F.col("bytes"))
+    first = F.struct("nth", "flow_id", "t_us", F.col("client.ip").alias("src_ip"), F.col("client.port").alias("src_port"), F.when(F.col("client") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("server"), "ja4")
+    listed = early.groupBy("low", "high", "protocol").agg(F.min(first).alias("first"), F.array_sort(F.collect_list(F.struct("nth", signed.alias("bytes")))).alias("nths"))
+    return listed.select(
+        "first.flow_id", "first.t_us", "first.src_ip", "first.src_port", F.col("first.server.ip").alias("dst_ip"), F.col("first.server.port").alias("dst_port"), "protocol", "first.ja4",
+        F.transform("nths", lambda p: p["bytes"]).alias("lengths"),
+    )
+
+
+def splt_beacons(profiles: DataFrame, benign: tuple[str, ...] = BENIGN_JA4) -> DataFrame:
+    """Fired rows of encrypted conversations whose client sends few, small and alike packets, unless its JA4 is a common client's."""
+    tls = (F.col("protocol") == 6) & F.col("dst_port").isin(*TLS_PORTS)
+    common = F.coalesce(F.split_part("ja4", F.lit("_"), F.lit(1)).isin(*benign), F.lit(False))
+    seen = profiles.where(tls & ~common & wire.splt_beacon(F.col("lengths")))
+    return fires(seen, "splt", "C2_BEACONING", F.lit("HIGH"), F.lit(0.89), 0, ["src_ip", "dst_ip", "dst_port"], wire.splt_entropy(F.col("lengths")))

@@ -92,6 +92,31 @@ def s13_packet_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.packet_flows(flow_view(spark, sf_dir))
 
 
+_TUPLE = "src_ip, dst_ip, src_port, dst_port, protocol"
+
+
+def _services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow view with one client port, so that tuples are used again after their flows have ended."""
+    return flow_view(spark, sf_dir).withColumn("src_port", F.lit(40000))
+
+
+@query(
+    ", o as (select * replace (40000 as src_port), tcp_flags & 5 <> 0 as closing from flows), "
+    f"a as (select *, case when t_us - lag(t_us) over (partition by {_TUPLE} order by t_us, flow_id) < 15000000 then 0 else 1 end as fresh from o), "
+    f"s as (select *, sum(fresh) over (partition by {_TUPLE} order by t_us, flow_id) as segment from a), "
+    f"l as (select {_TUPLE}, list(struct_pack(t := t_us, b := bytes, f := tcp_flags, c := closing) order by t_us, flow_id) as p from s group by {_TUPLE}, segment), "
+    # one list of open counts per segment: how many packets the flow has before each packet, 0 after an end
+    "n as (select *, list_reduce(list_transform(p, lambda x: [cast(x.c as int)]), lambda acc, x: list_concat(acc, [case when x[1] = 1 and acc[len(acc)] > 0 then 0 else acc[len(acc)] + 1 end]), [0]) as k from l), "
+    f"u as (select {_TUPLE}, p, k, unnest(range(1, len(p) + 1)) as i from n), "
+    "v as (select *, k[i + 1] as now, list_max(list_filter(range(1, i + 1), lambda j: k[j] = 0)) as began from u), "
+    "w as (select *, p[i].c and k[i] > 0 as ends, i - began + 1 as packets from v), "
+    "x as (select *, unnest(list_filter([case when ends then 'END' when packets % 10 = 0 then 'COUNT' end, case when not ends and i = len(p) then 'IDLE' end], lambda r: r is not null)) as reason from w) "
+    "select src_ip, dst_ip, src_port, dst_port, protocol, packets, cast(list_sum(list_transform(p[began:i], lambda y: y.b)) as bigint) as bytes, list_bit_or(list_transform(p[began:i], lambda y: y.f)) as tcp_flags, p[began].t as first_us, p[i].t as last_us, reason from x"
+)
+def s13_packet_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.packet_exports(_services(spark, sf_dir), every=10)
+
+
 @query(
     "select t_us // 1000000 as bucket, src_ip, dst_ip, src_port, dst_port, protocol, count(*) as packets, cast(sum(bytes) as bigint) as bytes from flows group by all"
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.operators import biflow, correlate, detect, dims, engine, graph, hosts, intel
+from flowquarry.operators import biflow, correlate, detect, dims, engine, graph, hosts, intel, sessions_l7
 from flowquarry.plans.registry import query
 from flowquarry.sources.alerts import ALERTS_SQL, alert_view
 from flowquarry.sources.flows import flow_view
@@ -149,6 +149,29 @@ def w1_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.baseline(flow_view(spark, sf_dir)).select("flow_id", "src_ip", "n_before", (F.col("z") + 0.0).alias("z"), "unusual")
 
 
+_REUSED = ", reused as (select * replace (case when src_port >= 9500 then 40000 + src_port % 4 else src_port end as src_port, case when dst_port >= 9500 then 40000 + dst_port % 4 else dst_port end as dst_port) from flows)"
+
+
+def _reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow view as packets of clients that use few ports again and again."""
+    once = lambda c: F.when(F.col(c) >= 9500, 40000 + F.col(c) % 4).otherwise(F.col(c)).cast("int")
+    return flow_view(spark, sf_dir).withColumns({"src_port": once("src_port"), "dst_port": once("dst_port")})
+
+
+@query(
+    _REUSED + ", sized as (select * replace (bytes // packets as bytes) from reused)" + _RUNNING.split(", c as")[0].replace("from flows", "from sized") + ", c as (select *, row_number() over w as nth, first(opener) over w as client from k window w as (partition by low, high, protocol order by t_us, flow_id rows between unbounded preceding and current row)), "
+    "g as (select low, high, protocol, any_value(client) as client, arg_min(flow_id, nth) as flow_id, first(ja4 order by nth) as ja4, list(case when struct_pack(ip := src_ip, port := src_port) = client then bytes else -bytes end order by nth) as lengths from c where nth <= 32 group by 1, 2, 3), "
+    "s as (select *, case when client = low then high else low end as server, list_filter(lengths, lambda x: x > 0) as sent, list_transform(lengths, lambda x: cast(abs(x) as double)) as sizes from g), "
+    "m as (select *, list_avg(sent) as mean, list_sum(sizes) as total from s where protocol = 6 and server.port in (443, 8443, 9443) and len(lengths) >= 4 and len(sent) >= 3 "
+    f"and coalesce(split_part(ja4, '_', 1) not in {dims.BENIGN_JA4}, true)) "
+    "select flow_id, concat(client.ip, '|', server.ip, '|', server.port) as key, round(list_sum(list_transform(sizes, lambda x: case when x > 0 then -x / total * log2(x / total) else 0 end)), 4) as evidence from m "
+    "where mean <= 800 and list_avg(list_transform(sent, lambda x: (x - mean) * (x - mean))) < 150"
+)
+def x4_splt_beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = sessions_l7.packet_lengths(_reused(spark, sf_dir).withColumn("bytes", F.expr("bytes div packets")))
+    return sessions_l7.splt_beacons(profiles).select("flow_id", "key", "evidence")
+
+
 @query()
 def w_all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole engine over the flow view."""
@@ -168,6 +191,21 @@ def a5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return biflow.sessions(flow_view(spark, sf_dir)).select("client_ip", "client_port", "protocol", "sent", "received", "flags", "flows", "state", "ratio")
 
 
+@query(
+    _REUSED + _RUNNING.split(", c as")[0].replace("from flows", "from reused") + ", y as (select *, case when t_us - lag(t_us) over w < 60000000 then 0 else 1 end as fresh from k window w as (partition by low, high, protocol order by t_us, flow_id)), "
+    "z as (select *, sum(fresh) over (partition by low, high, protocol order by t_us, flow_id) as part from y), s as (select low, high, protocol, arg_min(opener, struct_pack(t := t_us, f := flow_id)) as client, "
+    "sum(case when struct_pack(ip := src_ip, port := src_port) = low then bytes else 0 end) as lb, sum(case when struct_pack(ip := src_ip, port := src_port) = low then 0 else bytes end) as hb, "
+    "bit_or(tcp_flags) as flags, bool_or(tcp_flags & 18 = 18) as answered, count(*) as flows, min(t_us) as first_us, max(t_us) as last_us from z group by low, high, protocol, part), "
+    "d as (select *, case when client = low then lb else hb end as sent, case when client = low then hb else lb end as received from s) "
+    "select client.ip as client_ip, client.port as client_port, protocol, cast(sent as bigint) as sent, cast(received as bigint) as received, flags, flows, first_us, last_us, "
+    "case when protocol <> 6 or flows < 2 then null when flags & 4 > 0 then 'RESET' when received > 0 or answered then 'ESTABLISHED' else 'UNANSWERED' end as state, "
+    f"{_RATIO.format('sent', 'received')} as ratio from d"
+)
+def st2_idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = biflow.sessions(_reused(spark, sf_dir), idle_s=60)
+    return rows.select("client_ip", "client_port", "protocol", "sent", "received", "flags", "flows", "first_us", "last_us", "state", "ratio")
+
+
 @query(
     ", p as (select least(src_ip, dst_ip) as ip_a, greatest(src_ip, dst_ip) as ip_b, sum(case when src_ip <= dst_ip then bytes else 0 end) as x, sum(case when src_ip <= dst_ip then 0 else bytes end) as y from flows group by 1, 2) "
     f"select ip_a, ip_b, cast(x as bigint) as a_to_b, cast(y as bigint) as b_to_a, {_RATIO.format('x', 'y')} as ratio from p"
@@ -252,6 +290,18 @@ def e2_threat_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.threat_scores(alert_view(spark, sf_dir), END_US)
 
 
+#: Times within the flow view at which hosts' scores are low, middling and at their bound.
+SCORED_US = tuple(1_700_000_000_000_000 + h * 3_600_000_000 for h in (1, 29, 31, 36, 42))
+
+
+@query(
+    ALERTS_SQL + f", times as (select unnest({list(SCORED_US)}) as as_of_us) select src_ip as ip, as_of_us, 'UNKNOWN' as role, "
+    f"round(least(100, sum(cast({_WEIGHT} as double) * pow(2.0, -((as_of_us - t_us) / 1e6) / 3600.0))), 2) as score, count(*) as alerts from alerts join times on t_us <= as_of_us group by 1, 2"
+)
+def e2_score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.threat_history(alert_view(spark, sf_dir), list(SCORED_US))
+
+
 @query(
     ", leases as (select concat('10.0.', k % 4, '.', k % 25) as ip, concat('aa-bb-', k) as mac, concat('HOST', k) as hostname, 1700100000000000 + k * 1000000 as lt from range(200) t(k)) "
     "select flow_id, src_ip as ip, t_us, replace(lower(mac), '-', ':') as mac, lower(hostname) as hostname from flows asof left join leases on src_ip = ip and t_us >= lt"

@@ -1,11 +1,12 @@
 import random
+import statistics
 import uuid
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from flowquarry.functions.wire import RPC
-from flowquarry.operators import correlate, detect, engine, sessions_l7
+from flowquarry.operators import blocks, correlate, detect, engine, ml, sessions_l7
 from tests.test_analytics import T0, flows
 
 
@@ -124,17 +125,97 @@ def test_web_chain_falls_through_rules_that_cool_down(spark):
     assert len({d for _, d in want}) == 7
 
 
-def test_idle_sources_open_new_cases_however_many_there_are():
-    def last(fillers):
-        first = [("t", "a1", 0, "10.0.0.1", "10.9.9.9", "PORT_SCAN", "LOW"), ("t", "a2", 1_900_000_000, "10.0.0.7", "10.0.0.2", "PORT_SCAN", "LOW")]
-        many = [("t", f"f{i}", 1_000_000 + i, f"h{i}", f"g{i}", "PORT_SCAN", "LOW") for i in range(fillers)]
-        end = [("t", "z", 1_950_000_000, "10.0.0.1", "10.0.0.2", "EXFILTRATION", "HIGH")]
-        names = ["tenant_id", "alert_id", "t_us", "src_ip", "dst_ip", "category", "severity"]
-        rows = sorted(first + many + end, key=lambda r: r[2])
-        out = pd.concat(list(correlate._fold(iter([pd.DataFrame(rows[i : i + 1000], columns=names) for i in range(0, len(rows), 1000)]))))
-        return out[out["alert_id"] == "z"].iloc[0]["case_id"]
+CASE_NAMES = ["tenant_id", "alert_id", "t_us", "src_ip", "dst_ip", "category", "severity"]
+
+
+def brute_cases(rows):
+    """Cases one alert at a time over each tenant's whole past; an address keeps the name of its last case for ever."""
+    cases, case_of, out = {}, {}, []
+    for tenant, alert, t, src, dst, category, severity in sorted(rows, key=lambda r: (r[2], r[1])):
+        name = case_of.get((tenant, src)) or case_of.get((tenant, dst))
+        if name is None or t - cases[name]["t"] > 1_800_000_000:
+            name = f"{tenant}/{alert}"
+            cases[name] = {"p": correlate.PRIOR, "stages": set(), "last": None, "done": False, "n": 0}
+        case = cases[name]
+        for ip in (src, dst):
+            if ip and ip != "0.0.0.0":
+                case_of[tenant, ip] = name
+        stage = correlate.CASE_STAGES.get(category, "RECONNAISSANCE")
+        case["p"] = correlate.update(case["p"], severity, case["last"], stage)
+        case["stages"].add(stage)
+        case["last"], case["t"], case["n"] = stage, t, case["n"] + 1
+        escalates = not case["done"] and len(case["stages"]) >= 2 and case["p"] >= correlate.ESCALATE_AT
+        case["done"] |= escalates
+        out.append((tenant, alert, name, case["n"], len(case["stages"]), case["p"], escalates))
+    return sorted(out, key=str)
+
+
+def case_rows(df):
+    found = correlate.cases(df).collect()
+    return sorted(((r.tenant_id, r.alert_id, r.case_id, r.n_alerts, r.n_stages, r.probability, r.escalates) for r in found), key=str)
+
+
+@pytest.mark.parametrize(("seed", "hosts", "hours"), [(1, 60, 40), (2, 12, 30), (3, 200, 6)])
+def test_cases_equal_one_alert_at_a_time(spark, seed, hosts, hours):
+    """Groups that merge late, hosts that come back to a case others kept open, ends that are no addresses, repeated times."""
+    rng = random.Random(seed)
+    ip = lambda: rng.choice([f"h{rng.randrange(hosts)}"] * 12 + ["0.0.0.0", "", None])
+    categories = [*correlate.CASE_STAGES, "OTHER"]
+    rows = [(rng.choice(["a", "b"]), f"x{i:04d}", rng.randrange(hours * 12) * 300_000_000, ip(), ip(), rng.choice(categories), rng.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "tenant_id string, alert_id string, t_us long, src_ip string, dst_ip string, category string, severity string")
+    assert case_rows(df) == brute_cases(rows)
+
+
+def test_a_case_kept_open_by_others_takes_a_host_back(spark):
+    at = lambda m: m * 60_000_000
+    rows = [("t", "a", at(0), "A", "B", "PORT_SCAN", "LOW"), ("t", "b", at(20), "B", "C", "PORT_SCAN", "LOW"), ("t", "c", at(40), "C", "D", "PORT_SCAN", "LOW"), ("t", "d", at(65), "A", "E", "EXFILTRATION", "HIGH")]
+    rows += [("t", "e", at(200), "A", "F", "PORT_SCAN", "LOW"), ("t", "f", at(201), "G", "F", "PORT_SCAN", "LOW"), ("t", "g", at(202), "B", "F", "PORT_SCAN", "LOW")]
+    df = spark.createDataFrame(rows, "tenant_id string, alert_id string, t_us long, src_ip string, dst_ip string, category string, severity string")
+    assert case_rows(df) == brute_cases(rows)
+    groups = {r.alert_id: r.group for r in correlate.case_groups(df).collect()}
+    assert groups["a"] == groups["d"] != groups["e"] == groups["g"]
+
+
+def test_one_tenant_is_many_groups(spark):
+    rows = [("t", f"x{k}-{i}", k * 60_000_000 + i * 600_000_000, f"s{k}", f"d{k}", "PORT_SCAN", "LOW") for k in range(40) for i in range(5)]
+    df = spark.createDataFrame(rows, "tenant_id string, alert_id string, t_us long, src_ip string, dst_ip string, category string, severity string")
+    assert correlate.case_groups(df).select("group").distinct().count() == 40
+    assert case_rows(df) == brute_cases(rows)
+
+
+@pytest.mark.parametrize("length", [1_000_000, 37_000_000, 10**12])
+def test_blocks_of_time_do_not_show(spark, length):
+    """History, volumes, averages and segments of a key that has nine tenths of the rows, with blocks of any length."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(4000) / 4, "10.0.0.1" if rng.random() < 0.9 else f"10.0.0.{rng.randrange(2, 6)}", f"10.0.1.{rng.randrange(3)}", 40000, 443, 6, rng.choice([2, 18, 24]), 1, 10**9 + rng.randrange(90)) for _ in range(300)]
+    df = flows(spark, rows)
 
-    assert last(0) == last(5000) == last(60_000) == "t/z"
+    def figures(length):
+        past = blocks.history(df, ["src_ip"], "bytes", own=False, length_us=length)
+        values = {"n": F.lit(1), "b": F.col("bytes")}
+        sums = blocks.running_sums(past, ["src_ip"], values, {"first_target": F.col("dst_ip")}, length)
+        cut = blocks.quiet_segments(sums, ["src_ip"], 3_000_000, length)
+        means = {r.key: (r.n, round(r.mean, 4), round(r.std, 4)) for r in ml.online_means(df, "src_ip", "bytes", 0.1, length).collect()}
+        return sorted((r.flow_id, r.n_before, r.mean_before and round(r.mean_before, 4), r.deviation_before and round(r.deviation_before, 4), r.n, r.b, r.first_target, r.segment) for r in cut.collect()), means
+
+    found, means = figures(length)
+    assert len(found) == len(rows)
+    order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0] * 1e6), i))
+    for i, n_before, mean, deviation, n, b, target, segment in found:
+        mine = [j for j in order if rows[j][1] == rows[i][1]]
+        before = [rows[j][8] for j in mine[: mine.index(i)]]
+        times = [int(rows[j][0] * 1e6) for j in mine if int(rows[j][0] * 1e6) <= int(rows[i][0] * 1e6)]
+        assert segment == sum(y - x >= 3_000_000 for x, y in zip(times, times[1:], strict=False))
+        assert (n_before, n, b, target) == (len(before), len(before) + 1, sum(before) + rows[i][8], rows[mine[0]][2])
+        assert mean == pytest.approx(statistics.mean(before)) if before else mean is None
+        assert deviation == pytest.approx(statistics.stdev(before), rel=1e-5, abs=1e-9) if len(before) > 1 else deviation is None
+    for ip in {r[1] for r in rows}:
+        mean, var, own = None, 1.0, [rows[j][8] for j in order if rows[j][1] == ip]
+        for x in own:
+            off = 0 if mean is None else x - mean
+            var = 1.0 if mean is None else 0.9 * (var + 0.1 * off * off)
+            mean = x if mean is None else mean + 0.1 * off
+        assert means[ip] == (len(own), pytest.approx(mean), pytest.approx(max(0.001, var**0.5), rel=1e-4))
 
 
 def test_slices_of_time_do_not_show(spark, monkeypatch):
