@@ -101,9 +101,10 @@ class InOrder(StatefulProcessor):
             self.memory.update(memory)
         elif self.memory.exists():
             self.memory.clear()
-        known = set(self.handle.listTimers())
+        known = set(self.handle.listTimers())  # those that have expired are being gone through, and go by themselves
         for at in known - set(wake):
-            self.handle.deleteTimer(at)
+            if at > watermark_ms:
+                self.handle.deleteTimer(at)
         for at in set(wake) - known:
             self.handle.registerTimer(max(at, watermark_ms))
         if self.folding.whole:
@@ -332,7 +333,7 @@ def alerts(flows: DataFrame, detector, late: str = "10 seconds", forget_conversa
     """The alerts of one window detector of :mod:`flowquarry.operators.detect` as flows come, after its cooldown.
 
     They are those of the same flows as a table, but for flows later than ``late`` behind the newest, which are
-    dropped. State is a key's last window and its last alert, and goes when the key is quiet; the deviation in
+    dropped. Newest counts among the flows that the detector looks at, as Spark filters first; a row comes out once a later one of these is seen. State is a key's last window and its last alert, and goes when the key is quiet; the deviation in
     ``bandwidth_exfil`` keeps one row per source, and volumes one row per conversation, that goes after
     ``forget_conversations_s`` of quiet if that is given.
     """
