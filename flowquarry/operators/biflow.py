@@ -28,7 +28,7 @@ def sessions(flows: DataFrame, idle_s: float | None = None) -> DataFrame:
     """One row per conversation: who asked, bytes and packets each way, flags, first and last time, state and ratio.
 
     The client is what the first flow says. State is RESET, ESTABLISHED or UNANSWERED, for TCP after more than one flow.
-    With ``idle_s`` a conversation that is quiet for so long has ended, and the next flow opens a new one. So it works on a stream with a
+    With ``idle_s`` a conversation that is quiet for longer has ended, and the next flow opens a new one. So it works on a stream with a
     watermark as well, where a conversation's row comes and its state goes once the watermark has passed its end.
     """
     keyed = flows.select("*", *_key()[:2], opener().alias("opener"))

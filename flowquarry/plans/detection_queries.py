@@ -192,7 +192,7 @@ def a5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _REUSED + _RUNNING.split(", c as")[0].replace("from flows", "from reused") + ", y as (select *, case when t_us - lag(t_us) over w < 60000000 then 0 else 1 end as fresh from k window w as (partition by low, high, protocol order by t_us, flow_id)), "
+    _REUSED + _RUNNING.split(", c as")[0].replace("from flows", "from reused") + ", y as (select *, case when t_us - lag(t_us) over w <= 60000000 then 0 else 1 end as fresh from k window w as (partition by low, high, protocol order by t_us, flow_id)), "
     "z as (select *, sum(fresh) over (partition by low, high, protocol order by t_us, flow_id) as part from y), s as (select low, high, protocol, arg_min(opener, struct_pack(t := t_us, f := flow_id)) as client, "
     "sum(case when struct_pack(ip := src_ip, port := src_port) = low then bytes else 0 end) as lb, sum(case when struct_pack(ip := src_ip, port := src_port) = low then 0 else bytes end) as hb, "
     "bit_or(tcp_flags) as flags, bool_or(tcp_flags & 18 = 18) as answered, count(*) as flows, min(t_us) as first_us, max(t_us) as last_us from z group by low, high, protocol, part), "
