@@ -84,3 +84,9 @@ def canonical_pair(ip_a: Column, port_a: Column, ip_b: Column, port_b: Column) -
     """Both ends of a flow, the smaller first, so that both directions have one key."""
     a, b = F.struct(ip_a.alias("ip"), port_a.alias("port")), F.struct(ip_b.alias("ip"), port_b.alias("port"))
     return F.least(a, b), F.greatest(a, b)
+
+
+def symmetric_partition(src_ip: Column, dst_ip: Column, partitions: int) -> Column:
+    """The same number from 0 to ``partitions`` less one for both directions between two hosts."""
+    pair = F.concat(F.least(src_ip, dst_ip), F.lit("|"), F.greatest(src_ip, dst_ip))
+    return (F.conv(F.substring(F.md5(pair.cast("binary")), 1, 8), 16, 10).cast("long") % partitions).cast("int")

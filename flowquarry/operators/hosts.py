@@ -79,7 +79,7 @@ def normal_mac(mac: Column) -> Column:
 
 def lease_intervals(leases: DataFrame) -> DataFrame:
     """``leases(ip, mac, hostname, t_us)`` with the time each lease ends: at the next one of its address."""
-    w = Window.partitionBy("ip").orderBy("t_us")
+    w = Window.partitionBy("ip").orderBy("t_us", "mac")
     return leases.select("ip", normal_mac(F.col("mac")).alias("mac"), F.lower("hostname").alias("hostname"), F.col("t_us").alias("from_us"), F.lead("t_us").over(w).alias("until_us"))
 
 

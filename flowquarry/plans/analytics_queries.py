@@ -214,3 +214,8 @@ def x9_dga_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = flow_view(spark, sf_dir).where("domain is not null").select("domain").distinct()
     found = names.select("domain", domains.dga_score(F.col("domain")).alias("d"))
     return found.select("domain", "d.sld", "d.anomaly", "d.run", F.round("d.score", 3).alias("score")).where(F.char_length("sld") > 3)
+
+
+@query(" select flow_id, cast(cast(concat('0x', substr(md5(concat(least(src_ip, dst_ip), '|', greatest(src_ip, dst_ip))), 1, 8)) as bigint) % 16 as int) as worker from flows")
+def x18_symmetric_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_view(spark, sf_dir).select("flow_id", net.symmetric_partition(F.col("src_ip"), F.col("dst_ip"), 16).alias("worker"))

@@ -290,6 +290,17 @@ def e2_threat_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.threat_scores(alert_view(spark, sf_dir), END_US)
 
 
+@query(
+    ", l as (select src_ip as ip, concat('AA-BB-', src_port) as mac, concat('HOST', src_port) as hostname, t_us from flows where tcp_flags & 2 = 2) "
+    "select ip, replace(lower(mac), '-', ':') as mac, lower(hostname) as hostname, t_us as from_us, lead(t_us) over (partition by ip order by t_us, mac) as until_us from l"
+)
+def e5_lease_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening flows as if each were a lease of its source's address to the device that its port names."""
+    names = {"ip": F.col("src_ip"), "mac": F.concat(F.lit("AA-BB-"), F.col("src_port")), "hostname": F.concat(F.lit("HOST"), F.col("src_port"))}
+    opened = flow_view(spark, sf_dir).where("tcp_flags & 2 = 2")
+    return hosts.lease_intervals(opened.select(*[c.alias(n) for n, c in names.items()], "t_us"))
+
+
 #: Times within the flow view at which hosts' scores are low, middling and at their bound.
 SCORED_US = tuple(1_700_000_000_000_000 + h * 3_600_000_000 for h in (1, 29, 31, 36, 42))
 

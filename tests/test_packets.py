@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flowquarry.functions import net
 from flowquarry.operators import analytics, biflow, engine, response, sessions_l7
 from flowquarry.sources.flows import flow_view
 from flowquarry.streaming import keyed
@@ -117,3 +118,12 @@ def test_the_alert_view_bites(spark):
 
     edges = graph.edges(flow_view(spark, sf)).count()
     assert 0 < queries["g5_topology"](spark, sf).count() < edges
+
+
+def test_both_directions_go_to_one_partition(spark):
+    rows = [(0, f"10.0.0.{k % 5}", f"10.0.1.{k % 7}", 40000, 443, 6, 2, 1, 1) for k in range(35)]
+    there = flows(spark, rows + [(1, d, s, 443, 40000, 6, 18, 1, 1) for _, s, d, *_ in rows])
+    found = [r.p for r in there.orderBy("flow_id").select(net.symmetric_partition(F.col("src_ip"), F.col("dst_ip"), 8).alias("p")).collect()]
+    assert found[:35] == found[35:]
+    assert set(found) <= set(range(8))
+    assert len(set(found)) > 4
