@@ -84,13 +84,14 @@ def pair_ratio(flows: DataFrame) -> DataFrame:
     return sums.withColumn("ratio", bytes_ratio(F.col("a_to_b"), F.col("b_to_a")))
 
 
-def running_ratio(flows: DataFrame) -> DataFrame:
-    """Flows with ``sent``, ``received`` and ``ratio`` of their conversation as of each flow."""
+def running_ratio(flows: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Flows with ``sent``, ``received`` and ``ratio`` of their conversation as of each flow; ``base`` as in ``blocks.running_sums``."""
     low, high, _ = _key()
     ends = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
     keyed = flows.select("*", low, high)
     volumes = {"from_low": F.when(ends == F.col("low"), F.col("bytes")), "from_both": F.col("bytes")}
-    summed = running_sums(keyed, ["low", "high", "protocol"], volumes, {"client": opener()})
+    plain = None if base is None else base.select("*", low, high)
+    summed = running_sums(keyed, ["low", "high", "protocol"], volumes, {"client": opener()}, base=plain)
     other = F.col("from_both") - F.col("from_low")
     by_low = F.col("client") == F.col("low")
     sent, received = F.when(by_low, F.col("from_low")).otherwise(other), F.when(by_low, other).otherwise(F.col("from_low"))

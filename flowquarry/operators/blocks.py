@@ -81,11 +81,15 @@ def history(rows: DataFrame, keys: list[str], value: str, own: bool, length_us:
     return held.select(*rows.columns, *[c.alias(name) for name, c in made.items()])
 
 
-def running_sums(rows: DataFrame, keys: list[str], values: dict[str, Column], first: dict[str, Column], length_us: int = BLOCK_US) -> DataFrame:
-    """``rows`` with sums of whole numbers over their key's rows so far, the row itself included, and values of the key's first row."""
-    cut = rows.withColumn("block", block_of(F.col("t_us"), length_us)).withColumns({f"add_{n}": F.coalesce(v.cast("long"), F.lit(0).cast("long")) for n, v in values.items()})
+def running_sums(rows: DataFrame, keys: list[str], values: dict[str, Column], first: dict[str, Column], length_us: int = BLOCK_US, base: DataFrame | None = None) -> DataFrame:
+    """``rows`` with sums of whole numbers over their key's rows so far, the row itself included, and values of the key's first row.
+
+    ``base`` are the same rows without columns that are costly to work out: blocks are summed up from them.
+    """
+    added = {f"add_{n}": F.coalesce(v.cast("long"), F.lit(0).cast("long")) for n, v in values.items()}
+    cut, plain = (df.withColumn("block", block_of(F.col("t_us"), length_us)).withColumns(added) for df in (rows, rows if base is None else base))
     order = F.struct("t_us", "flow_id")
-    sums = cut.groupBy(*keys, "block").agg(*[F.sum(f"add_{n}").alias(f"past_{n}") for n in values], F.min(F.struct(order.alias("at"), *[v.alias(n) for n, v in first.items()])).alias("first"))
+    sums = plain.groupBy(*keys, "block").agg(*[F.sum(f"add_{n}").alias(f"past_{n}") for n in values], F.min(F.struct(order.alias("at"), *[v.alias(n) for n, v in first.items()])).alias("first"))
     past = earlier_blocks(keys)
     prefix = [F.coalesce(F.sum(f"past_{n}").over(past), F.lit(0)).alias(f"past_{n}") for n in values]
     before = sums.select(*keys, "block", *prefix, F.min("first").over(Window.partitionBy(*keys)).alias("first"))

@@ -102,7 +102,7 @@ class Known(Table):
         return rows
 
     @staticmethod
-    def running_ratio(rows: DataFrame) -> DataFrame:
+    def running_ratio(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
         return rows
 
 
@@ -111,7 +111,7 @@ TABLE, KNOWN = Table(), Known()
 
 def with_past(flows: DataFrame) -> DataFrame:
     """Flows with the history of their source's bytes and the volumes of their conversation, as of each flow."""
-    return running_ratio(history(flows, ["src_ip"], "bytes", own=True))
+    return running_ratio(history(flows, ["src_ip"], "bytes", own=True), flows)
 
 
 def has_bits(flags: Column, mask: int) -> Column:
@@ -176,7 +176,7 @@ def syn_flood(flows: DataFrame, count: int = 30, seconds: float = 5, over: Table
 def bandwidth_exfil(flows: DataFrame, trusted: tuple[str, ...] = (), single: int = 20_000_000, total: int = 50_000_000, seconds: float = 60, over: Table = TABLE) -> DataFrame:
     """Large or unusual volumes to outside. The host's own row is part of its baseline; downloads do not count."""
     z = F.when(F.col("deviation_before") > 1e-4, F.round((F.col("bytes") - F.col("mean_before")) / F.col("deviation_before"), 2)).otherwise(0.0)
-    known = over.running_ratio(over.history(flows, ["src_ip"], "bytes", own=True).withColumn("z", z))
+    known = over.running_ratio(over.history(flows, ["src_ip"], "bytes", own=True).withColumn("z", z), flows)
     outward = is_internal(F.col("src_ip")) & ~is_internal(F.col("dst_ip"))
     out = known.where(outward if not trusted else outward & ~F.col("dst_ip").isin(*trusted))
     keys = ["src_ip", "dst_ip"]

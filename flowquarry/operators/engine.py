@@ -108,7 +108,7 @@ def fired_rows(
     steps += [] if packets is None else [sessions_l7.splt_beacons(sessions_l7.packet_lengths(packets))]
     steps += [sigma_fired(flows, rules), sessions_l7.east_west(flows), message_fired(flows)]
     steps += [p(flows).withColumn("detector", F.concat(F.lit("plugin:"), F.col("detector"))) for p in plugins]
-    return detect.with_cooldown(reduce(DataFrame.unionByName, steps))
+    return detect.with_cooldown(stored(reduce(DataFrame.unionByName, steps), "fired-before-cooldowns"))
 
 
 def alerts(

@@ -318,7 +318,7 @@ class Stream:
     def history(self, rows: DataFrame, keys: list[str], value: str, own: bool) -> DataFrame:
         return folded(rows, keys, History(value, own), "n_before long, mean_before double, deviation_before double")
 
-    def running_ratio(self, rows: DataFrame) -> DataFrame:
+    def running_ratio(self, rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
         low, high = canonical_pair(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"))
         ends = {f"{end}_{part}": of[part] for end, of in (("low", low), ("high", high), ("opener", biflow.opener())) for part in ("ip", "port")}
         keys = ["low_ip", "low_port", "high_ip", "high_port", "protocol"]  # keys with structs cannot wake on timers
