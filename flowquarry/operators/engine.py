@@ -23,8 +23,7 @@ STEPS = (
     ("dns_volume",),
     ("beaconing",),
     ("lateral_movement",),
-    ("encrypted_exfil", "encrypted_beacon"),
-    ("splt",),
+    ("encrypted_exfil", "encrypted_beacon", "splt"),
     ("sigma",),
     ("east_west",),
     ("domain", "fast_flux", "fingerprint", "asrep_roasting", "kerberoasting", "rpc", "web"),
