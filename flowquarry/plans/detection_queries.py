@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.operators import biflow, correlate, detect, dims, engine, graph, hosts, intel, sessions_l7
 from flowquarry.plans.registry import query
-from flowquarry.sources.alerts import ALERTS_SQL, alert_view
+from flowquarry.sources.alerts import ALERTS_SQL, ODD_ALERTS_SQL, alert_view, odd_alert_view
 from flowquarry.sources.flows import flow_view
 
 FIRED = ("flow_id", "key", "severity", "confidence", "evidence")
@@ -306,11 +306,11 @@ SCORED_US = tuple(1_700_000_000_000_000 + h * 3_600_000_000 for h in (1, 29, 31,
 
 
 @query(
-    ALERTS_SQL + f", times as (select unnest({list(SCORED_US)}) as as_of_us) select src_ip as ip, as_of_us, 'UNKNOWN' as role, "
+    ODD_ALERTS_SQL + f", times as (select unnest({list(SCORED_US)}) as as_of_us) select src_ip as ip, as_of_us, 'UNKNOWN' as role, "
     f"round(least(100, sum(cast({_WEIGHT} as double) * pow(2.0, -((as_of_us - t_us) / 1e6) / 3600.0))), 2) as score, count(*) as alerts from alerts join times on t_us <= as_of_us group by 1, 2"
 )
 def e2_score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hosts.threat_history(alert_view(spark, sf_dir), list(SCORED_US))
+    return hosts.threat_history(odd_alert_view(spark, sf_dir), list(SCORED_US))
 
 
 @query(

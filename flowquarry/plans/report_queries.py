@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.operators import analytics, dims, evaluate, ml, report, response
 from flowquarry.plans.registry import query
-from flowquarry.sources.alerts import ALERTS_SQL, alert_view
+from flowquarry.sources.alerts import ALERTS_SQL, ODD_ALERTS_SQL, alert_view, odd_alert_view
 from flowquarry.sources.flows import flow_view
 
 
@@ -80,23 +80,23 @@ _HOUR = "t_us // 3600000000"
 
 
 @query(
-    ALERTS_SQL + f", n as (select tenant_id, {_HOUR} as hour, cast(count_if(severity = 'CRITICAL' and status <> 'RESOLVED') as bigint) as critical, cast(count_if(severity = 'HIGH' and status <> 'RESOLVED') as bigint) as high from alerts group by 1, 2), "
+    ODD_ALERTS_SQL + f", n as (select tenant_id, {_HOUR} as hour, cast(count_if(severity = 'CRITICAL' and status <> 'RESOLVED') as bigint) as critical, cast(count_if(severity = 'HIGH' and status <> 'RESOLVED') as bigint) as high from alerts group by 1, 2), "
     "p as (select *, greatest(0, 100 - 15 * critical - 5 * high) as score from n) select tenant_id, hour, critical, high, score, case when score >= 90 then 'EXCELLENT' when score >= 70 then 'DEGRADED' else 'CRITICAL' end as level, "
     "case when critical > 0 then 'AT_RISK' else 'COMPLIANT' end as pci, case when high > 2 then 'NEEDS_REVIEW' else 'COMPLIANT' end as iso from p"
 )
 def a13_posture_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.posture(_by_hour(_alerts(spark, sf_dir)), "tenant_id", "hour")
+    return report.posture(_by_hour(odd_alert_view(spark, sf_dir)), "tenant_id", "hour")
 
 
 @query(
-    ALERTS_SQL + f", a as (select tenant_id, {_HOUR} as hour, least(100, coalesce(sum(case severity when 'LOW' then 1 when 'MEDIUM' then 4 when 'HIGH' then 12 else 25 end), 0)) as risk, count_if(severity = 'CRITICAL') as critical, count(*) as open_alerts "
+    ODD_ALERTS_SQL + f", a as (select tenant_id, {_HOUR} as hour, least(100, coalesce(sum(case severity when 'LOW' then 1 when 'MEDIUM' then 4 when 'HIGH' then 12 else 25 end), 0)) as risk, count_if(severity = 'CRITICAL') as critical, count(*) as open_alerts "
     f"from alerts where status in ('NEW', 'INVESTIGATING') group by 1, 2), f as (select tenant_id, {_HOUR} as hour, cast(sum(bytes) as bigint) as bytes, cast(sum(packets) as bigint) as packets, count(*) as flows from flows group by 1, 2), "
     "o as (select tenant_id, hour, coalesce(risk, 0) as risk, coalesce(critical, 0) as critical, coalesce(open_alerts, 0) as open_alerts, bytes, packets, flows from f left join a using (tenant_id, hour)) "
     "select tenant_id, hour, cast(risk as bigint) as risk, cast(100 - risk as bigint) as posture, case when risk >= 60 or critical > 0 then 'CRITICAL' when risk >= 25 then 'HIGH' when risk >= 10 then 'MEDIUM' else 'LOW' end as label, "
     "cast(critical as bigint) as critical, cast(open_alerts as bigint) as open_alerts, bytes, packets, flows from o"
 )
 def a15_executive_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.executive(_by_hour(_alerts(spark, sf_dir)), _by_hour(flow_view(spark, sf_dir)), "tenant_id", "hour")
+    return report.executive(_by_hour(odd_alert_view(spark, sf_dir)), _by_hour(flow_view(spark, sf_dir)), "tenant_id", "hour")
 
 
 @query(ALERTS_SQL + _MITRE + " select a.alert_id, tactic, technique_id, subtechnique_id from alerts a left join mitre m on m.category = a.category")
@@ -181,11 +181,11 @@ _INNER, _OUTER = ("unhex('" + bytes(b ^ pad for b in _SECRET.ljust(64, b"\0")).h
 
 
 @query(
-    ALERTS_SQL + ", b as (select alert_id, concat('{\"alert_id\":\"', alert_id, '\",\"category\":\"', category, '\",\"severity\":\"', severity, '\",\"src_ip\":\"', src_ip, '\",\"dst_ip\":\"', dst_ip, '\",\"dst_port\":', dst_port, ',\"confidence\":', confidence, '}') as body from alerts) "
+    ODD_ALERTS_SQL + ", b as (select alert_id, concat('{\"alert_id\":\"', alert_id, '\",\"category\":\"', category, '\",\"severity\":\"', severity, '\",\"src_ip\":\"', src_ip, '\",\"dst_ip\":\"', dst_ip, '\",\"dst_port\":', dst_port, ',\"confidence\":', confidence, '}') as body from alerts) "
     f"select alert_id, 'security_alert' as event, body, concat('sha256=', sha256({_OUTER} || unhex(sha256({_INNER} || encode(body))))) as signature from b"
 )
 def k12_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return response.signed_deliveries(_alerts(spark, sf_dir), _SECRET)
+    return response.signed_deliveries(odd_alert_view(spark, sf_dir), _SECRET)
 
 
 _AT = "category in ('MALICIOUS_C2', 'EXFILTRATION', 'C2_BEACONING', 'SYN_FLOOD')"
@@ -201,12 +201,12 @@ def r4_flowspec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ALERTS_SQL + ", x as (select f.src_ip in ('10.0.9.9', '10.0.7.7', '10.0.6.6', '10.0.4.4') or f.src_ip like '10.0.5.%' as bad, a.alert_id is not null as found from flows f left join alerts a on a.alert_id = cast(f.flow_id as varchar)), "
+    ODD_ALERTS_SQL + ", x as (select f.src_ip in ('10.0.9.9', '10.0.7.7', '10.0.6.6', '10.0.4.4') or f.src_ip like '10.0.5.%' as bad, a.alert_id is not null as found from flows f left join alerts a on a.alert_id = cast(f.flow_id as varchar)), "
     "n as (select count_if(bad and found) as tp, count_if(not bad and found) as fp, count_if(bad and not found) as fn, count_if(not bad and not found) as tn from x), r as (select *, tp / (tp + fp) as p, tp / (tp + fn) as r from n) "
     "select cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, cast(tn as bigint) as tn, round(p, 4) as precision, round(r, 4) as recall, round(2 * p * r / (p + r), 4) as f1, round(fp / (fp + tn), 4) as fpr from r"
 )
 def a17_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = _alerts(spark, sf_dir).select(F.col("alert_id").cast("long").alias("flow_id"), F.lit(True).alias("hit"))
+    alerts = odd_alert_view(spark, sf_dir).select(F.col("alert_id").cast("long").alias("flow_id"), F.lit(True).alias("hit"))
     rows = flow_view(spark, sf_dir).join(alerts, "flow_id", "left")
     attacks = F.col("src_ip").isin("10.0.9.9", "10.0.7.7", "10.0.6.6", "10.0.4.4") | F.col("src_ip").startswith("10.0.5.")
     return evaluate.confusion(rows.select(attacks.alias("is_malicious"), F.coalesce("hit", F.lit(False)).alias("alerted")))

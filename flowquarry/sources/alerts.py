@@ -1,7 +1,7 @@
-"""An alert table over the flow view, for queries on alerts: one alert for each flow that looks odd by itself.
+"""Alert tables over the flow view, for queries on alerts: one alert for every flow, and one for each flow that looks odd by itself.
 
-Odd are probes of high ports, large transfers and long names. So most flows have no alert, some attacks go unseen and some
-plain flows are reported. Severities, categories and states are dealt out, so that each occurs.
+Odd are probes of high ports, large transfers and long names. So most flows have no odd alert, some attacks go unseen and some
+plain flows are reported, for queries that compare alerts with flows. Severities, categories and states are dealt out, so that each occurs.
 """
 
 from __future__ import annotations
@@ -30,15 +30,21 @@ PROJECTION = (
     + _pick(STATUSES, "(flow_id % 23) % 4")
     + " as status, concat('Alert ', cast(flow_id as {text})) as title, 'a|b=c' as description, src_ip, dst_ip, dst_port, protocol, "
     "cast(80 + flow_id % 20 as double) / 100 as confidence, tenant_id, cast(null as {text}) as campaign_id, cast(flow_id % 5 as {text}) as vector_id "
-    "from {flows} where (tcp_flags & 18 = 2 and packets <= 4 and dst_port >= 1000) or bytes >= 5000000 or length(domain) >= 21"
+    "from {flows}"
 )
+ODD = "(tcp_flags & 18 = 2 and packets <= 4 and dst_port >= 1000) or bytes >= 5000000 or length(domain) >= 21"
 ALERTS_SQL = f", alerts as ({PROJECTION.format(text='varchar', flows='flows')})"
+ODD_ALERTS_SQL = f", alerts as ({PROJECTION.format(text='varchar', flows='flows')} where {ODD})"
 
 
 def alert_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PROJECTION.format(text="string", flows="{flows}"), flows=flow_view(spark, sf_dir))
 
 
+def odd_alert_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"{PROJECTION.format(text='string', flows='{flows}')} where {ODD}", flows=flow_view(spark, sf_dir))
+
+
 def with_severity_rank(alerts: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     return alerts.withColumn("severity_rank", rank)
