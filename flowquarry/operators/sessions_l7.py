@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -109,6 +109,7 @@ class _Source:
 
     def __init__(self) -> None:
         self.sign_ins, self.requests, self.tenants = deque(), deque(), deque()
+        self.tenant_counts: Counter[str] = Counter()
         self.fired: dict[tuple[str, str], int] = {}
 
     def cools(self, key: tuple[str, str], t: int) -> bool:
@@ -125,6 +126,17 @@ class _Source:
             window.popleft()
         return len(window)
 
+    def tenants_within(self, tenant: str, t: int, seconds: int) -> int:
+        """How many tenants the window holds with this request's, counted as they come and go."""
+        self.tenants.append((t, tenant))
+        self.tenant_counts[tenant] += 1
+        while t - self.tenants[0][0] > seconds * 1_000_000:
+            _, gone = self.tenants.popleft()
+            self.tenant_counts[gone] -= 1
+            if not self.tenant_counts[gone]:
+                del self.tenant_counts[gone]
+        return len(self.tenant_counts)
+
     def verdict(self, r) -> tuple[str, str, float, str, int] | None:
         """The first rule that applies and does not cool down; a rule that cools down lets the next ones try.
 
@@ -143,9 +155,7 @@ class _Source:
         if busy >= 35 and not self.cools(("api_flood", ""), t):
             return "api_flood", "HIGH", 0.91, "", busy
         if r.seen_tenant:
-            self.tenants.append((t, r.seen_tenant))
-            self.within(self.tenants, t, 30)
-            n = len({x for _, x in self.tenants})
+            n = self.tenants_within(r.seen_tenant, t, 30)
             if n >= 3 and not self.cools(("tenant_hopping", ""), t):
                 return "tenant_hopping", "CRITICAL", 0.95, "", n
         for bot in r.bots:
