@@ -55,8 +55,9 @@ def _tenant(path: Column) -> Column:
 
 
 def _every(text: Column, patterns: tuple[str, ...]) -> Column:
-    """All patterns that the text contains, in their order."""
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in patterns]))
+    """All patterns that the text contains, in their order. The text is worked out once, not for each pattern."""
+    found = lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(p)), F.lit(p)) for p in patterns]))
+    return F.get(F.transform(F.array(text), found), F.lit(0))
 
 
 def web_facts(requests: DataFrame) -> DataFrame:
