@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ BACKOFF = 20.0
 #: Tokens that a task holds before it adds them up, and before it scores them.
 HELD = 1_000_000
 SCORED = 250_000
+#: Tokens and texts of a chunk, whose bigrams travel together, and bytes of text whose bigrams meet in one bucket, about.
+CHUNK, CHUNK_TEXTS = 2_000_000, 50_000
+BUCKET_BYTES = 16_000_000
 #: The most frequent words, and bigrams, up to so many each, are scored where the texts are; all others meet in shuffles.
 HOT = 400_000
 #: Rows in which frequent bigrams are looked for, about. It bears on speed alone: what they count is counted over all rows.
@@ -183,13 +188,15 @@ def _joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(sequences), np.repeat(np.arange(len(sequences), dtype=np.uint16), lengths), lengths
 
 
-#: States of a row on its way: a text's own one, another whose loss is known, a bigram of a hot word, one of a rare word.
-TEXT, CLOSED, NEAR, RARE = range(4)
+def _packed(rows: np.ndarray) -> bytes:
+    """Compressed rows of whole numbers, byte by byte of each, as the high bytes of small numbers are alike."""
+    return pa.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _about(tokens: np.ndarray, word: np.ndarray, state: int, marked: np.ndarray, counted: np.ndarray) -> np.ndarray:
-    """A row's few small facts in one number, as rows of one text that share it take little room in a shuffle."""
-    return tokens << 28 | word << 4 | state << 2 | marked << 1 | counted
+def _unpacked(data: bytes, rows: int, kind: type, width: int = 1) -> np.ndarray:
+    size = np.dtype(kind).itemsize * width
+    planes = np.frombuffer(pa.decompress(data, rows * size, codec="zstd", asbytes=True), np.uint8).reshape(size, rows)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(rows, width)
 
 
 class Scorer:
@@ -198,17 +205,17 @@ class Scorer:
     def __init__(self, models: Models):
         self.hot_words, self.hot_grams, self.totals, self.size = models.hot_words, models.hot_grams, models.totals, models.size
 
-    def near(self, keys: np.ndarray, sequences: list[np.ndarray], marked: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
-        """One row for each text, with its loss as far as hot words and bigrams tell it, and one for each other bigram that ends in a hot word.
+    def near(self, sequences: list[np.ndarray], marked: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's losses as far as hot words and bigrams tell them, and its other bigrams that end in a hot word: text, key, facts.
 
-        The text's loss takes those bigrams for unseen elsewhere. A bigram of two hot words is named by their places;
-        beside another key stands the place of its word, from 1.
+        The losses take those bigrams for unseen elsewhere. A bigram of two hot words is named by their places; beside
+        another key stands the place of its word, from 1, after the times of the bigram and of the word in the text.
         """
         ids, doc, lengths = _joined(sequences)
         docs, own = len(sequences), [counted.astype(np.int64), (marked & counted).astype(np.int64)]
         first, times, group = _groups(doc, ids)
         known, place, counts = _find(self.hot_words, ids[first])
-        losses = [np.zeros(docs, np.int64), np.zeros(docs, np.int64)]
+        losses = np.zeros((2, docs), np.int64)
         shares, d = [], doc[first]
         followed = known & (ids[first] != END)
 
@@ -229,14 +236,45 @@ class Scorer:
             add(side, d[known[word]], -g_times[known[word]] * np.log(n[known[word]]))
         left = known[word] & ~seen
         d, word, before = d[left], word[left], before[left]
-        both, zeros, tokens = known[before], np.zeros(docs, np.int64), np.maximum(lengths - 1, 0)
-        return {
-            "row_key": np.concatenate([keys, keys[d]]),
-            "key": np.concatenate([keys, np.where(both, place[before] << 32 | place[word], pairs[left])]),
-            "counts": np.concatenate([zeros, g_times[left] << 32 | times[word]]),
-            "about": np.concatenate([_about(tokens, zeros, TEXT, marked, counted), _about(tokens[d], np.where(both, 0, place[word] + 1), NEAR, marked[d], counted[d])]),
-            **{s: np.concatenate([loss / UNIT, np.zeros(len(d))]) for s, loss in zip(SIDES, losses, strict=True)},
-        }
+        both = known[before]
+        facts = np.stack([g_times[left], times[word], np.where(both, 0, place[word] + 1)], axis=1).astype(np.uint32)
+        return losses, d, np.where(both, place[before] << 32 | place[word], pairs[left]), facts
+
+    def met(self, table: pa.Table) -> pa.Table:
+        """Rows of texts as they are, and what the bigrams of one bucket that occur in other texts too change in their texts' losses."""
+        texts = table.filter(pc.is_null(table["keys"])).select(list(LOSSES))
+        for name in ("n_docs", "changes"):
+            texts = texts.append_column(name, pa.nulls(len(texts), KINDS[MET[name]]))
+        bundles = table.filter(pc.is_valid(table["keys"]))
+        if not len(bundles):
+            return texts
+        docs = [_unpacked(data, n, np.uint32, 4) for data, n in zip(bundles["docs"].to_pylist(), bundles["n_docs"].to_pylist(), strict=True)]
+        sizes = [int(d[:, 3].sum()) for d in docs]
+        keys = np.concatenate([_unpacked(data, n, np.int64)[:, 0] for data, n in zip(bundles["keys"].to_pylist(), sizes, strict=True)])
+        facts = np.concatenate([_unpacked(data, n, np.uint32, 3) for data, n in zip(bundles["facts"].to_pylist(), sizes, strict=True)])
+        ends = np.cumsum(list(map(len, docs)))[:-1]
+        docs = np.concatenate(docs)
+        of = np.repeat(np.arange(len(docs), dtype=np.int32), docs[:, 3])
+        _, kind = np.unique(keys, return_inverse=True)
+        others = []
+        for bit in (1, 2):
+            mine = facts[:, 0] * ((docs[:, 2] & bit) > 0)[of]
+            others.append(np.bincount(kind, weights=mine)[kind] - mine)
+        hit = others[0] > 0
+        times, own, word = facts[hit].astype(np.int64).T
+        place, of = np.where(word > 0, word - 1, keys[hit] & ((1 << 32) - 1)), of[hit]
+        changes = np.zeros((2, len(docs)), np.int64)
+        for side, bit in enumerate((1, 2)):
+            counted = ((docs[:, 2] & bit) > 0)[of].astype(np.int64)
+            share = BACKOFF * (self.hot_words[1 + side][place] - own * counted + 1) / (self.totals[side] - docs[of, 1].astype(np.int64) * counted + self.size)
+            np.add.at(changes[side], of, np.rint(-times * np.log(others[side][hit] / share + 1) * UNIT).astype(np.int64))
+        some, rows = np.zeros(len(docs), bool), []
+        some[of] = True
+        for chunk, one, changed, left in zip(bundles["chunk"].to_pylist(), np.split(docs[:, 0], ends), np.split(changes, ends, axis=1), np.split(some, ends), strict=True):
+            if left.any():
+                rows.append((chunk, int(left.sum()), _packed(np.stack([one[left].astype(np.int64), *changed[:, left]], axis=1))))
+        found = [_batch(dict(zip(("chunk", "n_docs", "changes"), zip(*rows, strict=True), strict=True)), MET)] if rows else []
+        return pa.concat_tables([texts, pa.Table.from_batches(found, texts.schema)])
 
     def rare(self, keys: np.ndarray, sequences: list[np.ndarray], marked: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
         """A row for each bigram that ends in a word that is not hot; the first of a word also stands for the word as a predecessor.
@@ -270,33 +308,98 @@ class Scorer:
         }
 
 
-NEAR_ROWS = "row_key long, key long, counts long, about long, background double, target double"
-RARE_ROWS = "row_key long, rare_word long, own int, gram boolean, leads boolean, key long, times int, n_tokens int, marked boolean, counted boolean"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+LOSSES = {"chunk": "long", "doc": "int", "row_key": "long", "n_tokens": "int", "background": "long", "target": "long"}
+MET = {**LOSSES, "n_docs": "int", "changes": "binary"}
+NEAR = {"bucket": "int", **LOSSES, "n_docs": "int", "docs": "binary", "keys": "binary", "facts": "binary"}
+RARE = {"row_key": "long", "rare_word": "long", "own": "int", "gram": "boolean", "leads": "boolean", "key": "long", "times": "int", "n_tokens": "int", "marked": "boolean", "counted": "boolean"}
+
+
+def _schema(fields: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in fields.items())
+
 
+def _batch(found: dict, fields: dict[str, str]) -> pa.RecordBatch:
+    """A batch with the columns of ``fields``, null where ``found`` has none."""
+    rows = len(next(iter(found.values())))
+    columns = [pa.array(found[name], KINDS[kind]) if name in found else pa.nulls(rows, KINDS[kind]) for name, kind in fields.items()]
+    return pa.RecordBatch.from_arrays(columns, list(fields))
 
-def _rows(ids: DataFrame, models: Models, which: str) -> DataFrame:
-    """Rows of all texts as the method of Scorer named ``which`` makes them."""
-    shared = ids.sparkSession.sparkContext.broadcast(Scorer(models))
-    schema = NEAR_ROWS if which == "near" else RARE_ROWS
-    fields = [f.split() for f in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Row keys, sequences and marks of texts, some SCORED tokens at a time."""
+    codes = Codes()
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        keys, marked, counted = (np.array(batch.column(c).to_pylist()) for c in ("row_key", "marked", "counted"))
+        begin, held, tokens = 0, [], 0
+        for n, text in enumerate(texts, 1):
+            held.append(sequence(text, codes))
+            tokens += len(held[-1])
+            if tokens < SCORED and n < len(texts):
+                continue
+            yield keys[begin:n], held, marked[begin:n], counted[begin:n]
+            begin, held, tokens = n, [], 0
+
+
+def _rare_rows(ids: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, codes = shared.value, Codes()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keys, marked, counted = (np.array(batch.column(c).to_pylist()) for c in ("row_key", "marked", "counted"))
-            begin, held, tokens = 0, [], 0
-            for n, text in enumerate(texts, 1):
-                held.append(sequence(text, codes))
-                tokens += len(held[-1])
-                if tokens < SCORED and n < len(texts):
-                    continue
-                found = getattr(scorer, which)(keys[begin:n], held, marked[begin:n], counted[begin:n])
-                yield pa.RecordBatch.from_arrays([pa.array(found[name], kinds[kind]) for name, kind in fields], [name for name, _ in fields])
-                begin, held, tokens = n, [], 0
+        for piece in _pieces(batches):
+            yield _batch(shared.value.rare(*piece), RARE)
+
+    return ids.mapInArrow(run, _schema(RARE))
+
+
+def _changed(table: pa.Table) -> pa.Table:
+    """The texts of one chunk, with what its bigrams in all buckets change in their losses; a text that stands for a repeated chunk has the changes of all."""
+    texts, bundles = (table.filter(pc.is_valid(table[c])) for c in ("row_key", "changes"))
+    doc, first = np.unique(texts["doc"].to_numpy(), return_index=True)
+    losses = np.stack([texts[s].to_numpy() for s in SIDES])
+    for data, n in zip(bundles["changes"].to_pylist(), bundles["n_docs"].to_pylist(), strict=True):
+        of, *changes = _unpacked(data, n, np.int64, 3).T
+        losses[:, first[np.searchsorted(doc, of)]] += changes
+    return pa.Table.from_arrays([texts["row_key"], texts["n_tokens"], *map(pa.array, losses), pa.array(np.ones(len(texts), np.int64))], names=["row_key", "n_tokens", *SIDES, "copies"])
+
+
+def _near_rows(ids: DataFrame, shared, buckets: int) -> DataFrame:
+    """A row for each text, and for each chunk of texts and each bucket one that holds the chunk's bigrams in the bucket, text by text.
+
+    A chunk is named by the keys of its texts in order, so that it has the same name whenever it is made anew.
+    """
+
+    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        row_keys, tokens, flags, losses, doc, keys, facts = (np.concatenate(c, axis=-1 if n == 3 else 0) for n, c in enumerate(zip(*held, strict=True)))
+        chunk = xxhash.xxh64_intdigest(row_keys.tobytes())
+        chunk -= (chunk >> 63) << 64
+        places = np.arange(len(row_keys))
+        texts = {"bucket": (places + chunk) % buckets, "chunk": np.full(len(places), chunk), "doc": places, "row_key": row_keys, "n_tokens": tokens}
+        yield _batch(texts | dict(zip(SIDES, losses, strict=True)), NEAR)
+        bucket = ((keys.view(np.uint64) * PAIRING >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        rows = []
+        for b, at in enumerate(np.split(order, ends[:-1])):
+            if len(at):
+                of, n = np.unique(doc[at], return_counts=True)
+                docs = np.stack([of, tokens[of], flags[of], n], axis=1).astype(np.uint32)
+                rows.append((b, chunk, len(of), _packed(docs), _packed(keys[at]), _packed(facts[at])))
+        if rows:
+            yield _batch(dict(zip(("bucket", "chunk", "n_docs", "docs", "keys", "facts"), zip(*rows, strict=True), strict=True)), NEAR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, seen = [], 0, 0
+        for row_keys, sequences, marked, counted in _pieces(batches):
+            losses, doc, keys, facts = shared.value.near(sequences, marked, counted)
+            tokens = np.maximum(np.array(list(map(len, sequences))) - 1, 0)
+            held.append((row_keys, tokens, counted * 1 + (marked & counted) * 2, losses, doc.astype(np.int32) + texts, keys, facts))
+            texts, seen = texts + len(row_keys), seen + int(tokens.sum())
+            if seen >= CHUNK or texts >= CHUNK_TEXTS:
+                yield from out(held)
+                held, texts, seen = [], 0, 0
+        if held:
+            yield from out(held)
 
-    return ids.mapInArrow(run, schema)
+    return ids.mapInArrow(run, _schema(NEAR))
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -309,7 +412,8 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     Each text's words and bigrams are added up first. Bigrams that are not frequent are shuffled once, to meet
     the others of their kind: that counts them, exactly, and as frequent ones are not among them, no key is
-    hot. Those seen elsewhere then correct their texts' losses. Of the words only rare ones are looked up in
+    hot. Those seen elsewhere then correct their texts' losses. Bigrams that end in a hot word travel in bundles, as
+    they are nearly as many as words; a bucket of keys is counted by one task. Of the words only rare ones are looked up in
     the table of counts; the others, which are bounded, are broadcast.
     """
     spark = docs.sparkSession
@@ -323,43 +427,33 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         return BACKOFF * (rest + 1) / (F.lit(models.totals[n]) - F.col("n_tokens") * own[n] + models.size)
 
     words = models.words.where(F.col("background") < models.least).select(F.col("key").alias("rare_word"), *[F.col(s).alias(f"c_{s}") for s in SIDES])
-    rare = _rows(ids, models, "rare").join(words, "rare_word", "left")
+    shared = spark.sparkContext.broadcast(Scorer(models))
+    rare = _rare_rows(ids, shared).join(words, "rare_word", "left")
     gram, leads = F.col("gram"), F.col("leads")
     before = [F.when(leads, F.col("own") * F.log(F.coalesce(f"c_{s}", F.lit(0)) - F.col("own") * own[n] + BACKOFF)).otherwise(0.0) for n, s in enumerate(SIDES)]
     shares = [share(n, f"c_{s}") for n, s in enumerate(SIDES)]
 
-    def row(state: int, key: Column, counts: Column, values: list[Column]) -> Column:
-        about = F.col("n_tokens").cast("long") * (1 << 28) + state * 4 + F.col("marked").cast("int") * 2 + F.col("counted").cast("int")
-        return F.struct("row_key", key.alias("key"), counts.cast("long").alias("counts"), about.alias("about"), *[v.alias(s) for v, s in zip(values, SIDES, strict=True)])
+    def row(key: Column, times: Column, values: list[Column]) -> Column:
+        return F.struct("row_key", key.alias("key"), times.alias("times"), own[0].alias("of_background"), own[1].alias("of_target"), *[v.alias(s) for v, s in zip(values, SIDES, strict=True)])
 
     # a word that occurs in this text alone has no bigram elsewhere, so its row is closed at once
     alone = gram & (F.coalesce("c_background", F.lit(0)) - F.col("own") * own[0] <= 0)
-    closed = row(CLOSED, F.col("row_key"), F.lit(0), [b - F.when(gram, F.col("times") * F.log(x)).otherwise(0.0) for b, x in zip(before, shares, strict=True)])
-    waits = row(RARE, F.col("key"), F.col("times").cast("long") * (1 << 32) + F.col("own"), shares)
-    both = F.array_compact(F.array(waits, F.when(leads, row(CLOSED, F.col("row_key"), F.lit(0), before))))
-    made = F.when(alone | ~gram, F.array(closed)).otherwise(both)
-    near = _rows(ids, models, "near")
-    open_rows = near.union(rare.select(F.explode(made).alias("r")).select(*[f"r.{c}" for c in near.columns]))
-    bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-    times = F.shiftright("counts", 32)
-    flags = [bits("about", 0, 1), bits("about", 0, 1) * bits("about", 1, 1)]
-    together = Window.partitionBy("key")
-    others = [(F.sum(times * flags[n]).over(together) - times * flags[n]).alias(f"n_{s}") for n, s in enumerate(SIDES)]
-    met = open_rows.select("*", *others).select(
-        "row_key", "key", *SIDES, *[f"n_{s}" for s in SIDES], times.alias("times"), bits("counts", 0, 32).alias("own"), F.shiftright("about", 28).cast("int").alias("n_tokens"),
-        bits("about", 4, 24).cast("int").alias("word"), bits("about", 2, 2).alias("state"), (bits("about", 1, 1) == 1).alias("marked"), (bits("about", 0, 1) == 1).alias("counted"),
-    )
-    place = F.when(F.col("word") > 0, F.col("word") - 1).otherwise(F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    met = met.withColumn("place", F.when((F.col("state") == NEAR) & (F.col("n_background") > 0), place))
-    counts = pa.table({"place": pa.array(np.arange(len(models.hot_words[0]), dtype=np.int32)), "h_background": models.hot_words[1], "h_target": models.hot_words[2]})
-    hot = spark.createDataFrame(counts)
-    losses = []
-    for n, s in enumerate(SIDES):
-        seen = F.when(F.col("place").isNotNull(), -F.col("times") * F.log(F.col(f"n_{s}") / share(n, f"h_{s}") + 1)).otherwise(0.0)
-        nats = F.when(F.col("state") == NEAR, seen).when(F.col("state") == RARE, -F.col("times") * F.log(F.col(f"n_{s}") + F.col(s))).otherwise(F.col(s))
+    closed = row(F.col("row_key"), F.lit(0), [b - F.when(gram, F.col("times") * F.log(x)).otherwise(0.0) for b, x in zip(before, shares, strict=True)])
+    waits = row(F.col("key"), F.col("times"), shares)
+    both = F.array_compact(F.array(waits, F.when(leads, row(F.col("row_key"), F.lit(0), before))))
+    made = rare.select(F.explode(F.when(alone | ~gram, F.array(closed)).otherwise(both)).alias("r")).select("r.*")
+    together, losses = Window.partitionBy("key"), []
+    for s in SIDES:
+        mine = F.col("times") * F.col(f"of_{s}")
+        made = made.withColumn(f"n_{s}", F.sum(mine).over(together) - mine)
+        nats = F.when(F.col("times") > 0, -F.col("times") * F.log(F.col(f"n_{s}") + F.col(s))).otherwise(F.col(s))
         losses.append(F.sum(F.round(nats * UNIT).cast("long")).alias(s))
-    met = met.join(F.broadcast(hot), "place", "left")
-    sums = met.groupBy("row_key").agg(*losses, F.count_if(F.col("state") == TEXT).alias("copies"), F.max("n_tokens").alias("n_tokens"))
+    of_rare = made.groupBy("row_key").agg(*losses).select("row_key", F.lit(None).cast("int").alias("n_tokens"), *SIDES, F.lit(0).cast("long").alias("copies"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    near = _near_rows(ids, shared, size // BUCKET_BYTES + 1)
+    met = near.groupBy("bucket").applyInArrow(lambda table: shared.value.met(table), _schema(MET))
+    texts = met.groupBy("chunk").applyInArrow(_changed, "row_key long, n_tokens int, background long, target long, copies long")
+    sums = texts.union(of_rare).groupBy("row_key").agg(*[F.sum(c).alias(c) for c in (*SIDES, "copies")], F.max("n_tokens").alias("n_tokens"))
     tokens = F.col("n_tokens")
     nats = [F.when(tokens > 0, F.col(s) / F.col("copies") / F.lit(float(UNIT)) / tokens).alias(f"ce_{s}") for s in SIDES]
     scored = docs.select(key, "doc_id").join(sums, "row_key").select("doc_id", F.greatest(tokens - 1, F.lit(0)).cast("long").alias("n_words"), *nats)

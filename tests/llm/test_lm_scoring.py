@@ -138,3 +138,25 @@ def test_query_tells_labelled_quality_apart(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
     both = found.merge(labels, on="doc_id").dropna(subset=["score"])
     assert both[both["quality"] == 1]["score"].median() < both[both["quality"] == 0]["score"].median()
+
+
+def test_chunks_and_buckets_change_no_score(spark, monkeypatch):
+    texts = [R.sentence(k % 9, 40 + k) + " " + R.sentence(50, 12) for k in range(40)]
+    docs = R.frame(spark, [(k, t) for k, t in enumerate(texts)] + [(0, texts[0])]).repartition(3).cache()
+    good = docs.where("doc_id % 3 = 0").select("doc_id")
+    # no bigram is frequent, so all meet in buckets
+    monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 0)
+    score = lambda: {r.doc_id: tuple(r) for r in lm_scoring.cross_entropy_difference(docs, good).collect()}
+    one = score()
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(lm_scoring, "CHUNK", 300)
+    made = []
+    near_rows = lm_scoring._near_rows
+    monkeypatch.setattr(lm_scoring, "_near_rows", lambda ids, shared, buckets: made.append(near_rows(ids, shared, buckets)) or made[-1])
+    assert score() == one
+    met = made[0].groupBy("bucket").count().count()
+    assert met > 5
+    # a row for each text, and one for each chunk and bucket at most, however often texts meet
+    texts_in, bundles = made[0].where("keys is null"), made[0].where("keys is not null")
+    assert texts_in.count() == 41
+    assert bundles.count() <= texts_in.select("chunk").distinct().count() * met
