@@ -162,8 +162,9 @@ def fit(docs: DataFrame) -> Models:
 
 def _find(hot: Hot, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Whether each key is hot, its place among the hot ones, and its two counts, else 0."""
-    known, place = _has(keys, hot[0]), np.zeros(len(keys), np.int64)
-    place[known] = np.searchsorted(hot[0], keys[known])
+    place = np.minimum(np.searchsorted(hot[0], keys), max(len(hot[0]) - 1, 0))
+    known = hot[0][place] == keys if len(hot[0]) else np.zeros(len(keys), bool)
+    place[~known] = 0
     counts = [np.zeros(len(keys), np.int64) for _ in SIDES]
     for n, c in zip(counts, hot[1:], strict=True):
         n[known] = c[place[known]]
