@@ -16,6 +16,8 @@ from flowquarry.llm.components import connected_components
 BLOCK_ROWS = 1024
 #: Cells: so many at least and at most, and so many parts of a cell that is larger than a block.
 LEAST_CELLS, MAX_CELLS, PARTS = 4, 1024, 16
+#: Bytes of vectors in a tile of blocks, about: a task holds two tiles.
+TILE_BYTES = 16 << 20
 #: Slack for rounding in angles.
 SLACK = 1e-6
 
@@ -73,9 +75,22 @@ def smallest_linked(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarra
         label = new
 
 
+def packed(vectors: np.ndarray) -> bytes:
+    """The rows as bytes: as single floats where that loses nothing, else as doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        single = vectors.astype("<f4")
+    return (single if (single == vectors).all() else np.ascontiguousarray(vectors, "<f8")).tobytes()
+
+
+def unpacked(data: bytes, rows: int, width: int) -> np.ndarray:
+    """The unit vectors of rows that :func:`packed` made."""
+    return unit(np.frombuffer(data, f"<f{len(data) // (rows * width)}").reshape(rows, width).astype("f8"))
+
+
 def _to_block(group: pd.DataFrame) -> pd.DataFrame:
-    """One block: its unit vectors as bytes, and a cap, by center and radius, that holds them all."""
-    vectors = unit(np.stack(group["v"].to_numpy()))
+    """One block: its vectors as bytes, and a cap, by center and radius, that holds them all."""
+    given = np.stack(group["v"].to_numpy())
+    vectors = unit(given)
     center = vectors.sum(axis=0)
     length = np.linalg.norm(center)
     center = center / length if length > 1e-9 else vectors[0]
@@ -86,9 +101,10 @@ def _to_block(group: pd.DataFrame) -> pd.DataFrame:
             "label": [first["label"]],
             "d": [first["d"]],
             "cell": [first["cell"]],
+            "part": [first["part"]],
             "ids": [group["class_id"].tolist()],
             "counts": [group["n"].tolist()],
-            "unit": [np.ascontiguousarray(vectors, "<f8").tobytes()],
+            "vectors": [packed(given)],
             "center": [center.tolist()],
             "radius": [radius],
         }
@@ -116,33 +132,63 @@ def near_cells(caps: DataFrame, widest: float) -> DataFrame:
     return pairs.select("label", "d", "cell_a", "cell_b")
 
 
-def _compare(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids_a, ids_b = np.asarray(row.ids_a, np.int64), np.asarray(row.ids_b, np.int64)
-                a = np.frombuffer(row.unit_a, "<f8").reshape(len(ids_a), -1)
-                b = np.frombuffer(row.unit_b, "<f8").reshape(len(ids_b), -1)
-                same = row.block_a == row.block_b
-                linked = a @ b.T >= threshold
-                if same:
-                    np.fill_diagonal(linked, False)
-                found = [pd.DataFrame({"a": ids_a, "b": None, "links": linked @ np.asarray(row.counts_b, np.int64)})]
-                left, right = np.nonzero(linked)
-                if not len(left):
-                    continue
-                if not same:
-                    found.append(pd.DataFrame({"a": ids_b, "b": None, "links": linked.T @ np.asarray(row.counts_a, np.int64)}))
-                ids = ids_a if same else np.concatenate([ids_a, ids_b])
-                label = smallest_linked(len(ids), left, right if same else right + len(ids_a))
-                found.append(pd.DataFrame({"a": ids, "b": ids[label], "links": None}).loc[label != np.arange(len(ids))])
-                for part in found:
-                    yield part.astype({"a": "Int64", "b": "Int64", "links": "Int64"}).loc[lambda p: p["b"].notna() | (p["links"] > 0)]
+def tiles_of(blocks: DataFrame, tile_bytes: int) -> DataFrame:
+    """Rows ``(block, tile)``: blocks of a label in the order of their cells, up to about ``tile_bytes`` of vectors in a tile.
+
+    ``blocks(label, d, cell, part, block, bytes)`` has a row for some hundred vectors, and none of them.
+    """
+    before = F.sum("bytes").over(Window.partitionBy("label", "d").orderBy("cell", "part", "block")) - F.col("bytes")
+    numbered = blocks.withColumn("nth", F.floor(before / tile_bytes))
+    return numbered.select("block", F.min("block").over(Window.partitionBy("label", "d", "nth")).alias("tile"))
+
+
+def _links(a, b, threshold: float) -> Iterator[pd.DataFrame]:
+    """Links between two blocks, or within one: counts of links, and a few links that keep components whole."""
+    (block_a, ids_a, counts_a, left_vectors), (block_b, ids_b, counts_b, right_vectors) = a, b
+    product = left_vectors @ right_vectors.T
+    if block_a == block_b:
+        np.fill_diagonal(product, -2)
+    if not product.size or product.max() < threshold:
+        return
+    left, right = np.nonzero(product >= threshold)
+    sums = np.zeros(len(ids_a), np.int64)
+    np.add.at(sums, left, counts_b[right])
+    yield pd.DataFrame({"a": ids_a, "b": None, "links": sums})
+    ids = ids_a
+    if block_a != block_b:
+        sums = np.zeros(len(ids_b), np.int64)
+        np.add.at(sums, right, counts_a[left])
+        yield pd.DataFrame({"a": ids_b, "b": None, "links": sums})
+        ids, right = np.concatenate([ids_a, ids_b]), right + len(ids_a)
+    label = smallest_linked(len(ids), left, right)
+    yield pd.DataFrame({"a": ids, "b": ids[label], "links": None}).loc[label != np.arange(len(ids))]
+
+
+def _compare(threshold: float, widest: float):
+    """Compares the blocks of two tiles, or of one, wherever their caps do not rule out a link."""
+
+    def read(row) -> tuple:
+        ids = np.asarray(row.ids, np.int64)
+        return row.block, ids, np.asarray(row.counts, np.int64), unpacked(row.vectors, len(ids), row.d)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sides = [list(group[group["tile"] == group[t].iloc[0]].itertuples(index=False)) for t in ("tile_a", "tile_b")]
+        same = group["tile_a"].iloc[0] == group["tile_b"].iloc[0]
+        centers, radii = np.array([row.center for row in sides[1]]), np.array([row.radius for row in sides[1]])
+        parts = [pd.DataFrame({"a": [], "b": [], "links": []}, dtype="Int64")]
+        for row in sides[0]:
+            apart = np.arccos(np.clip(centers @ np.asarray(row.center), -1, 1)) - radii - row.radius
+            a = read(row)
+            for k in np.nonzero(apart <= widest)[0]:
+                if not same or row.block <= sides[1][k].block:
+                    found = [p.astype("Int64") for p in _links(a, read(sides[1][k]), threshold)]
+                    parts += [p[p["b"].notna() | (p["links"] > 0)] for p in found]
+        return pd.concat(parts, ignore_index=True)
 
     return run
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int = 20_000, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int = 20_000, block_rows: int = BLOCK_ROWS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row ``(vec_id, n_links, component_id, kept)`` per row of ``rows(vec_id, embedding, label, ...)``.
 
     Vectors link when their labels are equal and not null, their lengths are equal, and their cosine in
@@ -151,7 +197,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     sample of about ``sample_rows``; a label's cell of more than ``block_rows`` is cut into ``PARTS`` by direction
     from its centroid, and what is still larger into even blocks. Two blocks are compared unless the triangle inequality of angles, over the centers and radii of their cells
     and then their own, rules out every link, so no link is lost: products run within cells and between
-    cells that lie near enough.
+    cells that lie near enough. A label's blocks are dealt to tiles of ``tile_bytes``, and a task gets the blocks
+    of two tiles that meet, each once: a vector travels once for each tile that its own meets.
     A product yields counts and a few links that keep components whole, never pairs. What is kept of each
     group is the vector with the smallest id.
 
@@ -191,7 +238,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     part = F.when(F.col("of_cell") > block_rows, F.col("way").cast("long") * (1 << 32) + piece).otherwise(F.lit(-1).cast("long"))
     dealt = dealt.withColumn("part", part).drop("way", "of_way", "of_cell")
     kind = rows.schema["label"].dataType.simpleString()
-    shape = f"label {kind}, d int, cell int, ids array<long>, counts array<long>, unit binary, center array<double>, radius double"
+    shape = f"label {kind}, d int, cell int, part long, ids array<long>, counts array<long>, vectors binary, center array<double>, radius double"
     blocks = stored(
         dealt.groupBy("label", "d", "cell", "part").applyInPandas(_to_block, shape).withColumn("block", F.monotonically_increasing_id()), "vector-blocks"
     )
@@ -203,9 +250,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, sample_rows: int =
     apart = angle(F.col("center_a"), F.col("center_b")) - F.col("radius_a") - F.col("radius_b")
     near = together.where(once & (apart <= widest))
     pairs = stored(near.select("block_a", "block_b"), "block-pairs")
-    body = [blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "counts", "unit")]) for s in "ab"]
-    product = pairs.join(body[0], "block_a").join(body[1], "block_b")
-    found = stored(product.mapInPandas(_compare(threshold), "a long, b long, links long"), "vector-links")
+    tiles = stored(tiles_of(blocks.select("label", "d", "cell", "part", "block", F.octet_length("vectors").cast("long").alias("bytes")), tile_bytes), "block-tiles")
+    for side in "ab":
+        pairs = pairs.join(broadcast_if_small(tiles.select(*[F.col(c).alias(f"{c}_{side}") for c in ("block", "tile")]), 100_000), f"block_{side}")
+    ordered = [f("tile_a", "tile_b").alias(t) for f, t in ((F.least, "tile_a"), (F.greatest, "tile_b"))]
+    ends = F.explode(F.array(*[F.struct(F.col(f"block_{s}").alias("block"), F.col(f"tile_{s}").alias("tile")) for s in "ab"])).alias("end")
+    sent = stored(pairs.select(*ordered, ends).select("tile_a", "tile_b", "end.*").distinct(), "sent-blocks")
+    body = blocks.select("block", "d", "ids", "counts", "vectors", "center", "radius")
+    product = body.join(broadcast_if_small(sent, 1_000_000), "block").groupBy("tile_a", "tile_b")
+    found = stored(product.applyInPandas(_compare(threshold, widest), "a long, b long, links long"), "vector-links")
     roots = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "class_id")
     counts = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     rooted = stored(

@@ -112,3 +112,28 @@ def test_extreme_components_lose_no_link(spark):
     rows += [(6, [1.0] * 8, 0), (7, [2.0] * 8, 0), (8, [5e-324] * 8, 0), (9, [1.0, -1.0] * 4, 0), (10, [1e200, -1e200] * 4, 0)]
     found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (7, 1) for i in range(1, 9)} | {9: (1, 9), 10: (1, 9)}
+
+
+def test_blocks_travel_once_for_each_tile_they_meet(spark, monkeypatch):
+    """Not once for each block that theirs meets, which grows with the square of the vectors."""
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 2) for i in range(240)]
+    rows += [(1000 + i, near(v, rng, 0.1), label) for i, v, label in rows[::3]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    kept, store = {}, embeddings.stored
+    monkeypatch.setattr(embeddings, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    for tile_bytes in (1 << 20, 1500):
+        kept.clear()
+        found = embeddings.near_duplicates(table, 0.93, block_rows=4, tile_bytes=tile_bytes).collect()
+        assert Counter(tuple(r) for r in found) == brute(rows, 0.93)
+        blocks, sent = kept["vector-blocks"].count(), kept["sent-blocks"]
+        assert blocks > 40 and sent.select("block").distinct().count() == blocks
+        assert sent.count() == blocks if tile_bytes > 1500 else blocks < sent.count() < kept["block-pairs"].count()
+
+
+def test_vectors_are_packed_without_loss():
+    import numpy as np
+
+    for rows, size in ((np.array([[0.1, 0.2]], "f4").astype("f8"), 4), (np.array([[0.1, 0.2]]), 8), (np.array([[1e200, 5e-324]]), 8)):
+        data = embeddings.packed(rows)
+        assert len(data) == 2 * size and (embeddings.unpacked(data, 1, 2) == embeddings.unit(rows)).all()
