@@ -21,3 +21,12 @@ def test_only_comparisons_leave_flows_out():
         "e2_score_history",
         "k12_signatures",
     }
+
+
+def test_queries_on_alerts_leave_no_flow_out():
+    whole = (
+        "w23_kill_chain g2_compromised g3_blast_radius k9_captures r5_policies e3_ranking f4_alert_page a11_severity_counts a11_category_counts a12_heat_map a13_posture a15_executive "
+        "j8_techniques j9_controls k8_navigator k5_cef k6_syslog r1_playbooks r2_containments r3_deliveries r4_flowspec j12_first_matches a18_campaign_metrics"
+    )
+    for name in whole.split():
+        assert "vector_id from flows)" in catalog.ORACLE_SQL[name], name
