@@ -22,6 +22,8 @@ SLICE_WINDOWS = 60
 #: Figures of the gaps between a key's rows: their number, sum and sum of squares.
 GAP_FIGURES = ("n_gaps", "sum_gaps", "sum_gaps_squared")
 FIRE = ("detector", "category", "severity", "confidence", "cooldown_s", "key", "src_ip", "dst_ip", "dst_port", "protocol", "t_us", "flow_id", "evidence")
+#: What ``FIRE`` takes from a flow.
+FLOW_COLUMNS = ("flow_id", "t_us", "src_ip", "dst_ip", "dst_port", "protocol")
 #: Ports of remote administration, TLS ports, and resolvers that are trusted at normal size.
 ADMIN_PORTS = (22, 135, 139, 445, 3389, 5985, 5986)
 TLS_PORTS = (443, 8443, 9443)
@@ -41,20 +43,28 @@ def swept(
     again. So a row is a start and some ends, and running sums over both give all figures: the work of a
     key grows with its rows, not with rows times window as that of a sliding frame does. With ``gaps``, a range of
     seconds, there are also ``GAP_FIGURES``: number, sum and sum of squares in microseconds of the key's gaps between rows longer than its start and no
-    longer than its end; a gap counts while all of it is in the window.
+    longer than its end; a gap counts while all of it is in the window, so it ends with the row that it begins at.
 
     A key's time is cut into slices of ``SLICE_WINDOWS`` windows, which go to different tasks, so a busy key is not
     one task's work; the last window of a slice is also handed to the next one, for the figures at its start.
     """
     sums, distinct, columns = sums or {}, distinct or {}, rows.columns
-    between: dict[str, Column] = {}
-    if gaps:
-        rows = rows.withColumn("before_us", F.lag("t_us").over(Window.partitionBy(*keys).orderBy("t_us")))
-        gap = F.col("t_us") - F.col("before_us")
-        gap = F.when(gap > int(gaps[0] * 1_000_000), F.when(gap <= int(gaps[1] * 1_000_000), gap))
-        between = dict(zip(GAP_FIGURES, (gap.isNotNull().cast("int"), gap, gap * gap), strict=True))
     window = int(seconds * 1_000_000) + 1
     length = window * SLICE_WINDOWS
+    between: dict[str, Column] = {}
+    after: dict[str, Column] = {}
+    if gaps:
+        near = Window.partitionBy(*keys).orderBy("t_us")
+        rows = rows.withColumns({"before_us": F.lag("t_us").over(near), "after_us": F.lead("t_us").over(near)})
+
+        def figures(gap: Column) -> dict[str, Column]:
+            gap = F.when(gap > int(gaps[0] * 1_000_000), F.when(gap <= int(min(gaps[1], seconds) * 1_000_000), gap))
+            return dict(zip(GAP_FIGURES, (gap.isNotNull().cast("int"), gap, gap * gap), strict=True))
+
+        # a gap that begins before what is handed to the next slice is over there
+        over = F.col("carried") & (F.col("before_us") < F.col("slice") * length - window)
+        between = {n: F.when(over, 0).otherwise(v) for n, v in figures(F.col("t_us") - F.col("before_us")).items()}
+        after = figures(F.col("after_us") - F.col("t_us"))
     own = F.floor(F.col("t_us") / length)
     carried = F.when(F.pmod(F.col("t_us"), F.lit(length)) >= length - window, F.struct((own + 1).alias("slice"), F.lit(True).alias("carried")))
     carried_along, keys = rows.columns, [*keys, "slice"]
@@ -64,20 +74,24 @@ def swept(
     again = {name: F.lead("t_us").over(Window.partitionBy(*keys, c).orderBy("t_us")) for name, c in distinct.items()}
     plus = {name: F.coalesce(v.cast("long"), F.lit(0)) for name, v in (sums | between).items()} | {name: F.col(c).isNotNull().cast("long") for name, c in distinct.items()}
     until = {name: F.least(past, F.coalesce(again[name], past)) for name in distinct}
-    if gaps:
-        until["gaps"] = F.coalesce(F.col("before_us"), F.col("t_us")) + window
+    less = {name: F.coalesce(v.cast("long"), F.lit(0)) for name, v in after.items()}
     held = rows.select(
-        *keys, "t_us", F.when(~F.col("carried"), F.struct(*columns)).alias("row"), *[v.alias(f"plus_{name}") for name, v in plus.items()], *[v.alias(f"until_{name}") for name, v in until.items()]
+        *keys,
+        "t_us",
+        F.when(~F.col("carried"), F.struct(*columns)).alias("row"),
+        *[v.alias(f"plus_{name}") for name, v in plus.items()],
+        *[v.alias(f"less_{name}") for name, v in less.items()],
+        *[v.alias(f"until_{name}") for name, v in until.items()],
     )
     nothing = F.lit(None).cast(held.schema["row"].dataType)
 
-    def event(at: Column, row: Column, sign: int, names: list[str]) -> Column:
-        return F.struct(at.alias("at"), row.alias("row"), *[(F.col(f"plus_{n}") * sign if n in names else F.lit(0).cast("long")).alias(n) for n in plus])
+    def event(at: Column, row: Column, added: dict[str, Column]) -> Column:
+        return F.struct(at.alias("at"), row.alias("row"), *[added.get(n, F.lit(0).cast("long")).alias(n) for n in plus])
 
-    events = [event(F.col("t_us"), F.col("row"), 1, list(plus))]
-    events += [event(past, nothing, -1, list(sums))] if sums else []
-    events += [event(F.col(f"until_{name}"), nothing, -1, [name]) for name in distinct]
-    events += [event(F.col("until_gaps"), nothing, -1, list(between))] if gaps else []
+    events = [event(F.col("t_us"), F.col("row"), {n: F.col(f"plus_{n}") for n in plus})]
+    ends = {n: -F.col(f"plus_{n}") for n in sums} | {n: -F.col(f"less_{n}") for n in less}
+    events += [event(past, nothing, ends)] if ends else []
+    events += [event(F.col(f"until_{name}"), nothing, {name: -F.col(f"plus_{name}")}) for name in distinct]
     w = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     moves = held.select(*keys, F.explode(F.array(*events)).alias("e")).select(*keys, "e.at", "e.row", *[F.col(f"e.{n}") for n in plus])
     return moves.select("row", *[F.sum(n).over(w).alias(n) for n in plus]).where("row is not null").select("row.*", *plus)
@@ -132,6 +146,11 @@ def fires(rows: DataFrame, detector: str, category: str, severity: Column, confi
     return rows.select(*columns, "ts") if rows.isStreaming else rows.select(*columns)  # a stream keeps its event time
 
 
+def _slim(rows: DataFrame, *more: str) -> DataFrame:
+    """Only the columns that an alert is made of, and ``more``: all that are left go through the shuffles of a look-back."""
+    return rows if rows.isStreaming else rows.select(*FLOW_COLUMNS, *more)
+
+
 def _keep_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows sorted by detector, key, segment and time, those that come a cooldown after the last one kept."""
     current, last = None, 0
@@ -160,7 +179,7 @@ def with_cooldown(fired: DataFrame) -> DataFrame:
 def port_scan(flows: DataFrame, ports: int = 15, seconds: float = 10, over: Table = TABLE) -> DataFrame:
     syn, xmas = has_bits(F.col("tcp_flags"), 2), has_bits(F.col("tcp_flags"), 0x29)
     probes = flows.where((F.col("protocol") == 6) & (F.col("packets") <= 4) & (syn | F.col("tcp_flags").isin(0, 1) | xmas))
-    seen = over.swept(probes, ["src_ip"], seconds, distinct={"n_ports": "dst_port", "n_targets": "dst_ip"}).where(F.col("n_ports") >= ports)
+    seen = over.swept(_slim(probes, "tcp_flags"), ["src_ip"], seconds, distinct={"n_ports": "dst_port", "n_targets": "dst_ip"}).where(F.col("n_ports") >= ports)
     bonus = F.least(F.lit(0.09), F.col("n_ports") / 50.0 * 0.09) + F.least(F.lit(0.04), (F.col("n_targets") - 1) * 0.01) + F.when(syn, 0.0).otherwise(0.02)
     return fires(seen, "port_scan", "PORT_SCAN", F.when(F.col("n_ports") >= 30, "HIGH").otherwise("MEDIUM"), F.least(F.lit(0.99), 0.85 + bonus), 30, ["src_ip"], F.col("n_ports"))
 
@@ -168,7 +187,7 @@ def port_scan(flows: DataFrame, ports: int = 15, seconds: float = 10, over: Tabl
 def syn_flood(flows: DataFrame, count: int = 30, seconds: float = 5, over: Table = TABLE) -> DataFrame:
     bare = (F.col("protocol") == 6) & has_bits(F.col("tcp_flags"), 2) & ~has_bits(F.col("tcp_flags"), 16) & (F.col("packets") <= 4)
     keys = ["dst_ip", "dst_port"]
-    seen = over.swept(flows.where(bare), keys, seconds, {"n": F.lit(1)}, {"sources": "src_ip"}).where(F.col("n") >= count)
+    seen = over.swept(_slim(flows.where(bare)), keys, seconds, {"n": F.lit(1)}, {"sources": "src_ip"}).where(F.col("n") >= count)
     bonus = F.least(F.lit(0.06), (F.col("n") - count) * 0.002) + F.least(F.lit(0.05), F.col("sources") / F.col("n") * 0.05)
     return fires(seen, "syn_flood", "SYN_FLOOD", F.when(F.col("n") >= 60, "CRITICAL").otherwise("HIGH"), F.least(F.lit(0.99), 0.88 + bonus), 20, keys, F.col("n"))
 
@@ -180,7 +199,7 @@ def bandwidth_exfil(flows: DataFrame, trusted: tuple[str, ...] = (), single: int
     outward = is_internal(F.col("src_ip")) & ~is_internal(F.col("dst_ip"))
     out = known.where(outward if not trusted else outward & ~F.col("dst_ip").isin(*trusted))
     keys = ["src_ip", "dst_ip"]
-    summed = over.swept(out, keys, seconds, {"volume": F.col("bytes")})
+    summed = over.swept(_slim(out, "bytes", "n_before", "z", "received", "ratio"), keys, seconds, {"volume": F.col("bytes")})
     odd = (F.col("n_before") >= 10) & (F.col("z") >= 3.5) & (F.col("bytes") >= 1_000_000)
     download = (F.col("received") > 0) & (F.col("ratio") < 0.2)
     seen = summed.where(((F.col("bytes") >= single) | (F.col("volume") >= total) | odd) & ~download)
@@ -199,7 +218,7 @@ def dns_volume(flows: DataFrame, size: int = 320, packets: int = 25, seconds: fl
     normal = F.col("dst_ip").isin(*RESOLVERS) & (F.col("packets") > 0) & (mean < size)
     keys = ["src_ip", "dst_ip"]
     dns = flows.where((F.col("protocol") == 17) & (F.col("dst_port") == 53) & ~normal)
-    seen = over.swept(dns, keys, seconds, {"sum_packets": F.col("packets"), "sum_bytes": F.col("bytes")}).withColumn("mean", mean)
+    seen = over.swept(_slim(dns, "bytes", "packets"), keys, seconds, {"sum_packets": F.col("packets"), "sum_bytes": F.col("bytes")}).withColumn("mean", mean)
     seen = seen.where((F.col("mean") >= size) | ((F.col("sum_packets") >= packets) & (F.col("sum_bytes") / F.greatest("sum_packets", F.lit(1)) > 250)))
     bonus = F.greatest(F.lit(0.0), F.least(F.lit(0.08), (F.col("mean") - size) / 1000.0)) + F.greatest(F.lit(0.0), F.least(F.lit(0.05), (F.col("sum_packets") - packets) * 0.002))
     return fires(seen, "dns_volume", "DNS_TUNNEL", F.lit("HIGH"), F.least(F.lit(0.98), 0.85 + bonus), 30, keys, F.col("sum_bytes"))
@@ -210,7 +229,7 @@ def beaconing(flows: DataFrame, samples: int = 5, seconds: float = 600, low_s: f
     cast = F.col("dst_ip").startswith("224.") | F.col("dst_ip").startswith("239.") | (F.col("dst_ip") == "255.255.255.255")
     keys = ["src_ip", "dst_ip", "dst_port"]
     rows = flows.where((F.col("bytes") <= 500_000) & ~cast)
-    seen = over.swept(rows, keys, seconds, {"n": F.lit(1)}, gaps=(0.05, seconds))
+    seen = over.swept(_slim(rows), keys, seconds, {"n": F.lit(1)}, gaps=(0.05, seconds))
     m, total, squares = (F.col(c) for c in GAP_FIGURES)
     seen = seen.where((F.col("n") >= samples) & (m >= samples - 1)).withColumn("mean_us", total / m)
     spread = F.sqrt(F.greatest(F.lit(0.0), squares - total * F.col("mean_us")) / F.greatest(m - 1, F.lit(1)))
@@ -228,7 +247,7 @@ def lateral_movement(flows: DataFrame, roles: DataFrame | None = None, allowed:
         managers = roles.where(F.col("role").isin("ADMIN_MANAGEMENT", "INFRASTRUCTURE_DC")).select(F.col("ip").alias("src_ip"))
         out = out.join(managers, "src_ip", "left_anti")
     on = lambda port: (F.col("dst_port") == port).cast("int")
-    seen = over.swept(out, ["src_ip"], seconds, {"on_smb": on(445), "on_rdp": on(3389)}, {"n": "dst_ip"}).where(F.col("n") >= targets)
+    seen = over.swept(_slim(out), ["src_ip"], seconds, {"on_smb": on(445), "on_rdp": on(3389)}, {"n": "dst_ip"}).where(F.col("n") >= targets)
     smb, rdp = F.col("on_smb") > 0, F.col("on_rdp") > 0
     severity = F.when((F.col("n") >= 6) | (smb & rdp), "CRITICAL").when((F.col("n") >= 4) | smb, "HIGH").otherwise("MEDIUM")
     bonus = F.least(F.lit(0.08), (F.col("n") - targets) * 0.02) + F.when(smb, 0.03).otherwise(0.0)

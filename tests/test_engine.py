@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.wire import RPC
 from flowquarry.operators import blocks, correlate, detect, engine, ml, sessions_l7
+from flowquarry.sources.flows import flow_view
 from tests.test_analytics import T0, flows
 
 
@@ -231,3 +232,27 @@ def test_slices_of_time_do_not_show(spark, monkeypatch):
     assert figures(1) == figures(3) == figures(10_000)
     want = [(i, *(lambda seen: (len(seen), sum(x[8] for x in seen), len({x[4] for x in seen}), len({x[2] for x in seen})))([x for x in rows if 0 <= int(r[0] * 1e6) - int(x[0] * 1e6) <= 7_000_000])) for i, r in enumerate(rows)]
     assert figures(1) == want
+
+
+def test_gaps_over_slices_equal_brute_force(spark):
+    """Gaps that begin in one slice and end in the next, ties, bursts and pauses longer than the window."""
+    import random
+
+    rng, rows, t = random.Random(3), [], 0
+    for i in range(1500):
+        t += rng.choice((0, 20_000, 400_000, 1_500_000, 3_000_000, 9_000_000))
+        rows.append((i, t, "a" if rng.random() < 0.8 else "b", "wide " * 9))
+    df = spark.createDataFrame(rows, "flow_id long, t_us long, src_ip string, other string")
+    found = {r.flow_id: tuple(r[c] for c in ("n", *detect.GAP_FIGURES)) for r in detect.swept(df, ["src_ip"], 5, {"n": F.lit(1)}, gaps=(0.05, 5)).collect()}
+    assert t > 3 * detect.SLICE_WINDOWS * 5_000_000 and len(found) == len(rows)
+    for i, at, key, _ in rows:
+        times = sorted(u for _, u, k, _ in rows if k == key and at - 5_000_000 <= u <= at)
+        gaps = [b - a for a, b in zip(times, times[1:], strict=False) if b - a > 50_000]
+        assert found[i] == (len(times), len(gaps), sum(gaps), sum(g * g for g in gaps))
+
+
+def test_detectors_filter_flows_above_their_projection(spark, sf):
+    """Below it, each mention of a column would be a copy of its cases, in code too large to be compiled."""
+    found = flow_view(spark, sf).where("bytes <= 500000 and not (dst_ip like '224.%' or dst_ip like '239.%')").select("flow_id", "dst_ip")
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("CASE" in line for line in filters)
