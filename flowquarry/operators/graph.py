@@ -35,9 +35,9 @@ def degrees(edge_rows: DataFrame) -> DataFrame:
 def compromised(alerts: DataFrame) -> DataFrame:
     """``(ip, compromised_us, risk)``: sources of alerts of MEDIUM or more, and what lateral movement reached."""
     serious = alerts.where("severity in ('MEDIUM', 'HIGH', 'CRITICAL')").withColumn("score", lookup(F.col("severity"), SEVERITY_RISK, 0.0) * F.col("confidence"))
-    hit = serious.select("t_us", F.col("src_ip").alias("ip"), "score").union(
-        serious.where("category = 'LATERAL_MOVEMENT'").select("t_us", F.col("dst_ip").alias("ip"), (F.col("score") * 0.8).alias("score"))
-    )
+    source, target = F.struct(F.col("src_ip").alias("ip"), "score"), F.struct(F.col("dst_ip").alias("ip"), (F.col("score") * 0.8).alias("score"))
+    ends = F.when(F.col("category") == "LATERAL_MOVEMENT", F.array(source, target)).otherwise(F.array(source))
+    hit = serious.select("t_us", F.explode(ends).alias("end")).select("t_us", "end.*")
     return hit.groupBy("ip").agg(F.min("t_us").alias("compromised_us"), F.round(F.max("score"), 2).alias("risk"))
 
 

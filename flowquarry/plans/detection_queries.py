@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowquarry.operators import biflow, correlate, detect, dims, engine, graph, hosts, intel, sessions_l7
 from flowquarry.plans.registry import query
 from flowquarry.sources.alerts import ALERTS_SQL, ODD_ALERTS_SQL, alert_view, odd_alert_view
+from flowquarry.sources.cut import stored
 from flowquarry.sources.flows import flow_view
 
 FIRED = ("flow_id", "key", "severity", "confidence", "evidence")
@@ -401,7 +402,7 @@ def g3_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g4_patient_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows, alerts = flow_view(spark, sf_dir), alert_view(spark, sf_dir)
-    hit = graph.compromised(alerts)
+    hit = stored(graph.compromised(alerts), "compromised")
     return graph.patient_zero(graph.marked_edges(graph.edges(flows), alerts), hit, hit.select(F.col("ip").alias("target_ip")))
 
 
