@@ -66,17 +66,29 @@ from (
 ) f
 """
 
+#: The largest method that the JVM compiles, in bytes.
+JVM_METHOD_BYTES = 8000
 _DUCK_MICROS = "((epoch_us(ts) - 1700000000000000) // 40000 + 1700000000000000)"
 #: The flow view for the oracle, as a common table expression to put other expressions behind.
 FLOWS_SQL = "with flows as (" + PROJECTION.format(stamp="make_timestamp(t_us)", us=_DUCK_MICROS, text="varchar", events="events").replace("\n", " ") + ")"
 
 
+def compiled_methods(spark: SparkSession) -> None:
+    """Generates code in methods of a size that the JVM compiles.
+
+    A stage with the flow view's projection is one method of over 8,000 bytes, which the JVM only interprets. With this limit
+    such a stage is worked out by operators whose expressions are split into small methods instead; others stay as they are.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JVM_METHOD_BYTES)
+
+
 def flow_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of the test tables: ``PROJECTION`` over their events.
 
     A filter on flows would be pushed below the projection, with a copy of its cases for each mention of a column; such code is too
     large for the JVM to compile. Spark pushes none below a value that it takes for non-deterministic, as the added zero is.
     """
+    compiled_methods(spark)
     micros = "((unix_micros(cast(ts as timestamp)) - 1700000000000000) div 40000 + 1700000000000000)"
     query = PROJECTION.format(stamp="timestamp_micros(t_us)", us=micros, text="string", events="{events}")
     flows = spark.sql(query, events=spark.read.parquet(f"{sf_dir}/events.parquet"))

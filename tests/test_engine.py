@@ -256,3 +256,11 @@ def test_detectors_filter_flows_above_their_projection(spark, sf):
     found = flow_view(spark, sf).where("bytes <= 500000 and not (dst_ip like '224.%' or dst_ip like '239.%')").select("flow_id", "dst_ip")
     filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
     assert filters and not any("CASE" in line for line in filters)
+
+
+def test_the_flow_view_is_worked_out_in_compiled_methods(spark, sf):
+    """A stage in one method of more than 8,000 bytes would only be interpreted."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    found = flow_view(spark, sf).select("src_ip", "dst_ip", "bytes", "domain")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    assert found.count() == spark.read.parquet(f"{sf}/events.parquet").count()
