@@ -1,6 +1,6 @@
 """Queries on alerts read one alert for every flow; those that compare alerts with flows read the odd flows' alone."""
 
-from flowquarry.plans import catalog
+from flowquarry.plans import catalog, detection_queries, report_queries
 from flowquarry.sources.alerts import ODD, alert_view, odd_alert_view
 from flowquarry.sources.flows import flow_view
 
@@ -30,3 +30,17 @@ def test_queries_on_alerts_leave_no_flow_out():
     )
     for name in whole.split():
         assert "vector_id from flows)" in catalog.ORACLE_SQL[name], name
+
+
+def test_code_on_alerts_leaves_no_flow_out(spark, sf, monkeypatch):
+    """Queries whose SQL reads one alert for every flow are not built on the odd ones alone."""
+
+    def cut(*_):
+        raise AssertionError("a query on all alerts reads the odd ones alone")
+
+    for plans in (detection_queries, report_queries):
+        monkeypatch.setattr(plans, "odd_alert_view", cut)
+    whole = [name for name, sql in catalog.ORACLE_SQL.items() if "vector_id from flows)" in sql]
+    assert len(whole) >= 26
+    for name in whole:
+        catalog.QUERIES[name](spark, sf)
